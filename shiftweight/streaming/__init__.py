@@ -1,0 +1 @@
+"""The reference surface has no stream operators; batch jobs only."""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, decontam, sharding
+from . import bpe, ctph, decontam, jaccard, langid, linededup, quality, sharding, toxicity, warc
+
+#: Where the public tokenizer files are; only the driver opens them.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +47,102 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+OP4_SQL = r"""
+WITH u AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(\n)([^\n])', '\1' || chr(1) || '\2', 'g'), '([.!?]\s)([^\s' || chr(1) || '])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS us FROM documents),
+l AS (SELECT doc_id, unnest(generate_series(0, len(us) - 1)) AS i, unnest(us) AS raw FROM u),
+h AS (SELECT doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM l),
+x AS (SELECT doc_id, i, raw, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h, length(t) - length(replace(t, ' ', '')) + 1 AS w FROM h),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS before FROM x),
+e AS (SELECT a.doc_id, a.i, list(b.h ORDER BY b.i) AS hs, max(b.before + b.w) - any_value(a.before) AS words FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 12 AND b.before - a.before < 12 GROUP BY a.doc_id, a.i),
+b AS (SELECT c.doc_id, c.i, c.w, CASE WHEN e.words >= 12 THEN list_reduce(list_prepend(0::BIGINT, e.hs), lambda p, q: (p * 31 + q) % 36028797018963913) END AS f FROM c JOIN e USING (doc_id, i)),
+n AS (SELECT *, coalesce(f, 4611686018427387903) AS g FROM b),
+s AS (SELECT *, coalesce(lag(g, 1) OVER d, 4611686018427387903) AS l1, coalesce(lag(g, 2) OVER d, 4611686018427387903) AS l2, coalesce(lead(g, 1) OVER d, 4611686018427387903) AS r1, coalesce(lead(g, 2) OVER d, 4611686018427387903) AS r2 FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, f FROM s WHERE f IS NOT NULL AND (w >= 12 OR (f <= l2 AND f <= l1) OR (f <= l1 AND f < r1) OR (f < r1 AND f < r2))),
+m AS (SELECT doc_id, i, first_value(doc_id) OVER o AS src, first_value(i) OVER o AS si FROM p WINDOW o AS (PARTITION BY f ORDER BY doc_id, i)),
+a AS (SELECT DISTINCT doc_id, src, i - si AS shift FROM m WHERE doc_id <> src OR i <> si),
+q AS (SELECT a.doc_id, a.src, a.shift, y.i, y.w, y.i - row_number() OVER (PARTITION BY a.doc_id, a.src, a.shift ORDER BY y.i) AS run FROM a JOIN x y ON y.doc_id = a.doc_id JOIN x z ON z.doc_id = a.src AND z.i = y.i - a.shift AND z.h = y.h),
+r AS (SELECT doc_id, min(i) AS lo, max(i) AS hi FROM q GROUP BY doc_id, src, shift, run HAVING sum(w) >= 12),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS i FROM r),
+k AS (SELECT x.doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed, coalesce(string_agg(x.raw, '' ORDER BY x.i) FILTER (gone.i IS NULL), '') AS kept, count(*) AS n FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+SELECT d.doc_id, CASE WHEN d.text = '' OR d.text IS NULL THEN 0 ELSE k.n END::BIGINT AS n_lines, k.n_removed::BIGINT AS n_removed, strlen(k.kept)::BIGINT AS kept_bytes, md5(k.kept) AS kept_md5 FROM documents d JOIN k USING (doc_id)
+"""
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM t WHERE t.a = documents.doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)
+"""
+
+
+def remainder(divisor: int):
+    """crc32 of doc_id as text, modulo a number: the folds of the held-out queries."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for low quality, 1 for good quality but toxic, 2 for good and clean; a fifth is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2))
+    rated = labels.filter(remainder(5) != 0).select("doc_id", grade.alias("grade")).filter("grade IS NOT NULL")
+    # Before the join with texts: the fit needs no more than 2,000 rows of a grade.
+    model = quality.fit(docs, rated)
+    return quality.rate(docs, model).withColumn("held_out", remainder(5) == 0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(F.col("doc_id").isNull() | (remainder(4) != 2)))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], ids=False)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op10_warc": OP10_SQL}

@@ -35,6 +35,39 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _ranges(points: list[int]) -> str:
+    """Inside of a regex class for sorted code points."""
+    p = np.array(points)
+    cut = np.flatnonzero(np.diff(p) > 1)
+    first, last = p[np.r_[0, cut + 1]], p[np.r_[cut, len(p) - 1]]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
+
+
+def unicode_rules() -> tuple[str, str, str, dict[int, str], frozenset[str]]:
+    """Letters, numbers and white space as regex classes, lower-casing where Python's differs, and odd characters.
+
+    Odd are those that the regex module or Python treats in another way.
+
+    Which code points belong to a class depends on the Unicode version. These are read off the tokenizers library,
+    one code point at a time, so that this module follows the version installed beside it.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(map(chr, points[i : i + 20_000])) for i in range(0, len(points), 20_000)]
+    classes, differ = [], set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        split = pre_tokenizers.Split(Regex(name), "removed", invert=True)
+        own = regex.compile(name.replace(r"\s", r"\p{White_Space}"))
+        found = {c for b in blocks for piece, _ in split.pre_tokenize_str(b) for c in piece}
+        differ |= found ^ {c for b in blocks for c in own.findall(b)}
+        classes.append(_ranges(sorted(map(ord, found))))
+    lower = normalizers.Lowercase()
+    # Python lower-cases a final sigma by its context; the rule here is by character.
+    odd = {c: low for c in points if (low := lower.normalize_str(chr(c))) != chr(c).lower()} | {ord("Σ"): "σ"}
+    return (*classes, odd, frozenset(differ | {c for a, b in odd.items() for c in chr(a) + b}))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Tables of a byte-level BPE with an end-of-word suffix, lower-casing and NFC."""
@@ -47,6 +80,9 @@ class Vocabulary:
     merged: np.ndarray
     special: dict[str, int]
     pattern: str
+    plain: str  # the same with the regex module's classes
+    lower: dict[int, str]
+    odd: frozenset[str]  # characters that need ``pattern`` and ``lower``
 
     @staticmethod
     def read(path: str) -> Vocabulary:
@@ -74,8 +110,12 @@ class Vocabulary:
         keys = left * len(tokens) + right
         order = np.argsort(keys)
         table = lambda suffix: np.array([ids.get(c + suffix, -1) for c in letters], np.int64)
-        pattern = steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-        return Vocabulary(tokens, table(""), table(end), keys[order], ranks[order], merged[order], special, pattern)
+        letters_, numbers, spaces, lower, odd = unicode_rules()
+        plain = steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        pattern = steps[0]["pattern"]["Regex"].replace(r"[\p{L}]", f"[{letters_}]").replace(r"[\p{N}]", f"[{numbers}]").replace(r"\s\p{L}\p{N}", spaces + letters_ + numbers)
+        if "\\p" in pattern or "\\s" in pattern:
+            raise ValueError(f"{path}: word pattern not covered")
+        return Vocabulary(tokens, table(""), table(end), keys[order], ranks[order], merged[order], special, pattern, plain, lower, odd)
 
 
 def encode_words(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
@@ -120,7 +160,10 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words = regex.compile(vocabulary.pattern)
+        self.exact = regex.compile(vocabulary.pattern)
+        # The regex module's own classes are much faster; they hold wherever no code point of another version occurs.
+        self.words = regex.compile(vocabulary.plain)
+        self.odd = vocabulary.odd
         self.split = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.known: dict[str, tuple[bytes, str]] = {}
 
@@ -132,8 +175,11 @@ class Coder:
             if i % 2:
                 out.append(part)
             elif part:
-                # Lower-casing is by character: no final sigma.
-                out += self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                part = unicodedata.normalize("NFC", part)
+                if part.isascii() or self.odd.isdisjoint(part):
+                    out += self.words.findall(part.lower())
+                else:
+                    out += self.exact.findall(part.translate(self.v.lower).lower())
         return out
 
     def learn(self, words: set[str]) -> None:

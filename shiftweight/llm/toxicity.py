@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     return ToxicityModel(lexicon, w, float(b[0]), rates)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and score (0 to 1) of every whole text, one row per input row.
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
+    """Columns ``keep`` and the score ``into`` (0 to 1) of every whole text, one row per input row.
 
     Null and empty texts have no lexicon word and are scored as such. Only the text is used. A map over partitions.
     """
@@ -172,6 +172,6 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "t
             for lo, hi in _text.chunks(off):
                 v, counts = votes(data, off[lo : hi + 1], m.lexicon)
                 out[lo:hi] = sigmoid(np.hstack([v, counts]) @ m.weights + m.bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], into])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField(into, T.DoubleType())]))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import check_features, check_manifest, check_runs
+
+_PARTS = [check_features, check_runs, check_manifest]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}

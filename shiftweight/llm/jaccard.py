@@ -9,7 +9,8 @@ the size of the set (m = 2**(floor(log2 n) - 4)), which keeps the pairs linear i
 two is indexed for both values, so partners always have one in common.
 
 Equal sets are joined first and count once. In each bucket of an index key members are verified against
-a leader; when links have merged most of them, what is left in different components is verified in full.
+a leader; when links have merged most of them, what is left in different components is verified in full. Pairs that
+bit maps of the sets already rule out are dropped before texts are fetched.
 The result is exact (up to 64-bit hashes): no bucket is cut and no candidate dropped.
 """
 
@@ -30,10 +31,11 @@ from ._store import written
 
 #: A token is frequent if more prefixes than this hold it; at most the MOST_FREQUENT such tokens are broadcast
 #: (8 MB). Both only steer which tokens are indexed as pairs, never which links are found.
-FREQUENT = 200
+FREQUENT = 4
 MOST_FREQUENT = 1 << 20
-#: Rounds against leaders before the rest is verified in full.
-STAR_ROUNDS = 2
+#: Rounds against leaders, and leaders per member and round, before the rest is verified in full.
+STAR_ROUNDS = 1
+TRIES = 3
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -119,6 +121,47 @@ def _extended_rows(shingle: int, percent: int, frequent):
     return run
 
 
+def _with_bits(shingle: int):
+    """Add a bit map of each set: bit (hash mod m) for every shingle, with m the power of two from 8 n on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, sets in _sets(batch, shingle):
+                bits = []
+                for s in sets:
+                    m = np.zeros(1 << max(6, (8 * len(s) - 1).bit_length()), bool)
+                    m[(s & np.uint64(len(m) - 1)).astype(np.int64)] = True
+                    bits.append(np.packbits(m).tobytes())
+                part = batch.slice(lo, len(sets))
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), part.column("text")], ["rid", "n", "bits", "text"])
+
+    return run
+
+
+def _possible(percent: int):
+    """Drop pairs whose bit maps prove too many differences.
+
+    A bit that one map has and the other has not stands for a shingle of one set only, and |x| + |y| - 2 * (least
+    overlap) of those are allowed. Maps of different size are folded to the smaller one. No link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            nx, ny = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+            for i, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+                apart = int(np.bitwise_count(x ^ y).sum())
+                least = -(-percent * (nx[i] + ny[i]) // (100 + percent))
+                if apart <= nx[i] + ny[i] - 2 * least:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _verified(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,72 +186,78 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     null doc_ids take part, but are not the smallest unless alone. Repeated rows give a row each. ``th`` is a
     hash of the text, which tells rows with one doc_id apart. Other columns are ignored.
 
-    Scale: one row of about 15 to 20 percent of a set's hashes is written per document; index keys are shuffled once;
-    texts are shuffled once and written again only where a bucket has two members or more. All equal sets are one
-    member, so copies without end cost a row each.
+    Scale: about 15 to 20 percent of a set's hashes are written per document and shuffled twice; texts are shuffled once
+    and written again only where a bucket has two members or more. All equal sets are one member, so copies
+    without end cost a row each.
     """
     spark = docs.sparkSession
     body = F.col(text).cast("string")
     source = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"))
     key = [source.schema["doc_id"], T.StructField("th", T.LongType())]
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
-    base = written(source.mapInArrow(_prefix_rows(shingle, percent), T.StructType([*key, *longs("n", "s1", "s2"), T.StructField("prefix", T.ArrayType(T.LongType()))])))
+    rows = source.mapInArrow(_prefix_rows(shingle, percent), T.StructType([*key, *longs("n", "s1", "s2"), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    base = written(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
 
-    # One representative for all rows with the same set; numbered once, as a written table.
+    # One representative for all rows with the same set.
     same = ["n", "s1", "s2"]
-    first = base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "th")).alias("rep"))
-    reps = written(first.withColumn("rid", F.monotonically_increasing_id()))
-    rep_key = reps.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "rid", F.col("n").alias("size"))
-    is_rep = lambda df: F.col("rep_id").eqNullSafe(df["doc_id"]) & (F.col("rep_th") == df["th"])
-    unique = base.dropDuplicates(["doc_id", "th"])
-    prefixes = unique.join(rep_key, is_rep(unique)).select("rid", "size", "prefix")
-
-    often = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > FREQUENT)
+    reps = written(base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min("row").alias("rid")))
+    unique = written(base.join(reps.select(F.col("rid").alias("row")), "row").select(F.col("row").alias("rid"), "doc_id", "th", "n", "prefix"))
+
+    often = unique.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > FREQUENT)
     often = often.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
-    keys = prefixes.select("rid", "size", F.col("prefix").alias("keys"))
+    names = unique.select("rid", F.col("doc_id").alias("u_id"), F.col("th").alias("u_th"), "n")
+    same_row = lambda df: names["u_id"].eqNullSafe(df["doc_id"]) & names["u_th"].eqNullSafe(df["th"])
+    keys = unique.select("rid", "n", F.col("prefix").alias("keys"))
     if len(often):
         frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
         more = source.mapInArrow(_extended_rows(shingle, percent, frequent), T.StructType([*key, T.StructField("keys", T.ArrayType(T.LongType()))]))
-        more = more.join(rep_key, is_rep(more)).select("rid", "size", "keys")
-        more = written(more.dropDuplicates(["rid"]))
+        more = written(more.join(names, same_row(more)).select("rid", "n", "keys").dropDuplicates(["rid"]))
         keys = keys.join(more.select("rid"), "rid", "left_anti").unionByName(more)
-    index = keys.select("rid", "size", F.explode("keys").alias("key"))
-    bucket = W.partitionBy("key")
-    shared = index.withColumn("members", F.count("*").over(bucket)).filter("members > 1").drop("members")
+    index = keys.select("rid", "n", F.explode("keys").alias("key"))
+    shared = index.withColumn("members", F.count("*").over(W.partitionBy("key"))).filter("members > 1")
     members = written(shared)
 
-    involved = members.select("rid").distinct().join(rep_key, "rid")
-    texts = source.join(involved, is_rep(source)).select("rid", "text")
-    texts = written(texts.dropDuplicates(["rid"]))
+    involved = members.select("rid").distinct()
+    wanted = unique.join(involved, "rid").select("rid", F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
+    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["k_id"]) & source["th"].eqNullSafe(wanted["k_th"])).select("rid", "text")
+    texts = written(texts.dropDuplicates(["rid"]).mapInArrow(_with_bits(shingle), "rid bigint, n bigint, bits binary, text string"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
-
+        for c in "ab":
+            pairs = pairs.join(texts.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+        pairs = written(pairs.mapInArrow(_possible(percent), "a bigint, b bigint"))
+        for c in "ab":
+            pairs = pairs.join(texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")), c)
+        return pairs.mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
+
+    # Leaders: members that share the most with others, as the original of a group of near copies does.
+    weight = members.groupBy("rid").agg(F.sum("members").alias("weight"))
+    members = members.select("key", "rid", "n").join(weight, "rid")
+    members = written(members)
     fits = lambda x, y: (F.lit(percent) * F.greatest(x, y)) <= (F.lit(100) * F.least(x, y))
-    parts = written(members.select(F.col("rid").alias("node")).distinct().withColumn("component", F.col("node")))
+    parts = involved.select(F.col("rid").alias("node"), F.col("rid").alias("component"))
     links: DataFrame | None = None
     tried: DataFrame | None = None
     for last in [*[False] * STAR_ROUNDS, True]:
         placed = members.join(parts.withColumnRenamed("node", "rid"), "rid")
-        counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("rid", "size")).alias("lead"))
-        main = counted.groupBy("key").agg(F.max_by(F.struct("component", "lead"), F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("main.component").alias("at"), "main.lead")
+        counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.max(F.struct("weight", "rid", "n")).alias("lead"))
+        main = counted.groupBy("key").agg(F.max(F.struct("c", "lead", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.component").alias("at"), F.col("m.lead.rid").alias("lead"), F.col("m.lead.n").alias("lead_n"))
         apart = placed.join(main, "key").filter("component <> at")
         if last:
-            other = placed.select("key", F.col("rid").alias("o_rid"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
-            pairs = apart.join(other, "key").filter(F.col("component") != F.col("o_component")).filter(fits(F.col("size"), F.col("o_size"))).select(F.least("rid", "o_rid").alias("a"), F.greatest("rid", "o_rid").alias("b")).distinct()
+            other = placed.select("key", F.col("rid").alias("o_rid"), F.col("n").alias("o_n"), F.col("component").alias("o_component"))
+            pairs = apart.join(other, "key").filter((F.col("component") != F.col("o_component")) & fits(F.col("n"), F.col("o_n"))).select(F.least("rid", "o_rid").alias("a"), F.greatest("rid", "o_rid").alias("b")).distinct()
+            pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
         else:
-            pairs = apart.filter(fits(F.col("size"), F.col("lead.size"))).select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b"), "rid")
+            pairs = apart.filter(fits(F.col("n"), F.col("lead_n"))).select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b"), "rid")
             pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-            # One try per member and round: the leader that most of its buckets name.
-            pairs = pairs.groupBy("rid", "a", "b").count().groupBy("rid").agg(F.max_by(F.struct("a", "b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("p")).select("p.*").distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if last and tried is not None else pairs
+            # A few tries per member and round: the leaders that most of its buckets name.
+            named = pairs.groupBy("rid", "a", "b").count()
+            pairs = named.withColumn("r", F.row_number().over(W.partitionBy("rid").orderBy(F.col("count").desc(), "a", "b"))).filter(F.col("r") <= TRIES).select("a", "b").distinct()
         pairs = written(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verify(pairs)
         links = written(found if links is None else links.unionByName(found))
-        near = components(links)
-        parts = written(members.select(F.col("rid").alias("node")).distinct().join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        parts = written(involved.join(components(links), involved["rid"] == F.col("node"), "left").select(F.col("rid").alias("node"), F.coalesce("component", "rid").alias("component")))
 
     smallest = reps.join(parts, reps["rid"] == parts["node"], "left").withColumn("component", F.coalesce("component", "rid"))
     by_component = smallest.groupBy("component").agg(F.min("min_id").alias("component_id"))

@@ -53,44 +53,47 @@ def _selected(blocks: Column, b: Column, i: Column, window: int) -> Column:
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int = 3) -> DataFrame:
-    """(key, ranges): the line ranges [lo, hi] that each document repeats from an earlier place.
+    """(doc_id, th, ranges): the line ranges [lo, hi] that a document repeats from an earlier place.
 
-    ``key`` is struct(doc_id, hash of the text); documents are ordered by it and, inside, by line.
+    ``th`` is the hash of the text; documents are ordered by doc_id and, inside, by line. Of rows equal in both only
+    one takes part.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    key = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th")).alias("key")
-    units = docs.select(key, F.transform(_lines(body), lambda u: F.btrim(u, F.lit(" \t\r\n"))).alias("units"))
-    lines = units.select("key", F.transform("units", _line).alias("lines"))
-    blocks = lines.select("key", "lines", F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _block(F.col("lines"), i, min_words)).alias("blocks"))
+    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.transform(_lines(body), lambda u: F.btrim(u, F.lit(" \t\r\n"))).alias("units"))
+    lines = units.select("doc_id", "th", F.transform("units", _line).alias("lines"))
+    blocks = lines.select("*", F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _block(F.col("lines"), i, min_words)).alias("blocks"))
     marked = F.transform(
         "blocks",
         lambda b, i: F.struct(i.alias("i"), F.when(b.isNotNull() & ((F.get("lines", i)["w"] >= min_words) | _selected(F.col("blocks"), b, i, window)), b).alias("f")),
     )
-    prepared = written(blocks.select("key", F.col("lines.h").alias("h"), F.col("lines.w").alias("w"), F.filter(marked, lambda x: x["f"].isNotNull()).alias("prints")))
+    prepared = blocks.select("doc_id", "th", F.col("lines.h").alias("h"), F.col("lines.w").alias("w"), F.filter(marked, lambda x: x["f"].isNotNull()).alias("prints"))
+    prepared = written(prepared.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
 
-    prints = prepared.select("key", F.explode("prints").alias("p")).select("key", "p.i", "p.f")
-    first = prints.groupBy("f").agg(F.min(F.struct("key", "i")).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = prints.join(first, "f").filter(F.struct("key", "i") > F.col("src"))
-    aligned = found.select("key", F.col("src.key").alias("src"), (F.col("i") - F.col("src.i")).alias("shift")).distinct()
+    prints = prepared.select("doc_id", "row", F.explode("prints").alias("p")).select("doc_id", "row", "p.i", "p.f")
+    place = F.struct("doc_id", "row", "i")
+    first = prints.groupBy("f").agg(F.min(place).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = prints.join(first, "f").filter(place > F.col("src"))
+    aligned = found.select("row", F.col("src.row").alias("src"), (F.col("i") - F.col("src.i")).alias("shift")).distinct()
 
-    texts = prepared.select("key", "h", "w").dropDuplicates(["key"])
-    sources = prepared.select(F.col("key").alias("src"), F.col("h").alias("src_h")).dropDuplicates(["src"])
-    both = aligned.join(texts, "key").join(sources, "src")
+    texts, sources = prepared.select("row", "h", "w"), prepared.select(F.col("row").alias("src"), F.col("h").alias("src_h"))
+    both = aligned.join(texts, "row").join(sources, "src")
     lo, hi = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h"), F.size("src_h") + F.col("shift"))
     equal = F.filter(F.sequence(lo, hi - 1), lambda p: F.get("h", p) == F.get("src_h", p - F.col("shift")))
-    places = both.filter(lo < hi).select("key", "src", "shift", "w", F.posexplode(equal).alias("j", "p"))
+    places = both.filter(lo < hi).select("row", "src", "shift", "w", F.posexplode(equal).alias("j", "p"))
     runs = (
-        places.groupBy("key", "src", "shift", (F.col("p") - F.col("j")).alias("run"))
+        places.groupBy("row", "src", "shift", (F.col("p") - F.col("j")).alias("run"))
         .agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum(F.get("w", F.col("p"))).alias("words"))
         .filter(F.col("words") >= min_words)
-        .select("key", "lo", "hi")
+        .select("row", "lo", "hi")
         .distinct()
     )
     # Merge ranges that overlap or touch.
-    by = W.partitionBy("key").orderBy("lo", "hi")
+    by = W.partitionBy("row").orderBy("lo", "hi")
     opens = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
-    merged = runs.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by)).groupBy("key", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    merged = runs.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by)).groupBy("row", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranges = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    one = prepared.groupBy("doc_id", "th").agg(F.min("row").alias("row"))
+    return ranges.join(one, "row").select("doc_id", "th", "ranges")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int = 3) -> DataFrame:
@@ -106,17 +109,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     grow with occurrences, not with their square; skewed joins are split by adaptive execution.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ranges = repeated_runs(docs, doc_id, text, min_words, window).withColumnRenamed("key", "_key")
+    ranges = repeated_runs(docs, doc_id, text, min_words, window).select(F.struct("doc_id", "th").alias("_key"), F.col("ranges").alias("_ranges"))
     rows = docs.withColumn("_key", F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"))).join(ranges, "_key", "left")
     units = F.when(body == "", F.expr("cast(array() as array<string>)")).otherwise(_lines(body))
     rows = rows.withColumn("_units", units)
-    starts = F.transform("ranges", lambda r, i: F.when(i == 0, F.lit(0)).otherwise(F.get("ranges", i - 1)["hi"] + 1))
-    gaps = F.transform("ranges", lambda r, i: F.slice("_units", F.get("_starts", i) + 1, r["lo"] - F.get("_starts", i)))
-    tail_from = F.element_at("ranges", -1)["hi"] + 1
+    starts = F.transform("_ranges", lambda r, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ranges", i - 1)["hi"] + 1))
+    gaps = F.transform("_ranges", lambda r, i: F.slice("_units", F.get("_starts", i) + 1, r["lo"] - F.get("_starts", i)))
+    tail_from = F.element_at("_ranges", -1)["hi"] + 1
     tail = F.slice("_units", tail_from + 1, F.greatest(F.size("_units") - tail_from, F.lit(0)))
     kept = F.array_join(F.concat(F.flatten(gaps), tail), "")
-    removed = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1)
+    removed = F.aggregate("_ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1)
     rows = rows.withColumn("_starts", starts).withColumns(
-        {text: F.when(F.col("ranges").isNull(), F.col(text)).otherwise(kept), "n_lines": F.size("_units").cast("long"), "n_removed": F.coalesce(removed, F.lit(0).cast("long"))}
+        {text: F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(kept), "n_lines": F.size("_units").cast("long"), "n_removed": F.coalesce(removed, F.lit(0).cast("long"))}
     )
-    return rows.drop("_key", "_units", "_starts", "ranges")
+    return rows.drop("_key", "_units", "_starts", "_ranges")

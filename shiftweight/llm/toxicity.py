@@ -24,6 +24,8 @@ from ._features import adam, bounded_sample, sigmoid, unit_hash
 
 #: Lexicon words at most; a fixed bound of what is broadcast and of the number of voters.
 LEXICON = 512
+#: Likelihood ratio (G) that a lexicon word must reach; 20 is a chance of about one in 100,000.
+LEAST_RATIO = 20.0
 PATTERNS = ["two words", "four words", "one in 50", "one in 200", "shouting", "exclamations"]
 
 
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     ``labels`` has (doc_id, label 0/1); about ``most_per_class`` labelled rows of each class and ``most_unlabelled``
     documents without regard to labels are used, chosen by hash of doc_id, with whole texts. A word enters the lexicon if enough rows have it
-    (five, or a tenth of the toxic rows if that is less, but two at least), most of them toxic. Null labels teach
+    (five, or a tenth of the toxic rows if that is less, but two at least), most of them toxic and beyond chance. Null labels teach
     nothing. Without toxic or without clean rows every score is the same.
     """
     spark = docs.sparkSession
@@ -123,7 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     # Precision at the classes' own shares, since both are sampled apart.
     t, c = F.col("t") / used[1], (F.col("n") - F.col("t")) / used[0]
     mined = known.mapInArrow(_word_rows, "h bigint, label int").groupBy("h").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
-    mined = mined.filter((F.col("t") >= support) & (t >= 3 * c)).orderBy(((t + 0.1) / (t + c + 1) * F.log1p("t")).desc(), "h").limit(LEXICON)
+    # Chance alone must not make a word: likelihood ratio against the share of toxic rows among those used.
+    base = sizes[1] / (sizes[0] + sizes[1])
+    part = lambda k, p: F.when(k > 0, k * F.ln(k / (F.col("n") * p))).otherwise(0.0)
+    ratio = 2 * (part(F.col("t"), base) + part(F.col("n") - F.col("t"), 1 - base))
+    mined = mined.filter((F.col("t") >= support) & (t >= 3 * c) & (ratio >= LEAST_RATIO)).orderBy(((t + 0.1) / (t + c + 1) * F.log1p("t")).desc(), "h").limit(LEXICON)
     lexicon = np.sort(mined.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(lexicon)
 

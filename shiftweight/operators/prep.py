@@ -96,7 +96,7 @@ def num_classes(manifest: DataFrame, name: str = "class_name") -> DataFrame:
     return manifest.agg(F.countDistinct(name).alias("num_classes"))
 
 
-def step_budget(df: DataFrame, batch_size: int, epochs_source: int, epochs_adapt: int, method: str = "me_iis", steps_override: int | None = None, domain: str = "domain") -> DataFrame:
+def step_budget(df: DataFrame, batch_size: int, epochs_source: int, epochs_adapt: int, method: str = "reweight", steps_override: int | None = None, domain: str = "domain") -> DataFrame:
     """Batches per epoch of both domains, adapt steps per epoch (the smaller one, or given) and totals; one row.
 
     ``source_only`` adapts for 0 steps. Negative settings and an empty target that has to be adapted to are errors.

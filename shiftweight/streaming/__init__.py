@@ -1 +1 @@
-"""The reference surface has no stream operators; batch jobs only."""
+"""Empty: the data work of this library has no streams."""

@@ -102,8 +102,18 @@ def apply_pseudo_labels(target: DataFrame, pseudo: DataFrame, id_col: str = "sam
 
 
 def fit_sample(df: DataFrame, most: int, seed: int = 0, id_col: str = "sample_id") -> DataFrame:
-    """``most`` rows without replacement, always the same ones for a seed."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(most)
+    """``most`` rows without replacement, always the same ones for a seed: those of lowest hash.
+
+    Rows are first cut at a hash that a few more than ``most`` stay below, so that the sort sees these only.
+    """
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    n = df.count()
+    if n > 4 * most:
+        share = (most + 6 * most**0.5 + 100) / n
+        low = df.filter(h < int(-(2**63) + share * 2**64))
+        if low.count() >= most:
+            df = low
+    return df.orderBy(h, id_col).limit(most)
 
 
 def cap_per_domain(manifest: DataFrame, n: int, domain: str = "domain", order: str = "path") -> DataFrame:

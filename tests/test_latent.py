@@ -115,3 +115,9 @@ def test_heads_and_scoring(spark):
     assert heads.domain_separability(s.filter("label = 0"), s.filter("label = 1")).first()[0] == 1.0
     scored = scoring.predict(scoring.score(s, scoring.LinearScorer(np.array([[-1.0, -1.0], [1.0, 1.0]]), np.array([1.5, -1.5])), "feat"))
     assert scored.filter("pred = label").count() == 40
+
+
+def test_fit_sample_is_the_lowest_hashes(spark):
+    df = spark.range(5000).withColumnRenamed("id", "sample_id")
+    want = [r[0] for r in df.orderBy(F.xxhash64("sample_id", F.lit(1)), "sample_id").limit(50).collect()]
+    assert [r[0] for r in select.fit_sample(df, 50, 1).collect()] == want

@@ -36,6 +36,8 @@ MOST_FREQUENT = 1 << 20
 #: Rounds against leaders, and leaders per member and round, before the rest is verified in full.
 STAR_ROUNDS = 1
 TRIES = 3
+#: Longs of the small bit map (128 bytes).
+SMALL = 16
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -108,32 +110,35 @@ def _prefix_rows(shingle: int, percent: int):
     return run
 
 
-def _extended_rows(shingle: int, percent: int, frequent):
-    """Index keys of the sets whose plain prefix holds a frequent token; no row for the others."""
+def _key_rows(shingle: int, percent: int, frequent):
+    """Index keys of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in _sets(batch, shingle):
-                at = [i for i, s in enumerate(sets) if _is_in(s[: spare(len(s), percent) + 1], frequent.value).any()]
-                take = pa.array([lo + i for i in at], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), _lists([index_keys(sets[i], frequent.value, percent) for i in at])], ["doc_id", "th", "keys"])
+                part = batch.slice(lo, len(sets))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), _lists([index_keys(s, frequent.value, percent) for s in sets])], ["doc_id", "th", "keys"])
 
     return run
 
 
 def _with_bits(shingle: int):
-    """Add a bit map of each set: bit (hash mod m) for every shingle, with m the power of two from 8 n on."""
+    """Add two bit maps of each set: bit (hash mod m) for every shingle, with m the power of two from 8 n on, and
+    one of 64 * SMALL bits as an array of longs, which a join condition can compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in _sets(batch, shingle):
-                bits = []
+                bits, small = [], []
                 for s in sets:
+                    few = np.zeros(64 * SMALL, bool)
+                    few[((s >> np.uint64(20)) & np.uint64(64 * SMALL - 1)).astype(np.int64)] = True
+                    small.append(np.packbits(few).view(np.uint64))
                     m = np.zeros(1 << max(6, (8 * len(s) - 1).bit_length()), bool)
                     m[(s & np.uint64(len(m) - 1)).astype(np.int64)] = True
                     bits.append(np.packbits(m).tobytes())
                 part = batch.slice(lo, len(sets))
-                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), part.column("text")], ["rid", "n", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), _lists(small), part.column("text")], ["rid", "n", "bits", "small", "text"])
 
     return run
 
@@ -186,9 +191,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     null doc_ids take part, but are not the smallest unless alone. Repeated rows give a row each. ``th`` is a
     hash of the text, which tells rows with one doc_id apart. Other columns are ignored.
 
-    Scale: about 15 to 20 percent of a set's hashes are written per document and shuffled twice; texts are shuffled once
-    and written again only where a bucket has two members or more. All equal sets are one member, so copies
-    without end cost a row each.
+    Scale: about 15 to 20 percent of a set's hashes are shuffled twice; texts are shuffled once and written again only
+    where a bucket has two members or more. All equal sets are one member, so copies without end cost a row each.
     """
     spark = docs.sparkSession
     body = F.col(text).cast("string")
@@ -201,26 +205,22 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     # One representative for all rows with the same set.
     same = ["n", "s1", "s2"]
     reps = written(base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min("row").alias("rid")))
-    unique = written(base.join(reps.select(F.col("rid").alias("row")), "row").select(F.col("row").alias("rid"), "doc_id", "th", "n", "prefix"))
+    unique = written(base.select(F.col("row").alias("rid"), "doc_id", "th", "n").join(reps.select("rid"), "rid"))
 
-    often = unique.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > FREQUENT)
+    often = base.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > FREQUENT)
     often = often.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
+    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     names = unique.select("rid", F.col("doc_id").alias("u_id"), F.col("th").alias("u_th"), "n")
-    same_row = lambda df: names["u_id"].eqNullSafe(df["doc_id"]) & names["u_th"].eqNullSafe(df["th"])
-    keys = unique.select("rid", "n", F.col("prefix").alias("keys"))
-    if len(often):
-        frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-        more = source.mapInArrow(_extended_rows(shingle, percent, frequent), T.StructType([*key, T.StructField("keys", T.ArrayType(T.LongType()))]))
-        more = written(more.join(names, same_row(more)).select("rid", "n", "keys").dropDuplicates(["rid"]))
-        keys = keys.join(more.select("rid"), "rid", "left_anti").unionByName(more)
-    index = keys.select("rid", "n", F.explode("keys").alias("key"))
-    shared = index.withColumn("members", F.count("*").over(W.partitionBy("key"))).filter("members > 1")
-    members = written(shared)
+    keys = source.mapInArrow(_key_rows(shingle, percent, frequent), T.StructType([*key, T.StructField("keys", T.ArrayType(T.LongType()))]))
+    keys = keys.join(names, names["u_id"].eqNullSafe(keys["doc_id"]) & names["u_th"].eqNullSafe(keys["th"])).select("rid", "n", F.explode("keys").alias("key"))
+    # Rows that repeat the representative are told apart from other members only among the few that share a key.
+    counted = lambda df: df.withColumn("members", F.count("*").over(W.partitionBy("key"))).filter("members > 1")
+    members = written(counted(counted(keys).drop("members").dropDuplicates(["key", "rid"])))
 
     involved = members.select("rid").distinct()
     wanted = unique.join(involved, "rid").select("rid", F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["k_id"]) & source["th"].eqNullSafe(wanted["k_th"])).select("rid", "text")
-    texts = written(texts.dropDuplicates(["rid"]).mapInArrow(_with_bits(shingle), "rid bigint, n bigint, bits binary, text string"))
+    texts = written(texts.dropDuplicates(["rid"]).mapInArrow(_with_bits(shingle), "rid bigint, n bigint, bits binary, small array<bigint>, text string"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         for c in "ab":
@@ -244,9 +244,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
         main = counted.groupBy("key").agg(F.max(F.struct("c", "lead", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.component").alias("at"), F.col("m.lead.rid").alias("lead"), F.col("m.lead.n").alias("lead_n"))
         apart = placed.join(main, "key").filter("component <> at")
         if last:
-            other = placed.select("key", F.col("rid").alias("o_rid"), F.col("n").alias("o_n"), F.col("component").alias("o_component"))
-            pairs = apart.join(other, "key").filter((F.col("component") != F.col("o_component")) & fits(F.col("n"), F.col("o_n"))).select(F.least("rid", "o_rid").alias("a"), F.greatest("rid", "o_rid").alias("b")).distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
+            # Every pair of different components in a bucket, but for two members of its main component. The bit maps
+            # are compared in the join, so pairs that cannot link are never rows.
+            open_rows = placed.join(main.select("key", "at"), "key").withColumn("outside", F.col("component") != F.col("at")).select("key", "rid", "n", "component", "outside").join(texts.select("rid", "small"), "rid")
+            x, y = open_rows.alias("x"), open_rows.alias("y")
+            apart_bits = sum((F.bit_count(F.get("x.small", i).bitwiseXOR(F.get("y.small", i))) for i in range(1, SMALL)), F.bit_count(F.get("x.small", 0).bitwiseXOR(F.get("y.small", 0))))
+            both_n = F.col("x.n") + F.col("y.n")
+            allowed = both_n - 2 * F.ceil(F.lit(percent) * both_n / (100 + percent) - 1e-9)
+            close = (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.outside") | F.col("y.outside")) & fits(F.col("x.n"), F.col("y.n")) & (apart_bits <= allowed)
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
         else:
             pairs = apart.filter(fits(F.col("n"), F.col("lead_n"))).select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b"), "rid")
             pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._features import unit_hash
 from ._store import shared_folder, written
 
 #: Fixed values of the formats.
@@ -175,8 +176,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     first = large.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     told = F.when(F.octet_length("payload") >= least_bytes, F.nullif(F.col("first"), F.col("page_id")))
     linked = rows.join(first, "sha1", "left").select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "uri", "payload", "sha1", told.cast("string").alias("refers_to"))
-    sample = rows.filter(F.octet_length("payload") <= 1 << 16).orderBy(F.xxhash64("page_id"), "sha1").select("payload").limit(SAMPLE_ROWS)
-    dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary([bytes(r.payload) for r in sample.collect()]))
+    # About SAMPLE_ROWS rows by hash: what reaches the driver does not grow with the number of tasks.
+    share = min(1.0, SAMPLE_ROWS / max(pages.count(), 1))
+    sample = rows.filter((unit_hash(F.col("page_id")) < share) & (F.octet_length("payload") <= 1 << 16)).orderBy(F.xxhash64("page_id"), "sha1").select("payload")
+    dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary([bytes(r.payload) for r in sample.limit(2 * SAMPLE_ROWS).collect()]))
     fs, base = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     return written(linked.mapInArrow(_write(folder, dictionary, date), "archive string, records bigint, bytes bigint"))

@@ -34,7 +34,7 @@ from ._store import written
 FREQUENT = 4
 MOST_FREQUENT = 1 << 20
 #: Rounds against leaders, and leaders per member and round, before the rest is verified in full.
-STAR_ROUNDS = 1
+STAR_ROUNDS = 2
 TRIES = 3
 #: Longs of the small bit map (128 bytes).
 SMALL = 16
@@ -99,13 +99,24 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, list[np.nd
         yield lo, shingle_sets(data, off[lo : hi + 1], shingle)
 
 
-def _prefix_rows(shingle: int, percent: int):
+def _set_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in _sets(batch, shingle):
                 sums = [np.array([_text.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
                 ids = [batch.column(c).slice(lo, len(sets)) for c in ("doc_id", "th")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), _lists([s[: spare(len(s), percent) + 1] for s in sets])], ["doc_id", "th", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums)], ["doc_id", "th", "n", "s1", "s2"])
+
+    return run
+
+
+def _prefix_tokens(shingle: int, percent: int):
+    """Tokens of all plain prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _sets(batch, shingle):
+                yield pa.RecordBatch.from_arrays([_lists([s[: spare(len(s), percent) + 1] for s in sets]).flatten()], ["token"])
 
     return run
 
@@ -123,7 +134,7 @@ def _key_rows(shingle: int, percent: int, frequent):
 
 
 def _with_bits(shingle: int):
-    """Add two bit maps of each set: bit (hash mod m) for every shingle, with m the power of two from 8 n on, and
+    """Add two bit maps of each set: bit (hash mod m) for every shingle, with m the power of two from 4 n on, and
     one of 64 * SMALL bits as an array of longs, which a join condition can compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +145,7 @@ def _with_bits(shingle: int):
                     few = np.zeros(64 * SMALL, bool)
                     few[((s >> np.uint64(20)) & np.uint64(64 * SMALL - 1)).astype(np.int64)] = True
                     small.append(np.packbits(few).view(np.uint64))
-                    m = np.zeros(1 << max(6, (8 * len(s) - 1).bit_length()), bool)
+                    m = np.zeros(1 << max(6, (4 * len(s) - 1).bit_length()), bool)
                     m[(s & np.uint64(len(m) - 1)).astype(np.int64)] = True
                     bits.append(np.packbits(m).tobytes())
                 part = batch.slice(lo, len(sets))
@@ -199,7 +210,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     source = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"))
     key = [source.schema["doc_id"], T.StructField("th", T.LongType())]
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
-    rows = source.mapInArrow(_prefix_rows(shingle, percent), T.StructType([*key, *longs("n", "s1", "s2"), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    rows = source.mapInArrow(_set_rows(shingle), T.StructType([*key, *longs("n", "s1", "s2")]))
     base = written(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
 
     # One representative for all rows with the same set.
@@ -207,15 +218,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     reps = written(base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min("row").alias("rid")))
     unique = written(base.select(F.col("row").alias("rid"), "doc_id", "th", "n").join(reps.select("rid"), "rid"))
 
-    often = base.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > FREQUENT)
+    often = source.select("text").mapInArrow(_prefix_tokens(shingle, percent), "token bigint").groupBy("token").count().filter(F.col("count") > FREQUENT)
     often = often.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     names = unique.select("rid", F.col("doc_id").alias("u_id"), F.col("th").alias("u_th"), "n")
     keys = source.mapInArrow(_key_rows(shingle, percent, frequent), T.StructType([*key, T.StructField("keys", T.ArrayType(T.LongType()))]))
-    keys = keys.join(names, names["u_id"].eqNullSafe(keys["doc_id"]) & names["u_th"].eqNullSafe(keys["th"])).select("rid", "n", F.explode("keys").alias("key"))
+    keys = keys.join(names, names["u_id"].eqNullSafe(keys["doc_id"]) & names["u_th"].eqNullSafe(keys["th"])).select("rid", F.explode("keys").alias("key"))
     # Rows that repeat the representative are told apart from other members only among the few that share a key.
     counted = lambda df: df.withColumn("members", F.count("*").over(W.partitionBy("key"))).filter("members > 1")
-    members = written(counted(counted(keys).drop("members").dropDuplicates(["key", "rid"])))
+    members = written(counted(counted(keys).drop("members").dropDuplicates(["key", "rid"])).join(names.select("rid", "n"), "rid"))
 
     involved = members.select("rid").distinct()
     wanted = unique.join(involved, "rid").select("rid", F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
@@ -238,7 +249,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     parts = involved.select(F.col("rid").alias("node"), F.col("rid").alias("component"))
     links: DataFrame | None = None
     tried: DataFrame | None = None
-    for last in [*[False] * STAR_ROUNDS, True]:
+    for turn in range(STAR_ROUNDS + 1):
+        last = turn == STAR_ROUNDS
         placed = members.join(parts.withColumnRenamed("node", "rid"), "rid")
         counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.max(F.struct("weight", "rid", "n")).alias("lead"))
         main = counted.groupBy("key").agg(F.max(F.struct("c", "lead", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.component").alias("at"), F.col("m.lead.rid").alias("lead"), F.col("m.lead.n").alias("lead_n"))
@@ -253,9 +265,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
             allowed = both_n - 2 * F.ceil(F.lit(percent) * both_n / (100 + percent) - 1e-9)
             close = (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.outside") | F.col("y.outside")) & fits(F.col("x.n"), F.col("y.n")) & (apart_bits <= allowed)
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+        elif turn:
+            # Each member outside is tried against one member of the main component per bucket: the one before it in an
+            # order that differs from bucket to bucket. In a group of near copies most members link this way.
+            order = W.partitionBy("key").orderBy(F.xxhash64("rid", "key"), "rid").rowsBetween(W.unboundedPreceding, -1)
+            partner = F.last(F.when(F.col("component") == F.col("at"), F.struct("rid", "n")), ignorenulls=True).over(order)
+            pairs = placed.join(main, "key").withColumn("p", partner).filter((F.col("component") != F.col("at")) & F.col("p").isNotNull() & fits(F.col("n"), F.col("p.n")))
+            pairs = pairs.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         else:
             pairs = apart.filter(fits(F.col("n"), F.col("lead_n"))).select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b"), "rid")
-            pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
             # A few tries per member and round: the leaders that most of its buckets name.
             named = pairs.groupBy("rid", "a", "b").count()
             pairs = named.withColumn("r", F.row_number().over(W.partitionBy("rid").orderBy(F.col("count").desc(), "a", "b"))).filter(F.col("r") <= TRIES).select("a", "b").distinct()

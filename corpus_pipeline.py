@@ -41,10 +41,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group; documents without words all stay."""
+    """Keep the document with the smallest doc_id of each group (null ones last); documents without words all stay."""
     found = jaccard.similar_components(docs, SHINGLE, PERCENT)
-    first = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "th")))
-    kept = found.filter("n_shingles > 0").groupBy("component_id").agg(first.alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th"))
+    kept = found.filter("n_shingles > 0").groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
     rows = _keyed(docs)
     words = rows.filter(~blank).join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_th") == F.col("k_th"))).dropDuplicates(["doc_id", "_th"])

@@ -194,13 +194,15 @@ def _verified(shingle: int, percent: int):
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of every row.
+    """(doc_id, th, n_shingles, component_id, component) of every row.
 
     Words are what space, tab, line feed, vertical tab, form feed and carriage return leave; A-Z is lower-cased. Two rows
     link if 100 * |intersection| >= ``percent`` * |union| of their shingle sets. ``component_id`` is the smallest
     doc_id that links lead to; a row without words links with nothing and keeps its own. Null texts have no words;
     null doc_ids take part, but are not the smallest unless alone. Repeated rows give a row each. ``th`` is a
-    hash of the text, which tells rows with one doc_id apart. Other columns are ignored.
+    hash of the text, which tells rows with one doc_id apart. ``component`` tells groups apart where component_id
+    cannot: it is never null, and rows have it in common only if links lead from one to the other. It is no name and
+    differs from run to run. Other columns are ignored.
 
     Scale: about 15 to 20 percent of a set's hashes are shuffled twice; texts are shuffled once and written again only
     where a bucket has two members or more. All equal sets are one member, so copies without end cost a row each.
@@ -285,6 +287,6 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
 
     smallest = reps.join(parts, reps["rid"] == parts["node"], "left").withColumn("component", F.coalesce("component", "rid"))
     by_component = smallest.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    ids = smallest.join(by_component, "component").select(*same, "component_id")
-    out = base.select("doc_id", "th", *same).join(ids, same, "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = smallest.join(by_component, "component").select(*same, "component_id", "component")
+    out = base.select("doc_id", "th", "row", *same).join(ids, same, "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "row").alias("component"))

@@ -62,6 +62,17 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 4, 5, 9]
 
 
+def test_near_duplicates_tell_groups_apart_without_doc_ids(spark):
+    """Null doc_ids and a doc_id that stands on unlike texts: only documents that link make a group."""
+    base, lone = " ".join(f"w{i}" for i in range(300)), [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, lone[0]), (None, lone[1]), (None, lone[1]), (None, base), (7, base), (None, base.replace("w7 ", "x ")), (8, lone[2]), (8, lone[3]), (8, lone[3] + " z"), (None, lone[4]), (None, lone[4] + " z"), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    whole = [(7, base), (8, lone[2]), (8, ""), (None, lone[0]), (None, lone[1]), (None, None)]
+    assert len(found) == len(whole) + 2 and set(whole) < set(found)
+    assert sum(i == 8 and t.startswith("d0 ") for i, t in found) == 1 and sum(i is None and (t or "").startswith("e0 ") for i, t in found) == 1
+
+
 def test_run_equals_the_stages(spark, folder):
     d, docs, _ = folder
     assert {x.doc_id for x in corpus_pipeline.run(spark, d).collect()} == (set(range(40, 120)) | {500, 501}) - {101, 60}

@@ -7,8 +7,10 @@ fingerprint (the last one among equals), and so is each line that is a block by
 with their first occurrence; each join gives an alignment of two documents, along which equal lines make
 runs in both directions. A run of ``min_words`` words or more is deleted from the later document.
 
-Guarantee: a repeated run is found if one of its lines has ``min_words`` words, or if it has
-(window - 1) * (min_words - 1) + 2 * (min_words - 1) words (44 with 12 words and windows of 3).
+A run that repeats in the document of its fingerprint's first occurrence is found if one of its lines has ``min_words``
+words, or if it has (window - 1) * (min_words - 1) + 2 * (min_words - 1) words (44 with 12 words and windows of 3).
+Where fingerprints of a run stood in other documents before, a part of it can stay. ``all_repeated_runs``
+(``dedup_lines`` with window None) looks up every block instead and finds all of every run.
 """
 
 from __future__ import annotations
@@ -32,10 +34,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, CUT, -1)
 
 
+def _words(unit: Column) -> Column:
+    return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
+
+
 def _line(unit: Column) -> Column:
     """Hash (60 bits) and number of words of a line without the space around it."""
-    words = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
-    return F.struct(F.conv(F.substring(F.md5(unit.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), words.alias("w"))
+    return F.struct(F.conv(F.substring(F.md5(unit.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), _words(unit).alias("w"))
 
 
 def _block(lines: Column, i: Column, min_words: int) -> Column:
@@ -52,8 +57,57 @@ def _selected(blocks: Column, b: Column, i: Column, window: int) -> Column:
     return reduce(Column.__or__, fits)
 
 
+def _merged(runs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(doc_id, th, ranges) from (row, lo, hi): ranges that overlap or touch are one."""
+    by = W.partitionBy("row").orderBy("lo", "hi")
+    opens = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
+    merged = runs.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by)).groupBy("row", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranges = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    one = prepared.groupBy("doc_id", "th").agg(F.min("row").alias("row"))
+    return ranges.join(one, "row").select("doc_id", "th", "ranges")
+
+
+def all_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12) -> DataFrame:
+    """(doc_id, th, ranges) as of ``repeated_runs``, for every run of ``min_words`` words that stands at any earlier place.
+
+    A block is the shortest run of lines with ``min_words`` words from a line on, or up to a line. Each line of a
+    repeated run is in the block from the run's first line or in the block up to itself, and both are inside the
+    run. So lines in blocks that stood earlier are all lines of repeated runs, and no others; one shuffle of block
+    hashes finds them, whichever documents hold the first places.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.transform(_lines(body), lambda u: F.btrim(u, F.lit(" \t\r\n"))).alias("units"))
+    lines = units.select("doc_id", "th", F.transform("units", lambda u: F.xxhash64(u)).alias("h"), F.transform("units", _words).alias("w"))
+    h, w = F.col("h"), F.col("w")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
+    step = lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x).alias("w")))
+
+    def ahead(x: Column, i: Column) -> Column:
+        n = F.when(x >= min_words, F.lit(1)).otherwise(F.aggregate(F.slice(w, i + 1, min_words), zero, step, lambda a: F.when(a["w"] >= min_words, a["n"])))
+        return F.struct(i.alias("lo"), n.alias("n"))
+
+    def behind(x: Column, i: Column) -> Column:
+        # If the block is too short without its last line, it is the block ahead of its first line as well.
+        run = F.reverse(F.slice(w, F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words))))
+        n = F.when(x < min_words, F.aggregate(run, zero, step, lambda a: F.when(a["w"] - x >= min_words, a["n"])))
+        return F.struct((i + 1 - n).alias("lo"), n.alias("n"))
+
+    def hashed(blocks: Column, salt: int) -> Column:
+        some = F.filter(blocks, lambda b: b["n"].isNotNull())
+        return F.transform(some, lambda b: F.struct(b["lo"].alias("lo"), (b["lo"] + b["n"] - 1).alias("hi"), F.xxhash64(F.slice(h, b["lo"] + 1, b["n"]), F.lit(salt)).alias("f")))
+
+    blocks = lines.select("doc_id", "th", F.concat(hashed(F.transform(w, ahead), 0), hashed(F.transform(w, behind), 1)).alias("blocks"))
+    prepared = written(blocks.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
+
+    every = prepared.select("doc_id", "row", F.explode("blocks").alias("b")).select("doc_id", "row", "b.lo", "b.hi", "b.f")
+    again = written(every.join(every.groupBy("f").count().filter("count > 1").select("f"), "f"))
+    place = F.struct("doc_id", "row", "lo")
+    runs = again.join(again.groupBy("f").agg(F.min(place).alias("src")), "f").filter(place > F.col("src")).select("row", "lo", "hi")
+    return _merged(runs, prepared)
+
+
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int = 3) -> DataFrame:
-    """(doc_id, th, ranges): the line ranges [lo, hi] that a document repeats from an earlier place.
+    """(doc_id, th, ranges): the line ranges [lo, hi] that a document repeats from a first place of a fingerprint.
 
     ``th`` is the hash of the text; documents are ordered by doc_id and, inside, by line. Of rows equal in both only
     one takes part.
@@ -87,20 +141,15 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         .select("row", "lo", "hi")
         .distinct()
     )
-    # Merge ranges that overlap or touch.
-    by = W.partitionBy("row").orderBy("lo", "hi")
-    opens = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
-    merged = runs.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by)).groupBy("row", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    ranges = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
-    one = prepared.groupBy("doc_id", "th").agg(F.min("row").alias("row"))
-    return ranges.join(one, "row").select("doc_id", "th", "ranges")
+    return _merged(runs, prepared)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int | None = 3) -> DataFrame:
     """The input rows with later repetitions cut out of the text, and (n_lines, n_removed) added.
 
     All columns are kept (an input column called n_lines or n_removed is replaced). What stays is byte for byte
-    the original. Null and empty texts have no lines and stay as they are. Rows equal in doc_id and text count as
+    the original. With ``window`` None every repeated run is cut whole; with a number, what fingerprints in windows of
+    so many lines find along their first occurrences. Null and empty texts have no lines and stay as they are. Rows equal in doc_id and text count as
     one document and get the same result; null doc_ids come first in the order. The first occurrence of every
     line stays, so an exact copy of an earlier document ends up empty.
 
@@ -109,7 +158,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     grow with occurrences, not with their square; skewed joins are split by adaptive execution.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ranges = repeated_runs(docs, doc_id, text, min_words, window).select(F.struct("doc_id", "th").alias("_key"), F.col("ranges").alias("_ranges"))
+    found = all_repeated_runs(docs, doc_id, text, min_words) if window is None else repeated_runs(docs, doc_id, text, min_words, window)
+    ranges = found.select(F.struct("doc_id", "th").alias("_key"), F.col("ranges").alias("_ranges"))
     rows = docs.withColumn("_key", F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"))).join(ranges, "_key", "left")
     units = F.when(body == "", F.expr("cast(array() as array<string>)")).otherwise(_lines(body))
     rows = rows.withColumn("_units", units)

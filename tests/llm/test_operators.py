@@ -160,6 +160,30 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).isEmpty()
 
 
+def test_line_dedup_finds_every_run(spark):
+    """Random documents of few lines against brute force: fragments stand alone before the passages that hold them."""
+    r = random.Random(8)
+    pool = [" ".join(f"{c}{k}" for k in range(n)) + "." for c, n in zip("abcdefgh", (20, 8, 20, 4, 15, 5, 3, 11), strict=True)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.7 else f"own {i} {k}." for k in range(r.randint(1, 9)))) for i in range(40)]
+    rows += [(40, "\n".join(pool[:3])), (41, "\n".join(pool[:3])), (42, "x.\n" * 40), (43, None), (44, ""), (45, "\n".join(pool))]
+    seen, want = set(), {}
+    for i, t in rows:
+        lines, gone = (t or "").split("\n"), set()
+        lines = lines[:-1] if lines[-1] == "" else lines
+        for lo in range(len(lines)):
+            for hi in range(lo, len(lines)):
+                run = tuple(lines[lo : hi + 1])
+                if sum(len(x.split(" ")) for x in run) >= 12:
+                    if run in seen:
+                        gone.update(range(lo, hi + 1))
+                    seen.add(run)
+        kept = [x for k, x in enumerate(lines) if k not in gone]
+        want[i] = (len(gone), kept)
+    whole = {x.doc_id: x for x in linededup.dedup_lines(frame(spark, rows), window=None).collect()}
+    assert {i: (x.n_removed, [] if not x.text else x.text.removesuffix("\n").split("\n")) for i, x in whole.items()} == want
+    assert whole[43].text is None and whole[44].text == ""
+
+
 @pytest.mark.parametrize("shingle,percent", [(4, 85), (5, 80), (1, 60)])
 def test_jaccard_components(spark, shingle, percent):
     r = random.Random(shingle)

@@ -55,6 +55,18 @@ def test_stages(spark, folder):
     assert set(found["bpe"]) == set(found["decontamination"]) and found["bpe"][501].ids == []
 
 
+def test_lines_whose_parts_stood_alone_before(spark):
+    """A passage of lines of 20, 8 and 20 words whose long lines stand alone in earlier documents: all of the second copy goes."""
+    rows = []
+    for k in range(12):
+        a, b, c = (" ".join(f"{x}{k}w{i}" for i in range(n)) + "." for x, n in (("a", 20), ("b", 8), ("c", 20)))
+        rows += [(k, f"{a}\nalone {k}."), (100 + k, f"{c}\nalone {k}."), (200 + k, f"start {k}.\n{a}\n{b}\n{c}\nend {k}."), (300 + k, f"first {k}.\n{a}\n{b}\n{c}\nlast {k}.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {x.doc_id: x.text for x in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    for k in range(12):
+        assert found[300 + k] == f"first {k}.\nlast {k}." and f"\nb{k}w0 " in found[200 + k] and found[k] == rows[4 * k][1]
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(3, base), (1, base.replace("w7 ", "x ")), (2, base), (9, "other words that stand alone here"), (4, None), (5, "")]

@@ -1,175 +1,146 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A text is a sequence of lines: it is cut behind line breaks and behind the end of a sentence, so that a passage
-set into the middle of a paragraph still has lines of its own. The block at a line is the shortest run of lines
-from there with ``min_words`` words. Of the block hashes in each window of ``window`` lines the smallest is a
-fingerprint (the last one among equals), and so is each line that is a block by itself. Fingerprints are joined
-with their first occurrence; each join gives an alignment of two documents, along which equal lines make
-runs in both directions. A run of ``min_words`` words or more is deleted from the later document.
-
-A run that repeats in the document of its fingerprint's first occurrence is found if one of its lines has ``min_words``
-words, or if it has (window - 1) * (min_words - 1) + 2 * (min_words - 1) words (44 with 12 words and windows of 3).
-Where fingerprints of a run stood in other documents before, a part of it can stay. ``all_repeated_runs``
-(``dedup_lines`` with window None) looks up every block instead and finds all of every run.
+set into the middle of a paragraph still has lines of its own. A line weighs one per six bytes begun without the
+space around it, about one per word (and alike in languages without spaces); lines of space weigh nothing.
+
+The window at a line is the shortest run of lines from there that weighs ``least``. The smallest line hash of
+each window is its fingerprint; neighbouring windows mostly share one. A window's fingerprint depends on the
+window alone, so a run of lines that weighs ``least`` and stands at two places has the same fingerprint at both:
+no such run can be missed. Positions of equal fingerprints are joined. Around each of them the run is extended
+both ways by hashing the runs of lines that hold it, and each of these is compared with its first place in
+the corpus, whichever document that is. A line is deleted if it is in a run that stood at an earlier place.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._store import written
 
-#: Behind a line break, and behind sentence punctuation with one space.
-CUT = r"(?<=\n)(?=[^\n])|(?<=[.!?]\s)(?=\S)"
-#: Block hashes are polynomials of line hashes modulo this number (below 2**55, so that no step overflows).
-MODULUS = (1 << 55) - 55
-_NONE = (1 << 62) - 1
+#: Cuts: behind a line break, a full-width sentence end, or a sentence end with a space; not before a line break.
+CUT = r"(?<=[ \n。！？])(?<![^.!?] )(?<!\A )(?!\r?\n)"
+SPACE = " \t\r\n"
+#: Bytes of a line for each unit of its weight.
+BYTES = 6
+#: No task of a join on hashes gets more than one of so many parts of its rows by one key.
+PARTS = 1024
 
 
 def _lines(text: Column) -> Column:
-    return F.split(text, CUT, -1)
-
+    """Lines of a text, none of them empty; joined they are the text again."""
+    return F.filter(F.split(text, CUT, -1), lambda u: u != "")
 
-def _words(unit: Column) -> Column:
-    return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
 
+def _lengths(w: Column, least: int) -> Column:
+    """Number of lines of the window at each line; null where the next ``least`` lines weigh too little.
 
-def _line(unit: Column) -> Column:
-    """Hash (60 bits) and number of words of a line without the space around it."""
-    return F.struct(F.conv(F.substring(F.md5(unit.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), _words(unit).alias("w"))
-
+    ``w`` holds weights of at most ``least``; the running sum is kept in the low half of an integer, lines in the high half.
+    """
+    weighs = lambda a: a.bitwiseAND(0xFFFF) >= least
+    step = lambda a, x: F.when(weighs(a), a).otherwise(a + x + (1 << 16))
+    count = lambda i: F.aggregate(F.slice(w, i + 1, least), F.lit(0), step, lambda a: F.when(weighs(a), F.shiftright(a, 16)))
+    return F.transform(w, lambda x, i: F.when(x >= least, 1).otherwise(count(i)))
 
-def _block(lines: Column, i: Column, min_words: int) -> Column:
-    """Hash of the shortest run of lines from i with ``min_words`` words; null if the text ends before."""
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).alias("w"))
-    step = lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct(((a["b"] * 31 + x["h"]) % F.lit(MODULUS)).alias("b"), (a["w"] + x["w"]).alias("w")))
-    return F.aggregate(F.slice(lines, i + 1, min_words), start, step, lambda a: F.when(a["w"] >= min_words, a["b"]))
 
+def _windows(rows: DataFrame) -> DataFrame:
+    """Add the fingerprint ``f`` of the window at line i and its line ``p`` to rows with (h, n, i); rows without a window go."""
+    window = F.slice("h", F.col("i") + 1, F.get("n", F.col("i")))
+    rows = rows.filter(F.get("n", F.col("i")).isNotNull()).withColumn("f", F.array_min(window))
+    return rows.withColumn("p", (F.col("i") + F.array_position(window, F.col("f")) - 1).cast("int"))
 
-def _selected(blocks: Column, b: Column, i: Column, window: int) -> Column:
-    """Whether b is the last smallest block hash of some window that holds line i."""
-    near = {j: F.coalesce(F.get(blocks, i + j), F.lit(_NONE)) for j in range(1 - window, window) if j}
-    fits = [reduce(Column.__and__, [b <= near[j] if j < 0 else b < near[j] for j in range(s - window + 1, s + 1) if j] or [F.lit(True)]) for s in range(window)]
-    return reduce(Column.__or__, fits)
 
+def _shared(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """Join rows with ``groups`` (keys, n = number of their rows).
 
-def _merged(runs: DataFrame, prepared: DataFrame) -> DataFrame:
-    """(doc_id, th, ranges) from (row, lo, hi): ranges that overlap or touch are one."""
-    by = W.partitionBy("row").orderBy("lo", "hi")
-    opens = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
-    merged = runs.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by)).groupBy("row", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    ranges = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
-    one = prepared.groupBy("doc_id", "th").agg(F.min("row").alias("row"))
-    return ranges.join(one, "row").select("doc_id", "th", "ranges")
+    Rows of a key with more than one of PARTS parts of all rows are dealt by ``spread`` over as many copies of its
+    group as that takes. At most PARTS keys are so frequent, so they can be broadcast.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    copies = F.ceil(F.col("n") * PARTS / F.lit(float(max(total, 1)))).cast("int")
+    frequent = groups.filter(copies > 1).select(*keys, copies.alias("copies"))
+    dealt = rows.join(F.broadcast(frequent), keys, "left").withColumn("copy", F.coalesce(F.pmod(spread, F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    return dealt.join(groups.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("n"), [*keys, "copy"]).drop("copy")
 
 
-def all_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12) -> DataFrame:
-    """(doc_id, th, ranges) as of ``repeated_runs``, for every run of ``min_words`` words that stands at any earlier place.
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12) -> DataFrame:
+    """(doc_id, th, n_lines, ranges): the line ranges [lo, hi] of each document that stood at an earlier place.
 
-    A block is the shortest run of lines with ``min_words`` words from a line on, or up to a line. Each line of a
-    repeated run is in the block from the run's first line or in the block up to itself, and both are inside the
-    run. So lines in blocks that stood earlier are all lines of repeated runs, and no others; one shuffle of block
-    hashes finds them, whichever documents hold the first places.
+    These are exactly the lines of all runs of at most ``least`` lines (and so of all longer ones too) that weigh
+    ``least`` or more and stand at an earlier place, whole and line by line equal without the space around
+    lines. Places are ordered by doc_id (null first), hash ``th`` of the text, and line. Rows equal in doc_id and text are one
+    document. Lines are compared by 96 bits of hash.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.transform(_lines(body), lambda u: F.btrim(u, F.lit(" \t\r\n"))).alias("units"))
-    lines = units.select("doc_id", "th", F.transform("units", lambda u: F.xxhash64(u)).alias("h"), F.transform("units", _words).alias("w"))
-    h, w = F.col("h"), F.col("w")
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-    step = lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x).alias("w")))
-
-    def ahead(x: Column, i: Column) -> Column:
-        n = F.when(x >= min_words, F.lit(1)).otherwise(F.aggregate(F.slice(w, i + 1, min_words), zero, step, lambda a: F.when(a["w"] >= min_words, a["n"])))
-        return F.struct(i.alias("lo"), n.alias("n"))
-
-    def behind(x: Column, i: Column) -> Column:
-        # If the block is too short without its last line, it is the block ahead of its first line as well.
-        run = F.reverse(F.slice(w, F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words))))
-        n = F.when(x < min_words, F.aggregate(run, zero, step, lambda a: F.when(a["w"] - x >= min_words, a["n"])))
-        return F.struct((i + 1 - n).alias("lo"), n.alias("n"))
-
-    def hashed(blocks: Column, salt: int) -> Column:
-        some = F.filter(blocks, lambda b: b["n"].isNotNull())
-        return F.transform(some, lambda b: F.struct(b["lo"].alias("lo"), (b["lo"] + b["n"] - 1).alias("hi"), F.xxhash64(F.slice(h, b["lo"] + 1, b["n"]), F.lit(salt)).alias("f")))
-
-    blocks = lines.select("doc_id", "th", F.concat(hashed(F.transform(w, ahead), 0), hashed(F.transform(w, behind), 1)).alias("blocks"))
-    prepared = written(blocks.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
+    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.transform(_lines(body), lambda u: F.btrim(u, F.lit(SPACE))).alias("u"))
+    weight = lambda u: F.least(F.floor((F.octet_length(u) + BYTES - 1) / BYTES).cast("int"), F.lit(least))
+    lines = units.select("doc_id", "th", F.transform("u", lambda u: F.xxhash64(u)).alias("h"), F.transform("u", lambda u: F.hash(u)).alias("g"), F.transform("u", weight).alias("w"))
+    lines = lines.select("doc_id", "th", "h", "g", _lengths(F.col("w"), least).alias("n"), F.size("h").cast("long").alias("n_lines"))
+    prepared = written(lines.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
+
+    # Fingerprints: each position once, at the first window that selects it.
+    found = _windows(prepared.select("row", "doc_id", "th", "h", "n", F.posexplode("h").alias("i", "x")).drop("x"))
+    i, p = F.col("i"), F.col("p")
+    new = (i == 0) | (F.get("h", i - 1) <= F.col("f")) | (p > i + F.coalesce(F.get("n", i - 1), F.lit(0)) - 2)
+    prints = found.filter(new).select("row", "doc_id", "th", "f", "i", "p")
+    place = F.xxhash64("doc_id", "th", "p")
+    repeated = prints.groupBy("f").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("n > 1 AND a < b").select("f", "n")
+    joined = _shared(prints.select("row", "f", "i", "p"), written(repeated), ["f"], F.xxhash64("row", "p"))
+
+    # Extension: the windows that hold a joined position, each alone and with the lines behind it that it does not
+    # need its first line to reach (those are in the next window).
+    marks = joined.groupBy("row").agg(F.collect_list(F.struct("i", "p")).alias("marks"))
+    around = prepared.join(marks, "row").select("doc_id", "th", "h", "g", "n", F.explode("marks").alias("m"))
+    around = around.select("doc_id", "th", "h", "g", "n", F.col("m.p").alias("at"), F.explode(F.sequence("m.i", "m.p")).alias("i"))
+    around = _windows(around).filter("p = at")
+    last = i + F.get("n", i) - 1
+    further = F.least(i + F.coalesce(F.get("n", i + 1), F.lit(least)) - 1, F.size("h") - 1)
+    around = around.select("doc_id", "th", "h", "g", "i", F.explode(F.sequence(last, F.greatest(last, further))).alias("hi"))
+    part = lambda c: F.slice(c, F.col("i") + 1, F.col("hi") - F.col("i") + 1)
+    runs = written(around.select("doc_id", "th", F.col("i").alias("lo"), "hi", F.xxhash64(part("h")).alias("k"), F.hash(part("g")).alias("c")))
+
+    place = F.struct("doc_id", "th", "lo")
+    first = written(runs.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    again = _shared(runs, first, ["k", "c"], F.xxhash64("doc_id", "th", "lo")).filter(place > F.col("first")).select("doc_id", "th", "lo", "hi")
+    sizes = prepared.groupBy("doc_id", "th").agg(F.max("n_lines").alias("n_lines"))
+    ranges = _merged(again).select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "ranges")
+    return sizes.join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th")
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(doc_id, th, ranges) from (doc_id, th, lo, hi): ranges that overlap or touch are one."""
+    runs = runs.groupBy("doc_id", "th", "lo").agg(F.max("hi").alias("hi"))
+    by = W.partitionBy("doc_id", "th").orderBy("lo")
+    opens = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
+    parts = runs.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by)).groupBy("doc_id", "th", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return parts.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
-    every = prepared.select("doc_id", "row", F.explode("blocks").alias("b")).select("doc_id", "row", "b.lo", "b.hi", "b.f")
-    again = written(every.join(every.groupBy("f").count().filter("count > 1").select("f"), "f"))
-    place = F.struct("doc_id", "row", "lo")
-    runs = again.join(again.groupBy("f").agg(F.min(place).alias("src")), "f").filter(place > F.col("src")).select("row", "lo", "hi")
-    return _merged(runs, prepared)
 
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12, into: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The input rows with later repetitions (see ``repeated_runs``) cut out of the text, and two counts added.
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int = 3) -> DataFrame:
-    """(doc_id, th, ranges): the line ranges [lo, hi] that a document repeats from a first place of a fingerprint.
+    All columns are kept, whatever their names; only those named as in ``into`` (number of lines, number of lines
+    deleted) are replaced. What stays is byte for byte the original. Null and empty texts have no lines and stay as
+    they are; lines of space alone are no run. Rows equal in doc_id and text count as one document and get the same
+    result; null doc_ids come first in the order. The first occurrence of every line stays, so an exact copy of
+    an earlier document ends up empty.
 
-    ``th`` is the hash of the text; documents are ordered by doc_id and, inside, by line. Of rows equal in both only
-    one takes part.
-    """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.transform(_lines(body), lambda u: F.btrim(u, F.lit(" \t\r\n"))).alias("units"))
-    lines = units.select("doc_id", "th", F.transform("units", _line).alias("lines"))
-    blocks = lines.select("*", F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _block(F.col("lines"), i, min_words)).alias("blocks"))
-    marked = F.transform(
-        "blocks",
-        lambda b, i: F.struct(i.alias("i"), F.when(b.isNotNull() & ((F.get("lines", i)["w"] >= min_words) | _selected(F.col("blocks"), b, i, window)), b).alias("f")),
-    )
-    prepared = blocks.select("doc_id", "th", F.col("lines.h").alias("h"), F.col("lines.w").alias("w"), F.filter(marked, lambda x: x["f"].isNotNull()).alias("prints"))
-    prepared = written(prepared.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
-
-    prints = prepared.select("doc_id", "row", F.explode("prints").alias("p")).select("doc_id", "row", "p.i", "p.f")
-    place = F.struct("doc_id", "row", "i")
-    first = prints.groupBy("f").agg(F.min(place).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = prints.join(first, "f").filter(place > F.col("src"))
-    aligned = found.select("row", F.col("src.row").alias("src"), (F.col("i") - F.col("src.i")).alias("shift")).distinct()
-
-    texts, sources = prepared.select("row", "h", "w"), prepared.select(F.col("row").alias("src"), F.col("h").alias("src_h"))
-    both = aligned.join(texts, "row").join(sources, "src")
-    lo, hi = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h"), F.size("src_h") + F.col("shift"))
-    equal = F.filter(F.sequence(lo, hi - 1), lambda p: F.get("h", p) == F.get("src_h", p - F.col("shift")))
-    places = both.filter(lo < hi).select("row", "src", "shift", "w", F.posexplode(equal).alias("j", "p"))
-    runs = (
-        places.groupBy("row", "src", "shift", (F.col("p") - F.col("j")).alias("run"))
-        .agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum(F.get("w", F.col("p"))).alias("words"))
-        .filter(F.col("words") >= min_words)
-        .select("row", "lo", "hi")
-        .distinct()
-    )
-    return _merged(runs, prepared)
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 12, window: int | None = 3) -> DataFrame:
-    """The input rows with later repetitions cut out of the text, and (n_lines, n_removed) added.
-
-    All columns are kept (an input column called n_lines or n_removed is replaced). What stays is byte for byte
-    the original. With ``window`` None every repeated run is cut whole; with a number, what fingerprints in windows of
-    so many lines find along their first occurrences. Null and empty texts have no lines and stay as they are. Rows equal in doc_id and text count as
-    one document and get the same result; null doc_ids come first in the order. The first occurrence of every
-    line stays, so an exact copy of an earlier document ends up empty.
-
-    Scale: the text is cut into lines once; line hashes (about a tenth of the text) are written, fingerprints
-    shuffled and pre-aggregated. A line that millions of documents share joins one first occurrence, so pairs
-    grow with occurrences, not with their square; skewed joins are split by adaptive execution.
+    Scale: line hashes (a third of the text) are written and shuffled once, fingerprints twice (the first time
+    pre-aggregated), runs around repeated fingerprints twice, texts once. Frequent fingerprints and runs are spread
+    over tasks; nothing grows with the square of a group.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = all_repeated_runs(docs, doc_id, text, min_words) if window is None else repeated_runs(docs, doc_id, text, min_words, window)
-    ranges = found.select(F.struct("doc_id", "th").alias("_key"), F.col("ranges").alias("_ranges"))
-    rows = docs.withColumn("_key", F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"))).join(ranges, "_key", "left")
-    units = F.when(body == "", F.expr("cast(array() as array<string>)")).otherwise(_lines(body))
-    rows = rows.withColumn("_units", units)
-    starts = F.transform("_ranges", lambda r, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ranges", i - 1)["hi"] + 1))
-    gaps = F.transform("_ranges", lambda r, i: F.slice("_units", F.get("_starts", i) + 1, r["lo"] - F.get("_starts", i)))
-    tail_from = F.element_at("_ranges", -1)["hi"] + 1
-    tail = F.slice("_units", tail_from + 1, F.greatest(F.size("_units") - tail_from, F.lit(0)))
-    kept = F.array_join(F.concat(F.flatten(gaps), tail), "")
-    removed = F.aggregate("_ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1)
-    rows = rows.withColumn("_starts", starts).withColumns(
-        {text: F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(kept), "n_lines": F.size("_units").cast("long"), "n_removed": F.coalesce(removed, F.lit(0).cast("long"))}
-    )
-    return rows.drop("_key", "_units", "_starts", "_ranges")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th")).alias("key"))
+    found = repeated_runs(docs, doc_id, text, least).select(F.struct("doc_id", "th").alias("key"), "n_lines", "ranges")
+    old = F.col("doc")[text].cast("string")
+    rows = rows.join(found, "key").withColumn("units", F.when(F.col("ranges").isNotNull(), _lines(old)))
+    begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get("ranges", j - 1)["hi"] + 1)
+    gaps = F.transform("ranges", lambda r, j: F.slice("units", begin(j) + 1, r["lo"] - begin(j)))
+    tail_from = F.element_at("ranges", -1)["hi"] + 1
+    tail = F.slice("units", tail_from + 1, F.greatest(F.size("units") - tail_from, F.lit(0)))
+    kept = F.when(F.col("ranges").isNull(), old).otherwise(F.array_join(F.concat(F.flatten(gaps), tail), ""))
+    removed = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0).cast("long"))
+    columns = [kept.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c not in into]
+    return rows.select(*columns, F.col("n_lines").alias(into[0]), removed.alias(into[1]))

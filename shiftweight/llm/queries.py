@@ -52,24 +52,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+#: By definition, with whole strings: every run of lines that weighs 12 is looked up among all runs of the corpus.
 OP4_SQL = r"""
-WITH u AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(\n)([^\n])', '\1' || chr(1) || '\2', 'g'), '([.!?]\s)([^\s' || chr(1) || '])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS us FROM documents),
-l AS (SELECT doc_id, unnest(generate_series(0, len(us) - 1)) AS i, unnest(us) AS raw FROM u),
-h AS (SELECT doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM l),
-x AS (SELECT doc_id, i, raw, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h, length(t) - length(replace(t, ' ', '')) + 1 AS w FROM h),
-c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS before FROM x),
-e AS (SELECT a.doc_id, a.i, list(b.h ORDER BY b.i) AS hs, max(b.before + b.w) - any_value(a.before) AS words FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 12 AND b.before - a.before < 12 GROUP BY a.doc_id, a.i),
-b AS (SELECT c.doc_id, c.i, c.w, CASE WHEN e.words >= 12 THEN list_reduce(list_prepend(0::BIGINT, e.hs), lambda p, q: (p * 31 + q) % 36028797018963913) END AS f FROM c JOIN e USING (doc_id, i)),
-n AS (SELECT *, coalesce(f, 4611686018427387903) AS g FROM b),
-s AS (SELECT *, coalesce(lag(g, 1) OVER d, 4611686018427387903) AS l1, coalesce(lag(g, 2) OVER d, 4611686018427387903) AS l2, coalesce(lead(g, 1) OVER d, 4611686018427387903) AS r1, coalesce(lead(g, 2) OVER d, 4611686018427387903) AS r2 FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-p AS (SELECT doc_id, i, f FROM s WHERE f IS NOT NULL AND (w >= 12 OR (f <= l2 AND f <= l1) OR (f <= l1 AND f < r1) OR (f < r1 AND f < r2))),
-m AS (SELECT doc_id, i, first_value(doc_id) OVER o AS src, first_value(i) OVER o AS si FROM p WINDOW o AS (PARTITION BY f ORDER BY doc_id, i)),
-a AS (SELECT DISTINCT doc_id, src, i - si AS shift FROM m WHERE doc_id <> src OR i <> si),
-q AS (SELECT a.doc_id, a.src, a.shift, y.i, y.w, y.i - row_number() OVER (PARTITION BY a.doc_id, a.src, a.shift ORDER BY y.i) AS run FROM a JOIN x y ON y.doc_id = a.doc_id JOIN x z ON z.doc_id = a.src AND z.i = y.i - a.shift AND z.h = y.h),
-r AS (SELECT doc_id, min(i) AS lo, max(i) AS hi FROM q GROUP BY doc_id, src, shift, run HAVING sum(w) >= 12),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS i FROM r),
-k AS (SELECT x.doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed, coalesce(string_agg(x.raw, '' ORDER BY x.i) FILTER (gone.i IS NULL), '') AS kept, count(*) AS n FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
-SELECT d.doc_id, CASE WHEN d.text = '' OR d.text IS NULL THEN 0 ELSE k.n END::BIGINT AS n_lines, k.n_removed::BIGINT AS n_removed, strlen(k.kept)::BIGINT AS kept_bytes, md5(k.kept) AS kept_md5 FROM documents d JOIN k USING (doc_id)
+WITH m AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, chr(10), chr(10) || chr(31)), '. ', '. ' || chr(31)), '! ', '! ' || chr(31)), '? ', '? ' || chr(31)), '。', '。' || chr(31)), '！', '！' || chr(31)), '？', '？' || chr(31)) AS t FROM documents),
+u AS (SELECT doc_id, list_filter(string_split(replace(replace(t, chr(31) || chr(10), chr(10)), chr(31) || chr(13) || chr(10), chr(13) || chr(10)), chr(31)), lambda s: s <> '') AS us FROM m),
+l AS (SELECT doc_id, unnest(generate_series(1, len(us))) AS i, unnest(us) AS raw FROM u WHERE len(us) > 0),
+x AS (SELECT doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS s, (strlen(trim(raw, ' ' || chr(9) || chr(10) || chr(13))) + 5) // 6 AS w FROM l),
+r AS (SELECT a.doc_id, a.i AS lo, b.i AS hi, string_agg(c.s, chr(10) ORDER BY c.i) AS run FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 11 JOIN x c ON c.doc_id = a.doc_id AND c.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3 HAVING sum(c.w) >= 12),
+f AS (SELECT *, min((doc_id, lo)) OVER (PARTITION BY run) AS first FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS i FROM f WHERE (doc_id, lo) > first),
+k AS (SELECT x.doc_id, count(*) AS n, count(gone.i) AS removed, coalesce(string_agg(x.raw, '' ORDER BY x.i) FILTER (gone.i IS NULL), '') AS kept FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(removed, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN strlen(coalesce(kept, ''))::BIGINT END AS kept_bytes, CASE WHEN text IS NOT NULL THEN md5(coalesce(kept, '')) END AS kept_md5
+FROM documents LEFT JOIN k USING (doc_id)
 """
 
 

@@ -160,28 +160,89 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).isEmpty()
 
 
-def test_line_dedup_finds_every_run(spark):
-    """Random documents of few lines against brute force: fragments stand alone before the passages that hold them."""
-    r = random.Random(8)
-    pool = [" ".join(f"{c}{k}" for k in range(n)) + "." for c, n in zip("abcdefgh", (20, 8, 20, 4, 15, 5, 3, 11), strict=True)]
-    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.7 else f"own {i} {k}." for k in range(r.randint(1, 9)))) for i in range(40)]
-    rows += [(40, "\n".join(pool[:3])), (41, "\n".join(pool[:3])), (42, "x.\n" * 40), (43, None), (44, ""), (45, "\n".join(pool))]
-    seen, want = set(), {}
-    for i, t in rows:
-        lines, gone = (t or "").split("\n"), set()
-        lines = lines[:-1] if lines[-1] == "" else lines
+def lines_of(text):
+    """Lines by a scan over characters."""
+    out, begin = [], 0
+    for i in range(1, len(text)):
+        behind = text[i - 1] in "\n。！？" or (i > 1 and text[i - 1] == " " and text[i - 2] in ".!?")
+        if behind and not text.startswith(("\n", "\r\n"), i):
+            out.append(text[begin:i])
+            begin = i
+    return out + [text[begin:]] if text else []
+
+
+def every_run(rows, least=12):
+    """doc_id -> (number of lines, number deleted, text left): all runs are compared as strings."""
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines, gone = lines_of(t or ""), set()
+        bare = [x.strip(" \t\r\n") for x in lines]
         for lo in range(len(lines)):
-            for hi in range(lo, len(lines)):
-                run = tuple(lines[lo : hi + 1])
-                if sum(len(x.split(" ")) for x in run) >= 12:
+            for hi in range(lo, min(lo + least, len(lines))):
+                run = tuple(bare[lo : hi + 1])
+                if sum(-(-len(x.encode()) // 6) for x in run) >= least:
                     if run in seen:
                         gone.update(range(lo, hi + 1))
                     seen.add(run)
-        kept = [x for k, x in enumerate(lines) if k not in gone]
-        want[i] = (len(gone), kept)
-    whole = {x.doc_id: x for x in linededup.dedup_lines(frame(spark, rows), window=None).collect()}
-    assert {i: (x.n_removed, [] if not x.text else x.text.removesuffix("\n").split("\n")) for i, x in whole.items()} == want
-    assert whole[43].text is None and whole[44].text == ""
+        out[i] = (len(lines), len(gone), t if t is None else "".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def same_lines(spark, rows):
+    found = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in linededup.dedup_lines(frame(spark, rows)).collect()}
+    want = every_run(rows)
+    assert found == want
+    return found
+
+
+def test_line_dedup_finds_every_run(spark):
+    """Random documents of few lines against brute force: fragments stand alone before the passages that hold them."""
+    r = random.Random(8)
+    pool = [" ".join(f"{c}word{k}" for k in range(n)) + "." for c, n in zip("abcdefgh", (20, 8, 20, 4, 15, 5, 3, 11), strict=True)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.7 else f"own {i} {k}." for k in range(r.randint(1, 9)))) for i in range(40)]
+    rows += [(40, "\n".join(pool[:3])), (41, "\n".join(pool[:3])), (42, "x.\n" * 40), (43, None), (44, ""), (45, "\n".join(pool)), (None, pool[1] + "\n" + pool[4])]
+    same_lines(spark, rows)
+
+
+def test_line_dedup_of_short_lines_spaces_and_ties(spark):
+    """Lines lighter than a window, blank lines, equal lines in a row, sentences without spaces, cut marks in texts."""
+    r = random.Random(9)
+    ends = [". ", "! ", "? ", "\n", "\r\n", "\n\n", "。", "！", " ", "\n \n", ".", "  ", "\x1f", "\r\n\r\n", "\t\n"]
+    words = ["a", "ab", "abcdefg", "abcdefghijklmnop", "語言語言", "é" * 5, "x" * 60, ""]
+    rows = [(i, "".join(r.choice(words) + r.choice(ends) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(100, "z. " * 50), (101, "z. " * 50), (102, "\n \n" * 30), (103, "\n \n" * 30), (104, " lead. tail"), (105, "天" * 30 + "。" + "地" * 30 + "。"), (106, "天" * 30 + "。" + "人" * 30 + "。")]
+    found = same_lines(spark, rows)
+    assert found[102][1] == found[103][1] == 0 and found[106][2] == "人" * 30 + "。" and found[101][2] == ""
+
+
+def test_line_dedup_where_pairs_of_lines_stood_before(spark):
+    """A passage of 96 words whose pairs of lines stand in eleven earlier documents: the second whole copy goes whole."""
+    passage = [" ".join(f"w{k}x{j}" for j in range(8)) + "." for k in range(12)]
+    rows = [(k, f"only {k}.\n{passage[k]}\n{passage[k + 1]}\nlast {k}.") for k in range(11)]
+    rows += [(50, "one.\n" + "\n".join(passage)), (51, "two.\n" + "\n".join(passage) + "\nend.")]
+    assert same_lines(spark, rows)[51][2] == "two.\nend."
+
+
+def test_line_dedup_of_a_frequent_line_and_a_long_text(spark):
+    """A line of half of all documents, and one text of 60,000 lines that repeats another."""
+    hot = " ".join(f"common{k}" for k in range(15)) + "."
+    rows = [(i, f"document {i}.\n{hot}\nsome own words {i}.") for i in range(3000)]
+    long = "\n".join(f"line {k} has its number {k * 7}." for k in range(60000))
+    out = {x.doc_id: x for x in linededup.dedup_lines(frame(spark, [*rows, (5000, long), (5001, "new.\n" + long)])).collect()}
+    assert out[0].text == rows[0][1] and all(out[i].text == f"document {i}.\nsome own words {i}." for i in range(1, 3000))
+    assert out[5000].text == long and out[5001].text == "new.\n"
+
+
+def test_line_dedup_keeps_columns(spark):
+    """Names used inside, repeated rows with and without doc_id, and counts under other names."""
+    t = " ".join(f"t{k}" for k in range(40)) + "."
+    rows = [(1, t, 7, "k", 1), (1, t, 7, "k", 1), (None, t, 8, "m", 2), (None, t, 9, "m", 2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_removed int, key string, ranges int")
+    docs = docs.withColumns({c: F.lit(c) for c in ("doc", "th", "units", "n_lines", "_key", "_units", "_starts", "_ranges", "h", "row")})
+    out = linededup.dedup_lines(docs, into=("lines out", "lines gone"))
+    assert out.columns == [*docs.columns, "lines out", "lines gone"]
+    assert sorted((x.doc_id or 0, x.text, x.n_removed, x["lines gone"], x["_key"]) for x in out.collect()) == [(0, t, 8, 0, "_key"), (0, t, 9, 0, "_key"), (1, "", 7, 1, "_key"), (1, "", 7, 1, "_key")]
+    assert set(linededup.dedup_lines(docs).columns) == set(docs.columns)
 
 
 @pytest.mark.parametrize("shingle,percent", [(4, 85), (5, 80), (1, 60)])

@@ -82,13 +82,14 @@ def unit_hash(*columns: Column) -> Column:
 def bounded_sample(rows: DataFrame, by: str, most: int, key: str) -> DataFrame:
     """About ``most`` rows of each value of ``by`` (all, where there are fewer), chosen by hash of ``key``.
 
-    Used to fit classifiers only; ``by`` must have few values.
+    Used to fit classifiers only; ``by`` must have few values. A key that repeats cannot add more than a second ``most`` of
+    rows for each value, whichever these are.
     """
     counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
     share = F.lit(1.0)
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.filter(unit_hash(F.col(key)) < share)
+    return rows.filter(unit_hash(F.col(key)) < share).limit(2 * most * max(len(counts), 1))
 
 
 def collect_features(sample: DataFrame, target: str, features, dims: int) -> tuple[np.ndarray, list]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass works on (a longer single text makes a pass of its own).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = np.uint64(0xD1342543DE82EF95)

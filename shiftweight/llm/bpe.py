@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from . import _text
 
 _NEVER = np.int64(1 << 40)
-#: Words remembered per task; beyond it the memory starts anew, results do not change.
-MEMORY = 200_000
+#: Bytes of words, ids and decoded texts remembered per task; beyond it the memory starts anew, results do not change.
+MEMORY = 1 << 25
+#: Bytes of text that are encoded together: their new words share merge rounds.
+BATCH = 1 << 21
 
 
 def byte_letters() -> list[str]:
@@ -166,6 +168,7 @@ class Coder:
         self.odd = vocabulary.odd
         self.split = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text; special tokens are matched in the raw text and stay whole."""
@@ -184,8 +187,9 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not yet known, in one batch."""
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY:
             self.known.clear()
+            self.held = 0
         new = [w for w in words if w not in self.known]
         plain = [w for w in new if w not in self.v.special]
         for w, ids in zip(plain, encode_words([w.encode() for w in plain], self.v), strict=True):
@@ -194,6 +198,7 @@ class Coder:
             if w in self.v.special:
                 ids = np.array([self.v.special[w]])
                 self.known[w] = (ids.astype("<u4").tobytes(), self.decode(ids))
+        self.held += sum(len(w) + sum(map(len, self.known[w])) + 200 for w in new)
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens side by side with a space between, as a vocabulary without decoder rules asks."""
@@ -213,7 +218,7 @@ def _rows(vocabulary, ids: bool):
         coder = Coder(vocabulary.value)
         for batch in batches:
             _, off = _text.buffers(batch.column("text"))
-            for lo, hi in _text.chunks(off):
+            for lo, hi in _text.chunks(off, BATCH):
                 part = batch.slice(lo, hi - lo)
                 coded, sums, decoded = [], [], []
                 for raw, text in coder.encode(["" if t is None else t for t in part.column("text").to_pylist()]):

@@ -1,10 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters: every word of a lexicon mined from labelled rows votes *toxic* where it occurs; pattern voters vote on how many
-and how dense such words are, on shouting and on exclamation marks, and *clean* where no lexicon word occurs. A
-generative label model (EM over rows with and without label) estimates each voter's rates in both classes;
-voters that agree more than these rates explain are correlated and share their weight. A linear classifier is then
-trained on the posterior labels, over the votes and counts, and scores every document.
+Voters: every word of a lexicon mined from labelled rows votes *toxic* where it occurs (the strongest each for itself, the
+rest pooled); pattern voters vote on how many and how dense such words are, on shouting and on exclamation
+marks, and *clean* where no lexicon word occurs. A generative label model estimates each voter's rates in both classes
+by EM over all documents: equal rows of votes are counted first, then each round sums posteriors in Spark. Voters that
+agree more than these rates explain are correlated and share their weight. Labelled rows are a prior of the rates
+(their part is ``GOLD``), which fixes the direction of the classes; no posterior takes over a label. A linear
+classifier is trained on the posterior labels of a bounded sample, over the votes and counts, and scores every
+document; slope and shift of its scores are set on the labelled rows, so that 0.5 is an even chance.
 """
 
 from __future__ import annotations
@@ -21,29 +24,56 @@ from pyspark.sql import types as T
 
 from . import _text
 from ._features import adam, bounded_sample, sigmoid, unit_hash
+from ._store import written
 
-#: Lexicon words at most; a fixed bound of what is broadcast and of the number of voters.
+#: Lexicon words that are voters of their own; the others that qualify vote in ``POOLS`` voters by hash.
 LEXICON = 512
+POOLS = 16
+#: Lexicon words at most (0.5 MB); of more, those of the best ratio.
+MOST_WORDS = 1 << 16
 #: Likelihood ratio (G) that a lexicon word must reach; 20 is a chance of about one in 100,000.
 LEAST_RATIO = 20.0
+#: Part of the voters' rates that labelled rows have, whatever their number; all documents have the other part.
+GOLD = 0.5
+ROUNDS = 8
 PATTERNS = ["two words", "four words", "one in 50", "one in 200", "shouting", "exclamations"]
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    hashes: np.ndarray  # sorted word hashes
+    voters: np.ndarray  # voter of each word
+
+    @property
+    def size(self) -> int:
+        """Voters of words."""
+        return int(self.voters.max()) + 1 if len(self.voters) else 0
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    lexicon: np.ndarray  # sorted word hashes
+    lexicon: Lexicon
     weights: np.ndarray
     bias: float
     rates: np.ndarray  # (voters, 2): vote probability in clean and toxic rows, as estimated
 
 
-def votes(data: np.ndarray, off: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Votes (n, lexicon + patterns + 1) of 0 and 1 for each row, and counts (n, 2) for the classifier."""
+def lexicon_of(words: np.ndarray) -> Lexicon:
+    """Voters for word hashes, the best word first: one for each of the first ``LEXICON``, pools for the rest."""
+    voters = np.arange(len(words))
+    rest = voters >= LEXICON
+    voters[rest] = LEXICON + (words[rest] >> np.uint64(17)).astype(np.int64) % POOLS
+    order = np.argsort(words)
+    return Lexicon(words[order], voters[order])
+
+
+def votes(data: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Votes (n, word voters + patterns + 1) of 0 and 1 for each row, and counts (n, 2) for the classifier."""
     w = _text.words(data, off, _text.WORD_ALNUM)
-    n, row, m = len(off) - 1, w.row, len(lexicon)
-    at = np.searchsorted(lexicon, w.hashes) if m else np.zeros(len(row), np.int64)
-    hit = lexicon[np.minimum(at, m - 1)] == w.hashes if m else np.zeros(len(row), bool)
-    words = np.bincount(row[hit] * max(m, 1) + at[hit], minlength=n * max(m, 1)).reshape(n, -1)[:, :m]
+    n, row, m, known = len(off) - 1, w.row, lexicon.size, lexicon.hashes
+    at = np.searchsorted(known, w.hashes)
+    hit = known[np.minimum(at, len(known) - 1)] == w.hashes if m else np.zeros(len(row), bool)
+    words = np.bincount(row[hit] * max(m, 1) + (lexicon.voters[at[hit]] if m else 0), minlength=n * max(m, 1)).reshape(n, -1)[:, :m]
     total, kinds, size = words.sum(axis=1), (words > 0).sum(axis=1), np.maximum(w.counts, 1)
     raw = data[off[0] : off[-1]]
     of = np.repeat(np.arange(n), np.diff(off))
@@ -57,37 +87,72 @@ def votes(data: np.ndarray, off: np.ndarray, lexicon: np.ndarray) -> tuple[np.nd
     return out, np.stack([np.log1p(kinds), np.minimum(10.0, 100.0 * total / size)], axis=1).astype(np.float32)
 
 
-def label_model(v: np.ndarray, known: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior P(toxic) of each row and the voters' rates in both classes.
+@dataclass(frozen=True)
+class LabelModel:
+    """Voters' rates (m, 2) in clean and toxic rows, the part of its weight that each keeps, and P(toxic)."""
+
+    rates: np.ndarray
+    share: np.ndarray
+    prior: float
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        on, off = np.log(self.rates[:, 1] / self.rates[:, 0]), np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0]))
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + v @ (self.share * on) + (1 - v) @ (self.share * off))
+
+
+def class_sums(v: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """(2, 1 + m): number of rows and votes of each voter in clean and toxic rows, for rows that count n and are toxic with p."""
+    return np.stack([np.r_[q.sum(), q @ v] for q in (n * (1 - p), n * p)])
+
+
+def pair_sums(v: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """(2, m, m): rows in which both voters vote, by class."""
+    return np.stack([(v * q[:, None]).T @ v for q in (n * (1 - p), n * p)])
+
+
+def rates_of(sums: np.ndarray) -> np.ndarray:
+    """Rates from class sums, smoothed towards the voter's overall rate by one row."""
+    overall = sums[:, 1:].sum(axis=0) / max(sums[:, 0].sum(), 1e-9)
+    return np.clip(np.stack([(s[1:] + overall) / (s[0] + 1) for s in sums], axis=1), 1e-5, 1 - 1e-5)
 
-    ``known`` is 1, 0 or NaN. EM with rates smoothed towards the voter's overall rate; then the agreement of
-    voters beyond what the classes explain shrinks the weight of each.
+
+def shares_of(sums: np.ndarray, pairs: np.ndarray, least: float = 0.2) -> np.ndarray:
+    """Part of its weight that each voter keeps: one over one plus its correlations inside the classes beyond ``least``."""
+    extra = np.zeros(pairs.shape[1:])
+    for s, both in zip(sums, pairs, strict=True):
+        r = s[1:] / max(s[0], 1e-9)
+        spread = np.sqrt(np.maximum(r * (1 - r), 1e-9))
+        extra = np.maximum(extra, (both / max(s[0], 1e-9) - np.outer(r, r)) / np.outer(spread, spread))
+    np.fill_diagonal(extra, 0)
+    return 1 / (1 + np.where(extra > least, extra, 0).sum(axis=1))
+
+
+def estimate(gold: np.ndarray, sum_classes, sum_pairs, rounds: int = ROUNDS) -> LabelModel:
+    """EM over rows that two functions of a model sum: ``sum_classes`` (class sums), ``sum_pairs`` (pair sums).
+
+    ``gold`` are the class sums of labelled rows, from which EM starts and whose rates have the part ``GOLD`` in every
+    round. Correlations are measured once, after half of the rounds.
     """
-    n, m = v.shape
-    seen = ~np.isnan(known)
-    prior = np.clip(np.nanmean(known) if seen.any() else 0.1, 0.01, 0.99)
-    post = np.where(seen, np.nan_to_num(known), prior)
-    overall = v.mean(axis=0)
-    share = np.ones(m)
-    rates = np.stack([overall, overall], axis=1)
-    for step in range(rounds):
-        for c, p in enumerate((1 - post, post)):
-            rates[:, c] = (p @ v + overall) / (p.sum() + 1)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        if step == rounds // 2:  # correlations, once the rates have settled
-            extra = np.zeros((m, m))
-            for c, p in enumerate((1 - post, post)):
-                d = (v - rates[:, c]) * np.sqrt(p / max(p.sum(), 1e-9))[:, None]
-                scale = np.sqrt(np.maximum((d * d).sum(axis=0), 1e-9))
-                extra = np.maximum(extra, (d.T @ d) / np.outer(scale, scale))
-            np.fill_diagonal(extra, 0)
-            share = 1 / (1 + np.where(extra > 0.2, extra, 0).sum(axis=1))
-        on, off = np.log(rates[:, 1] / rates[:, 0]), np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        z = np.log(prior / (1 - prior)) + v @ (share * on) + (1 - v) @ (share * off)
-        post = sigmoid(z)
-        post = np.where(seen, 0.1 * post + 0.9 * np.nan_to_num(known), post)
-        prior = np.clip(post.mean(), 0.01, 0.99)
-    return post, rates
+    mix = lambda new, old: (1 - GOLD) * new + GOLD * old
+    base, known = float(np.clip(gold[1, 0] / gold[:, 0].sum(), 0.01, 0.99)), rates_of(gold)
+    model = LabelModel(known, np.ones(len(known)), base)
+    for i in range(rounds):
+        sums = sum_classes(model)
+        share = shares_of(sums, sum_pairs(model)) if i == rounds // 2 else model.share
+        model = LabelModel(mix(rates_of(sums), known), share, float(np.clip(mix(sums[1, 0] / sums[:, 0].sum(), base), 0.01, 0.99)))
+    return model
+
+
+def calibration(z: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make sigmoid(slope * z + shift) the chance of label 1 among labelled rows; two numbers, the order of scores stays."""
+    weight = weight / weight.sum()
+
+    def gradient(p: list[np.ndarray]) -> list[np.ndarray]:
+        error = weight * (sigmoid(np.exp(p[0]) * z + p[1]) - gold)
+        return [np.array([(error * z).sum() * np.exp(p[0][0])]) + 1e-3 * p[0], np.array([error.sum()]) + 1e-3 * p[1]]
+
+    log_slope, shift = adam(gradient, [np.zeros(1), np.zeros(1)], 500, 0.05)
+    return float(np.exp(log_slope[0])), float(shift[0])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +167,42 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column("label").take(pa.array(row[new] + lo))], ["h", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most_per_class: int = 8000, most_unlabelled: int = 2000) -> ToxicityModel:
-    """Mine the lexicon, fit the label model and train the classifier.
+def _summed(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
+    """Class or pair sums over counted rows of votes (v packed, n): one sparse row of numbers per task, added up by Spark."""
+    shared, m = patterns.sparkSession.sparkContext.broadcast(model), len(model.rates)
+    shape = (2, m, m) if pairs else (2, 1 + m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in filter(lambda b: b.num_rows, batches):
+            packed = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            v, n = np.unpackbits(packed, axis=1)[:, :m].astype(np.float64), np.asarray(batch.column("n"), np.float64)
+            total += (pair_sums if pairs else class_sums)(v, n, shared.value.posterior(v))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["i", "x"])
+
+    out = np.zeros(int(np.prod(shape)))
+    for r in patterns.select("v", "n").mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # at most 2 m^2
+        out[r.i] = r.x
+    return out.reshape(shape)
 
-    ``labels`` has (doc_id, label 0/1); about ``most_per_class`` labelled rows of each class and ``most_unlabelled``
-    documents without regard to labels are used, chosen by hash of doc_id, with whole texts. A word enters the lexicon if enough rows have it
-    (five, or a tenth of the toxic rows if that is less, but two at least), most of them toxic and beyond chance. Null labels teach
-    nothing. Without toxic or without clean rows every score is the same.
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most_per_class: int = 8000, most_others: int = 16000) -> ToxicityModel:
+    """Mine the lexicon, estimate the label model over all documents and train the classifier.
+
+    ``labels`` has (doc_id, label 0/1). About ``most_per_class`` labelled rows of each class, chosen by hash of doc_id and
+    with whole texts, make the lexicon and the prior of the rates; they and about ``most_others`` documents without
+    regard to labels train the classifier on what the label model says of them. A word enters the lexicon if enough
+    rows have it (five, or a tenth of the toxic rows if that is less, but two at least), most of them toxic and beyond
+    chance. Null labels teach nothing; a doc_id with several labels has any of them. Without toxic or without clean
+    documents every score is the same.
     """
     spark = docs.sparkSession
     rated = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     share = {r.label: r["count"] for r in rated.groupBy("label").count().collect()}
+    constant = lambda bias: ToxicityModel(Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(len(PATTERNS) + 3, np.float32), bias, np.zeros((0, 2)))
     if len(share) < 2:
-        always = 20.0 if 1 in share else -20.0
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(len(PATTERNS) + 3, np.float32), always, np.zeros((0, 2)))
+        return constant(20.0 if 1 in share else -20.0)
     chosen = F.broadcast(bounded_sample(rated, "label", most_per_class, "doc_id"))  # at most about 2 * most_per_class rows
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = source.join(chosen, "doc_id")
@@ -129,37 +216,44 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     base = sizes[1] / (sizes[0] + sizes[1])
     part = lambda k, p: F.when(k > 0, k * F.ln(k / (F.col("n") * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("t"), base) + part(F.col("n") - F.col("t"), 1 - base))
-    mined = mined.filter((F.col("t") >= support) & (t >= 3 * c) & (ratio >= LEAST_RATIO)).orderBy(((t + 0.1) / (t + c + 1) * F.log1p("t")).desc(), "h").limit(LEXICON)
-    lexicon = np.sort(mined.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(lexicon)
+    mined = mined.filter((F.col("t") >= support) & (t >= 3 * c) & (ratio >= LEAST_RATIO)).orderBy(((t + 0.1) / (t + c + 1) * F.log1p("t")).desc(), "h").limit(MOST_WORDS)
+    lexicon = lexicon_of(mined.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    shared, m = spark.sparkContext.broadcast(lexicon), lexicon.size + len(PATTERNS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = _text.buffers(batch.column("text"))
             for lo, hi in _text.chunks(off):
                 v, counts = votes(data, off[lo : hi + 1], shared.value)
-                packed = [a.tobytes() + b.tobytes() for a, b in zip(np.packbits(v.astype(bool), axis=1), counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(packed, pa.binary())], ["label", "v"])
-
-    found = known.select("text", "label").mapInArrow(run, "label int, v binary").toPandas()
-    rest = source.filter(unit_hash(F.col("doc_id")) < F.lit(min(1.0, most_unlabelled / max(source.count(), 1)))).select("text", F.lit(None).cast("int").alias("label"))
-    found = pd.concat([found, rest.mapInArrow(run, "label int, v binary").toPandas()], ignore_index=True)
-    m = len(lexicon) + len(PATTERNS) + 1
-    raw = np.frombuffer(b"".join(found["v"]), np.uint8).reshape(len(found), -1)
-    v = np.unpackbits(np.ascontiguousarray(raw[:, :-8]), axis=1)[:, :m].astype(np.float32)
-    counts = np.ascontiguousarray(raw[:, -8:]).view(np.float32)
+                packed = pa.array([r.tobytes() for r in np.packbits(v.astype(bool), axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), packed, pa.array([r.tobytes() for r in counts], pa.binary())], ["label", "v", "c"])
+
+    voted = lambda df: df.select("text", "label").mapInArrow(run, "label int, v binary, c binary")
+    unlabelled = source.select("text", F.lit(None).cast("int").alias("label"))
+    patterns = written(voted(unlabelled).groupBy("v").agg(F.count("*").alias("n")))
+    others = unlabelled if (n := patterns.agg(F.sum("n")).first()[0] or 0) <= most_others else source.filter(unit_hash(F.col("doc_id"), F.col("text")) < most_others / n).select("text", F.lit(None).cast("int").alias("label")).limit(2 * most_others)
+    found = pd.concat([voted(known.limit(4 * most_per_class)).toPandas(), voted(others).toPandas()], ignore_index=True)
+    if found["label"].nunique() < 2:
+        return constant(20.0 if (found["label"] == 1).any() else -20.0)
+    unpack = lambda column, kind: np.frombuffer(b"".join(found[column]), kind).reshape(len(found), -1)
+    v = np.unpackbits(unpack("v", np.uint8), axis=1)[:, :m].astype(np.float32)
     gold = found["label"].to_numpy(np.float64, na_value=np.nan)
-    post, rates = label_model(v, gold)
-    weight = np.where(gold == 1, 1 / used[1], np.where(gold == 0, 1 / used[0], 1.0)).astype(np.float32)
-    weight /= weight.sum()
-    x = np.hstack([v, counts])
+    weight = np.where(gold == 1, 1 / used[1], np.where(gold == 0, 1 / used[0], max(n / most_others, 1.0)))
+    rated_rows = ~np.isnan(gold)
+    # Labelled rows count as in the corpus, but no more than there are of them.
+    scale = rated_rows.sum() / max(weight[rated_rows].sum(), 1e-9)
+    model = estimate(class_sums(v[rated_rows], weight[rated_rows] * scale, gold[rated_rows]), lambda at: _summed(patterns, at, False), lambda at: _summed(patterns, at, True))
+    post = model.posterior(v)
+    weight = (weight / weight.sum()).astype(np.float32)
+    x = np.hstack([v, unpack("c", np.float32)])
 
     def gradient(p: list[np.ndarray]) -> list[np.ndarray]:
         error = weight * (sigmoid(x @ p[0] + p[1]) - post)
         return [x.T @ error.astype(np.float32) + 1e-4 * p[0], np.array([error.sum()])]
 
     w, b = adam(gradient, [np.zeros(x.shape[1], np.float32), np.zeros(1)], 300, 0.05)
-    return ToxicityModel(lexicon, w, float(b[0]), rates)
+    slope, shift = calibration(x[rated_rows] @ w + b[0], gold[rated_rows], weight[rated_rows])
+    return ToxicityModel(lexicon, (slope * w).astype(np.float32), float(slope * b[0] + shift), model.rates)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
@@ -168,12 +262,12 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "t
     Null and empty texts have no lexicon word and are scored as such. Only the text is used. A map over partitions.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text).cast("string").alias("_scored"))
+    source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("scored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, off = _text.buffers(batch.column("_scored"))
+            data, off = _text.buffers(batch.column(batch.num_columns - 1))
             out = np.zeros(batch.num_rows)
             for lo, hi in _text.chunks(off):
                 v, counts = votes(data, off[lo : hi + 1], m.lexicon)

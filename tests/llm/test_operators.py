@@ -381,7 +381,7 @@ def test_toxicity(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows[:250]] + [(None, 1), (7, None)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
-    assert 3 <= len(model.lexicon) <= toxicity.LEXICON
+    assert 3 <= len(model.lexicon.hashes) <= toxicity.MOST_WORDS
     got = {x.doc_id: x.score for x in toxicity.score(docs, model, ["doc_id"]).collect()}
     y, s = np.array([y for _, _, y in rows[250:]]), np.array([got[i] for i, _, _ in rows[250:]])
     assert auc(y, s) > 0.97 and ((s >= 0.5) == y).mean() > 0.95 and got[900] < 0.5 and got[901] < 0.5 and len(got) == 402
@@ -389,6 +389,52 @@ def test_toxicity(spark):
     assert max(x.score for x in toxicity.score(docs, one_class, ["doc_id"]).collect()) < 0.5
 
 
+def planted_votes(r, n=20000):
+    """Class and votes: five independent voters of known rates, and three copies of the first one."""
+    rates = np.array([[0.02, 0.6], [0.05, 0.5], [0.1, 0.7], [0.2, 0.45], [0.01, 0.3]])
+    y = r.random(n) < 0.2
+    v = (r.random((n, 5)) < rates[:, 1] * y[:, None] + rates[:, 0] * ~y[:, None]).astype(float)
+    return y, rates, np.hstack([v, np.repeat(v[:, :1], 3, axis=1)])
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    """EM from ten labelled rows of a class recovers planted rates; copies of a voter share its weight."""
+    y, rates, v = planted_votes(np.random.default_rng(4))
+    some = np.r_[np.flatnonzero(y)[:10], np.flatnonzero(~y)[:40]]
+    gold, ones = toxicity.class_sums(v[some], np.ones(len(some)), y[some].astype(float)), np.ones(len(v))
+    model = toxicity.estimate(gold, lambda m: toxicity.class_sums(v, ones, m.posterior(v)), lambda m: toxicity.pair_sums(v, ones, m.posterior(v)), rounds=20)
+    start = np.abs(toxicity.rates_of(gold)[:5] - rates).max()
+    assert np.abs(model.rates[:5] - rates).max() < 0.75 * start
+    assert model.share[0] < 0.3 and (model.share[5:] < 0.3).all() and (model.share[1:5] > 0.7).all()
+    assert auc(y.astype(int), model.posterior(v)) > 0.8
+    # Gradual counting: equal rows counted once give the same sums.
+    rows, n = np.unique(v, axis=0, return_counts=True)
+    assert np.allclose(toxicity.class_sums(rows, n, model.posterior(rows)), toxicity.class_sums(v, ones, model.posterior(v)))
+
+
+def test_label_model_sums_in_spark(spark):
+    y, _, v = planted_votes(np.random.default_rng(5), 500)
+    packed = [(np.packbits(row.astype(bool)).tobytes(), 1) for row in v]
+    table = spark.createDataFrame(packed, "v binary, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+    model = toxicity.LabelModel(np.full((8, 2), (0.1, 0.4)), np.ones(8), 0.3)
+    ones, p = np.ones(len(v)), model.posterior(v)
+    assert np.allclose(toxicity._summed(table, model, False), toxicity.class_sums(v, ones, p))
+    assert np.allclose(toxicity._summed(table, model, True), toxicity.pair_sums(v, ones, p))
+
+
+def test_toxicity_pools_words_and_keeps_odd_tables(spark):
+    """Words behind the first 512 vote in pools; empty tables, repeated rows and clashing names are no trouble."""
+    words = np.random.default_rng(1).integers(1, 1 << 63, 2000).astype(np.uint64)
+    lexicon = toxicity.lexicon_of(words)
+    assert lexicon.size <= toxicity.LEXICON + toxicity.POOLS and sorted(set(lexicon.voters)) == list(range(lexicon.size))
+    docs = frame(spark, [(i, "vile words here" if i % 3 == 0 else "the cat sat down") for i in range(60)] + [(3, "vile words here")] * 3 + [(None, None), (61, "")])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(50)], "doc_id bigint, toxic int"))
+    out = toxicity.score(docs, model, docs.columns, into="a score").collect()
+    assert len(out) == 65 and all((x["a score"] >= 0.5) == ("vile" in (x.text or "")) and x.key == "key" for x in out)
+    none = toxicity.fit(docs.limit(0), spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int"))
+    assert toxicity.score(docs.limit(0), none, ["doc_id"]).count() == 0 and toxicity.score(docs, none, ["doc_id"]).count() == 65
+
+
 def test_warc(spark, tmp_path):
     pages = [(0, "http://a.example/ä b", "<p>x</p>"), (1, None, None), (2, "http://b.example/\r\nX: y", ""), (3, "u", "<p>x</p>"), (4, "u", "é" * 70_000), (3, "u", "<p>x</p>"), (None, "n", "<p>x</p>"), (5, "z", "\r\n\r\n")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2)

@@ -4,25 +4,61 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The domain codes of the two dataset families and the spellings accepted for them.
-OFFICE_HOME = {"ar": "Ar", "art": "Ar", "cl": "Cl", "clipart": "Cl", "pr": "Pr", "product": "Pr", "rw": "Rw", "realworld": "Rw", "real": "Rw"}
-OFFICE_31 = {"a": "A", "amazon": "A", "d": "D", "dslr": "D", "w": "W", "webcam": "W"}
+# The domain codes of the two dataset families, and the spellings of Office-Home domains by code.
+OFFICE_HOME = ("Ar", "Cl", "Pr", "Rw")
+OFFICE_31 = ("A", "D", "W")
+OFFICE_HOME_NAMES = {"art": "Ar", "clipart": "Cl", "product": "Pr", "realworld": "Rw", "real": "Rw"}
 # The parts of a run id, short name by configuration key, in their order.
-RUN_ID_KEYS = {"dataset": "ds", "algorithm": "alg", "backbone": "bb", "split_mode": "sm", "adapt_split": "as", "eval_split": "es", "seed": "seed", "epochs": "ep", "batch_size": "bs", "lr": "lr"}
+RUN_ID_KEYS = {
+    "dataset": "ds",
+    "split_mode": "split",
+    "eval_split": "eval",
+    "adapt_split": "adapt",
+    "algorithm": "alg",
+    "backbone": "bb",
+    "seed": "seed",
+    "pretrained": "pt",
+    "replace_batchnorm_with_instancenorm": "in",
+    "optimizer": "opt",
+    "lr": "lr",
+    "weight_decay": "wd",
+    "batch_size": "bs",
+    "grad_accum_steps": "ga",
+    "epochs": "ep",
+    "dann_penalty_weight": "dann",
+    "grl_lambda": "grl",
+    "dann_featurizer_lr_mult": "fmult",
+    "dann_discriminator_lr_mult": "dmult",
+    "coral_penalty_weight": "coral",
+    "meiis_K": "K",
+    "meiis_tau": "tau",
+    "meiis_step": "iis",
+    "meiis_damp": "damp",
+    "meiis_ema": "ema",
+}
+# Fixed value: runs of characters that a run id replaces by one hyphen.
+RUN_ID_UNSAFE = r"[^a-zA-Z0-9_.=\\-]+"
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for item in table.items() for x in item])[key]
 
 
-def normalize_domain_code(raw: Column, table: dict[str, str] | None = None, strict: bool = True) -> Column:
-    """Canonical domain code; case, spaces and underscores do not matter. Unknown: an error, or null if not strict."""
-    found = _lookup(F.regexp_replace(F.lower(raw), r"[\s_\-]", ""), table or OFFICE_HOME)
+def normalize_domain_code(raw: Column, codes: tuple[str, ...] = OFFICE_HOME, names: dict[str, str] | None = None, strict: bool = True) -> Column:
+    """Canonical domain code of a code as it stands or of a name, in which case, spaces and underscores do not matter.
+
+    Without ``names``, those of Office-Home hold for its codes and none for others. Unknown: an error, or null if not strict.
+    """
+    names = names if names is not None else OFFICE_HOME_NAMES if codes == OFFICE_HOME else {}
+    found = F.when(raw.isin(*codes), raw)
+    if names:
+        found = found.otherwise(_lookup(F.translate(F.lower(raw), "_ ", ""), names))
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown domain "), F.coalesce(raw, F.lit("null")))).cast("string")) if strict else found
 
 
@@ -53,14 +89,22 @@ def run_hash(doc: Column, length: int = 10, ignore: tuple[str, ...] = ()) -> Col
     return F.left(F.sha1(canonical(doc).cast("binary")), F.lit(length))
 
 
-def run_id_of(config: dict) -> str:
-    """``k=v`` parts in fixed order, floats with six significant digits, then a hash of the whole configuration."""
+def _shown(value) -> str:
+    if isinstance(value, bool):
+        text = str(int(value))
+    elif isinstance(value, float):
+        text = f"{value:.6g}".replace("+", "") if value else "0"
+    else:
+        text = str(value)
+    return re.sub(RUN_ID_UNSAFE, "-", text.strip().replace(" ", ""))
 
-    def show(v) -> str:
-        text = str(int(v)) if isinstance(v, bool) else f"{v:.6g}" if isinstance(v, float) else str(v)
-        return "".join(ch if ch.isalnum() or ch in ".+-" else "-" for ch in text)
 
-    parts = [f"{short}={show(config[k])}" for k, short in RUN_ID_KEYS.items() if config.get(k) is not None]
+def run_id_of(config: dict) -> str:
+    """``k=v`` parts in fixed order, floats with six significant digits, then a hash of the whole configuration.
+
+    Settings that are missing or null have no part; spaces go, characters unsafe in a path become hyphens.
+    """
+    parts = [f"{short}={_shown(config[k])}" for k, short in RUN_ID_KEYS.items() if config.get(k) is not None]
     return "__".join([*parts, "h=" + hashlib.sha1(canonical_json(config).encode()).hexdigest()[:8]])
 
 
@@ -82,22 +126,54 @@ def decode_run_id(run_id: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
-def make_ckpt_name(method: Column, dataset: Column, src: Column, tgt: Column, seed: Column, epochs_source: Column, epochs_adapt: Column, batch: Column, layers: Column | None = None) -> Column:
-    """``method__dataset__src2tgt__seedN__EsrcA__EadB__bsC[__layers].pt``."""
-    num = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
-    parts = [method, dataset, F.concat(src, F.lit("2"), tgt), num("seed", seed), num("Esrc", epochs_source), num("Ead", epochs_adapt), num("bs", batch)]
-    return F.concat(F.concat_ws("__", *parts, *([layers] if layers is not None else [])), F.lit(".pt"))
-
+def make_ckpt_name(method: Column, dataset: Column, src: Column, tgt: Column, seed: Column, epochs_source: Column, epochs_adapt: Column, batch: Column, adapted: dict[str, Column] | None = None, adapted_method: str = "me_iis") -> Column:
+    """``method__dataset__src2tgt__seedN__EsrcA__EadB__bsC.pt``.
 
-CKPT = r"^(.+?)__(.+?)__(.+?)2(.+?)__seed(\d+)__Esrc(\d+)__Ead(\d+)__bs(\d+)(?:__(.+))?\.pt$"
+    Before ``.pt``, names of ``adapted_method`` have ``__layersL__gmmLO-HI__iisN-TOL``, from ``adapted`` (layers,
+    gmm_min, gmm_max, iis_iters, iis_tol): layers are an array or a comma list and stand with hyphens; missing ones have the
+    defaults 2, 8, 15 and 0.001. A tolerance is shown as its text.
+    """
+    tag = lambda name, *c: F.concat(F.lit(name), *[x.cast("string") for x in c])
+    parts = [method, dataset, F.concat(src, F.lit("2"), tgt), tag("seed", seed), tag("Esrc", epochs_source), tag("Ead", epochs_adapt), tag("bs", batch)]
+    name = F.concat_ws("__", *parts)
+    if adapted is not None:
+        given = lambda key, default: F.coalesce(adapted[key].cast("string"), F.lit(default)) if key in adapted else F.lit(default)
+        dash = F.lit("-")
+        layers = F.regexp_replace(F.regexp_replace(F.translate(adapted["layers"].cast("string"), "[]", ""), r"^[\s,]+|[\s,]+$", ""), r"\s*,[\s,]*", "-")
+        suffix = F.concat_ws("__", tag("layers", layers), tag("gmm", given("gmm_min", "2"), dash, given("gmm_max", "8")), tag("iis", given("iis_iters", "15"), dash, given("iis_tol", "0.001")))
+        name = F.when(method == adapted_method, F.concat_ws("__", name, suffix)).otherwise(name)
+    return F.concat(name, F.lit(".pt"))
 
 
 def decode_ckpt_name(name: Column) -> Column:
-    """Struct of the parts of a checkpoint name; ``error`` says that it has another form."""
-    part = lambda i, kind="string": F.nullif(F.regexp_extract(name, CKPT, i), F.lit("")).cast(kind)
+    """Struct of the parts of a checkpoint name; ``error`` says that it has another form.
+
+    Seed and numbers of the suffix are numbers, epochs and batch size texts. A path before the name goes; ``raw`` is
+    the name without ``.pt``.
+    """
+    raw = F.replace(F.element_at(F.split(name, "/"), -1), F.lit(".pt"), F.lit(""))
+    parts = F.split(raw, "__")
+    at = lambda i: F.get(parts, F.lit(i))
+    bare = lambda c, tag: F.replace(c, F.lit(tag), F.lit(""))
+    seed = bare(at(3), "seed").try_cast("int")
+    whole = F.coalesce((F.size(parts) >= 7) & F.contains(at(2), F.lit("2")) & seed.isNotNull(), F.lit(False))
+    rest = F.slice(parts, 8, F.greatest(F.size(parts) - 7, F.lit(0)))
+
+    def payload(tag: str) -> Column:
+        return F.when(whole, bare(F.try_element_at(F.filter(rest, lambda t: t.startswith(tag)), F.lit(-1)), tag))
+
+    first = lambda c: F.when(F.contains(c, F.lit("-")), F.substring_index(c, "-", 1))
+    behind = lambda c: F.when(F.contains(c, F.lit("-")), F.substring(c, F.instr(c, "-") + 1, F.length(c)))
+    gmm, iis = payload("gmm"), payload("iis")
+    low, high = first(gmm).try_cast("int"), behind(gmm).try_cast("int")
+    iters, tol = first(iis).try_cast("double").cast("int"), behind(iis).try_cast("double")
+    wrong = (first(gmm).isNotNull() & (low.isNull() | high.isNull())) | (first(iis).isNotNull() & (iters.isNull() | tol.isNull()))
+    keep = lambda c: F.when(whole, c)
     return F.struct(
-        part(1).alias("method"), part(2).alias("dataset"), part(3).alias("src"), part(4).alias("tgt"), part(5, "int").alias("seed"), part(6, "int").alias("epochs_source"), part(7, "int").alias("epochs_adapt"),
-        part(8, "int").alias("batch_size"), part(9).alias("extra"), F.when(~F.coalesce(name.rlike(CKPT), F.lit(False)), "undecodable").alias("error"),
+        raw.alias("raw"), keep(at(0)).alias("method"), keep(at(1)).alias("dataset"), keep(F.substring_index(at(2), "2", 1)).alias("src"), keep(F.substring(at(2), F.instr(at(2), "2") + 1, F.length(at(2)))).alias("tgt"),
+        keep(seed).alias("seed"), keep(bare(at(4), "Esrc")).alias("epochs_source"), keep(bare(at(5), "Ead")).alias("epochs_adapt"), keep(bare(at(6), "bs")).alias("batch_size"),
+        payload("layers").alias("layers"), low.alias("gmm_min"), high.alias("gmm_max"), iters.alias("iis_iters"), tol.alias("iis_tol"),
+        F.when(~whole | F.coalesce(wrong, F.lit(False)), "unable to decode").alias("error"),
     )
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .latent import vector_sums
+
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
@@ -47,16 +49,26 @@ def batch_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: fl
 
 def bandwidth(both: DataFrame, feature: str) -> float:
     """Mean squared distance of all ordered pairs in one linear pass: 2 n sum |x|^2 - 2 |sum x|^2."""
-    d = both.select(F.size(feature).alias("d")).first().d
-    r = both.agg(F.count("*").alias("n"), F.sum(F.aggregate(feature, F.lit(0.0), lambda a, v: a + v * v)).alias("q"), F.array(*[F.sum(F.get(feature, i)) for i in range(d)]).alias("s")).first()
-    return (2 * r.n * r.q - 2 * float(np.dot(r.s, r.s))) / max(1, r.n**2 - r.n)
+    n, s, q = vector_sums(both, feature)
+    return (2 * n * float(q.sum()) - 2 * float(s @ s)) / max(1, n**2 - n)
+
+
+def block_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: float = 2.0, num: int = 5, sigma: float | None = None, block_rows: int = 1000, id_col: str = "sample_id") -> DataFrame:
+    """(mmd, blocks): mean of the MMD of random blocks of about ``block_rows`` rows of each side; linear in the rows.
+
+    Blocks are hash classes of the id, so each row goes to one task. Use it where ``whole_mmd``, which compares all pairs of
+    rows, is out of reach.
+    """
+    blocks = max(1, min(source.count(), target.count()) // block_rows)
+    dealt = lambda df: df.withColumn("batch_no", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
+    return batch_mmd(dealt(source), dealt(target), features, mul, num, sigma).agg(F.avg("mmd").alias("mmd"), F.count("*").alias("blocks"))
 
 
 def whole_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: float = 2.0, num: int = 5, block_rows: int = 2000, id_col: str = "sample_id") -> DataFrame:
     """(mmd) of two whole samples. All pairs of rows are the definition; they are taken in blocks of ``block_rows`` rows.
 
     The rows of a block pair meet in one task (2 * block_rows vectors), each row going to as many tasks as there are
-    blocks, and one kernel sum per block pair goes on.
+    blocks, and one kernel sum per block pair goes on. Work grows with the square of the rows: see ``block_mmd``.
     """
     rows = source.select(id_col, *features, F.lit(0).alias("side")).unionByName(target.select(id_col, *features, F.lit(1).alias("side"))).persist()
     try:

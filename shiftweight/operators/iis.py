@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import total
-from .latent import lists, matrix
+from .latent import lists, matrix, merged
 
 EPS = 1e-12
 
@@ -89,13 +89,18 @@ def _moments_pass(df: DataFrame, c: Constraints, lam: np.ndarray | None, probs:
             top, low, high, n = new, min(low, float(s.min())), max(high, float(s.max())), n + len(p)
         yield pa.RecordBatch.from_arrays([lists(np.r_[top, low, high, n, sums].reshape(1, -1))], ["x"])
 
-    parts = np.array([r.x for r in df.select(*layers, probs, *([weight] if weight else [])).mapInArrow(run, "x array<double>").collect()])  # C + 6 numbers per task
-    parts = parts[parts[:, 3] > 0]
-    if not len(parts):
+    def together(parts: np.ndarray) -> np.ndarray:
+        parts = parts[parts[:, 3] > 0]
+        if not len(parts):
+            return np.r_[-np.inf, np.inf, -np.inf, 0, np.zeros(c.size + 2)]
+        top = parts[:, 0].max()
+        scale = np.ones(len(parts)) if weight else np.exp(parts[:, 0] - top)
+        return np.r_[top, parts[:, 1].min(), parts[:, 2].max(), parts[:, 3].sum(), (parts[:, 4:] * scale[:, None]).sum(axis=0)]
+
+    sums = merged(df.select(*layers, probs, *([weight] if weight else [])).mapInArrow(run, "x array<double>"), together)
+    if not sums[3]:
         raise ValueError("no rows")
-    top = parts[:, 0].max()
-    scale = np.ones(len(parts)) if weight else np.exp(parts[:, 0] - top)
-    return np.r_[top, parts[:, 1].min(), parts[:, 2].max(), parts[:, 3].sum(), (parts[:, 4:] * scale[:, None]).sum(axis=0)]
+    return sums
 
 
 def target_moments(target: DataFrame, c: Constraints, probs: str = "probs") -> np.ndarray:

@@ -6,7 +6,7 @@ statistics: each pass moves J * (2 D + 1) + 1 numbers per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -22,6 +22,10 @@ from ..functions.vectors import entropy, l2_normalize
 from .select import fit_sample, low_entropy_keep
 
 
+#: Tasks in which sums of tasks are merged before the driver sees them.
+MERGES = 16
+
+
 class LatentModel(Protocol):
     """What a latent backend returns: a map from vectors to component probabilities."""
 
@@ -41,6 +45,38 @@ def lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d, pa.int32()), pa.array(np.ascontiguousarray(m).ravel()))
 
 
+def merged(parts: DataFrame, together: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """One vector from the rows (x) that tasks return; ``together`` makes one row of many and may be applied in steps.
+
+    Rows are first merged in ``MERGES`` tasks, so the driver sees no more of them however many tasks there were.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in filter(lambda b: b.num_rows, batches):
+            x = matrix(batch.column(0))
+            held = together(x if held is None else np.vstack([held, x]))
+        yield pa.RecordBatch.from_arrays([lists((np.zeros((0, 0)) if held is None else held[None, :]))], ["x"])
+
+    return together(np.array([r.x for r in parts.repartition(MERGES).mapInArrow(run, "x array<double>").collect()]))
+
+
+def vector_sums(df: DataFrame, feature: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number of rows, sum of the vectors, and sum of their squares by dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in filter(lambda b: b.num_rows, batches):
+            x = matrix(batch.column(0))
+            new = np.r_[len(x), x.sum(axis=0), (x * x).sum(axis=0)]
+            held = new if held is None else held + new
+        yield pa.RecordBatch.from_arrays([lists((np.zeros((0, 0)) if held is None else held[None, :]))], ["x"])
+
+    s = merged(df.select(feature).mapInArrow(run, "x array<double>"), lambda x: x.sum(axis=0))
+    d = len(s) // 2
+    return float(s[0]), s[1 : d + 1], s[d + 1 :]
+
+
 def softmax_rows(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -137,17 +173,17 @@ def em_step(df: DataFrame, feature: str, model: MixtureModel, reg_covar: float =
                 r = np.exp(z - norm)
                 ll += float(norm.sum())
                 sums += np.hstack([r.sum(axis=0)[:, None], r.T @ x, r.T @ (x * x)])
-        yield pa.RecordBatch.from_arrays([lists(sums.reshape(1, -1)), pa.array([ll])], ["s", "ll"])
+        yield pa.RecordBatch.from_arrays([lists(np.r_[ll, sums.ravel()].reshape(1, -1))], ["x"])
 
-    parts = df.select(feature).mapInArrow(run, "s array<double>, ll double").collect()  # one small row per task
+    whole = merged(df.select(feature).mapInArrow(run, "x array<double>"), lambda x: x.sum(axis=0))
     d = model.means.shape[1]
-    sums = np.sum([p.s for p in parts], axis=0).reshape(model.n_components, -1)
+    sums = whole[1:].reshape(model.n_components, -1)
     mass = np.maximum(sums[:, 0], 1e-10)
     means = sums[:, 1 : d + 1] / mass[:, None]
     var = np.maximum(sums[:, d + 1 :] / mass[:, None] - means**2, 0) + reg_covar
     if model.covariance_type == "spherical":
         var = np.repeat(var.mean(axis=1, keepdims=True), d, axis=1)
-    return MixtureModel(mass / mass.sum(), means, var, model.covariance_type, float(sum(p.ll for p in parts)))
+    return MixtureModel(mass / mass.sum(), means, var, model.covariance_type, float(whole[0]))
 
 
 def fit_gmm(df: DataFrame, feature: str, n_components: int, covariance_type: str = "diag", reg_covar: float = 1e-6, seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> MixtureModel:
@@ -157,10 +193,8 @@ def fit_gmm(df: DataFrame, feature: str, n_components: int, covariance_type: str
     check_vectors(df, feature)
     n = df.count()
     centers = kmeans_centers(df, feature, min(n_components, n), seed)
-    at = F.array(*[F.avg(F.get(feature, i)) for i in range(centers.shape[1])])
-    squares = F.array(*[F.avg(F.get(feature, i) * F.get(feature, i)) for i in range(centers.shape[1])])
-    r = df.agg(at.alias("m"), squares.alias("q")).first()
-    var = np.maximum(np.array(r.q) - np.array(r.m) ** 2, 0) / len(centers) + reg_covar
+    rows, at, squares = vector_sums(df, feature)
+    var = np.maximum(squares / rows - (at / rows) ** 2, 0) / len(centers) + reg_covar
     if covariance_type == "spherical":
         var = np.full_like(var, var.mean())
     model = MixtureModel(np.full(len(centers), 1 / len(centers)), centers, np.tile(var, (len(centers), 1)), covariance_type)

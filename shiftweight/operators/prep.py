@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import range_edges, range_number
+
 NO_LABEL = -1
 # The splits that a protocol adapts on, by split mode.
 ADAPT_SPLIT = {"uda_target": "test_unlabeled", "align_val": "val_unlabeled"}
@@ -33,16 +35,19 @@ def route_splits(df: DataFrame, split_mode: str, adapt_split: str | None = None,
 
 
 def protocol_violation() -> Column:
-    """The first rule that a configuration (split_mode, adapt_split, eval_split) breaks, or null."""
-    mode, adapt, held = (F.lower(F.col(c)) for c in ("split_mode", "adapt_split", "eval_split"))
+    """The first rule that a configuration (split_mode, adapt_split, eval_split) breaks, or null.
+
+    Null settings have the defaults uda_target, test_unlabeled and test; names are as they stand, in lower case.
+    """
+    mode, adapt, held = (F.coalesce(F.col(c), F.lit(d)) for c, d in (("split_mode", "uda_target"), ("adapt_split", "test_unlabeled"), ("eval_split", "test")))
     return (
-        F.when(mode.isNull() | ~mode.isin(*ADAPT_SPLIT), "unknown split_mode")
-        .when(held.isNull() | ~held.isin("val", "test", "id_val"), "unknown eval_split")
-        .when(adapt.isNotNull() & ~adapt.isin("val_unlabeled", "test_unlabeled", "train_unlabeled"), "unknown adapt_split")
-        .when((mode == "uda_target") & (F.coalesce(adapt, F.lit("test_unlabeled")) != "test_unlabeled"), "uda_target adapts on test_unlabeled")
-        .when((mode == "align_val") & (F.coalesce(adapt, F.lit("val_unlabeled")) != "val_unlabeled"), "align_val adapts on val_unlabeled")
+        F.when(~mode.isin(*ADAPT_SPLIT), "unknown split_mode")
+        .when(~held.isin("val", "test"), "unknown eval_split")
+        .when(~adapt.isin(*ADAPT_SPLIT.values()), "unknown adapt_split")
+        .when((mode == "align_val") & (adapt != "val_unlabeled"), "align_val adapts on val_unlabeled")
         .when((mode == "align_val") & (held != "val"), "align_val evaluates on val")
-        .when((mode == "uda_target") & (held == "val"), "uda_target does not evaluate on val")
+        .when((mode == "uda_target") & (adapt != "test_unlabeled"), "uda_target adapts on test_unlabeled")
+        .when((held == "test") & (adapt == "test_unlabeled") & (mode != "uda_target"), "test_unlabeled with test needs uda_target")
     )
 
 
@@ -62,17 +67,30 @@ def with_class_index(manifest: DataFrame, name: str = "class_name") -> DataFrame
     return manifest.join(class_to_idx(manifest, name).withColumnRenamed("idx", "label"), name)
 
 
-def sample_index(df: DataFrame, order: str = "path", into: str = "sample_id") -> DataFrame:
-    """Stable 0-based index in the order of a column: a range sort and per-partition offsets, no single-partition window."""
-    spark = df.sparkSession
-    rows = df.orderBy(order).rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return spark.createDataFrame(rows, _with(df, into))
+def shared_class_index(manifest: DataFrame, source: str, target: str, preferred: str = "A", name: str = "class_name", domain: str = "domain") -> DataFrame:
+    """(class_name, idx) over the sorted classes of one domain: ``preferred`` if it is the source or target, else the source.
+
+    Source and target must have the same classes; otherwise an error.
+    """
+    of = lambda d: manifest.filter(F.col(domain) == d)
+    assert_same_classes(of(source), of(target), name)
+    return class_to_idx(of(preferred if preferred in (source, target) else source), name)
 
 
-def _with(df: DataFrame, into: str):
-    from pyspark.sql import types as T
+def sample_index(df: DataFrame, order: str = "path", into: str = "sample_id", parts: int = 200) -> DataFrame:
+    """0-based index in the order of a column (null first; equal values in any order).
 
-    return T.StructType([*df.schema.fields, T.StructField(into, T.LongType())])
+    Each range of the column is numbered by itself from the count of rows before it, so no task sees the whole table.
+    """
+    value = F.col(order)
+    rows = df.withColumn("_range", range_number(value, range_edges(df, value, parts)))
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy("_range").count().collect()):  # at most parts + 1 rows
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(offsets, "_range int, _before bigint")
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
+    return rows.join(F.broadcast(starts), "_range").withColumn(into, F.col("_before") + number).drop("_range", "_before")
 
 
 def class_mismatch(source: DataFrame, target: DataFrame, name: str = "class_name") -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.text import run_status, transfer_label
 
 RUN_KEY = ["dataset", "src", "tgt", "method", "run_id"]
 # The columns that comparable runs must share.
-FAIRNESS = ["backbone", "pretrained", "augment", "color_jitter", "imagenet_normalize", "epochs", "batch_size", "grad_accum"]
+FAIRNESS = ["backbone", "pretrained", "augment", "color_jitter", "imagenet_normalize", "epochs", "batch_size", "grad_accum_steps"]
 DONE = ["done", "trained", "resumed", "skipped"]
 
 
@@ -44,10 +44,26 @@ def baseline_vs_adapted(runs: DataFrame, baseline: str = "source_only") -> DataF
     return runs.select(*key, "method", F.col("target_acc").alias("adapted_target_acc")).join(base, key)
 
 
+def derive_source_config(configs: DataFrame, baseline: str = "source_only", shared: tuple[str, ...] = ("amp",)) -> DataFrame:
+    """The baseline configuration that each configuration builds on.
+
+    ``method`` becomes the baseline, ``epochs_adapt`` 0, and of the map ``method_params`` only the ``shared`` settings stay.
+    """
+    params = F.map_filter(F.coalesce("method_params", F.expr("map()").cast("map<string,string>")), lambda k, v: k.isin(*shared))
+    return configs.withColumns({"method": F.lit(baseline), "epochs_adapt": F.lit(0), "method_params": params})
+
+
 def link_source_run(runs: DataFrame, key: list[str], baseline: str = "source_only", id_col: str = "run_id") -> DataFrame:
-    """(run, source_run): the baseline run whose configuration ``key`` is the same; null where it is missing."""
-    base = runs.filter(F.col("method") == baseline).groupBy(*key).agg(F.min(id_col).alias("source_run"))
-    return runs.filter(F.col("method") != baseline).select(id_col, *key).join(base, key, "left").select(id_col, "source_run")
+    """(run, source_run): the baseline run whose configuration is the one that a run derives; null where it is missing.
+
+    ``key`` are the settings that both share beside ``method``, ``epochs_adapt`` and ``method_params``, whose rules are
+    those of ``derive_source_config``; a baseline run with other adaptation settings is not linked.
+    """
+    settings = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params"))))
+    one = lambda df: df.withColumn("params", F.coalesce("method_params", F.expr("map()").cast("map<string,string>"))).select(id_col, *key, F.col("epochs_adapt").cast("long").alias("ea"), settings.alias("mp"))
+    base = one(runs.filter(F.col("method") == baseline)).groupBy(*key, "ea", "mp").agg(F.min(id_col).alias("source_run"))
+    wanted = one(derive_source_config(runs.filter(F.col("method") != baseline)))
+    return wanted.join(base, [*key, "ea", "mp"], "left").select(id_col, "source_run")
 
 
 def plan_runs(configs: DataFrame, existing: DataFrame, key: str = "run_id") -> DataFrame:
@@ -148,22 +164,30 @@ def ess_series(results: DataFrame, by: str = "run_id") -> DataFrame:
     return rows.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("no")) - 1).alias("step"), "epoch", "ess")
 
 
-def canonical_row(df: DataFrame, columns: list[str]) -> Column:
-    return F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in sorted(columns) if c in df.columns])
+def content_key(df: DataFrame, columns: list[str]) -> Column:
+    """First ten hex digits of the SHA-1 of a row as JSON: texts, sorted names, no spaces, nulls as empty texts."""
+    row = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(columns) if c in df.columns]))
+    return F.left(F.sha1(row.cast("binary")), F.lit(10))
 
 
 def upsert_rows(existing: DataFrame, new: DataFrame, key: str = "run_id", order: str = "row_no") -> DataFrame:
-    """At most one row per key: the last existing one, replaced by a new one. Rows without key get a hash of their content.
+    """At most one row per key: the last existing one, replaced by a new one.
 
-    New rows must have a key. Columns are those of both sides; ``order`` says which row is last, new rows come behind.
+    Keys are compared without the space around them and stay as they stand. Existing rows without key, or all if there is
+    no such column, get a hash of their content (``content_key``). New rows must have a key. Columns are those of the
+    new side (the key first where it lacks), then the others; ``order`` says which row is last, new rows come behind.
     """
-    blank = F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""
-    content = [c for c in existing.columns if c not in (key, order)]
-    old = existing.withColumn(key, F.when(blank, F.left(F.sha1(canonical_row(existing, content).cast("binary")), F.lit(10))).otherwise(F.col(key)))
-    fresh = new.withColumn(key, F.when(blank, F.raise_error(F.lit("new row without key")).cast("string")).otherwise(F.col(key)))
+    bare = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    content = [c for c in existing.columns if c != order]
+    made = content_key(existing, content)
+    old = existing.withColumn(key, F.when(bare(F.col(key)) == "", made).otherwise(F.col(key)) if key in existing.columns else made)
+    if key not in new.columns:
+        raise ValueError(f"new rows have no column {key}")
+    fresh = new.withColumn(key, F.when(bare(F.col(key)) == "", F.raise_error(F.lit("new row without key")).cast("string")).otherwise(F.col(key)))
     both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col("_new").desc(), F.col(order).desc())
-    return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_new")
+    w = Window.partitionBy(bare(F.col(key))).orderBy(F.col("_new").desc(), F.col(order).desc())
+    kept = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return kept.select(*new.columns, *[c for c in old.columns if c not in new.columns])
 
 
 def metrics_row(run: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, entropy, is_finite, max_prob
+from .ranges import cut
 
 
 def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,30 +29,18 @@ def confidence_mask(df: DataFrame, mode: str, tau: float, max_entropy: float | N
 
 
 def exact_lowest(df: DataFrame, score: str, n: int, id_col: str = "sample_id", descending: bool = False) -> DataFrame:
-    """The n rows of lowest (or highest) score; ties go to the smaller id.
+    """The n rows of lowest (or highest) score; ties go to the smaller id, null and NaN scores come last.
 
-    n may be a large part of the table, so no limit is used: rows are counted per range of a quantile grid, only
-    the range in which the cut falls is numbered, and all better ranges are taken whole.
+    n may be a large part of the table, so no limit over it is used: the cut is found by counts of ranges (``ranges.cut``),
+    better ranges are taken whole, and only the rows at the border are sorted.
     """
-    key = -F.col(score) if descending else F.col(score)
-    rows = df.withColumn("_k", key)
-    grid = rows.agg(F.percentile_approx("_k", [i / 200 for i in range(1, 200)], 10_000).alias("q")).first().q
-    if n <= 0 or not grid:
+    if n <= 0:
         return df.limit(0)
-    edges = sorted(set(grid))
-    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("_k")))
-    rows = rows.withColumn("_part", part)
-    at, before = None, 0
-    for r in sorted(rows.groupBy("_part").count().collect()):  # at most 200 rows
-        if before + r["count"] >= n:
-            at = r["_part"]
-            break
-        before += r["count"]
-    if at is None:
-        return df
-    # Equal scores are in one range; one huge tie is cut by id in a range sort, not in a window.
-    inside = rows.filter(F.col("_part") == at).orderBy("_k", id_col).limit(n - before)
-    return rows.filter(F.col("_part") < at).unionByName(inside).drop("_k", "_part")
+    known = F.when(~F.isnan(score), F.col(score).cast("double"))
+    rows = df.withColumn("_k", -known if descending else known)
+    whole, border, rest, _ = cut(rows, ["_k", id_col], n)
+    inside = rows.filter(border).orderBy(F.col("_k").asc_nulls_last(), F.col(id_col).asc_nulls_last()).limit(rest)
+    return rows.filter(reduce(Column.__or__, whole)).unionByName(inside).drop("_k")
 
 
 def low_entropy_keep(df: DataFrame, keep_ratio: float, score: str = "entropy", id_col: str = "sample_id") -> DataFrame:
@@ -62,11 +53,14 @@ def low_entropy_keep(df: DataFrame, keep_ratio: float, score: str = "entropy", i
     return exact_lowest(df, score, max(1, -int(-n * keep_ratio // 1)), id_col)
 
 
-def relaxed_threshold(scores: DataFrame, mode: str, min_count: int, score: str = "score") -> float:
-    """Threshold at which ``min_count`` rows pass: the min_count-th best score, or the worst if there are fewer."""
-    best = F.col(score).desc() if mode == "maxprob" else F.col(score)
-    worst = F.min(score) if mode == "maxprob" else F.max(score)
-    return scores.select(score).orderBy(best).limit(min_count).agg(worst).first()[0]
+def relaxed_threshold(scores: DataFrame, mode: str, min_count: int, score: str = "score") -> float | None:
+    """Threshold at which ``min_count`` rows pass: the min_count-th best score, or the worst if there are fewer (none: null)."""
+    key = -F.col(score) if mode == "maxprob" else F.col(score)
+    rows = scores.select(key.cast("double").alias("k")).filter("k IS NOT NULL AND NOT isnan(k)")
+    _, border, rest, tie = cut(rows, ["k"], min_count)
+    inside = rows.filter(border)
+    worst = (rows if not rest else inside if tie else inside.orderBy("k").limit(rest)).agg(F.max("k")).first()[0]
+    return None if worst is None else -worst if mode == "maxprob" else worst
 
 
 def select_confident(df: DataFrame, mode: str, tau: float, min_count: int, policy: str = "lower_thresh", max_entropy: float | None = None, probs: str = "probs") -> tuple[DataFrame | None, float, str]:

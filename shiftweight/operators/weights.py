@@ -39,11 +39,11 @@ def postprocess_weights(df: DataFrame, clip_max: float | None = None, mix_alpha:
     return out
 
 
-def weights_summary(df: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0.99), entropy: str = "plus", exact: bool = True, w: str = "w") -> DataFrame:
+def weights_summary(df: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0.99), entropy: str = "plus", exact: bool = False, w: str = "w") -> DataFrame:
     """n, sum, min, mean, max, entropy, effective sample size and percentiles in one aggregation.
 
-    ``entropy``: ``plus`` is -sum w ln(w + 1e-12), ``floor`` -sum v ln v with v = max(w, 1e-12). Exact percentiles
-    interpolate linearly; with ``exact`` off they come from a sketch of fixed size, as large tables need.
+    ``entropy``: ``plus`` is -sum w ln(w + 1e-12), ``floor`` -sum v ln v with v = max(w, 1e-12). Percentiles
+    come from a sketch of fixed size; with ``exact`` they interpolate linearly, for tables whose distinct weights fit in a task.
     """
     c = F.col(w)
     v = F.greatest(c, F.lit(FLOOR))

@@ -144,7 +144,7 @@ def a7(spark, d):
 
 @query("a9_weights_summary", features_sql("SELECT count(*) AS n, round(sum(w), 6) AS sum, round(min(w), 6) AS min, round(avg(w), 6) AS mean, round(max(w), 6) AS max, round(-sum(w * ln(w + 1e-12)), 6) AS entropy, round(sum(w) * sum(w) / sum(w * w), 6) AS ess, round(quantile_cont(w, 0.5), 6) AS p50, round(quantile_cont(w, 0.9), 6) AS p90, round(quantile_cont(w, 0.99), 6) AS p99 FROM iw", IDW))
 def a9(spark, d):
-    return r6(weights.weights_summary(_id_weights(X.samples(spark, d).filter("domain = 'source'"))))
+    return r6(weights.weights_summary(_id_weights(X.samples(spark, d).filter("domain = 'source'")), exact=True))
 
 
 @query("a10_weight_histogram", features_sql("SELECT bin::INTEGER AS bin, count(*) AS count FROM (SELECT least(floor((w - (SELECT min(w) FROM w3)) / (((SELECT max(w) FROM w3) - (SELECT min(w) FROM w3)) / 20)), 19) AS bin FROM w3) GROUP BY bin", iis_sql(3)))
@@ -387,3 +387,39 @@ def m15w(spark, d):
 def w6(spark, d):
     by = X.samples(spark, d).groupBy(F.col("label").alias("constraint_id"), (F.col("sample_id") % 3).alias("epoch")).agg(F.avg(F.get("feat", 0)).alias("x"))
     return r6(iis.ema_moments(by, 0.5))
+
+
+@query("m11_override_moments", features_sql("SELECT layer, component, class, round(pg, 6) AS moment, false AS off FROM pg UNION ALL SELECT layer, component, class, round(2 * pg, 6), true FROM pg"))
+def m11(spark, d):
+    """The target's own moments put in place of themselves, and twice of them, whose mass is off."""
+    _, target = X.source_target(spark, d)
+    c = X.CONSTRAINTS
+    pg, out = iis.target_moments(target, c), []
+    for times in (1, 2):
+        moments, off = iis.override_moments(pg, times * pg, c)
+        out += [(*c.decode(i), round(float(m), 6), bool(off)) for i, m in enumerate(moments)]
+    return spark.createDataFrame(out, "layer string, component int, class int, moment double, off boolean")
+
+
+@query("u2_latent_backend", features_sql("SELECT layer, component, round(avg(g), 6) AS g FROM gamma WHERE domain = 'target' GROUP BY ALL"))
+def u2(spark, d):
+    """A backend of the user: the first rows are the prototypes."""
+
+    def first_rows(df: DataFrame, feature: str, k: int, **options) -> latent.SphereModel:
+        return latent.SphereModel(np.array([r[feature] for r in df.orderBy("sample_id").limit(k).collect()]), options["kappa"])
+
+    latent.BACKENDS["first_rows"] = first_rows
+    try:
+        rows = X.with_probs(X.samples(spark, d)).filter("domain = 'target'")
+        models = latent.fit_target_structure(rows, X.CONSTRAINTS.layers, "first_rows", kappa=X.KAPPA)
+    finally:
+        del latent.BACKENDS["first_rows"]
+    parts = [latent.responsibilities(rows, m, name, "g").select(F.lit(name).alias("layer"), F.posexplode("g").alias("component", "g")) for name, m in models.items()]
+    return r6(parts[0].unionByName(parts[1]).groupBy("layer", "component").agg(F.avg("g").alias("g")))
+
+
+@query("u3_prediction_fn", features_sql("SELECT pred, count(*) AS n FROM (SELECT sample_id, arg_min(class, p) AS pred FROM probs GROUP BY sample_id) GROUP BY pred"))
+def u3(spark, d):
+    """Labels by a function of the user: the least likely class."""
+    least = lambda c: F.array_position(c, F.array_min(c)).cast("int") - 1
+    return scoring.predict(X.with_probs(X.samples(spark, d)), least, "probs").groupBy("pred").agg(F.count("*").alias("n"))

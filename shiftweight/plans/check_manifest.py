@@ -87,3 +87,23 @@ def w2(spark, d):
 @query("w10_sample_index", manifest_sql("SELECT path, row_number() OVER (ORDER BY path) - 1 AS sample_id FROM manifest"))
 def w10(spark, d):
     return prep.sample_index(X.manifest(spark, d).select("path"))
+
+
+@query("p4_assert_labels_dropped", manifest_sql("SELECT true AS dropped_pass, bool_or(label <> -1) AS raw_rejected FROM splits"))
+def p4(spark, d):
+    """Labels that were dropped pass; the table as it is is rejected."""
+    rows, passed = X.splits(spark, d), []
+    for df in (prep.drop_labels(rows), rows):
+        try:
+            prep.assert_labels_dropped(df)
+            passed.append(True)
+        except ValueError:
+            passed.append(False)
+    return spark.createDataFrame([(passed[0], not passed[1])], "dropped_pass boolean, raw_rejected boolean")
+
+
+@query("w2_shared_class_index", "SELECT 'c' || (doc_id % 7) AS class_name, (doc_id % 7)::INTEGER AS idx FROM documents GROUP BY ALL")
+def w2s(spark, d):
+    """Seven classes in two domains; the preferred one is the target."""
+    m = X.manifest(spark, d).select(F.when(F.col("doc_id") % 14 < 7, "D").otherwise("A").alias("domain"), F.concat(F.lit("c"), F.col("doc_id") % 7).alias("class_name"))
+    return prep.shared_class_index(m, "D", "A")

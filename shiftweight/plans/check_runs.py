@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as S
-from ..operators import losses, runs as R
-from . import fixtures as X
+from ..operators import losses, prep, runs as R
+from . import fixtures as X, jobs
 from .fixtures import runs_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,9 +85,19 @@ def j5(spark, d):
     return R.baseline_vs_adapted(first)
 
 
-@query("j6_link_source_run", runs_sql("SELECT CAST(row_no AS VARCHAR) AS run_id, s AS source_run FROM runs a LEFT JOIN (SELECT src, tgt, seed, fingerprint, min(CAST(row_no AS VARCHAR)) AS s FROM runs WHERE method = 'source_only' GROUP BY ALL) b USING (src, tgt, seed, fingerprint) WHERE method <> 'source_only'"))
+J6 = "c AS (SELECT row_no, method, src, tgt, seed, fingerprint, CASE WHEN method <> 'source_only' THEN 10 WHEN row_no % 11 = 0 THEN 10 ELSE 0 END AS ea, row_no % 2 AS amp, method <> 'source_only' OR row_no % 13 = 0 AS more FROM runs)"
+
+
+@query("j6_link_source_run", runs_sql("SELECT CAST(row_no AS VARCHAR) AS run_id, s AS source_run FROM c LEFT JOIN (SELECT src, tgt, seed, fingerprint, amp, min(CAST(row_no AS VARCHAR)) AS s FROM c WHERE method = 'source_only' AND ea = 0 AND NOT more GROUP BY ALL) b USING (src, tgt, seed, fingerprint, amp) WHERE method <> 'source_only'", J6))
 def j6(spark, d):
-    return R.link_source_run(X.runs(spark, d).withColumn("run_id", F.col("row_no").cast("string")), ["src", "tgt", "seed", "fingerprint"])
+    """Baseline runs that adapted, or have settings beside amp, are linked by none."""
+    i, base = F.col("row_no"), F.col("method") == "source_only"
+    amp = F.create_map(F.lit("amp"), (i % 2).cast("string"))
+    rows = X.runs(spark, d).withColumns({
+        "run_id": i.cast("string"), "epochs_adapt": F.when(base & (i % 11 != 0), 0).otherwise(10),
+        "method_params": F.when(base & (i % 13 != 0), amp).otherwise(F.map_concat(amp, F.create_map(F.lit("tau"), F.lit("0.9")))),
+    })
+    return R.link_source_run(rows, ["src", "tgt", "seed", "fingerprint"])
 
 
 @query("j7_transfer_pairs", runs_sql("SELECT a.src, b.src AS tgt FROM (SELECT DISTINCT src FROM runs) a, (SELECT DISTINCT src FROM runs) b WHERE a.src <> b.src"))
@@ -158,13 +169,26 @@ def w9(spark, d):
     return R.ess_series(_updates(spark, d))
 
 
-@query("x3_upsert_rows", runs_sql("SELECT run_id, max(n) AS n, arg_max(row_no, (n, row_no)) AS row_no FROM (SELECT run_id, row_no, 0 AS n FROM runs UNION ALL SELECT run_id, row_no, 1 FROM runs WHERE row_no % 10 = 3) GROUP BY run_id"))
+X3 = """o AS (SELECT row_no, CASE row_no % 5 WHEN 0 THEN ' ' || run_id WHEN 1 THEN '' ELSE run_id END AS run_id, 0 AS n FROM runs),
+k AS (SELECT *, CASE WHEN trim(run_id) = '' THEN substr(sha1('{"n":"0","run_id":"' || run_id || '"}'), 1, 10) ELSE run_id END AS key FROM o UNION ALL SELECT max(row_no), run_id, 1, run_id FROM runs WHERE row_no % 10 = 3 GROUP BY run_id)"""
+
+
+@query("x3_upsert_rows", runs_sql("SELECT arg_max(key, (n, row_no)) AS run_id, max(n) AS n, arg_max(row_no, (n, row_no)) AS row_no FROM k GROUP BY trim(key)", X3))
 def x3(spark, d):
-    rows = X.runs(spark, d).select("run_id", "row_no").withColumn("n", F.lit(0))
-    new = rows.filter("row_no % 10 = 3").groupBy("run_id").agg(F.max("row_no").alias("row_no"), F.lit(1).alias("n"))
+    """Keys with space before them, and rows without key, which are one row as their content is the same."""
+    i = F.col("row_no") % 5
+    rows = X.runs(spark, d).select(F.when(i == 0, F.concat(F.lit(" "), "run_id")).when(i == 1, "").otherwise(F.col("run_id")).alias("run_id"), "row_no", F.lit(0).alias("n"))
+    new = X.runs(spark, d).filter("row_no % 10 = 3").groupBy("run_id").agg(F.max("row_no").alias("row_no"), F.lit(1).alias("n"))
     return R.upsert_rows(rows, new)
 
 
+@query("x3_upsert_rows_without_key", "SELECT substr(sha1('{\"score\":\"' || CAST(user_id % 50 AS VARCHAR) || '\",\"type\":\"' || event_type || '\"}'), 1, 10) AS run_id, CAST(user_id % 50 AS VARCHAR) AS score, event_type AS type, max(event_id) AS row_no FROM events GROUP BY ALL UNION ALL SELECT 'new', '7', 'é', 0")
+def x3k(spark, d):
+    """A table without key column: equal rows become one, under a hash of their content."""
+    rows = X.table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("score"), F.col("event_type").alias("type"), F.col("event_id").alias("row_no"))
+    return R.upsert_rows(rows, spark.createDataFrame([("new", "7", "é", 0)], "run_id string, score string, type string, row_no bigint"))
+
+
 @query("a5_epoch_averages", "SELECT event_type AS method, (event_id % 10)::INTEGER AS epoch, round(sum(value * (1 + event_id % 32)) / sum(1 + event_id % 32), 6) AS loss, round(sum((event_id % 100) * (1 + event_id % 32)) FILTER (event_id % 8 <> 0) / sum(1 + event_id % 32) FILTER (event_id % 8 <> 0), 6) AS acc FROM events GROUP BY ALL")
 def a5(spark, d):
     i = F.col("event_id")
@@ -172,28 +196,27 @@ def a5(spark, d):
     return r6(losses.epoch_averages(log, ["method", "epoch"], F.col("pseudo")))
 
 
-@query("a17_fairness_check", "SELECT event_type AS method, count(DISTINCT event_id % 2) * 1 AS n_settings, count(DISTINCT event_id % 2) > 1 AND NOT bool_or(event_id % 500 = 3) AS unfair FROM events WHERE event_type <> 'view' OR event_id % 2 = 0 GROUP BY event_type")
+@query("a17_fairness_check", "SELECT event_type AS method, count(DISTINCT (event_id % 2, k)) AS n_settings, count(DISTINCT (event_id % 2, k)) > 1 AND NOT bool_or(event_id % 500 = 3 AND event_type <> 'click') AS unfair FROM (SELECT *, CASE WHEN event_type = 'view' THEN 0 ELSE event_id % 3 END AS k FROM events) GROUP BY event_type")
 def a17(spark, d):
-    e = X.table(spark, d, "events").filter("event_type <> 'view' OR event_id % 2 = 0")
-    fixed = {c: F.lit(1) for c in R.FAIRNESS if c != "epochs"}
-    e = e.withColumns({**fixed, "epochs": F.col("event_id") % 2, "paper_match": F.col("event_id") % 500 == 3})
+    i, kind = F.col("event_id"), F.col("event_type")
+    fixed = {c: F.lit(1) for c in R.FAIRNESS}
+    e = X.table(spark, d, "events").withColumns({**fixed, "epochs": i % 2, "grad_accum_steps": F.when(kind == "view", 0).otherwise(i % 3), "paper_match": (i % 500 == 3) & (kind != "click")})
     names = [r.event_type for r in e.select("event_type").distinct().collect()]  # a handful of methods
-    parts = [R.fairness_check(e.filter(F.col("event_type") == m)).withColumn("method", F.lit(m)) for m in sorted(names)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [R.fairness_check(e.filter(kind == m)).withColumn("method", F.lit(m)) for m in sorted(names)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query("p6_validate_protocol", """WITH c AS (SELECT event_id, ['uda_target', 'align_val', 'other'][event_id % 3 + 1] AS m, [NULL, 'val_unlabeled', 'test_unlabeled', 'train'][event_id % 4 + 1] AS a, ['val', 'test', 'id_val', 'train', NULL][event_id % 5 + 1] AS e FROM events)
-SELECT event_id, CASE WHEN m = 'other' THEN 'unknown split_mode' WHEN e IS NULL OR e = 'train' THEN 'unknown eval_split' WHEN a = 'train' THEN 'unknown adapt_split' WHEN m = 'uda_target' AND coalesce(a, 'test_unlabeled') <> 'test_unlabeled' THEN 'uda_target adapts on test_unlabeled'
-WHEN m = 'align_val' AND coalesce(a, 'val_unlabeled') <> 'val_unlabeled' THEN 'align_val adapts on val_unlabeled' WHEN m = 'align_val' AND e <> 'val' THEN 'align_val evaluates on val' WHEN m = 'uda_target' AND e = 'val' THEN 'uda_target does not evaluate on val' END AS violation FROM c""")
+@query("p6_validate_protocol", """WITH c AS (SELECT event_id, coalesce(['uda_target', 'align_val', 'other', NULL][event_id % 4 + 1], 'uda_target') AS m, coalesce([NULL, 'val_unlabeled', 'test_unlabeled', 'train_unlabeled', 'Test_unlabeled'][event_id % 5 + 1], 'test_unlabeled') AS a, coalesce(['val', 'test', 'id_val', NULL, 'train', 'VAL', 'test'][event_id % 7 + 1], 'test') AS e FROM events)
+SELECT event_id, CASE WHEN m NOT IN ('uda_target', 'align_val') THEN 'unknown split_mode' WHEN e NOT IN ('val', 'test') THEN 'unknown eval_split' WHEN a NOT IN ('val_unlabeled', 'test_unlabeled') THEN 'unknown adapt_split'
+WHEN m = 'align_val' THEN CASE WHEN a = 'test_unlabeled' THEN 'align_val adapts on val_unlabeled' WHEN e = 'test' THEN 'align_val evaluates on val' END WHEN a = 'val_unlabeled' THEN 'uda_target adapts on test_unlabeled' END AS violation FROM c""")
 def p6(spark, d):
-    from ..operators.prep import protocol_violation
-
-    pick = lambda names, k: F.get(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % k).cast("int"))
-    c = X.table(spark, d, "events").select("event_id", pick(["uda_target", "align_val", "other"], 3).alias("split_mode"), pick([None, "val_unlabeled", "test_unlabeled", "train"], 4).alias("adapt_split"), pick(["val", "test", "id_val", "train", None], 5).alias("eval_split"))
-    return c.select("event_id", protocol_violation().alias("violation"))
+    """All of 140 combinations; null settings have defaults."""
+    pick = lambda *names: F.get(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names)).cast("int"))
+    c = X.table(spark, d, "events").select(
+        "event_id", pick("uda_target", "align_val", "other", None).alias("split_mode"), pick(None, "val_unlabeled", "test_unlabeled", "train_unlabeled", "Test_unlabeled").alias("adapt_split"),
+        pick("val", "test", "id_val", None, "train", "VAL", "test").alias("eval_split"),
+    )
+    return c.select("event_id", prep.protocol_violation().alias("violation"))
 
 
 @query("p2_dataset_tag", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'office-home' WHEN 1 THEN 'office-31' WHEN 2 THEN 'office-home' ELSE event_type END AS tag FROM events")
@@ -203,24 +226,37 @@ def p2(spark, d):
     return X.table(spark, d, "events").select("event_id", S.dataset_tag(raw).alias("tag"))
 
 
-@query("p1_normalize_domain_code", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Ar' WHEN 1 THEN 'Ar' WHEN 2 THEN 'Rw' WHEN 3 THEN 'Rw' WHEN 4 THEN 'Cl' WHEN 5 THEN 'Pr' END AS code FROM events")
+@query("p1_normalize_domain_code", "SELECT event_id, ['Ar', NULL, 'Ar', 'Rw', 'Rw', 'Rw', 'Cl', 'Pr', NULL, NULL, NULL][event_id % 11 + 1] AS code, CASE event_id % 11 WHEN 10 THEN 'A' END AS code_31 FROM events")
 def p1(spark, d):
-    raw = F.get(F.array(*map(F.lit, ["Ar", "art", "Real World", "real_world", "CLIPART", "Product", "Sketch"])), (F.col("event_id") % 7).cast("int"))
-    return X.table(spark, d, "events").select("event_id", S.normalize_domain_code(raw, strict=False).alias("code"))
+    """Codes only as they stand; hyphens matter, case, spaces and underscores of names do not."""
+    raw = F.get(F.array(*map(F.lit, ["Ar", "ar", "art", "Real World", "real_world", "REAL", "CLIPART", "Product", "a-rt", "Sketch", "A"])), (F.col("event_id") % 11).cast("int"))
+    codes = S.normalize_domain_code(raw, strict=False), S.normalize_domain_code(raw, S.OFFICE_31, strict=False)
+    return X.table(spark, d, "events").select("event_id", codes[0].alias("code"), codes[1].alias("code_31"))
 
 
-@query("f15_decode_run_id", "SELECT event_id, event_type AS algorithm, CAST(event_id % 3 AS VARCHAR) AS seed, 'a=b' AS other FROM events")
+@query("f15_decode_run_id", "SELECT event_id, event_type AS algorithm, CAST(event_id % 3 AS VARCHAR) AS seed, 'uda' AS split_mode, 'test' AS eval_split, '1' AS step, 'a=b' AS other FROM events")
 def f15(spark, d):
-    m = S.decode_run_id(F.concat(F.lit("alg="), F.col("event_type"), F.lit("__seed="), (F.col("event_id") % 3).cast("string"), F.lit("__junk__xx=a=b")))
-    return X.table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["algorithm"].alias("algorithm"), F.col("m")["seed"].alias("seed"), F.col("m")["xx"].alias("other"))
+    m = S.decode_run_id(F.concat(F.lit("split=uda__eval=test__alg="), F.col("event_type"), F.lit("__seed="), (F.col("event_id") % 3).cast("string"), F.lit("__iis=1__junk__xx=a=b")))
+    names = {"algorithm": "algorithm", "seed": "seed", "split_mode": "split_mode", "eval_split": "eval_split", "meiis_step": "step", "xx": "other"}
+    return X.table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", *[F.col("m")[k].alias(v) for k, v in names.items()])
 
 
-@query("f16_ckpt_names", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS method, CASE WHEN event_id % 5 <> 0 THEN (event_id % 3)::INTEGER END AS seed, CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 'l3-l4' END AS extra, CASE WHEN event_id % 5 = 0 THEN 'undecodable' END AS error FROM events")
-def f16(spark, d):
+@query("f16_make_ckpt_name", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'me_iis' ELSE event_type END || '__office-home__Ar2Cl__seed' || CAST(event_id % 3 AS VARCHAR) || '__Esrc50__Ead10__bs32' || CASE WHEN event_id % 2 = 0 THEN '__layersl3-l4__gmm2-' || CASE WHEN event_id % 5 = 0 THEN '8' ELSE CAST(event_id % 5 AS VARCHAR) END || '__iis15-0.001' ELSE '' END || '.pt' AS name FROM events")
+def f16m(spark, d):
     i = F.col("event_id")
-    made = S.make_ckpt_name(F.col("event_type"), F.lit("office-home"), F.lit("Ar"), F.lit("Cl"), i % 3, F.lit(50), F.lit(10), F.lit(32), F.when(i % 2 == 0, "l3-l4"))
-    rows = X.table(spark, d, "events").select("event_id", S.decode_ckpt_name(F.when(i % 5 == 0, "model.bin").otherwise(made)).alias("c"))
-    return rows.select("event_id", "c.method", "c.seed", "c.extra", "c.error")
+    adapted = {"layers": F.lit("l3, l4,"), "gmm_max": F.when(i % 5 != 0, i % 5)}
+    return X.table(spark, d, "events").select("event_id", S.make_ckpt_name(F.when(i % 2 == 0, "me_iis").otherwise(F.col("event_type")), F.lit("office-home"), F.lit("Ar"), F.lit("Cl"), i % 3, F.lit(50), F.lit(10), F.lit(32), adapted).alias("name"))
+
+
+@query("f16_decode_ckpt_name", """SELECT event_id, CASE WHEN k IN (1, 2) THEN event_type END AS method, CASE WHEN k IN (1, 2) THEN (event_id % 3)::INTEGER END AS seed, CASE WHEN k IN (1, 2) THEN 'Cl2' END AS tgt, CASE WHEN k IN (1, 2) THEN '10' END AS epochs_adapt, CASE WHEN k IN (1, 2) THEN 'l3-l4' END AS layers, CASE k WHEN 1 THEN 2 END AS gmm_min,
+CASE WHEN k IN (1, 2) THEN 8 END AS gmm_max, CASE WHEN k IN (1, 2) THEN 15 END AS iis_iters, CASE WHEN k IN (1, 2) THEN 0.001::DOUBLE END AS iis_tol, CASE WHEN k <> 1 THEN 'unable to decode' END AS error FROM (SELECT *, event_id % 5 AS k FROM events)""")
+def f16(spark, d):
+    """A whole name, a number of components that is none, no pair, no seed, and another file."""
+    i, k = F.col("event_id"), F.col("event_id") % 5
+    seed = F.when(k == 4, "x").otherwise((i % 3).cast("string"))
+    name = F.concat(F.lit("runs/"), F.col("event_type"), F.lit("__office-home__"), F.when(k == 3, "ArCl").otherwise("Ar2Cl2"), F.lit("__seed"), seed, F.lit("__Esrc50__Ead10__bs32__layersl3-l4__gmm"), F.when(k == 2, "x").otherwise("2"), F.lit("-8__iis15-0.001.pt"))
+    rows = X.table(spark, d, "events").select("event_id", S.decode_ckpt_name(F.when(k == 0, "model.bin").otherwise(name)).alias("c"))
+    return rows.select("event_id", *[f"c.{c}" for c in ("method", "seed", "tgt", "epochs_adapt", "layers", "gmm_min", "gmm_max", "iis_iters", "iis_tol", "error")])
 
 
 @query("f17_components_map", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 7 END::INTEGER AS l3, CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 5 ELSE 8 END::INTEGER AS l4 FROM events")
@@ -240,12 +276,33 @@ def f20(spark, d):
     return R.metrics_row(X.runs(spark, d).withColumn("target_acc", F.col("target_acc") / 3)).select("run_id", "method", "seed", "target_acc", "git_sha")
 
 
-@query("f13_run_hash")
+@query("f13_run_hash", """SELECT event_id, substr(sha1('{"k":' || regexp_extract(props, '[0-9]+') || '}'), 1, 10) AS hash FROM events""")
 def f13(spark, d):
     return X.table(spark, d, "events").select("event_id", S.run_hash(F.col("props")).alias("hash"))
 
 
-@query("f14_encode_run_id")
+F14 = """WITH c AS (SELECT event_id, event_type, event_id % 3 AS seed, value, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS pt, CASE WHEN value >= 1 AND value = floor(value) THEN CAST(value::BIGINT AS VARCHAR) || '.0' ELSE CAST(value AS VARCHAR) END AS lr FROM events)
+SELECT event_id, 'ds=office-home__split=uda_target__eval=test__alg=' || event_type || '-v-2__seed=' || seed || '__pt=' || CASE pt WHEN 'true' THEN 1 ELSE 0 END || '__lr=' || printf('%.6g', value) || '__wd=0__K=5__h='
+ || substr(sha1('{"algorithm":" ' || event_type || ' (v) 2 ","dataset":"office-home","eval_split":"test","lr":' || lr || ',"meiis_K":5,"pretrained":' || pt || ',"seed":' || seed || ',"split_mode":"uda_target","weight_decay":0.0}'), 1, 8) AS run_id FROM c"""
+
+
+@query("f14_encode_run_id", F14)
 def f14(spark, d):
-    doc = F.to_json(F.struct(F.lit("office-home").alias("dataset"), F.col("event_type").alias("algorithm"), (F.col("event_id") % 3).alias("seed"), F.col("value").alias("lr")))
+    i = F.col("event_id")
+    parts = {"dataset": F.lit("office-home"), "algorithm": F.concat(F.lit(" "), "event_type", F.lit(" (v) 2 ")), "seed": i % 3, "lr": F.col("value"), "weight_decay": F.lit(0.0), "pretrained": i % 2 == 0, "eval_split": F.lit("test"), "split_mode": F.lit("uda_target"), "meiis_K": F.lit(5)}
+    doc = F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()]))
     return X.table(spark, d, "events").select("event_id", S.encode_run_id(doc).alias("run_id"))
+
+
+@query("experiment_tables", runs_sql("""SELECT 'status' AS name, status AS key, count(*)::DOUBLE AS x FROM ex GROUP BY status UNION ALL SELECT 'stats', method || ' ' || src || '->' || tgt, round(avg(target_acc), 6) FROM ex WHERE target_acc IS NOT NULL GROUP BY method, src, tgt
+UNION ALL SELECT 'stats', method || ' ' || method || ' Avg', round(avg(target_acc), 6) FROM ex WHERE target_acc IS NOT NULL GROUP BY method UNION ALL SELECT 'best', method, max(val_acc) FROM ex WHERE val_acc IS NOT NULL GROUP BY method""", """e0 AS (SELECT dataset, src, tgt, method, run_id, min(seed) AS seed, max(fingerprint) AS fingerprint, max(round(target_acc, 3)) AS ta, max(round(val_acc, 3)) AS va FROM runs GROUP BY ALL),
+e1 AS (SELECT *, CASE WHEN hash_no THEN ta END AS target_acc, CASE WHEN hash_no THEN va END AS val_acc, CASE WHEN hash_no THEN 'OK' ELSE 'NOT RUN' END AS run_status FROM (SELECT *, CAST(run_id AS INTEGER) % 3 <> 0 AS hash_no FROM e0)),
+g AS (SELECT dataset, src, tgt, seed, fingerprint FROM e1 WHERE trim(fingerprint) <> '' GROUP BY ALL HAVING count(DISTINCT method) > 1),
+ex AS (SELECT e1.*, CASE WHEN g.src IS NOT NULL AND run_status = 'OK' THEN 'INVALID_COMPARISON' ELSE run_status END AS status FROM e1 LEFT JOIN g USING (dataset, src, tgt, seed, fingerprint))"""))
+def experiment_tables(spark, d):
+    """Counts by status, means and best scores of the experiment tables; two thirds of the expected runs have metrics."""
+    rows = X.runs(spark, d).groupBy(*R.RUN_KEY).agg(F.min("seed").alias("seed"), F.max("fingerprint").alias("fingerprint"), F.max(F.round("target_acc", 3)).alias("target_acc"), F.max(F.round("val_acc", 3)).alias("val_acc"))
+    found = rows.filter(F.col("run_id").cast("int") % 3 != 0).select(*R.RUN_KEY, "target_acc", "val_acc", *[F.lit(v).alias(c) for c, v in (("has_metrics", True), ("completed", True), ("has_state", True), ("dir_exists", True), ("stderr_tail", ""))])
+    t = jobs.experiment_tables(rows.select(*R.RUN_KEY, "seed", "fingerprint"), found, METHODS)
+    row = lambda df, name, key, x: df.select(F.lit(name).alias("name"), key.alias("key"), F.round(x.cast("double"), 6).alias("x"))
+    return row(t["status"], "status", F.col("status"), F.col("count")).unionByName(row(t["stats"], "stats", F.concat_ws(" ", "method", "transfer"), F.col("mean"))).unionByName(row(t["best"], "best", F.col("method"), F.col("val_acc")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import one_hot
 from ..operators.iis import Constraints
 from ..operators.latent import SphereModel, responsibilities
+from ..operators.prep import sample_index
 
 KAPPA = 20.0
 CLASSES = 10
@@ -60,11 +61,9 @@ def source_target(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def batches(rows: DataFrame, size: int = 32) -> DataFrame:
-    """batch_no within each domain by sample_id. Ids are ranked per domain; a fixture of two domains only."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("domain").orderBy("sample_id")) - 1
-    return rows.withColumn("batch_no", F.floor(n / size).cast("long"))
+    """batch_no within each domain by sample_id; ids are numbered by ranges."""
+    ids = [sample_index(rows.filter(F.col("domain") == d).select("sample_id"), "sample_id", "no") for d in ("source", "target")]
+    return rows.join(ids[0].unionByName(ids[1]).select("sample_id", F.floor(F.col("no") / size).cast("long").alias("batch_no")), "sample_id")
 
 
 FEATURES_SQL = """

@@ -26,7 +26,8 @@ class WeightConfig:
     step: float = 1.0
     damping: float = 0.0
     clip_max: float | None = None
-    mix_alpha: float = 0.8
+    mix_alpha: float = 0.8  # of the update: share of the solved weights
+    mix_uniform: float = 0.0  # of the one-shot job: share of the uniform weight
     clean_ratio: float = 1.0
     conf_mode: str = "maxprob"
     tau: float = 0.9
@@ -62,7 +63,7 @@ def one_shot_weights(source: DataFrame, target: DataFrame, cfg: WeightConfig) ->
     c = _constraints(models, cfg.classes)
     pg = iis.target_moments(_responsibilities(target, models), c)
     solved, _, history = iis.solve_iis(_responsibilities(source, models), c, pg, cfg.max_iter, cfg.tol, cfg.step, cfg.damping)
-    out = weights.postprocess_weights(solved, cfg.clip_max, 1 - cfg.mix_alpha, "oneshot")
+    out = weights.postprocess_weights(solved, cfg.clip_max, cfg.mix_uniform, "oneshot")
     return out, iis.history_table(source.sparkSession, history), weights.weights_summary(out)
 
 
@@ -108,7 +109,7 @@ def update_importance_weights(source: DataFrame, target: DataFrame, cfg: WeightC
         labelled = source.select(id_col, one_hot(F.col("label"), cfg.classes).alias("probs"), *cfg.layers)
         joint = select.finite_rows(_responsibilities(labelled, models), ["probs", *cfg.layers])
         solved, _, history = iis.solve_iis(joint, c, pg, cfg.max_iter, cfg.tol, cfg.step * cfg.constraint_weight, cfg.damping)
-        out = weights.postprocess_weights(solved.select(id_col, "w"), cfg.clip_max, cfg.mix_alpha, "update").persist()
+        out = weights.postprocess_weights(solved.select(id_col, "w"), cfg.clip_max, cfg.mix_alpha, "update")
         s = weights.weights_summary(out, entropy="floor").first()
         top = [r[id_col] for r in select.top_weights(out, 10).collect()]
         return out, UpdateRecord("updated", tau, total, n, pg, history, s.ess, s.entropy, top)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import check_features, check_manifest, check_models, check_runs
+from .plans import check_features, check_files, check_manifest, check_models, check_runs
 
-_PARTS = [check_features, check_runs, check_manifest, check_models]
+_PARTS = [check_features, check_runs, check_manifest, check_files, check_models]
 
 
 def queries() -> dict:

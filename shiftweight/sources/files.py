@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ SIGNATURE_SCHEMA = "method_name string, source_checkpoint string, model_state_ha
 RUN_DIRS = ["dataset", "transfer", "method", "run_id"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; without it, below the warehouse of a local session, and on a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/" + uuid.uuid4().hex
+
+
 def read_image_manifest(spark: SparkSession, root: str, domains: list[str] | None = None) -> DataFrame:
     """(path, domain, class_name, length) of images below root/domain/class/; file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").filter(F.col("path").rlike(IMAGE_FILES))
@@ -62,7 +71,7 @@ def read_run_json(spark: SparkSession, runs_root: str, name: str = "state.json",
 
 def read_log_tail(spark: SparkSession, path: str, chars: int = 800) -> DataFrame:
     """(file, tail): the last characters of each text file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.right("value", F.lit(chars)).alias("tail"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.right("value", F.lit(chars)).alias("tail"))
 
 
 def write_summary(df: DataFrame, path: str, kind: str = "csv") -> None:

@@ -87,6 +87,36 @@ def test_confidence_filter(spark):
     assert status == "relaxed" and kept.count() >= 3 and tau < 0.9
 
 
+def test_exact_lowest_of_nulls_and_ties(spark, monkeypatch):
+    """Null and NaN scores come last, huge ties are cut by id, and the cut is narrowed in several rounds."""
+    from shiftweight.operators import ranges
+
+    monkeypatch.setattr(ranges, "SMALL", 10)
+    nan = float("nan")
+    rows = [(i, 0.5 if i % 3 == 0 else i / 1000.0) for i in range(900)] + [(1000, None), (1001, nan), (-1, 0.5), (-2, None)]
+    df = spark.createDataFrame(rows, "sample_id int, s double").repartition(5)
+    known = [r for r in rows if r[1] is not None and r[1] == r[1]]
+    for down in (False, True):
+        order = [i for i, _ in sorted(known, key=lambda r: (-r[1] if down else r[1], r[0]))]
+        for n in (0, 1, 7, 250, 480, 560, 899, 901):
+            assert sorted(r.sample_id for r in select.exact_lowest(df, "s", n, descending=down).collect()) == sorted(order[:n]), (down, n)
+        assert select.exact_lowest(df, "s", 903, descending=down).count() == 903 and select.exact_lowest(df, "s", 2000, descending=down).count() == 904
+    few = spark.createDataFrame([(1, None), (2, 0.1), (3, 0.5), (4, 0.9)], "sample_id int, entropy double")
+    assert sorted(r.sample_id for r in select.low_entropy_keep(few, 0.5).collect()) == [2, 3]
+    best = sorted((s for _, s in known), reverse=True)
+    assert select.relaxed_threshold(df, "maxprob", 300, "s") == best[299] and select.relaxed_threshold(df, "entropy", 450, "s") == best[::-1][449]
+    assert select.relaxed_threshold(df, "entropy", 5000, "s") == best[0] and select.relaxed_threshold(df.limit(0), "entropy", 5, "s") is None
+
+
+def test_block_mmd_is_the_mean_of_blocks(spark):
+    rng = np.random.default_rng(1)
+    frame = lambda m: spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(m)], "sample_id int, x array<double>")
+    a, b = rng.normal(size=(300, 3)), rng.normal(size=(260, 3)) + 1
+    near, far = (align.block_mmd(frame(a), frame(m), ["x"], block_rows=100).first() for m in (a[::-1], b))
+    assert far.blocks == 2 and far.mmd > 3 * near.mmd
+    assert np.isclose(align.block_mmd(frame(a), frame(b), ["x"]).first().mmd, align.mmd_matrix([a], [b]))
+
+
 def test_exact_lowest_and_pseudo(spark):
     rng = np.random.default_rng(3)
     s = np.round(rng.random(500), 2)

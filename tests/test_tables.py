@@ -17,7 +17,7 @@ def one(spark, *cols):
 
 
 def test_manifest_and_mismatch(spark, tmp_path):
-    for dom, classes in {"Art": ["a", "b"], "Clipart": ["a", "c"]}.items():
+    for dom, classes in {"Clipart": ["bike", "sofa"], "Product": ["bike", "oven"]}.items():
         for c in classes:
             (tmp_path / dom / c).mkdir(parents=True)
             for i in range(4):
@@ -25,10 +25,10 @@ def test_manifest_and_mismatch(spark, tmp_path):
             (tmp_path / dom / c / "notes.txt").write_text("no image")
     m = files.read_image_manifest(spark, str(tmp_path))
     assert m.count() == 16 and m.select("domain").distinct().count() == 2
-    bad = {(r.class_name, r.missing_in) for r in prep.class_mismatch(m.filter("domain = 'Art'"), m.filter("domain = 'Clipart'")).collect()}
-    assert bad == {("b", "target"), ("c", "source")}
+    bad = {(r.class_name, r.missing_in) for r in prep.class_mismatch(m.filter("domain = 'Clipart'"), m.filter("domain = 'Product'")).collect()}
+    assert bad == {("sofa", "target"), ("oven", "source")}
     with pytest.raises(ValueError):
-        prep.assert_same_classes(m.filter("domain = 'Art'"), m.filter("domain = 'Clipart'"))
+        prep.assert_same_classes(m.filter("domain = 'Clipart'"), m.filter("domain = 'Product'"))
     prep.assert_same_classes(m, m)
     ids = prep.sample_index(m.select("path")).orderBy("path").collect()
     assert [r.sample_id for r in ids] == list(range(16))
@@ -79,31 +79,77 @@ def test_write_and_read(spark, tmp_path):
 
 def test_upsert(spark):
     new = spark.createDataFrame([("a", 2, 1)], "run_id string, v int, row_no int")
-    old = spark.createDataFrame([("a", 1, 0), (None, 7, 1), ("", 7, 2), (" ", 8, 3)], "run_id string, v int, row_no int")
+    old = spark.createDataFrame([("a", 1, 0), (None, 7, 1), ("", 7, 2), (" ", 8, 3), (" a", 9, 4), ("b\t", 5, 5), ("b", 6, 6)], "run_id string, v int, row_no int")
     out = runs.upsert_rows(old, new).collect()
-    assert sorted(r.v for r in out) == [2, 7, 8] and all(r.run_id.strip() for r in out)
+    assert sorted(r.v for r in out) == [2, 6, 7, 8] and all(r.run_id.strip() for r in out)
     again = runs.upsert_rows(runs.upsert_rows(old, new), new).collect()
     assert sorted(r.run_id for r in again) == sorted(r.run_id for r in out)
     with pytest.raises(Exception, match="without key"):
         runs.upsert_rows(old, spark.createDataFrame([("", 2, 1)], "run_id string, v int, row_no int")).collect()
 
 
+def test_upsert_into_a_table_without_key(spark):
+    """Rows get the hash of their JSON; columns of the new side come first."""
+    old = spark.createDataFrame([("é", "1", 0), ("é", "1", 1), (None, "2", 2)], "z string, b string, row_no int")
+    out = runs.upsert_rows(old, spark.createDataFrame([("k", "3", 0)], "run_id string, b string, row_no int"))
+    assert out.columns == ["run_id", "b", "row_no", "z"]
+    key = lambda row: hashlib.sha1(json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:10]
+    assert sorted((r.run_id, r.row_no) for r in out.collect()) == sorted([(key({"z": "é", "b": "1"}), 1), (key({"z": "", "b": "2"}), 2), ("k", 0)])
+
+
 def test_run_ids(spark):
-    a, b = {"dataset": "office home", "algorithm": "a/b", "lr": 0.001, "seed": 1}, {"seed": 1, "lr": 0.001, "algorithm": "a/b", "dataset": "office home"}
-    r = one(spark, S.encode_run_id(F.lit(json.dumps(a))).alias("x"), S.encode_run_id(F.lit(json.dumps(b))).alias("y"), S.run_hash(F.lit(json.dumps(b))).alias("h"))
-    assert r.x == r.y and " " not in r.x and "/" not in r.x
-    assert r.h == hashlib.sha1(S.canonical_json(a).encode()).hexdigest()[:10]
-    m = one(spark, S.decode_run_id(F.lit(r.x)).alias("m")).m
-    assert m["algorithm"] == "a-b" and m["seed"] == "1"
+    made = lambda config: one(spark, S.encode_run_id(F.lit(json.dumps(config))).alias("x")).x
+    a = {"dataset": "office home", "algorithm": "a/b", "lr": 0.001, "seed": 1}
+    assert made(a) == made(dict(reversed(a.items())))
+    assert made(a).startswith("ds=officehome__alg=a-b__seed=1__lr=0.001__h=") and len(made(a).split("h=")[1]) == 8
+    full = {"meiis_K": 5, "weight_decay": 0.0, "lr": 0.001, "pretrained": True, "seed": 0, "algorithm": "ME_IIS", "eval_split": "test", "split_mode": "uda_target", "dataset": "camelyon17", "meiis_tau": None, "other": "x"}
+    assert made(full).startswith("ds=camelyon17__split=uda_target__eval=test__alg=ME_IIS__seed=0__pt=1__lr=0.001__wd=0__K=5__h=")
+    odd = {"algorithm": "  é ü  ", "lr": 1e-7, "weight_decay": 123456789.0, "optimizer": "a\\b+c=d", "pretrained": False}
+    assert made(odd).startswith("alg=-__pt=0__opt=a\\b-c=d__lr=1e-07__wd=1.23457e08__h=")
+    h = one(spark, S.run_hash(F.lit(json.dumps(a))).alias("h")).h
+    assert h == hashlib.sha1(S.canonical_json(a).encode()).hexdigest()[:10]
+    m = one(spark, S.decode_run_id(F.lit(made(full))).alias("m")).m
+    assert m["split_mode"] == "uda_target" and m["pretrained"] == "1" and m["meiis_K"] == "5" and "meiis_tau" not in m
+
+
+def test_checkpoint_names(spark):
+    part = lambda v: F.lit(v)
+    name = lambda method, adapted: one(spark, S.make_ckpt_name(part(method), part("d"), part("Ar"), part("Rw"), part(3), part(50), part(10), part(32), adapted).alias("n")).n
+    adapted = {"layers": F.array(part("layer3"), part("layer4")), "gmm_max": part(6), "iis_tol": part("1e-05")}
+    assert name("dann", adapted) == name("dann", None) == "dann__d__Ar2Rw__seed3__Esrc50__Ead10__bs32.pt"
+    long = name("me_iis", adapted)
+    assert long == "me_iis__d__Ar2Rw__seed3__Esrc50__Ead10__bs32__layerslayer3-layer4__gmm2-6__iis15-1e-05.pt"
+    c = one(spark, S.decode_ckpt_name(F.lit("some/where/" + long)).alias("c")).c
+    assert (c.raw, c.method, c.src, c.tgt, c.seed, c.epochs_source, c.batch_size) == (long[:-3], "me_iis", "Ar", "Rw", 3, "50", "32")
+    assert (c.gmm_min, c.gmm_max, c.iis_iters, c.iis_tol, c.error) == (2, 6, 15, 1e-05, None)
+    for bad in ("x.pt", "a__b__ArCl__seed1__Esrc1__Ead1__bs1.pt", "a__b__A2B__seedx__Esrc1__Ead1__bs1.pt", None):
+        assert one(spark, S.decode_ckpt_name(F.lit(bad).cast("string")).alias("c")).c.error == "unable to decode"
+
+
+def test_shared_class_index(spark):
+    rows = [(d, c) for d in ("A", "D", "W") for c in ("mug", "bike", "pen")] + [("X", "mug")]
+    m = spark.createDataFrame(rows, "domain string, class_name string")
+    for pair in (("D", "A"), ("W", "D")):
+        assert {r.class_name: r.idx for r in prep.shared_class_index(m, *pair).collect()} == {"bike": 0, "mug": 1, "pen": 2}
+    with pytest.raises(ValueError):
+        prep.shared_class_index(m, "X", "D")
+
+
+def test_sample_index_of_ties_and_nulls(spark):
+    rows = [(None,)] * 3 + [("m",)] * 50 + [(f"k{i:04d}",) for i in range(500)]
+    out = prep.sample_index(spark.createDataFrame(rows, "path string").repartition(7), parts=20).collect()
+    assert sorted(r.sample_id for r in out) == list(range(553))
+    assert [r.path for r in sorted(out, key=lambda r: r.sample_id)] == sorted((r[0] for r in rows), key=lambda v: (v is not None, v or ""))
+    assert prep.sample_index(spark.createDataFrame([], "path string")).count() == 0
 
 
 def test_components_map(spark):
     layers = F.array(*map(F.lit, ["layer3", "layer4", "avgpool"]))
     get = lambda over: one(spark, S.components_map(layers, 5, F.lit(over)).alias("m")).m
     assert get("") == {"layer3": 5, "layer4": 5, "avgpool": 5}
-    assert get("layer3:10,layer4:3") == {"layer3": 10, "layer4": 3, "avgpool": 5}
-    assert get("7,8,9") == {"layer3": 7, "layer4": 8, "avgpool": 9}
-    for bad in ("7,8", "layerX:10", "layer3:0"):
+    assert get(" avgpool: 2 ,layer3:11") == {"layer3": 11, "layer4": 5, "avgpool": 2}
+    assert get("4, 6,12") == {"layer3": 4, "layer4": 6, "avgpool": 12}
+    for bad in ("4,6,12,1", "stem:3", "avgpool:-1"):
         with pytest.raises(Exception):
             get(bad)
 

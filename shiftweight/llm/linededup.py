@@ -18,15 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import spread_join, written
 
 #: Cuts: behind a line break, a full-width sentence end, or a sentence end with a space; not before a line break.
 CUT = r"(?<=[ \n。！？])(?<![^.!?] )(?<!\A )(?!\r?\n)"
 SPACE = " \t\r\n"
 #: Bytes of a line for each unit of its weight.
 BYTES = 6
-#: No task of a join on hashes gets more than one of so many parts of its rows by one key.
-PARTS = 1024
 
 
 def _lines(text: Column) -> Column:
@@ -52,19 +50,6 @@ def _windows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p", (F.col("i") + F.array_position(window, F.col("f")) - 1).cast("int"))
 
 
-def _shared(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column) -> DataFrame:
-    """Join rows with ``groups`` (keys, n = number of their rows).
-
-    Rows of a key with more than one of PARTS parts of all rows are dealt by ``spread`` over as many copies of its
-    group as that takes. At most PARTS keys are so frequent, so they can be broadcast.
-    """
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    copies = F.ceil(F.col("n") * PARTS / F.lit(float(max(total, 1)))).cast("int")
-    frequent = groups.filter(copies > 1).select(*keys, copies.alias("copies"))
-    dealt = rows.join(F.broadcast(frequent), keys, "left").withColumn("copy", F.coalesce(F.pmod(spread, F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-    return dealt.join(groups.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("n"), [*keys, "copy"]).drop("copy")
-
-
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12) -> DataFrame:
     """(doc_id, th, n_lines, ranges): the line ranges [lo, hi] of each document that stood at an earlier place.
 
@@ -87,7 +72,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     prints = found.filter(new).select("row", "doc_id", "th", "f", "i", "p")
     place = F.xxhash64("doc_id", "th", "p")
     repeated = prints.groupBy("f").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("n > 1 AND a < b").select("f", "n")
-    joined = _shared(prints.select("row", "f", "i", "p"), written(repeated), ["f"], F.xxhash64("row", "p"))
+    joined = spread_join(prints.select("row", "f", "i", "p"), written(repeated), ["f"], F.xxhash64("row", "p"))
 
     # Extension: the windows that hold a joined position, each alone and with the lines behind it that it does not
     # need its first line to reach (those are in the next window).
@@ -103,7 +88,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     place = F.struct("doc_id", "th", "lo")
     first = written(runs.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
-    again = _shared(runs, first, ["k", "c"], F.xxhash64("doc_id", "th", "lo")).filter(place > F.col("first")).select("doc_id", "th", "lo", "hi")
+    again = spread_join(runs, first, ["k", "c"], F.xxhash64("doc_id", "th", "lo")).filter(place > F.col("first")).select("doc_id", "th", "lo", "hi")
     sizes = prepared.groupBy("doc_id", "th").agg(F.max("n_lines").alias("n_lines"))
     ranges = _merged(again).select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "ranges")
     return sizes.join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th")
@@ -140,7 +125,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     gaps = F.transform("ranges", lambda r, j: F.slice("units", begin(j) + 1, r["lo"] - begin(j)))
     tail_from = F.element_at("ranges", -1)["hi"] + 1
     tail = F.slice("units", tail_from + 1, F.greatest(F.size("units") - tail_from, F.lit(0)))
-    kept = F.when(F.col("ranges").isNull(), old).otherwise(F.array_join(F.concat(F.flatten(gaps), tail), ""))
+    # rand() changes nothing; it keeps Catalyst from putting this text together again in each filter or column that uses it.
+    kept = F.when(F.col("ranges").isNull(), old).when(F.rand() >= 0, F.array_join(F.concat(F.flatten(gaps), tail), ""))
     removed = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0).cast("long"))
     columns = [kept.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c not in into]
     return rows.select(*columns, F.col("n_lines").alias(into[0]), removed.alias(into[1]))

@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     regard to labels train the classifier on what the label model says of them. A word enters the lexicon if enough
     rows have it (five, or a tenth of the toxic rows if that is less, but two at least), most of them toxic and beyond
     chance. Null labels teach nothing; a doc_id with several labels has any of them. Without toxic or without clean
-    documents every score is the same.
+    labels every score is 0 or 1; without documents of both, it is the share of toxic labels.
     """
     spark = docs.sparkSession
     rated = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     others = unlabelled if (n := patterns.agg(F.sum("n")).first()[0] or 0) <= most_others else source.filter(unit_hash(F.col("doc_id"), F.col("text")) < most_others / n).select("text", F.lit(None).cast("int").alias("label")).limit(2 * most_others)
     found = pd.concat([voted(known.limit(4 * most_per_class)).toPandas(), voted(others).toPandas()], ignore_index=True)
     if found["label"].nunique() < 2:
-        return constant(20.0 if (found["label"] == 1).any() else -20.0)
+        return constant(float(np.log(share[1] / share[0])))
     unpack = lambda column, kind: np.frombuffer(b"".join(found[column]), kind).reshape(len(found), -1)
     v = np.unpackbits(unpack("v", np.uint8), axis=1)[:, :m].astype(np.float32)
     gold = found["label"].to_numpy(np.float64, na_value=np.nan)
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "t
     Null and empty texts have no lexicon word and are scored as such. Only the text is used. A map over partitions.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("scored"))
+    source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("scored text of " + "/".join(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

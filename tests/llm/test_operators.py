@@ -74,6 +74,13 @@ def reference_jump(key, n):
     return b
 
 
+def test_contamination_of_one_word_over_and_over(spark):
+    """A word 20,000 times against an item of the same word 400 times: equal fingerprints join once."""
+    docs = frame(spark, [(1, "ha " * 20000), (2, "ha " * 8), (3, "ha " * 11)])
+    found = {x.doc_id: x for x in decontam.find_contamination(docs, spark.createDataFrame([("a", "ha " * 400), ("b", "ha ho")], "item_id string, text string")).collect()}
+    assert {i: (x.n_hit, x.item_ids) for i, x in found.items()} == {1: (20000, ["a"]), 2: (0, []), 3: (11, ["a"])}
+
+
 def test_jump_hash_and_sharding(spark):
     keys = np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
     for n in (1, 2, 16, 17):
@@ -107,6 +114,14 @@ def _next(row, i, x, b):
     return out
 
 
+def test_sharding_of_hot_rows(spark):
+    """A row 30,000 times, and one doc_id with as many texts: slots without gaps."""
+    rows = spark.range(30000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.range(30000).select(F.lit(6).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")))
+    out = sharding.shard_documents(rows, 2).toPandas()
+    assert len(out) == 60000 and out.groupby("doc_id").shard.nunique().max() == 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 def test_piecewise_fingerprints(spark):
     r = random.Random(5)
     sigs = ["".join(r.choice(ctph.ALPHABET[:4]) for _ in range(r.randint(0, 64))) for _ in range(80)]
@@ -467,3 +482,16 @@ def test_warc(spark, tmp_path):
     assert list(warc.frames(plain)) == [good, good]
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.round_trip(empty).isEmpty()
+
+
+def test_warc_of_a_shared_payload_and_archives_left_behind(spark, tmp_path):
+    """Half of the pages are empty; what a lost attempt has written is not read."""
+    rows = [(i, f"http://x/{i}", None if i % 4 == 0 else "" if i % 2 == 0 else f"<p>{i}</p>") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(c) for c in ("sha1", "n", "first", "copy", "payload", "uri")})
+    folder = str(tmp_path / "w")
+    listed = warc.write_archives(pages, folder)
+    name = listed.first().archive
+    (tmp_path / "w" / ("part-000099-000000007-" + name[-18:])).write_bytes((tmp_path / "w" / name).read_bytes())
+    back = warc.read_listed(listed, folder).collect()
+    assert sorted(int(x.page) for x in back) == list(range(400)) and warc.read_archives(spark, folder).count() > 400
+    assert sum(x.record_type == "revisit" for x in back) == 199 and {x.refers_to for x in back if x.record_type == "revisit"} == {"0"}

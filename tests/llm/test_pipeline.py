@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -88,3 +89,27 @@ def test_near_duplicates_tell_groups_apart_without_doc_ids(spark):
 def test_run_equals_the_stages(spark, folder):
     d, docs, _ = folder
     assert {x.doc_id for x in corpus_pipeline.run(spark, d).collect()} == (set(range(40, 120)) | {500, 501}) - {101, 60}
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Columns called as what stages use inside, null and repeated doc_ids, repeated rows, empty tables."""
+    d, docs, passage = folder
+    names = "toxicity n_lines n_removed key units ranges doc i h th k_id k_th h_id h_th component scored n_tokens ids ids_sha256 decoded_sha256 n_words spans _key _th".split()
+    kept = docs[100].split(" ", 1)[1]
+    rows = [(7, docs[50]), (7, docs[51]), (7, docs[51]), (None, docs[52]), (None, kept), (None, None), (8, ""), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(f"x {n}") for n in names})
+    have = table
+    for name, stage in corpus_pipeline.STAGES:
+        have = corpus_pipeline.written(stage(spark, have, d))
+        got = have.collect()
+        assert all(x[n] == f"x {n}" for x in got for n in names if name != "bpe" or n in ("toxicity", "n_removed", "component", "_key")), name
+        if name != "bpe":
+            assert have.columns == table.columns
+            # Repeated rows are one document for line dedup and one row behind near duplicates.
+            want = [r for r in rows if r != (7, docs[51])] + [(7, docs[51])] * (2 if name in ("toxicity", "line_dedup") else 1)
+            assert sorted((x.doc_id or -1, x.text or "") for x in got) == sorted((i or -1, t or "") for i, t in want), name
+    assert len(got) == 7
+    none = table.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = corpus_pipeline.written(stage(spark, none, d))
+        assert none.isEmpty(), name

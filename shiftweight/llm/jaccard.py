@@ -220,8 +220,16 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     reps = written(base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min("row").alias("rid")))
     unique = written(base.select(F.col("row").alias("rid"), "doc_id", "th", "n").join(reps.select("rid"), "rid"))
 
-    often = source.select("text").mapInArrow(_prefix_tokens(shingle, percent), "token bigint").groupBy("token").count().filter(F.col("count") > FREQUENT)
-    often = often.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
+    counts = source.select("text").mapInArrow(_prefix_tokens(shingle, percent), "token bigint").groupBy("token").count().filter(F.col("count") > FREQUENT)
+    counts = written(counts.withColumn("level", F.floor(8 * F.log2("count")).cast("int")))
+    # The lowest level from which on no more than MOST_FREQUENT tokens are left: the driver sees a number per level.
+    above, least = 0, 1 << 30
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        above += r.n
+        if above > MOST_FREQUENT:
+            break
+        least = r.level
+    often = counts.filter(F.col("level") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     names = unique.select("rid", F.col("doc_id").alias("u_id"), F.col("th").alias("u_th"), "n")
     keys = source.mapInArrow(_key_rows(shingle, percent, frequent), T.StructType([*key, T.StructField("keys", T.ArrayType(T.LongType()))]))

@@ -158,6 +158,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_
     spark = docs.sparkSession
     benchmark = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     prints = benchmark.mapInArrow(_item_rows(window), "item_id string, t int, h bigint, item_words array<bigint>")
+    # An item that repeats itself has equal fingerprints in equal surroundings: one is enough to find and to extend.
+    prints = prints.distinct()
     lengths = sorted(r.t for r in prints.select("t").distinct().collect())  # at most ``window`` values
     slots = prints.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
     bits = np.zeros(1 << FILTER_BITS, bool)

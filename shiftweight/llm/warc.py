@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._features import unit_hash
-from ._store import shared_folder, written
+from ._store import shared_folder, spread_join, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -128,13 +128,14 @@ def _write(folder: str, dictionary, date: str):
         fs, base = pa.fs.FileSystem.from_uri(folder)
         raw = dictionary.value
         writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=True, write_content_size=True)
-        part, number, out, size, records, temporary = TaskContext.get().partitionId(), 0, None, 0, 0, ""
+        task = TaskContext.get()
+        part, number, out, size, records, temporary = f"{task.partitionId():06d}-{task.taskAttemptId():09d}", 0, None, 0, 0, ""
 
         def close() -> pa.RecordBatch:
-            """The name says the partition only: a repeated task replaces its own archives."""
+            """The name holds the attempt: what a lost attempt left behind is in no list and is not read."""
             nonlocal out, number
             out.close()
-            name = f"part-{part:06d}-{number:04d}.warc.zst"
+            name = f"part-{part}-{number:04d}.warc.zst"
             fs.move(temporary, f"{base}/{name}")
             out, number = None, number + 1
             return pa.RecordBatch.from_pydict({"archive": [name], "records": [records], "bytes": [size]}, schema=pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
@@ -168,14 +169,15 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     a page_id. Rows that repeat a page_id with one payload are responses alike. Other columns are ignored.
 
     Scale: payload digests are counted with partial sums, so a payload that millions of pages share costs one row per
-    task; only digests that repeat are joined back. Archives have a bounded size, whatever a task holds.
+    task; digests that repeat are joined back, and pages that share one are spread over tasks. Archives have a bounded
+    size, whatever a task holds.
     """
     body = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("uri"), body.alias("payload")).withColumn("sha1", F.sha1("payload"))
     large = rows.filter(F.octet_length("payload") >= least_bytes)
-    first = large.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(large.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     told = F.when(F.octet_length("payload") >= least_bytes, F.nullif(F.col("first"), F.col("page_id")))
-    linked = rows.join(first, "sha1", "left").select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "uri", "payload", "sha1", told.cast("string").alias("refers_to"))
+    linked = spread_join(rows, first, ["sha1"], F.xxhash64("page_id", "uri"), "left").select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "uri", "payload", "sha1", told.cast("string").alias("refers_to"))
     # About SAMPLE_ROWS rows by hash: what reaches the driver does not grow with the number of tasks.
     share = min(1.0, SAMPLE_ROWS / max(pages.count(), 1))
     sample = rows.filter((unit_hash(F.col("page_id")) < share) & (F.octet_length("payload") <= 1 << 16)).orderBy(F.xxhash64("page_id"), "sha1").select("payload")
@@ -204,6 +206,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+RECORDS = "page string, uri string, record_type string, payload_digest string, payload_bytes bigint, refers_to string, payload binary"
+
+
+def read_listed(archives: DataFrame, folder: str) -> DataFrame:
+    """Records as of ``read_archives``, of the archives that a table (archive) names; others in the folder are not opened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as file:  # frames are read one by one
+                    content = file.read()
+                yield from _read(iter([pa.RecordBatch.from_pydict({"path": [f"{base}/{name}"], "content": pa.array([content], pa.large_binary())})]))
+
+    return archives.select("archive").repartition(max(1, min(archives.count(), 1 << 15)), "archive").mapInArrow(run, RECORDS)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page, uri, record_type, payload_digest, payload_bytes, refers_to, payload) of all records in a folder.
 
@@ -211,14 +230,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     fails the job with the archive's path. A folder without archives gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    return files.mapInArrow(_read, "page string, uri string, record_type string, payload_digest string, payload_bytes bigint, refers_to string, payload binary")
+    return files.mapInArrow(_read, RECORDS)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all pages to archives in the shared folder and read them back; ``page_id`` has its type again."""
     spark = pages.sparkSession
     folder = shared_folder(spark)
-    write_archives(pages, folder, page_id, url, html)
+    archives = write_archives(pages, folder, page_id, url, html)
     kind = pages.schema[page_id].dataType
     back = lambda c: F.nullif(F.col(c), F.lit("")).cast(kind)
-    return read_archives(spark, folder).withColumns({"page_id": back("page"), "refers_to": back("refers_to")}).drop("page")
+    return read_listed(archives, folder).withColumns({"page_id": back("page"), "refers_to": back("refers_to")}).drop("page")

@@ -241,6 +241,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
     """Columns ``keep`` and (n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text, one row per input row.
 
     Null and empty texts have no tokens and decode to the empty text. Special tokens in a text are encoded as such.
+    A word without a break, however long, is encoded whole; it takes a pass over it for each merge rank in it.
     ``path`` names a tokenizer file that only the driver opens. Columns not in ``keep`` are ignored. A map over
     partitions: nothing is shuffled.
     """

@@ -142,7 +142,10 @@ def likeness(a: list[str], b: list[str]) -> list[float]:
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every whole text; a null text counts as empty."""
+    """(doc_id, fingerprint) of every whole text; a null text counts as empty.
+
+    Other columns are ignored, whatever their names; repeated rows give a row each. A map over partitions.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

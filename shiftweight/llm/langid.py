@@ -85,7 +85,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id:
     """(doc_id, lang_pred, score, ambiguous) of every whole text, one row per input row.
 
     A text that is null or has no letter is ``und`` with score 0, as is everything if the model has no language.
-    ``ambiguous`` marks a lead of less than ``ambiguous_below`` over the second language. Only the text is used.
+    ``ambiguous`` marks a lead of less than ``ambiguous_below`` over the second language. Only the text is used;
+    other columns are ignored, whatever their names, and repeated rows give a row each.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

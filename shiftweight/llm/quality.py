@@ -81,7 +81,8 @@ def rate(docs: DataFrame, model: OrdinalModel, least_grade: int = 1, least_proba
     """(doc_id, expected_grade, tail_probability, selected) of every whole text, one row per input row.
 
     ``tail_probability`` is P(grade >= least_grade); ``selected`` where it reaches ``least_probability``. Null and empty
-    texts have no feature: they get the model's value for a score of zero. Only the text is used.
+    texts have no feature: they get the model's value for a score of zero. Only the text is used; other columns are
+    ignored, whatever their names, and repeated rows give a row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

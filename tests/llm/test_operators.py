@@ -9,11 +9,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from shiftweight.llm import _graph, bpe, ctph, decontam, jaccard, langid, linededup, quality, sharding, toxicity, warc
+from shiftweight.llm import _graph, _text, bpe, ctph, decontam, jaccard, langid, linededup, quality, sharding, toxicity, warc
 
 WORDS = ["the", "cat", "Sat", "on", "a", "mat", "dog", "ran", "far", "Éa", "ñu", "x1", "zz"]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int, th string, key string, shard string, n_words string, component_id string"
@@ -175,6 +176,39 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).isEmpty()
 
 
+def fingerprint_by_bytes(text):
+    """One text, byte by byte, with Python's integers."""
+    data, m32, m64 = text.encode(), (1 << 32) - 1, (1 << 64) - 1
+    weights, base = [int(w) for w in ctph._WEIGHTS], 0x9E3779B97F4A7C15
+    levels = []
+    for i in range(len(data)):
+        h = sum((data[i - j] + 1) * weights[j] for j in range(ctph.ROLL) if j <= i) & m32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & m32
+        h ^= h >> 13
+        levels.append(next(k for k in range(32) if (h | 1 << 31) >> k & 1))
+    own = next(k for k in range(32) if sum(x >= k for x in levels) < ctph.LONGEST)
+    out = [str(own)]
+    for level in range(own, own + ctph.LEVELS):
+        ends = sorted({i + 1 for i, x in enumerate(levels) if x >= level} | {len(data)}) if data else []
+        sign = ""
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            h = sum((data[k] + 1) * pow(base, k - lo, 1 << 64) for k in range(lo, hi)) & m64
+            h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & m64
+            h = (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & m64
+            sign += ctph.ALPHABET[(h ^ h >> 32) & 63]
+        out.append(sign)
+    return ":".join(out)
+
+
+def test_fingerprints_by_bytes(spark):
+    r = random.Random(12)
+    texts = ["", "a", "é", "ab" * 300] + [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 500))) for _ in range(25)]
+    assert ctph.fingerprints(texts) == [fingerprint_by_bytes(t) for t in texts]
+    found = {x.doc_id: x.fingerprint for x in ctph.fingerprint_documents(frame(spark, [*enumerate(texts), (99, None)])).collect()}
+    assert found == {**dict(enumerate(map(fingerprint_by_bytes, texts))), 99: fingerprint_by_bytes("")}
+
+
 def lines_of(text):
     """Lines by a scan over characters."""
     out, begin = [], 0
@@ -342,6 +376,22 @@ def test_bpe_equals_library(spark):
     assert back == {1: t.decode(rows[0].ids, skip_special_tokens=False), 2: None}
 
 
+def test_bpe_of_long_words_and_odd_tables(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(P.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(path)
+    t.no_truncation(), t.no_padding()
+    r = random.Random(15)
+    long = "".join(r.choice("etaoinshrdlu") for _ in range(20_000))
+    docs = frame(spark, [(1, long), (1, long), (2, "a" * 5000), (None, None)]).withColumn("n_tokens", F.lit("x"))
+    rows = bpe.encode_documents(docs, path, ["doc_id"]).collect()
+    assert sorted(len(x.ids) for x in rows) == sorted(len(t.encode(s, add_special_tokens=False).ids) for s in (long, long, "a" * 5000, ""))
+    assert next(x.ids for x in rows if x.doc_id == 1) == t.encode(long, add_special_tokens=False).ids
+    assert bpe.encode_documents(docs.limit(0), path, ["doc_id"]).isEmpty()
+
+
 def auc(y, s):
     order = np.argsort(np.argsort(s)) + 1
     pos = y.sum()
@@ -366,6 +416,45 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.identify(test, empty).collect()} == {"und"}
 
 
+def test_language_decoding_by_loops(spark):
+    """Nearest codeword by plain loops; codes tell all languages apart by many bits; odd tables."""
+    r = np.random.default_rng(13)
+    for k in range(2, 8):
+        code = langid.codewords(k)
+        assert min((code[i] != code[j]).sum() for i in range(k) for j in range(i)) == max(1, 2 ** (k - 2))
+    k, dims = 4, 12
+    m = langid.LanguageModel(list("abcd"), langid.codewords(k), r.normal(size=(dims, 7)), r.normal(size=7), r.uniform(0.2, 1, 7))
+    x = r.normal(size=(40, dims))
+    best, score, lead = m.decode(x)
+    for i in range(40):
+        margin = [sum(x[i, d] * m.weights[d, b] for d in range(dims)) + m.bias[b] for b in range(7)]
+        loss = [sum(m.trust[b] * np.log1p(np.exp(-m.code[c, b] * margin[b])) for b in range(7)) for c in range(k)]
+        p = sorted(np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum())
+        assert best[i] == int(np.argmin(loss)) and np.isclose(score[i], p[-1]) and np.isclose(lead[i], p[-1] - p[-2])
+    docs = frame(spark, [(1, "kalomi kalomi"), (1, "kalomi kalomi"), (2, "strend"), (None, None)]).withColumn("lang", F.when(F.col("doc_id") == 1, "aa").when(F.col("doc_id") == 2, "bb")).withColumn("lang_pred", F.lit("x"))
+    model = langid.fit(docs)
+    assert sorted(x.lang_pred for x in langid.identify(docs, model).collect()) == ["aa", "aa", "bb", "und"]
+    assert langid.identify(docs.limit(0), model).isEmpty() and langid.fit(docs.limit(0)).languages == []
+
+
+def test_quality_by_loops(spark):
+    """Tails by plain loops; thresholds that fit make mean tails the shares of the grades; odd tables."""
+    r = random.Random(14)
+    make = lambda g: " ".join(r.choice(WORDS) + "!" * (r.random() < (0.5, 0.3, 0.1)[g]) for _ in range(30))
+    rows = [(i, make(i % 3), i % 3) for i in range(300)]
+    docs, ratings = frame(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id bigint, grade int")
+    model = quality.fit(docs, ratings, steps=400)
+    data, off = _text.buffers(pa.array([t for _, t, _ in rows]))
+    x = quality.shapes_and_words(data, off, quality.DIMS)
+    tails = [[1 / (1 + np.exp(-(sum(float(a) * float(b) for a, b in zip(row, model.weights, strict=True) if a) - t))) for t in model.thresholds] for row in x]
+    assert np.abs(np.mean(tails, axis=0) - [2 / 3, 1 / 3]).max() < 0.02
+    got = {q.doc_id: q for q in quality.rate(docs.withColumn("selected", F.lit(1)), model, least_grade=2).collect()}
+    assert all(np.isclose(got[i].expected_grade, sum(tails[i]), atol=1e-4) and np.isclose(got[i].tail_probability, tails[i][1], atol=1e-4) for i in range(300))
+    hot = docs.filter("doc_id < 30").unionByName(spark.range(5000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("so! hot!").alias("text")), allowMissingColumns=True)
+    assert quality.rate(hot, quality.fit(hot, ratings, most_per_grade=50)).count() == 5030
+    assert quality.rate(docs.limit(0), model).isEmpty() and not quality.fit(docs.limit(0), ratings).weights.any()
+
+
 def test_quality_is_ordinal(spark):
     r = random.Random(10)
     junk = ["%s!!!", "%s | x", "%s###"]

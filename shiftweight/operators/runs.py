@@ -192,6 +192,7 @@ def upsert_rows(existing: DataFrame, new: DataFrame, key: str = "run_id", order:
 
 def metrics_row(run: DataFrame) -> DataFrame:
     """The metrics columns of runs, accuracies rounded to six digits, missing settings as null."""
+    # The columns of a metrics file, in their order.
     fields = ["dataset", "src", "tgt", "method", "run_id", "seed", "source_acc", "target_acc", "epochs_source", "epochs_adapt", "backbone", "batch_size", "lr", "timestamp", "git_sha", "lr_backbone", "lr_classifier", "classifier_lr", "backbone_lr_scale", "weight_decay", "deterministic", "transforms_id", "method_params_json"]
     pick = lambda c: F.round(F.col(c), 6).alias(c) if c.endswith("_acc") and c in run.columns else F.col(c) if c in run.columns else F.lit(None).cast("string").alias(c)
     return run.select(*[pick(c) for c in fields])

@@ -106,6 +106,15 @@ def s6(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("s6_write_best_by_val", runs_sql("SELECT upper(method) AS algorithm, run_id, round(val_acc, 6) AS val_acc FROM runs QUALIFY row_number() OVER (PARTITION BY upper(method) ORDER BY val_acc DESC, row_no) = 1"))
+def s6b(spark, d):
+    """The best run of each algorithm as one JSON object, read back."""
+    path = S.shared_folder(spark)
+    S.write_best_by_val(R.best_by_val(X.runs(spark, d)).select("method", "run_id", "val_acc", "status"), path)
+    back = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<run_id: string, val_acc: double>>")).alias("algorithm", "best"))
+    return back.select("algorithm", "best.run_id", F.round("best.val_acc", 6).alias("val_acc"))
+
+
 @query("s7_write_weights", features_sql("SELECT 'weights' AS name, count(*) AS n, sum(sample_id)::DOUBLE AS x FROM s WHERE domain = 'source' UNION ALL SELECT 'iis_history', 3, 3"))
 def s7(spark, d):
     weights = X.samples(spark, d).filter("domain = 'source'").select("sample_id", (F.col("sample_id") * 1.0).alias("w"))

@@ -80,6 +80,16 @@ def write_summary(df: DataFrame, path: str, kind: str = "csv") -> None:
     {"csv": lambda: writer.option("header", True).csv(path), "json": lambda: writer.json(path), "parquet": lambda: writer.parquet(path)}[kind]()
 
 
+def write_best_by_val(best: DataFrame, path: str, algorithm: str = "method") -> None:
+    """One JSON object: for each algorithm (upper case, sorted) the other columns of its best run. ``best`` has a row per algorithm."""
+    fields = F.struct(*sorted(c for c in best.columns if c != algorithm))
+    entries = F.array_sort(F.collect_list(F.struct(F.upper(algorithm).alias("key"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))))
+    lines = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(": "), e["value"]))
+    # A name as JSON text is what stands between the brackets of a list of one name.
+    named = F.transform(lines, lambda s: F.regexp_replace(s, r'^\["(.*?)"\]: ', '"$1": '))
+    best.agg(F.concat(F.lit("{"), F.array_join(named, ", "), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_weights(weights: DataFrame, history: DataFrame, path: str) -> None:
     """Tables ``weights`` and ``iis_history`` below ``path``."""
     weights.write.mode("overwrite").parquet(f"{path}/weights")

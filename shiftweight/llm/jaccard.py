@@ -17,10 +17,11 @@ The result is exact (up to 64-bit hashes): no bucket is cut and no candidate dro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -193,20 +194,45 @@ def _verified(shingle: int, percent: int):
     return run
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, n_shingles, component_id, component) of every row.
+@dataclass(frozen=True)
+class _Index:
+    """What both forms of the join work on; all tables are written ones.
 
-    Words are what space, tab, line feed, vertical tab, form feed and carriage return leave; A-Z is lower-cased. Two rows
-    link if 100 * |intersection| >= ``percent`` * |union| of their shingle sets. ``component_id`` is the smallest
-    doc_id that links lead to; a row without words links with nothing and keeps its own. Null texts have no words;
-    null doc_ids take part, but are not the smallest unless alone. Repeated rows give a row each. ``th`` is a
-    hash of the text, which tells rows with one doc_id apart. ``component`` tells groups apart where component_id
-    cannot: it is never null, and rows have it in common only if links lead from one to the other. It is no name and
-    differs from run to run. Other columns are ignored.
-
-    Scale: about 15 to 20 percent of a set's hashes are shuffled twice; texts are shuffled once and written again only
-    where a bucket has two members or more. All equal sets are one member, so copies without end cost a row each.
+    base: (doc_id, th, n, s1, s2, row) of all rows; reps: (n, s1, s2, min_id, rid, copies), one per distinct set; members: (key, rid,
+    members, n) of buckets with two sets or more; involved: (rid); texts: (rid, n, bits, small, text).
     """
+
+    base: DataFrame
+    reps: DataFrame
+    members: DataFrame
+    involved: DataFrame
+    texts: DataFrame
+    shingle: int
+    percent: int
+
+    def fits(self, x: Column, y: Column) -> Column:
+        """Whether sets of x and y shingles can link."""
+        return (F.lit(self.percent) * F.greatest(x, y)) <= (F.lit(100) * F.least(x, y))
+
+    def close(self, x: str, y: str) -> Column:
+        """Whether bit maps leave it open that two rows (aliases x, y with rid, n, small) link; x before y."""
+        get = lambda side, i: F.get(f"{side}.small", i)
+        apart = sum((F.bit_count(get(x, i).bitwiseXOR(get(y, i))) for i in range(1, SMALL)), F.bit_count(get(x, 0).bitwiseXOR(get(y, 0))))
+        both = F.col(f"{x}.n") + F.col(f"{y}.n")
+        allowed = both - 2 * F.ceil(F.lit(self.percent) * both / (100 + self.percent) - 1e-9)
+        return (F.col(f"{x}.rid") < F.col(f"{y}.rid")) & self.fits(F.col(f"{x}.n"), F.col(f"{y}.n")) & (apart <= allowed)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole texts."""
+        for c in "ab":
+            pairs = pairs.join(self.texts.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+        pairs = written(pairs.mapInArrow(_possible(self.percent), "a bigint, b bigint"))
+        for c in "ab":
+            pairs = pairs.join(self.texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")), c)
+        return pairs.mapInArrow(_verified(self.shingle, self.percent), "a bigint, b bigint")
+
+
+def _indexed(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> _Index:
     spark = docs.sparkSession
     body = F.col(text).cast("string")
     source = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"))
@@ -217,7 +243,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
 
     # One representative for all rows with the same set.
     same = ["n", "s1", "s2"]
-    reps = written(base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min("row").alias("rid")))
+    reps = written(base.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("min_id"), F.min("row").alias("rid"), F.count("*").alias("copies")))
     unique = written(base.select(F.col("row").alias("rid"), "doc_id", "th", "n").join(reps.select("rid"), "rid"))
 
     counts = source.select("text").mapInArrow(_prefix_tokens(shingle, percent), "token bigint").groupBy("token").count().filter(F.col("count") > FREQUENT)
@@ -242,20 +268,32 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     wanted = unique.join(involved, "rid").select("rid", F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["k_id"]) & source["th"].eqNullSafe(wanted["k_th"])).select("rid", "text")
     texts = written(texts.dropDuplicates(["rid"]).mapInArrow(_with_bits(shingle), "rid bigint, n bigint, bits binary, small array<bigint>, text string"))
+    return _Index(base, reps, members, involved, texts, shingle, percent)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        for c in "ab":
-            pairs = pairs.join(texts.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
-        pairs = written(pairs.mapInArrow(_possible(percent), "a bigint, b bigint"))
-        for c in "ab":
-            pairs = pairs.join(texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")), c)
-        return pairs.mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
+
+def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, component) of every row.
+
+    Words are what space, tab, line feed, vertical tab, form feed and carriage return leave; A-Z is lower-cased. Two rows
+    link if 100 * |intersection| >= ``percent`` * |union| of their shingle sets. ``component_id`` is the smallest
+    doc_id that links lead to; a row without words links with nothing and keeps its own. Null texts have no words;
+    null doc_ids take part, but are not the smallest unless alone. Repeated rows give a row each. ``th`` is a
+    hash of the text, which tells rows with one doc_id apart. ``component`` tells groups apart where component_id
+    cannot: it is never null, and rows have it in common only if links lead from one to the other. It is no name and
+    differs from run to run. Other columns are ignored.
+
+    Scale: about 15 to 20 percent of a set's hashes are shuffled twice; texts are shuffled once and written again only
+    where a bucket has two members or more. All equal sets are one member, so copies without end cost a row each.
+    """
+    index = _indexed(docs, shingle, percent, doc_id, text)
+    base, reps, members, involved, texts = index.base, index.reps, index.members, index.involved, index.texts
+    same = ["n", "s1", "s2"]
 
     # Leaders: members that share the most with others, as the original of a group of near copies does.
     weight = members.groupBy("rid").agg(F.sum("members").alias("weight"))
     members = members.select("key", "rid", "n").join(weight, "rid")
     members = written(members)
-    fits = lambda x, y: (F.lit(percent) * F.greatest(x, y)) <= (F.lit(100) * F.least(x, y))
+    fits = index.fits
     parts = involved.select(F.col("rid").alias("node"), F.col("rid").alias("component"))
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -270,10 +308,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
             # are compared in the join, so pairs that cannot link are never rows.
             open_rows = placed.join(main.select("key", "at"), "key").withColumn("outside", F.col("component") != F.col("at")).select("key", "rid", "n", "component", "outside").join(texts.select("rid", "small"), "rid")
             x, y = open_rows.alias("x"), open_rows.alias("y")
-            apart_bits = sum((F.bit_count(F.get("x.small", i).bitwiseXOR(F.get("y.small", i))) for i in range(1, SMALL)), F.bit_count(F.get("x.small", 0).bitwiseXOR(F.get("y.small", 0))))
-            both_n = F.col("x.n") + F.col("y.n")
-            allowed = both_n - 2 * F.ceil(F.lit(percent) * both_n / (100 + percent) - 1e-9)
-            close = (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.outside") | F.col("y.outside")) & fits(F.col("x.n"), F.col("y.n")) & (apart_bits <= allowed)
+            close = index.close("x", "y") & (F.col("x.component") != F.col("y.component")) & (F.col("x.outside") | F.col("y.outside"))
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
         elif turn:
             # Each member outside is tried against one member of the main component per bucket: the one before it in an
@@ -289,7 +324,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
             pairs = named.withColumn("r", F.row_number().over(W.partitionBy("rid").orderBy(F.col("count").desc(), "a", "b"))).filter(F.col("r") <= TRIES).select("a", "b").distinct()
         pairs = written(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verify(pairs)
+        found = index.verified(pairs)
         links = written(found if links is None else links.unionByName(found))
         parts = written(involved.join(components(links), involved["rid"] == F.col("node"), "left").select(F.col("rid").alias("node"), F.coalesce("component", "rid").alias("component")))
 
@@ -298,3 +333,26 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     ids = smallest.join(by_component, "component").select(*same, "component_id", "component")
     out = base.select("doc_id", "th", "row", *same).join(ids, same, "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "row").alias("component"))
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, links): every link between different sets, and to which set each row belongs.
+
+    ``rows`` has (doc_id, th, n_shingles, set_id, n_links): ``n_links`` counts the other rows that a row links with, copies
+    among them; ``set_id`` is null for rows without words. ``links`` has (a, b), a < b, of set ids. Rules and edge cases are
+    those of ``similar_components``; set ids differ from run to run.
+
+    All pairs of a bucket whose bit maps leave a link open are verified, which is what a group of near copies that all
+    link asks for; where only the groups are wanted, ``similar_components`` does far less.
+    """
+    index = _indexed(docs, shingle, percent, doc_id, text)
+    rows = index.members.select("key", "rid", "n").join(index.texts.select("rid", "small"), "rid")
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & index.close("x", "y")).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    links = written(index.verified(pairs))
+    sizes = index.reps.select("rid", "copies")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes, ends["b"] == sizes["rid"]).groupBy("a").agg(F.sum("copies").alias("others"))
+    same = ["n", "s1", "s2"]
+    counted = index.reps.join(others, index.reps["rid"] == others["a"], "left").select(*same, F.col("rid").alias("set_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = index.base.join(counted, same, "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "set_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links

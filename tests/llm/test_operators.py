@@ -312,7 +312,7 @@ def test_jaccard_components(spark, shingle, percent):
         return frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)]) if w else frozenset()
 
     s = [sets(t) for _, t in rows]
-    up = list(range(len(rows)))
+    up, n_links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while up[i] != i:
@@ -324,12 +324,20 @@ def test_jaccard_components(spark, shingle, percent):
             both = len(s[i] & s[j])
             if s[i] and s[j] and 100 * both >= percent * (len(s[i]) + len(s[j]) - both):
                 up[find(i)] = find(j)
+                n_links[i] += 1
+                n_links[j] += 1
     low = {}
     for i, (d, _) in enumerate(rows):
         low[find(i)] = min(low.get(find(i), d), d)
     want = sorted((d, len(s[i]), low[find(i)] if s[i] else d) for i, (d, _) in enumerate(rows))
     got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.similar_components(frame(spark, rows), shingle, percent).collect())
     assert got == want
+    counted, links = jaccard.similar_links(frame(spark, rows), shingle, percent)
+    found = counted.collect()
+    assert sorted((x.doc_id, x.n_shingles, x.n_links) for x in found) == sorted((d, len(s[i]), n_links[i]) for i, (d, _) in enumerate(rows))
+    of = {x.set_id: s[k] for x in found for k, (d, t) in enumerate(rows) if d == x.doc_id and x.set_id is not None and len(s[k]) == x.n_shingles}
+    assert len(links.distinct().collect()) == links.count() and all(x.a < x.b for x in links.collect())
+    assert {x.set_id for x in found if x.n_shingles} == set(of) and {x.set_id for x in found if not x.n_shingles} == {None}
 
 
 def test_index_keys_share_one(spark):

@@ -23,7 +23,7 @@ from .select import fit_sample, low_entropy_keep
 
 
 #: Tasks in which sums of tasks are merged before the driver sees them.
-MERGES = 16
+MERGES = 8
 
 
 class LatentModel(Protocol):

@@ -10,9 +10,9 @@ from . import fixtures as X, jobs
 
 
 def m2_select_gmm_bic(spark: SparkSession, d: str) -> DataFrame:
-    """Component weights of the mixture that BIC picks on the whole target vectors."""
+    """Component weights of the mixture of two to four components that BIC picks on the whole target vectors."""
     rows = X.samples(spark, d).filter("domain = 'target'")
-    m = latent.select_gmm_bic(rows, "feat")
+    m = latent.select_gmm_bic(rows, "feat", hi=4)
     return spark.createDataFrame([(k, float(w)) for k, w in enumerate(m.weights)], "component int, weight double")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,11 +23,11 @@ RUN_DIRS = ["dataset", "transfer", "method", "run_id"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; without it, below the warehouse of a local session, and on a cluster an error."""
+    """A new path below ``spark.checkpoint.dir``; without it, a temporary one in a local session and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/" + uuid.uuid4().hex
+    return (base or tempfile.gettempdir() + "/spark-shared").rstrip("/") + "/" + uuid.uuid4().hex
 
 
 def read_image_manifest(spark: SparkSession, root: str, domains: list[str] | None = None) -> DataFrame:

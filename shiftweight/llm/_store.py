@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,14 @@ PARTS = 1024
 def shared_folder(spark: SparkSession) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
-    Where that is unset, the folder is below the warehouse of a local session, which has one machine only; on a cluster
-    it is an error, since no folder of the driver's own will do.
+    Where that is unset, a local session, which has one machine only, takes a temporary folder; on a cluster it is an
+    error, since no folder of the driver's own will do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        base = tempfile.gettempdir() + "/spark-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -149,7 +149,7 @@ def calibration(z: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> tuple[fl
 
     def gradient(p: list[np.ndarray]) -> list[np.ndarray]:
         error = weight * (sigmoid(np.exp(p[0]) * z + p[1]) - gold)
-        return [np.array([(error * z).sum() * np.exp(p[0][0])]) + 1e-3 * p[0], np.array([error.sum()]) + 1e-3 * p[1]]
+        return [np.array([(error * z).sum() * np.exp(p[0][0])]) + 1e-5 * p[0], np.array([error.sum()]) + 1e-5 * p[1]]
 
     log_slope, shift = adam(gradient, [np.zeros(1), np.zeros(1)], 500, 0.05)
     return float(np.exp(log_slope[0])), float(shift[0])

@@ -8,11 +8,13 @@ returns one row of sums per task; weights are written out once, at the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +66,45 @@ class Constraints:
         return F.when(ok, at + component * self.classes + label).otherwise(F.raise_error(F.lit("no such constraint")).cast("int")).cast("int")
 
 
-def _moments_pass(df: DataFrame, c: Constraints, lam: np.ndarray | None, probs: str, weight: str | None) -> np.ndarray:
+class _Soft:
+    """Class probabilities of a batch."""
+
+    def __init__(self, p: np.ndarray):
+        self.p = p
+
+    def scores(self, g: np.ndarray, block: np.ndarray) -> np.ndarray:
+        return ((g @ block) * self.p).sum(axis=1)
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        return g.T @ self.p
+
+
+class _Labelled:
+    """Class labels of a batch, as if each were a one-hot row: only column y of a block is touched.
+
+    Work per row does not depend on the number of classes. A label that is null or no class stands for a row of zeros.
+    """
+
+    def __init__(self, y: np.ndarray, classes: int):
+        self.rows = np.flatnonzero((y >= 0) & (y < classes))
+        self.y, self.n, self.classes = y[self.rows], len(y), classes
+
+    def scores(self, g: np.ndarray, block: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        out[self.rows] = np.einsum("ij,ij->i", g[self.rows], block.T[self.y])
+        return out
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.y, x, self.classes) for x in g[self.rows].T])
+
+
+def _classes(batch: pa.RecordBatch, probs: str, label: str | None, classes: int) -> _Soft | _Labelled:
+    if label is None:
+        return _Soft(matrix(batch.column(probs)))
+    return _Labelled(np.asarray(pc.fill_null(batch.column(label).cast(pa.int64()), -1)), classes)
+
+
+def _moments_pass(df: DataFrame, c: Constraints, lam: np.ndarray | None, probs: str, weight: str | None, label: str | None = None) -> np.ndarray:
     """Merged sums over all rows: see ``run``."""
     layers, k = list(c.layers), c.classes
     shared = df.sparkSession.sparkContext.broadcast(lam)
@@ -74,19 +114,19 @@ def _moments_pass(df: DataFrame, c: Constraints, lam: np.ndarray | None, probs:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = matrix(batch.column(probs))
+            p = _classes(batch, probs, label, k)
             g = [matrix(batch.column(name)) for name in layers]
             blocks = np.split(shared.value, [c.offsets()[name] for name in layers[1:]]) if shared.value is not None else None
-            s = sum(((x @ b.reshape(-1, k)) * p).sum(axis=1) for x, b in zip(g, blocks, strict=True)) if blocks else np.zeros(len(p))
+            s = sum(p.scores(x, b.reshape(-1, k)) for x, b in zip(g, blocks, strict=True)) if blocks else np.zeros(batch.num_rows)
             if weight:
                 e, new = np.asarray(batch.column(weight), np.float64), 0.0
             else:
                 new = max(top, float(s.max()))
                 e = np.exp(s - new)
             scale = np.exp(top - new) if np.isfinite(top) else 0.0
-            f = np.concatenate([((x * e[:, None]).T @ p).ravel() for x in g])
+            f = np.concatenate([p.sums(x * e[:, None]).ravel() for x in g])
             sums = sums * (scale if not weight else 1.0) + np.r_[f, e.sum(), (e * s).sum()]
-            top, low, high, n = new, min(low, float(s.min())), max(high, float(s.max())), n + len(p)
+            top, low, high, n = new, min(low, float(s.min())), max(high, float(s.max())), n + batch.num_rows
         yield pa.RecordBatch.from_arrays([lists(np.r_[top, low, high, n, sums].reshape(1, -1))], ["x"])
 
     def together(parts: np.ndarray) -> np.ndarray:
@@ -97,7 +137,7 @@ def _moments_pass(df: DataFrame, c: Constraints, lam: np.ndarray | None, probs:
         scale = np.ones(len(parts)) if weight else np.exp(parts[:, 0] - top)
         return np.r_[top, parts[:, 1].min(), parts[:, 2].max(), parts[:, 3].sum(), (parts[:, 4:] * scale[:, None]).sum(axis=0)]
 
-    sums = merged(df.select(*layers, probs, *([weight] if weight else [])).mapInArrow(run, "x array<double>"), together)
+    sums = merged(df.select(*layers, label or probs, *([weight] if weight else [])).mapInArrow(run, "x array<double>"), together)
     if not sums[3]:
         raise ValueError("no rows")
     return sums
@@ -109,9 +149,9 @@ def target_moments(target: DataFrame, c: Constraints, probs: str = "probs") -> n
     return r[4 : 4 + c.size] / r[3]
 
 
-def model_moments(source: DataFrame, c: Constraints, weight: str = "w", probs: str = "probs") -> np.ndarray:
-    """Sum of w_t * gamma_j * p_c over the source rows."""
-    return _moments_pass(source, c, None, probs, weight)[4 : 4 + c.size]
+def model_moments(source: DataFrame, c: Constraints, weight: str = "w", probs: str = "probs", label: str | None = None) -> np.ndarray:
+    """Sum of w_t * gamma_j * p_c over the source rows; with ``label``, p is the one-hot row of that column."""
+    return _moments_pass(source, c, None, probs, weight, label)[4 : 4 + c.size]
 
 
 def moments_long(df: DataFrame, c: Constraints, weight: str | None = None, probs: str = "probs") -> DataFrame:
@@ -133,9 +173,10 @@ def class_marginals(source: DataFrame, target: DataFrame, weight: str = "w", pro
     return mean(target, "target").join(both, "class", "full")
 
 
-def feature_mass_stats(df: DataFrame, layers: list[str], probs: str = "probs") -> DataFrame:
+def feature_mass_stats(df: DataFrame, layers: list[str], probs: str = "probs", label: str | None = None, classes: int | None = None) -> DataFrame:
     """Per-row mass of all features: min, max, mean, sample deviation, and the deviation relative to the mean."""
-    mass = sum((total(F.col(name)) for name in layers[1:]), total(F.col(layers[0]))) * total(F.col(probs))
+    row = total(F.col(probs)) if label is None else F.coalesce(F.col(label).between(0, classes - 1).cast("double"), F.lit(0.0))
+    mass = sum((total(F.col(name)) for name in layers[1:]), total(F.col(layers[0]))) * row
     return df.select(mass.alias("m")).agg(F.min("m").alias("min"), F.max("m").alias("max"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std")).withColumn("rel_std", F.col("std") / F.greatest(F.col("mean"), F.lit(EPS)))
 
 
@@ -150,9 +191,9 @@ def validate_joint(df: DataFrame, layers: list[str], probs: str = "probs", toler
     return out.withColumn("valid", (F.col("min_entry") >= -1e-8) & (F.col("max_layer_error") <= tolerance) & (F.col("max_total_error") <= tolerance * len(layers)))
 
 
-def unachievable_constraints(source: DataFrame, pg: np.ndarray, c: Constraints, probs: str = "probs") -> list[tuple[str, int, int]]:
+def unachievable_constraints(source: DataFrame, pg: np.ndarray, c: Constraints, probs: str = "probs", label: str | None = None) -> list[tuple[str, int, int]]:
     """Constraints with target mass that no source row can give."""
-    r = _moments_pass(source, c, None, probs, None)
+    r = _moments_pass(source, c, None, probs, None, label)
     return [c.decode(int(i)) for i in np.flatnonzero((r[4 : 4 + c.size] <= 0) & (pg > 0))]
 
 
@@ -193,44 +234,79 @@ def iis_delta(pg: np.ndarray, pm: np.ndarray, layers: int) -> np.ndarray:
     return np.log(np.maximum(pg, EPS) / np.maximum(pm, EPS)) / layers
 
 
-def solve_iis(source: DataFrame, c: Constraints, pg: np.ndarray, max_iter: int = 15, tol: float = 0.0, step: float = 1.0, damping: float = 0.0, probs: str = "probs") -> tuple[DataFrame, np.ndarray, list[Iteration]]:
+@dataclass(frozen=True)
+class SolverState:
+    """All that a solve needs to go on: rounds done, lambda, the last step, history, and mass (mean, min, max) of the features."""
+
+    rounds: int
+    lam: np.ndarray
+    step: np.ndarray | None
+    history: list[Iteration]
+    mass: tuple[float, float, float]
+    done: bool = False
+
+    def to_json(self) -> str:
+        """JSON in which every number keeps all its bits."""
+        exact = lambda a: None if a is None else [float(x).hex() for x in a]
+        rows = [{k: v if k == "iteration" else float(v).hex() for k, v in asdict(h).items()} for h in self.history]
+        return json.dumps({"rounds": self.rounds, "lam": exact(self.lam), "step": exact(self.step), "mass": exact(self.mass), "history": rows, "done": self.done})
+
+    @staticmethod
+    def from_json(text: str) -> SolverState:
+        x = json.loads(text)
+        exact = lambda a: None if a is None else np.array([float.fromhex(v) for v in a])
+        rows = [Iteration(**{k: v if k == "iteration" else float.fromhex(v) for k, v in h.items()}) for h in x["history"]]
+        return SolverState(x["rounds"], exact(x["lam"]), exact(x["step"]), rows, tuple(exact(x["mass"]).tolist()), x["done"])
+
+
+def solve_iis(
+    source: DataFrame, c: Constraints, pg: np.ndarray, max_iter: int = 15, tol: float = 0.0, step: float = 1.0, damping: float = 0.0, probs: str = "probs", label: str | None = None,
+    state: SolverState | None = None, save: Callable[[SolverState], None] | None = None,
+) -> tuple[DataFrame, np.ndarray, list[Iteration]]:
     """(source with weight column ``w`` summing to 1, lambda, history).
 
-    ``source`` has one array column per layer and ``probs`` (for labelled rows: one-hot). From the second iteration on
-    the step is damped: d = (1 - damping) * d + damping * d_before. Stops when the largest moment error is below ``tol``.
+    ``source`` has one array column per layer and ``probs``, or for labelled rows the class column ``label``, which stands for
+    one-hot probabilities that are never made. From the second iteration on the step is damped: d = (1 - damping) * d
+    + damping * d_before. Stops when the largest moment error is below ``tol``.
+
+    ``save`` is called with the state after each iteration; a solve that is given such a ``state`` goes on behind it.
     """
     rows = source.persist()
     try:
-        mass = feature_mass_stats(rows, list(c.layers), probs).first()
-        lam, before, history = np.zeros(c.size), None, []
-        state = _moments_pass(rows, c, lam, probs, None)
-        for i in range(max_iter):
-            pm = state[4 : 4 + c.size] / state[4 + c.size]
+        if state is None:
+            mass = feature_mass_stats(rows, list(c.layers), probs, label, c.classes).first()
+            state = SolverState(0, np.zeros(c.size), None, [], (mass["mean"], mass["min"], mass["max"]))
+        if len(state.lam) != c.size:
+            raise ValueError(f"expected the state of {c.size} constraints, got {len(state.lam)}")
+        sums = _moments_pass(rows, c, state.lam, probs, None, label)
+        while state.rounds < max_iter and not state.done:
+            pm = sums[4 : 4 + c.size] / sums[4 + c.size]
             delta = step * iis_delta(pg, pm, len(c.layers))
-            if before is not None:
-                delta = (1 - damping) * delta + damping * before
-            before, lam = delta, lam + delta
-            state = _moments_pass(rows, c, lam, probs, None)
-            top, low, high, n, z = state[0], state[1], state[2], state[3], state[4 + c.size]
+            if state.step is not None:
+                delta = (1 - damping) * delta + damping * state.step
+            lam = state.lam + delta
+            sums = _moments_pass(rows, c, lam, probs, None, label)
+            top, low, high, z = sums[0], sums[1], sums[2], sums[4 + c.size]
             if not np.isfinite(z) or z <= 0:
                 raise ValueError("weights collapsed")
             log_z = float(top + np.log(z))
-            pm = state[4 : 4 + c.size] / z
+            pm = sums[4 : 4 + c.size] / z
             error = np.abs(pm - pg)
-            entropy = log_z - float(state[5 + c.size] / z)
-            history.append(Iteration(
-                i, float(np.linalg.norm(delta)), float((pg * np.log((pg + 1e-8) / (pm + 1e-8))).sum()), float(error.max()), float(error.mean()), float(np.linalg.norm(pm - pg)),
-                float(np.exp(low - log_z)), float(np.exp(high - log_z)), entropy, mass["mean"], mass["min"], mass["max"], float(lam @ pg - log_z), log_z,
-            ))
-            if error.max() < tol:
-                break
-        log_z = float(state[0] + np.log(state[4 + c.size]))
+            entropy = log_z - float(sums[5 + c.size] / z)
+            now = Iteration(
+                state.rounds, float(np.linalg.norm(delta)), float((pg * np.log((pg + 1e-8) / (pm + 1e-8))).sum()), float(error.max()), float(error.mean()), float(np.linalg.norm(pm - pg)),
+                float(np.exp(low - log_z)), float(np.exp(high - log_z)), entropy, *state.mass, float(lam @ pg - log_z), log_z,
+            )
+            state = SolverState(state.rounds + 1, lam, delta, [*state.history, now], state.mass, bool(error.max() < tol))
+            if save is not None:
+                save(state)
+        log_z = float(sums[0] + np.log(sums[4 + c.size]))
     finally:
         rows.unpersist()
-    return weighted(source, c, lam, log_z, probs), lam, history
+    return weighted(source, c, state.lam, log_z, probs, label), state.lam, state.history
 
 
-def weighted(source: DataFrame, c: Constraints, lam: np.ndarray, log_z: float, probs: str = "probs") -> DataFrame:
+def weighted(source: DataFrame, c: Constraints, lam: np.ndarray, log_z: float, probs: str = "probs", label: str | None = None) -> DataFrame:
     """Add w = exp(lambda . f - logZ): a projection, no shuffle and no join."""
     shared = source.sparkSession.sparkContext.broadcast(lam)
     layers, k = list(c.layers), c.classes
@@ -240,8 +316,8 @@ def weighted(source: DataFrame, c: Constraints, lam: np.ndarray, log_z: float, p
         for batch in batches:
             w = np.zeros(0)
             if batch.num_rows:
-                p = matrix(batch.column(probs))
-                w = np.exp(sum(((matrix(batch.column(name)) @ b.reshape(-1, k)) * p).sum(axis=1) for name, b in zip(layers, blocks, strict=True)) - log_z)
+                p = _classes(batch, probs, label, k)
+                w = np.exp(sum(p.scores(matrix(batch.column(name)), b.reshape(-1, k)) for name, b in zip(layers, blocks, strict=True)) - log_z)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.float64())], [*batch.schema.names, "w"])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("w", T.DoubleType())]))
@@ -260,7 +336,10 @@ def objective_decreased(history: DataFrame, tolerance: float = 1e-8, n_source: i
 
 
 def ema_moments(by_epoch: DataFrame, alpha: float, key: str = "constraint_id", epoch: str = "epoch", value: str = "x") -> DataFrame:
-    """(key, moment): m = alpha * m + (1 - alpha) * x over the epochs in order, from the first; alpha 0 is the last x."""
+    """(key, moment): m = alpha * m + (1 - alpha) * x over the epochs in order, from the first; alpha 0 is the last x.
+
+    An epoch whose x is null or NaN was skipped: the moment stays as it was.
+    """
     steps = F.array_sort(F.collect_list(F.struct(epoch, value)))
-    fold = F.aggregate("s", F.lit(None).cast("double"), lambda m, s: F.coalesce(m * alpha + s[value] * (1 - alpha), s[value]))
+    fold = F.aggregate("s", F.lit(None).cast("double"), lambda m, s: F.when(F.isnan(s[value]), m).otherwise(F.coalesce(m * alpha + s[value] * (1 - alpha), s[value], m)))
     return by_epoch.groupBy(key).agg(steps.alias("s")).select(key, fold.alias("moment"))

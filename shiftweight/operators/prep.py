@@ -77,20 +77,37 @@ def shared_class_index(manifest: DataFrame, source: str, target: str, preferred:
     return class_to_idx(of(preferred if preferred in (source, target) else source), name)
 
 
-def sample_index(df: DataFrame, order: str = "path", into: str = "sample_id", parts: int = 200) -> DataFrame:
+def sample_index(df: DataFrame, order: str = "path", into: str = "sample_id", range_rows: int = 100_000) -> DataFrame:
     """0-based index in the order of a column (null first; equal values in any order).
 
-    Each range of the column is numbered by itself from the count of rows before it, so no task sees the whole table.
+    Ranges of about ``range_rows`` rows are numbered each by itself from the count of rows before it. A value that is
+    a range of its own, however many rows have it, is dealt over parts of that size by a hash of the whole row, and rows that are equal in
+    all columns are counted and numbered again in blocks; so no task sees more than a few ranges' rows. Columns must
+    be comparable (no maps).
     """
-    value = F.col(order)
-    rows = df.withColumn("_range", range_number(value, range_edges(df, value, parts)))
-    before, offsets = 0, []
-    for r in sorted(rows.groupBy("_range").count().collect()):  # at most parts + 1 rows
-        offsets.append((r["_range"], before))
-        before += r["count"]
-    starts = df.sparkSession.createDataFrame(offsets, "_range int, _before bigint")
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
-    return rows.join(F.broadcast(starts), "_range").withColumn(into, F.col("_before") + number).drop("_range", "_before")
+    value, columns = F.col(order), df.columns
+    total = df.count()
+    edges = range_edges(df, value, min(4096, max(8, total // range_rows)), total)
+    rows = df.withColumn("_range", range_number(value, edges))
+    # A range with one value is split by row hash; the split depends on the row alone, so both passes agree on it.
+    known = rows.groupBy("_range").agg(F.count("*").alias("n"), F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias("single")).collect()  # two per range at most
+    split = {r["_range"]: -(-r.n // range_rows) for r in known if r.single and r.n > range_rows}
+    copies = F.coalesce(F.create_map(*[F.lit(x) for item in split.items() for x in item])[F.col("_range")], F.lit(1)) if split else F.lit(1)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*columns, F.lit(3)), copies).cast("int"))
+    counts = rows.groupBy("_range", "_part").count()
+    dense = counts.filter(F.col("count") > 4 * range_rows).select("_range", "_part")
+    before = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row for each range_rows rows
+    inside = Window.partitionBy("_range", "_part")
+    sparse = rows.join(F.broadcast(dense), ["_range", "_part"], "left_anti").join(starts, ["_range", "_part"])
+    sparse = sparse.withColumn(into, F.col("_before") + F.row_number().over(inside.orderBy(value)) - 1)
+    if dense.isEmpty():
+        return sparse.drop("_range", "_part", "_before")
+    equal = rows.join(F.broadcast(dense), ["_range", "_part"]).groupBy("_range", "_part", *columns).agg(F.count("*").alias("_n")).join(starts, ["_range", "_part"])
+    first = F.col("_before") + F.coalesce(F.sum("_n").over(inside.orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = equal.withColumn("_first", first).select(*columns, (F.col("_first") + F.col("_n") - 1).alias("_last"), F.explode(F.expr(f"sequence(_first, _first + _n - 1, {range_rows}L)")).alias("_from"))
+    again = blocks.repartition(min(4096, 1 + total // range_rows), "_from").withColumn(into, F.explode(F.sequence("_from", F.least(F.col("_from") + range_rows - 1, F.col("_last")))))
+    return sparse.drop("_range", "_part", "_before").unionByName(again.drop("_from", "_last"))
 
 
 def class_mismatch(source: DataFrame, target: DataFrame, name: str = "class_name") -> DataFrame:

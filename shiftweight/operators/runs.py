@@ -129,10 +129,12 @@ def best_epoch_early_stop(log: DataFrame, patience: int, by: str = "algorithm",
     """(algorithm, best_epoch, best_score, stop_epoch): best is the last strict rise of the running maximum until the stop.
 
     Training stops at the first epoch that is ``patience`` after the last rise; patience of 0 or less never stops.
+    A null or NaN score is no rise and does not count towards the maximum.
     """
+    known = F.when(~F.isnan(score), F.col(score))
     past = Window.partitionBy(by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("rise", F.col(score) > F.coalesce(F.max(score).over(past), F.lit(float("-inf"))))
+    rows = log.withColumn("rise", F.coalesce(known > F.coalesce(F.max(known).over(past), F.lit(float("-inf"))), F.lit(False)))
     rows = rows.withColumn("last_rise", F.max(F.when(F.col("rise"), F.col(epoch))).over(upto))
     if patience > 0:
         rows = rows.withColumn("stop", F.min(F.when(F.col(epoch) - F.col("last_rise") >= patience, F.col(epoch))).over(Window.partitionBy(by)))
@@ -143,9 +145,12 @@ def best_epoch_early_stop(log: DataFrame, patience: int, by: str = "algorithm",
 
 
 def best_by_val(runs: DataFrame, order: str = "row_no", score: str = "val_acc", algorithm: str = "method") -> DataFrame:
-    """The run with the highest validation score per algorithm (case does not matter); the first one on ties."""
+    """The run with the highest validation score per algorithm (case does not matter); the first one on ties.
+
+    Runs whose score is null or NaN are never the best; an algorithm with no other runs is missing.
+    """
     w = Window.partitionBy(F.upper(algorithm)).orderBy(F.col(score).desc(), F.col(order))
-    return runs.filter(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return valid_results(runs, score).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def updates_long(results: DataFrame, by: str = "run_id", updates: str = "weight_updates") -> DataFrame:
@@ -170,6 +175,11 @@ def content_key(df: DataFrame, columns: list[str]) -> Column:
     return F.left(F.sha1(row.cast("binary")), F.lit(10))
 
 
+def bare_key(key: Column) -> Column:
+    """A key as keys are compared: as text, without the space around it, null as the empty text."""
+    return F.regexp_replace(F.coalesce(key.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+
+
 def upsert_rows(existing: DataFrame, new: DataFrame, key: str = "run_id", order: str = "row_no") -> DataFrame:
     """At most one row per key: the last existing one, replaced by a new one.
 
@@ -177,15 +187,14 @@ def upsert_rows(existing: DataFrame, new: DataFrame, key: str = "run_id", order:
     no such column, get a hash of their content (``content_key``). New rows must have a key. Columns are those of the
     new side (the key first where it lacks), then the others; ``order`` says which row is last, new rows come behind.
     """
-    bare = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
     content = [c for c in existing.columns if c != order]
     made = content_key(existing, content)
-    old = existing.withColumn(key, F.when(bare(F.col(key)) == "", made).otherwise(F.col(key)) if key in existing.columns else made)
+    old = existing.withColumn(key, F.when(bare_key(F.col(key)) == "", made).otherwise(F.col(key)) if key in existing.columns else made)
     if key not in new.columns:
         raise ValueError(f"new rows have no column {key}")
-    fresh = new.withColumn(key, F.when(bare(F.col(key)) == "", F.raise_error(F.lit("new row without key")).cast("string")).otherwise(F.col(key)))
+    fresh = new.withColumn(key, F.when(bare_key(F.col(key)) == "", F.raise_error(F.lit("new row without key")).cast("string")).otherwise(F.col(key)))
     both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(bare(F.col(key))).orderBy(F.col("_new").desc(), F.col(order).desc())
+    w = Window.partitionBy(bare_key(F.col(key))).orderBy(F.col("_new").desc(), F.col(order).desc())
     kept = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     return kept.select(*new.columns, *[c for c in old.columns if c not in new.columns])
 

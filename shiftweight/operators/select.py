@@ -116,4 +116,6 @@ def cap_per_domain(manifest: DataFrame, n: int, domain: str = "domain", order: s
 
 
 def top_weights(weights: DataFrame, k: int = 10, w: str = "w", id_col: str = "sample_id") -> DataFrame:
-    return weights.orderBy(F.col(w).desc(), id_col).limit(k)
+    """The k largest weights; ties go to the smaller id, null and NaN weights come last."""
+    known = F.when(~F.isnan(w), F.col(w))
+    return weights.orderBy(known.desc_nulls_last(), id_col).limit(k)

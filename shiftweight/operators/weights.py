@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import order_statistics
+
 FLOOR = 1e-12
 
 
@@ -43,15 +45,34 @@ def weights_summary(df: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0
     """n, sum, min, mean, max, entropy, effective sample size and percentiles in one aggregation.
 
     ``entropy``: ``plus`` is -sum w ln(w + 1e-12), ``floor`` -sum v ln v with v = max(w, 1e-12). Percentiles
-    come from a sketch of fixed size; with ``exact`` they interpolate linearly, for tables whose distinct weights fit in a task.
+    come from a sketch of fixed size; with ``exact`` they are those of ``exact_percentiles``.
     """
     c = F.col(w)
     v = F.greatest(c, F.lit(FLOOR))
     h = -F.sum(c * F.ln(c + FLOOR)) if entropy == "plus" else -F.sum(v * F.ln(v))
-    pick = F.percentile if exact else (lambda col, p: F.percentile_approx(col, p, 10_000))
     ess = F.sum(c) * F.sum(c) / F.greatest(F.sum(c * c), F.lit(FLOOR))
     names = [f"p{round(100 * p):02d}" for p in percentiles]
-    return df.agg(F.count("*").alias("n"), F.sum(c).alias("sum"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"), h.alias("entropy"), ess.alias("ess"), *[pick(c, p).alias(name) for p, name in zip(percentiles, names, strict=True)])
+    sketched = [] if exact else [F.percentile_approx(c, p, 10_000).alias(name) for p, name in zip(percentiles, names, strict=True)]
+    out = df.agg(F.count("*").alias("n"), F.sum(c).alias("sum"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"), h.alias("entropy"), ess.alias("ess"), *sketched)
+    if exact:
+        out = out.withColumns({name: F.lit(x).cast("double") for name, x in zip(names, exact_percentiles(df, percentiles, w), strict=True)})
+    return out
+
+
+def exact_percentiles(df: DataFrame, percentiles: tuple[float, ...], w: str = "w") -> list[float | None]:
+    """Percentiles with linear interpolation between the two ranks around each; null and NaN weights are left out.
+
+    The ranks are found by ranges (``ranges.order_statistics``): no task holds or sorts all weights. No weights: all null.
+    """
+    if any(not 0 <= p <= 1 for p in percentiles):
+        raise ValueError("percentiles must be between 0 and 1")
+    df = df.filter(F.col(w).isNotNull() & ~F.isnan(w))
+    n = df.count()
+    if not n:
+        return [None] * len(percentiles)
+    at = [p * (n - 1) for p in percentiles]
+    known = order_statistics(df, w, sorted({int(x) for x in at} | {min(int(x) + 1, n - 1) for x in at}))
+    return [float(known[int(x)] if x == int(x) else known[int(x)] + (x - int(x)) * (known[int(x) + 1] - known[int(x)])) for x in at]
 
 
 def weight_histogram(df: DataFrame, bins: int = 50, w: str = "w") -> DataFrame:

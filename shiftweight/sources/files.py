@@ -25,11 +25,19 @@ RUN_DIRS = ["dataset", "transfer", "method", "run_id"]
 def shared_folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``; without it, a temporary one in a local session and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    # "local" and "local[n]" have one machine; "local-cluster[...]" stands for a cluster.
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (base or tempfile.gettempdir() + "/spark-shared").rstrip("/") + "/" + uuid.uuid4().hex
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that what made it is not run again and lost executors cost nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_image_manifest(spark: SparkSession, root: str, domains: list[str] | None = None) -> DataFrame:
     """(path, domain, class_name, length) of images below root/domain/class/; file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").filter(F.col("path").rlike(IMAGE_FILES))

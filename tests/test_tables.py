@@ -137,7 +137,7 @@ def test_shared_class_index(spark):
 
 def test_sample_index_of_ties_and_nulls(spark):
     rows = [(None,)] * 3 + [("m",)] * 50 + [(f"k{i:04d}",) for i in range(500)]
-    out = prep.sample_index(spark.createDataFrame(rows, "path string").repartition(7), parts=20).collect()
+    out = prep.sample_index(spark.createDataFrame(rows, "path string").repartition(7), range_rows=2).collect()
     assert sorted(r.sample_id for r in out) == list(range(553))
     assert [r.path for r in sorted(out, key=lambda r: r.sample_id)] == sorted((r[0] for r in rows), key=lambda v: (v is not None, v or ""))
     assert prep.sample_index(spark.createDataFrame([], "path string")).count() == 0

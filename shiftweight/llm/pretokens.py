@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,13 @@ from . import _text
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Ids of known words held by a task.
-MEMORY = 1 << 23
+MEMORY = 1 << 22
 #: Slots of the table that is asked first; words it misses are searched among all known ones.
 SLOTS = 1 << 18
+#: Words that the library encodes in one call; what it returns takes about a kilobyte for each.
+CALL = 4096
 #: Bytes of text that are worked on together (a longer text is one piece).
-BATCH = 1 << 21
+BATCH = 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -107,6 +110,7 @@ class Encoder:
     def __init__(self, raw: str, classes: np.ndarray):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(raw)
         self.special = [t["content"] for t in json.loads(raw)["added_tokens"]]
         self.classes = classes
@@ -137,7 +141,7 @@ class Encoder:
             if len(new):
                 where = missed[at[new]]
                 texts = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = [e.ids for i in range(0, len(texts), CALL) for e in self.tokenizer.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
                 size = np.array([len(i) for i in ids], np.int64)
                 number[new] = self.words + np.arange(len(new))
                 self.first = _put(self.first, self.words, self.held + np.cumsum(size) - size)

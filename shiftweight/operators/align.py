@@ -6,12 +6,15 @@ are cut into blocks; block pairs are grouped tasks too, and only kernel sums lea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .latent import vector_sums
+from .latent import lists, matrix, merged, vector_sums
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -64,35 +67,94 @@ def block_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: fl
     return batch_mmd(dealt(source), dealt(target), features, mul, num, sigma).agg(F.avg("mmd").alias("mmd"), F.count("*").alias("blocks"))
 
 
-def whole_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: float = 2.0, num: int = 5, block_rows: int = 2000, id_col: str = "sample_id") -> DataFrame:
-    """(mmd) of two whole samples. All pairs of rows are the definition; they are taken in blocks of ``block_rows`` rows.
+def grid_size(rows: int, tasks: int, cell_rows: int) -> int:
+    """Blocks of rows for all pairs of blocks to make ``tasks`` tasks of at most about ``cell_rows`` rows: copies of each row."""
+    return max(1, -(-2 * rows // cell_rows), int(np.ceil(np.sqrt(2 * tasks))) - 1)
+
 
-    The rows of a block pair meet in one task (2 * block_rows vectors), each row going to as many tasks as there are
-    blocks, and one kernel sum per block pair goes on. Work grows with the square of the rows: see ``block_mmd``.
+def whole_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: float = 2.0, num: int = 5, tasks: int | None = None, cell_rows: int = 40_000, tile: int = 2000, id_col: str = "sample_id") -> DataFrame:
+    """(mmd, copies) of two whole samples, exact. All pairs of rows are the definition.
+
+    Rows are dealt over g blocks by hash of id and side, and the g (g + 1) / 2 pairs of blocks are the tasks (``tasks``,
+    default: those that the session runs at once): each row is copied g times, about the root of twice the number of tasks, and not once
+    for each few thousand other rows. g is larger only where a task would hold more than ``cell_rows`` rows. In a task kernels are summed
+    by tiles of ``tile`` rows. Work grows with the square of the rows; ``fourier_mmd`` and ``block_mmd`` are linear.
     """
     rows = source.select(id_col, *features, F.lit(0).alias("side")).unionByName(target.select(id_col, *features, F.lit(1).alias("side"))).persist()
     try:
         n = {r.side: r["count"] for r in rows.groupBy("side").count().collect()}
         widths = [bandwidth(rows, f) for f in features]
-        blocks = -(-sum(n.values()) // block_rows)
-        rows = rows.withColumn("block", F.pmod(F.xxhash64(id_col, "side"), F.lit(blocks)).cast("int"))
-        every = F.sequence(F.lit(0), F.lit(blocks - 1))
+        g = grid_size(sum(n.values()), tasks or source.sparkSession.sparkContext.defaultParallelism, cell_rows)
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64(id_col, "side"), F.lit(g)).cast("int"))
         pair = lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
-        dealt = rows.withColumn("pair", F.explode(F.transform(every, pair)))
+        dealt = dealt.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), pair)).alias("pair"))
 
         def run(df: pd.DataFrame) -> pd.DataFrame:
             i, j = df["pair"].iloc[0]["i"], df["pair"].iloc[0]["j"]
-            a, b = (df, df) if i == j else (df[df["block"] == i], df[df["block"] == j])
-            k = np.ones((len(a), len(b)))
-            for f, width in zip(features, widths, strict=True):
-                if k.size:
-                    k *= _kernel(_squared(np.stack(a[f].to_numpy()), np.stack(b[f].to_numpy())), width, mul, num)
-            sa, sb, times = a["side"].to_numpy(), b["side"].to_numpy(), 1 if i == j else 2
-            pick = lambda p, q: float(k[np.ix_(sa == p, sb == q)].sum())
-            return pd.DataFrame({"xx": [times * pick(0, 0)], "yy": [times * pick(1, 1)], "xy": [times * (pick(0, 1) + pick(1, 0)) / 2]})
-
-        sums = dealt.groupBy("pair").applyInPandas(run, "xx double, yy double, xy double").agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
+            sides = [df, df] if i == j else [df[df["block"] == i], df[df["block"] == j]]
+            a, b = ([np.stack(d[f].to_numpy()) for f in features] if len(d) else None for d in sides)
+            sa, sb = (d["side"].to_numpy() for d in sides)
+            sums = np.zeros((2, 2))
+            for x in range(0, len(sa), tile):
+                for y in range(0, len(sb), tile):
+                    k = 1.0
+                    for u, v, width in zip(a, b, widths, strict=True):
+                        k = k * _kernel(_squared(u[x : x + tile], v[y : y + tile]), width, mul, num)
+                    for p in (0, 1):
+                        for q in (0, 1):
+                            sums[p, q] += k[np.ix_(sa[x : x + tile] == p, sb[y : y + tile] == q)].sum()
+            times = 1 if i == j else 2
+            return pd.DataFrame({"xx": [times * sums[0, 0]], "yy": [times * sums[1, 1]], "xy": [times * (sums[0, 1] + sums[1, 0]) / 2]})
+
+        parts = dealt.groupBy("pair").applyInPandas(run, "xx double, yy double, xy double")
+        sums = parts.agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
     finally:
         rows.unpersist()
     value = sums.xx / n[0] ** 2 + sums.yy / n[1] ** 2 - 2 * sums.xy / (n[0] * n[1])
-    return source.sparkSession.createDataFrame([(value,)], "mmd double")
+    return source.sparkSession.createDataFrame([(value, g)], "mmd double, copies int")
+
+
+def frequencies(dims: list[int], widths: list[float], mul: float, num: int, count: int, seed: int) -> np.ndarray:
+    """Random frequencies (count x sum of dims) of the product of the kernels, which is a mixture of Gaussian kernels."""
+    rng = np.random.default_rng(seed)
+    parts = []
+    for d, width in zip(dims, widths, strict=True):
+        scale = width / mul ** (num // 2) * mul ** rng.integers(0, num, count) + 1e-12
+        parts.append(rng.normal(size=(count, d)) * np.sqrt(2 / scale)[:, None])  # exp(-|x|^2 / s) is the mean of cos(w x), w ~ N(0, 2 / s)
+    return np.hstack(parts)
+
+
+def fourier_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: float = 2.0, num: int = 5, count: int = 2048, seed: int = 0, confidence: float = 0.99) -> DataFrame:
+    """(mmd, std_error, bound) by random Fourier features: two passes over the rows, in which each task returns sums.
+
+    The mixture kernel is num^(features) times a mean of cosines of random frequencies, so the MMD is as many times the mean of the squared
+    distances of the two samples' characteristic functions at ``count`` of them. Each distance is at most 4: with
+    probability ``confidence`` the error is at most ``bound`` (Hoeffding); ``std_error`` is what the distances themselves tell.
+    """
+    rows = source.select(*features, F.lit(0).alias("side")).unionByName(target.select(*features, F.lit(1).alias("side"))).persist()
+    try:
+        widths = [bandwidth(rows, f) for f in features]
+        first = rows.select(*[F.size(f).alias(f) for f in features]).first()
+        w = rows.sparkSession.sparkContext.broadcast(frequencies([first[f] for f in features], widths, mul, num, count, seed))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((2, 1 + 2 * count))
+            for batch in filter(lambda b: b.num_rows, batches):
+                side = np.asarray(batch.column("side"))
+                x = np.hstack([matrix(batch.column(f)) for f in features])
+                for a in range(0, len(x), 1024):
+                    angle = x[a : a + 1024] @ w.value.T
+                    waves = np.hstack([np.ones((len(angle), 1)), np.cos(angle), np.sin(angle)])
+                    for p in (0, 1):
+                        held[p] += waves[side[a : a + 1024] == p].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([lists(held.reshape(1, -1))], ["x"])
+
+        sums = merged(rows.mapInArrow(run, "x array<double>"), lambda x: x.sum(axis=0)).reshape(2, -1)
+    finally:
+        rows.unpersist()
+    if not sums[:, 0].all():
+        raise ValueError("both samples must have rows")
+    gap = sums[0, 1:] / sums[0, 0] - sums[1, 1:] / sums[1, 0]
+    each = float(num) ** len(features) * (gap[:count] ** 2 + gap[count:] ** 2)
+    bound = 4 * float(num) ** len(features) * np.sqrt(np.log(2 / (1 - confidence)) / (2 * count))
+    return source.sparkSession.createDataFrame([(float(each.mean()), float(each.std() / np.sqrt(count)), float(bound))], "mmd double, std_error double, bound double")

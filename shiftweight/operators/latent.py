@@ -1,7 +1,7 @@
 """Latent structure: responsibilities, Gaussian mixtures and unit-sphere prototypes.
 
 Responsibilities are a matrix product per Arrow batch. Mixtures are fitted by EM over per-partition sufficient
-statistics: each pass moves J * (2 D + 1) + 1 numbers per task.
+statistics: each pass moves J * (2 D + 1) + 1 numbers per task (with covariance matrices up to J * D * D more).
 """
 
 from __future__ import annotations
@@ -98,9 +98,12 @@ class SphereModel:
         return self.kappa * unit(x) @ unit(self.centroids).T
 
 
+COVARIANCES = ("diag", "spherical", "full", "tied")
+
+
 @dataclass(frozen=True)
 class MixtureModel:
-    """Gaussian mixture with diagonal or spherical covariance."""
+    """Gaussian mixture. ``variances``: components x D (diag, spherical), components x D x D (full), or D x D (tied)."""
 
     weights: np.ndarray
     means: np.ndarray
@@ -112,14 +115,30 @@ class MixtureModel:
     def n_components(self) -> int:
         return len(self.weights)
 
+    @property
+    def matrices(self) -> bool:
+        """Whether covariances are matrices."""
+        return self.covariance_type in ("full", "tied")
+
+    def _distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of rows from the means in units of the covariances, and logarithms of their determinants."""
+        if not self.matrices:
+            inv = 1 / self.variances
+            return (x * x) @ inv.T - 2 * x @ (self.means * inv).T + (self.means**2 * inv).sum(axis=1), np.log(self.variances).sum(axis=1)
+        quad, det = np.empty((len(x), self.n_components)), np.empty(self.n_components)
+        for j in range(self.n_components):
+            low = np.linalg.cholesky(self.variances[j] if self.covariance_type == "full" else self.variances)
+            quad[:, j] = (np.linalg.solve(low, (x - self.means[j]).T) ** 2).sum(axis=0)
+            det[j] = 2 * np.log(np.diag(low)).sum()
+        return quad, det
+
     def log_scores(self, x: np.ndarray) -> np.ndarray:
-        inv = 1 / self.variances
-        quad = (x * x) @ inv.T - 2 * x @ (self.means * inv).T + (self.means**2 * inv).sum(axis=1)
-        return np.log(np.maximum(self.weights, 1e-300)) - 0.5 * (quad + np.log(2 * np.pi * self.variances).sum(axis=1))
+        quad, det = self._distances(x)
+        return np.log(np.maximum(self.weights, 1e-300)) - 0.5 * (quad + self.means.shape[1] * np.log(2 * np.pi) + det)
 
     def parameters(self) -> int:
         m, d = self.means.shape
-        return 2 * m * d + m - 1 if self.covariance_type == "diag" else m * d + 2 * m - 1
+        return m * d + m - 1 + {"diag": m * d, "spherical": m, "full": m * d * (d + 1) // 2, "tied": d * (d + 1) // 2}[self.covariance_type]
 
     def bic(self, n: int) -> float:
         return -2 * self.log_likelihood + self.parameters() * float(np.log(n))
@@ -147,49 +166,101 @@ def check_vectors(df: DataFrame, feature: str) -> int:
     return r.lo
 
 
-def kmeans_centers(df: DataFrame, feature: str, k: int, seed: int, n_init: int = 1) -> np.ndarray:
-    """Centers of the cheapest of ``n_init`` k-means runs."""
-    rows = df.select(array_to_vector(feature).alias("v")).persist()
+def lloyd(df: DataFrame, feature: str, centers: np.ndarray, max_iter: int = 20, tol: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(centers, cost) of k-means from given centers: one pass a round, until no center moves further than ``tol``.
+
+    A center without rows stays where it is. ``cost`` is that of the last round's starting centers.
+    """
+    cost = float("inf")
+    for _ in range(max_iter):
+        shared = df.sparkSession.sparkContext.broadcast(centers)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            sums, far = np.zeros((len(c), c.shape[1] + 1)), 0.0
+            for batch in filter(lambda b: b.num_rows, batches):
+                x = matrix(batch.column(0))
+                d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+                near = d.argmin(axis=1)
+                far += float(np.maximum(d[np.arange(len(x)), near], 0).sum())
+                one = (near[:, None] == np.arange(len(c))).astype(np.float64)
+                sums += np.hstack([one.sum(axis=0)[:, None], one.T @ x])
+            yield pa.RecordBatch.from_arrays([lists(np.r_[far, sums.ravel()].reshape(1, -1))], ["x"])
+
+        whole = merged(df.select(feature).mapInArrow(run, "x array<double>"), lambda x: x.sum(axis=0))
+        cost, sums = float(whole[0]), whole[1:].reshape(len(centers), -1)
+        moved = np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), centers)
+        step, centers = float(np.linalg.norm(moved - centers, axis=1).max()), moved
+        if step <= tol:
+            break
+    return centers, cost
+
+
+def kmeans_centers(df: DataFrame, feature: str, k: int, seed: int, n_init: int = 1, sample: int = 20_000) -> np.ndarray:
+    """Centers of k-means: ``n_init`` runs on a sample of at most ``sample`` rows, the cheapest of them refined over all rows.
+
+    Seeding (k-means||) and restarts see the sample only; the whole table is passed over by one set of rounds. A table no larger than
+    the sample is the sample.
+    """
+    part = fit_sample(df.select(feature), sample, seed, feature).select(array_to_vector(feature).alias("v")).persist()
     try:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="v").fit(rows) for i in range(n_init)]
-        return np.array(min(fits, key=lambda m: m.summary.trainingCost).clusterCenters())
+        n = part.count()
+        fits = [KMeans(k=k, seed=seed + i, featuresCol="v").fit(part) for i in range(n_init)]
+        best = np.array(min(fits, key=lambda m: m.summary.trainingCost).clusterCenters())
     finally:
-        rows.unpersist()
+        part.unpersist()
+    return best if n < sample else lloyd(df, feature, best)[0]
 
 
 def em_step(df: DataFrame, feature: str, model: MixtureModel, reg_covar: float = 1e-6) -> MixtureModel:
-    """One EM step; ``log_likelihood`` of the result is that of the model put in."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """One EM step; ``log_likelihood`` of the result is that of the model put in.
+
+    Each task returns for each component its mass, the sum of its rows, and sums of squares: D numbers, D * D for ``full``,
+    and D * D for all components together for ``tied``. Rows are shifted by the mean of the means first.
+    """
+    middle = model.weights @ model.means / model.weights.sum()
+    shared = df.sparkSession.sparkContext.broadcast((model, middle))
+    j, d = model.means.shape
+    full, tied = model.covariance_type == "full", model.covariance_type == "tied"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        sums, ll = np.zeros((m.n_components, 2 * m.means.shape[1] + 1)), 0.0
+        m, shift = shared.value
+        mass, firsts, ll = np.zeros(j), np.zeros((j, d)), 0.0
+        squares = np.zeros((j, d, d) if full else (d, d) if tied else (j, d))
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(0))
                 z = m.log_scores(x)
                 top = z.max(axis=1, keepdims=True)
                 norm = top + np.log(np.exp(z - top).sum(axis=1, keepdims=True))
-                r = np.exp(z - norm)
+                r, y = np.exp(z - norm), x - shift
                 ll += float(norm.sum())
-                sums += np.hstack([r.sum(axis=0)[:, None], r.T @ x, r.T @ (x * x)])
-        yield pa.RecordBatch.from_arrays([lists(np.r_[ll, sums.ravel()].reshape(1, -1))], ["x"])
+                mass += r.sum(axis=0)
+                firsts += r.T @ y
+                squares += np.stack([(y * r[:, [i]]).T @ y for i in range(j)]) if full else y.T @ y if tied else r.T @ (y * y)
+        yield pa.RecordBatch.from_arrays([lists(np.r_[ll, mass, firsts.ravel(), squares.ravel()].reshape(1, -1))], ["x"])
 
     whole = merged(df.select(feature).mapInArrow(run, "x array<double>"), lambda x: x.sum(axis=0))
-    d = model.means.shape[1]
-    sums = whole[1:].reshape(model.n_components, -1)
-    mass = np.maximum(sums[:, 0], 1e-10)
-    means = sums[:, 1 : d + 1] / mass[:, None]
-    var = np.maximum(sums[:, d + 1 :] / mass[:, None] - means**2, 0) + reg_covar
-    if model.covariance_type == "spherical":
-        var = np.repeat(var.mean(axis=1, keepdims=True), d, axis=1)
-    return MixtureModel(mass / mass.sum(), means, var, model.covariance_type, float(whole[0]))
+    mass, firsts, squares = np.maximum(whole[1 : j + 1], 1e-10), whole[j + 1 : j + 1 + j * d].reshape(j, d), whole[j + 1 + j * d :]
+    at = firsts / mass[:, None]
+    if full:
+        var = squares.reshape(j, d, d) / mass[:, None, None] - at[:, :, None] * at[:, None, :] + reg_covar * np.eye(d)
+    elif tied:
+        var = (squares.reshape(d, d) - (at * mass[:, None]).T @ at) / mass.sum() + reg_covar * np.eye(d)
+    else:
+        var = np.maximum(squares.reshape(j, d) / mass[:, None] - at**2, 0) + reg_covar
+        if model.covariance_type == "spherical":
+            var = np.repeat(var.mean(axis=1, keepdims=True), d, axis=1)
+    return MixtureModel(mass / mass.sum(), middle + at, var, model.covariance_type, float(whole[0]))
 
 
 def fit_gmm(df: DataFrame, feature: str, n_components: int, covariance_type: str = "diag", reg_covar: float = 1e-6, seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> MixtureModel:
-    """Gaussian mixture by EM from k-means centers, until the mean log-likelihood gains less than ``tol``."""
-    if covariance_type not in ("diag", "spherical"):
-        raise ValueError("covariance_type must be diag or spherical; full covariances: pyspark.ml GaussianMixture")
+    """Gaussian mixture by EM from k-means centers, until the mean log-likelihood gains less than ``tol``.
+
+    ``covariance_type`` is diag, spherical, full (a matrix for each component) or tied (one for all).
+    """
+    if covariance_type not in COVARIANCES:
+        raise ValueError(f"covariance_type must be one of {', '.join(COVARIANCES)}")
     check_vectors(df, feature)
     n = df.count()
     centers = kmeans_centers(df, feature, min(n_components, n), seed)
@@ -197,7 +268,8 @@ def fit_gmm(df: DataFrame, feature: str, n_components: int, covariance_type: str
     var = np.maximum(squares / rows - (at / rows) ** 2, 0) / len(centers) + reg_covar
     if covariance_type == "spherical":
         var = np.full_like(var, var.mean())
-    model = MixtureModel(np.full(len(centers), 1 / len(centers)), centers, np.tile(var, (len(centers), 1)), covariance_type)
+    start = {"full": np.tile(np.diag(var), (len(centers), 1, 1)), "tied": np.diag(var)}.get(covariance_type, np.tile(var, (len(centers), 1)))
+    model = MixtureModel(np.full(len(centers), 1 / len(centers)), centers, start, covariance_type)
     last = -np.inf
     for _ in range(max_iter):
         following = em_step(df, feature, model, reg_covar)
@@ -222,7 +294,7 @@ def select_gmm_bic(df: DataFrame, feature: str, lo: int = 2, hi: int = 8, id_col
 
 
 def fit_vmf(df: DataFrame, feature: str, k: int, kappa: float = 20.0, seed: int = 0, n_init: int = 10) -> SphereModel:
-    """k-means on unit vectors; the centers are brought back to the sphere."""
+    """k-means on unit vectors; the centers are brought back to the sphere. Restarts see a sample (``kmeans_centers``)."""
     check_vectors(df, feature)
     centers = kmeans_centers(df.select(l2_normalize(F.col(feature)).alias(feature)), feature, k, seed, n_init)
     return SphereModel(centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12), kappa)

@@ -92,11 +92,11 @@ def ranged(scope: DataFrame, column: str, parts: int = 200) -> tuple[Column, lis
     return number, out
 
 
-def cut(df: DataFrame, columns: list[str], n: int) -> tuple[list[Column], Column, int, bool]:
+def cut(df: DataFrame, columns: list[str], n: int, small: int | None = None) -> tuple[list[Column], Column, int, bool]:
     """Where the first n rows in the order of ``columns`` (null last) end.
 
     Returns (conditions, border, rest, tie): rows that meet one of the conditions are in, and of those that meet
-    ``border`` the first ``rest`` ones. These are SMALL rows at most unless ``tie``: then all columns are equal in them.
+    ``border`` the first ``rest`` ones. These are ``small`` (SMALL) rows at most unless ``tie``: then all columns are equal in them.
     Ranges are narrowed by a factor of about 200 a round, by the second column where the first is equal, and so on.
     """
     rows = df.select(*columns).persist()
@@ -110,7 +110,7 @@ def cut(df: DataFrame, columns: list[str], n: int) -> tuple[list[Column], Column
                     return [F.lit(True)], F.lit(False), 0, False
                 whole.append(border & (number < at.number))
                 border, n = border & (number == at.number), n - at.before
-                if at.rows <= SMALL:
+                if at.rows <= (SMALL if small is None else small):
                     return whole, border, n, False
                 if at.single:
                     break

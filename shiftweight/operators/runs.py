@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import run_status, transfer_label
+from ..sources.files import METRICS_SCHEMA
 
 RUN_KEY = ["dataset", "src", "tgt", "method", "run_id"]
 # The columns that comparable runs must share.
@@ -23,10 +24,16 @@ def transfer_pairs(domains: DataFrame, name: str = "domain") -> DataFrame:
     return d.select(F.col(name).alias("src")).join(d.select(F.col(name).alias("tgt")), F.col("src") != F.col("tgt"))
 
 
+#: Values of one axis of a grid; more are an error.
+AXIS_VALUES = 10_000
+
+
 def param_grid(axes: list[DataFrame]) -> DataFrame:
-    """Product of one-column frames."""
+    """Product of one-column frames. Each axis is broadcast, so one with more than ``AXIS_VALUES`` rows is an error."""
     out = axes[0]
     for axis in axes[1:]:
+        if axis.limit(AXIS_VALUES + 1).count() > AXIS_VALUES:
+            raise ValueError(f"the axis {axis.columns} has more than {AXIS_VALUES} values")
         out = out.crossJoin(F.broadcast(axis))
     return out
 
@@ -103,10 +110,10 @@ def status_summary(runs: DataFrame, status: str = "status") -> DataFrame:
     return runs.agg(F.count("*").alias("total"), F.count_if(s.isin(*DONE)).alias("succeeded"), F.count_if(s.startswith("fail")).alias("failed"))
 
 
-def fairness_check(configs: DataFrame) -> DataFrame:
-    """(n_settings, unfair): more than one combination of settings, unless a run matches the paper on purpose."""
+def fairness_check(configs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """([by,] n_settings, unfair): more than one combination of settings, unless a run matches the paper on purpose."""
     n = F.countDistinct(F.struct(*FAIRNESS))
-    return configs.agg(n.alias("n_settings"), ((n > 1) & ~F.coalesce(F.bool_or("paper_match"), F.lit(False))).alias("unfair"))
+    return configs.groupBy(*(by or [])).agg(n.alias("n_settings"), ((n > 1) & ~F.coalesce(F.bool_or("paper_match"), F.lit(False))).alias("unfair"))
 
 
 def flag_invalid_comparisons(runs: DataFrame, by: tuple[str, ...] = ("dataset", "src", "tgt", "seed", "fingerprint")) -> DataFrame:
@@ -201,7 +208,6 @@ def upsert_rows(existing: DataFrame, new: DataFrame, key: str = "run_id", order:
 
 def metrics_row(run: DataFrame) -> DataFrame:
     """The metrics columns of runs, accuracies rounded to six digits, missing settings as null."""
-    # The columns of a metrics file, in their order.
-    fields = ["dataset", "src", "tgt", "method", "run_id", "seed", "source_acc", "target_acc", "epochs_source", "epochs_adapt", "backbone", "batch_size", "lr", "timestamp", "git_sha", "lr_backbone", "lr_classifier", "classifier_lr", "backbone_lr_scale", "weight_decay", "deterministic", "transforms_id", "method_params_json"]
+    fields = [f.strip().split(" ")[0] for f in METRICS_SCHEMA.split(",")]
     pick = lambda c: F.round(F.col(c), 6).alias(c) if c.endswith("_acc") and c in run.columns else F.col(c) if c in run.columns else F.lit(None).cast("string").alias(c)
     return run.select(*[pick(c) for c in fields])

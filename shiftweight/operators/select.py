@@ -28,36 +28,36 @@ def confidence_mask(df: DataFrame, mode: str, tau: float, max_entropy: float | N
     return df.filter(keep if max_entropy is None else keep & (h <= max_entropy))
 
 
-def exact_lowest(df: DataFrame, score: str, n: int, id_col: str = "sample_id", descending: bool = False) -> DataFrame:
+def exact_lowest(df: DataFrame, score: str, n: int, id_col: str = "sample_id", descending: bool = False, small: int | None = None) -> DataFrame:
     """The n rows of lowest (or highest) score; ties go to the smaller id, null and NaN scores come last.
 
     n may be a large part of the table, so no limit over it is used: the cut is found by counts of ranges (``ranges.cut``),
-    better ranges are taken whole, and only the rows at the border are sorted.
+    better ranges are taken whole, and only the rows at the border (``small`` at most, or ranges.SMALL) are sorted.
     """
     if n <= 0:
         return df.limit(0)
     known = F.when(~F.isnan(score), F.col(score).cast("double"))
     rows = df.withColumn("_k", -known if descending else known)
-    whole, border, rest, _ = cut(rows, ["_k", id_col], n)
+    whole, border, rest, _ = cut(rows, ["_k", id_col], n, small)
     inside = rows.filter(border).orderBy(F.col("_k").asc_nulls_last(), F.col(id_col).asc_nulls_last()).limit(rest)
     return rows.filter(reduce(Column.__or__, whole)).unionByName(inside).drop("_k")
 
 
-def low_entropy_keep(df: DataFrame, keep_ratio: float, score: str = "entropy", id_col: str = "sample_id") -> DataFrame:
+def low_entropy_keep(df: DataFrame, keep_ratio: float, score: str = "entropy", id_col: str = "sample_id", small: int | None = None) -> DataFrame:
     """The max(1, ceil(n * ratio)) rows of lowest entropy; ratio 1 keeps all."""
     if not 0 < keep_ratio:
         raise ValueError("keep_ratio must be positive")
     if keep_ratio >= 1:
         return df
     n = df.count()
-    return exact_lowest(df, score, max(1, -int(-n * keep_ratio // 1)), id_col)
+    return exact_lowest(df, score, max(1, -int(-n * keep_ratio // 1)), id_col, small=small)
 
 
-def relaxed_threshold(scores: DataFrame, mode: str, min_count: int, score: str = "score") -> float | None:
+def relaxed_threshold(scores: DataFrame, mode: str, min_count: int, score: str = "score", small: int | None = None) -> float | None:
     """Threshold at which ``min_count`` rows pass: the min_count-th best score, or the worst if there are fewer (none: null)."""
     key = -F.col(score) if mode == "maxprob" else F.col(score)
     rows = scores.select(key.cast("double").alias("k")).filter("k IS NOT NULL AND NOT isnan(k)")
-    _, border, rest, tie = cut(rows, ["k"], min_count)
+    _, border, rest, tie = cut(rows, ["k"], min_count, small)
     inside = rows.filter(border)
     worst = (rows if not rest else inside if tie else inside.orderBy("k").limit(rest)).agg(F.max("k")).first()[0]
     return None if worst is None else -worst if mode == "maxprob" else worst

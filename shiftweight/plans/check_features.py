@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import align, evaluate, iis, latent, losses, prep, scoring, select, weights
+from ..sources.files import shared_folder
 from . import fixtures as X
+from . import jobs
 from .fixtures import features_sql, iis_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,7 +383,7 @@ WHOLE = _mmd_sql(False).replace("FROM b ", "FROM bb ").replace("FROM b)", "FROM
 @query("m15_mmd_whole", features_sql("SELECT round(sum(CASE WHEN pd = qd THEN k ELSE -k END), 6) AS mmd FROM mm", "bb AS (SELECT s.*, 0 AS batch_no FROM s), " + WHOLE))
 def m15w(spark, d):
     rows = X.samples(spark, d)
-    return r6(align.whole_mmd(rows.filter("domain = 'source'"), rows.filter("domain = 'target'"), ["feat"], block_rows=500))
+    return r6(align.whole_mmd(rows.filter("domain = 'source'"), rows.filter("domain = 'target'"), ["feat"], cell_rows=800, tile=150).select("mmd"))
 
 
 @query("w6_ema_moments", features_sql("SELECT label AS constraint_id, round(0.5 * (0.5 * e0 + 0.5 * e1) + 0.5 * e2, 6) AS moment FROM (SELECT label, avg(feat[1]) FILTER (sample_id % 3 = 0) AS e0, avg(feat[1]) FILTER (sample_id % 3 = 1) AS e1, avg(feat[1]) FILTER (sample_id % 3 = 2) AS e2 FROM s GROUP BY label)"))
@@ -423,3 +426,128 @@ def u3(spark, d):
     """Labels by a function of the user: the least likely class."""
     least = lambda c: F.array_position(c, F.array_min(c)).cast("int") - 1
     return scoring.predict(X.with_probs(X.samples(spark, d)), least, "probs").groupBy("pred").agg(F.count("*").alias("n"))
+
+
+@query("t1_few_distinct_scores", features_sql("SELECT sample_id FROM s WHERE domain = 'target' ORDER BY label, sample_id LIMIT (SELECT ceil(count(*) * 0.3)::BIGINT FROM s WHERE domain = 'target')"))
+def t1f(spark, d):
+    """Ten distinct scores, cut by ranges down to 20 rows: the cut lies inside a heavy value."""
+    rows = X.samples(spark, d).filter("domain = 'target'").select("sample_id", F.col("label").cast("double").alias("entropy"))
+    return select.low_entropy_keep(rows, 0.3, small=20).select("sample_id")
+
+
+@query("t2_few_distinct_scores", features_sql("SELECT n, label AS tau FROM (SELECT label::DOUBLE AS label, row_number() OVER (ORDER BY label DESC) AS n FROM s) WHERE n IN (1, 50, 170, 300)"))
+def t2f(spark, d):
+    scores = X.samples(spark, d).select(F.col("label").cast("double").alias("score"))
+    return spark.createDataFrame([(n, select.relaxed_threshold(scores, "maxprob", n, small=10)) for n in (1, 50, 170, 300)], "n bigint, tau double")
+
+
+@query("j1_bucketed_weights", features_sql("SELECT sample_id, label, round((sample_id % 7 + 1) / 100::DOUBLE, 6) AS w FROM s WHERE domain = 'source'"))
+def j1b(spark, d):
+    """Features and weights stored in buckets of the id and joined without an exchange."""
+    rows, name = X.samples(spark, d).filter("domain = 'source'"), uuid.uuid4().hex
+    weights.write_bucketed(rows.select("sample_id", "label", "feat"), f"features_{name}", shared_folder(spark), 8)
+    weights.write_bucketed(_id_weights(rows), f"weights_{name}", shared_folder(spark), 8)
+    return r6(weights.attach_bucketed(spark, f"features_{name}", f"weights_{name}").select("sample_id", "label", "w"))
+
+
+@query("m10_solve_labelled", features_sql("SELECT sample_id, round(w, 9) AS w FROM w3", iis_sql(3)))
+def m10l(spark, d):
+    """Source classes as labels, of which no one-hot rows are made; broken off after two rounds and resumed."""
+    rows = X.scored(spark, d)
+    source, kept = rows.filter("domain = 'source'").select("sample_id", "label", *X.CONSTRAINTS.layers), []
+    pg = iis.target_moments(rows.filter("domain = 'target'"), X.CONSTRAINTS)
+    iis.solve_iis(source, X.CONSTRAINTS, pg, 2, label="label", save=lambda state: kept.append(state.to_json()))
+    out = iis.solve_iis(source, X.CONSTRAINTS, pg, 3, label="label", state=iis.SolverState.from_json(kept[-1]))[0]
+    return out.select("sample_id", F.round("w", 9).alias("w"))
+
+
+#: Prototypes and moments of confident target rows only.
+CONFIDENT = features_sql("SELECT sample_id, round(0.8 * w + 0.2 / (count(*) OVER ()), 9) AS w FROM w3", iis_sql(3)).replace("tr AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS k FROM s WHERE domain = 'target')", "tr AS (SELECT s.*, row_number() OVER (ORDER BY sample_id) - 1 AS k FROM s JOIN pl USING (sample_id) WHERE s.domain = 'target' AND conf >= 0.5)").replace("WHERE gamma.domain = 'target' GROUP BY ALL", "WHERE gamma.domain = 'target' AND sample_id IN (SELECT sample_id FROM pl WHERE conf >= 0.5) GROUP BY ALL")
+
+
+def _first_rows(df: DataFrame, feature: str, k: int, **options) -> latent.SphereModel:
+    """A backend of the user: the first rows are the prototypes."""
+    return latent.SphereModel(np.array([r[feature] for r in df.orderBy("sample_id").limit(k).collect()]), options["kappa"])
+
+
+@query("m13_weight_updates", CONFIDENT)
+def m13s(spark, d):
+    """Two epochs of updates with smoothed moments, broken off in the second one and called again; weights of the last."""
+    rows = X.with_probs(X.samples(spark, d))
+    source, target = rows.filter("domain = 'source'"), rows.filter("domain = 'target'").drop("label")
+    latent.BACKENDS["first_rows"] = _first_rows
+    cfg = jobs.WeightConfig(X.CONSTRAINTS.layers, X.CLASSES, backend="first_rows", backend_options={"kappa": X.KAPPA}, max_iter=3, tau=0.5, ema_alpha=0.5, fit_rows=1 << 30)
+    folder = shared_folder(spark)
+
+    class Stopped(Exception):
+        pass
+
+    class Log(jobs.UpdateLog):
+        def save(self, state):
+            super().save(state)
+            if self.epoch == 1 and state.rounds == 2:
+                raise Stopped
+
+    plain = jobs.UpdateLog
+    try:
+        jobs.UpdateLog = Log
+        jobs.weight_updates(source, lambda epoch: target, cfg, 2, folder)
+    except Stopped:
+        pass
+    finally:
+        jobs.UpdateLog = plain
+    try:
+        records = jobs.weight_updates(source, lambda epoch: target, cfg, 2, folder)
+    finally:
+        del latent.BACKENDS["first_rows"]
+    return spark.read.parquet(records[-1].weights).select("sample_id", F.round("w", 9).alias("w"))
+
+
+#: Fixed mixtures with covariance matrices over three dimensions; inverses and determinants go into the SQL as numbers.
+MATRICES = {
+    "full": latent.MixtureModel(np.array([0.3, 0.7]), np.array([[0.1, 0.0, -0.1], [-0.2, 0.1, 0.2]]), np.array([[[0.5, 0.1, 0.0], [0.1, 0.4, 0.05], [0.0, 0.05, 0.6]], [[0.7, -0.2, 0.1], [-0.2, 0.9, 0.0], [0.1, 0.0, 0.8]]]), "full"),
+    "tied": latent.MixtureModel(np.array([0.3, 0.7]), np.array([[0.1, 0.0, -0.1], [-0.2, 0.1, 0.2]]), np.array([[0.5, 0.1, 0.0], [0.1, 0.4, 0.05], [0.0, 0.05, 0.6]]), "tied"),
+}
+
+
+def _em_sql(m: latent.MixtureModel) -> str:
+    """One EM step over positions 1 to 3: every entry of the new covariances."""
+    def score(j: int) -> str:
+        v = m.variances[j] if m.covariance_type == "full" else m.variances
+        inv, det = np.linalg.inv(v), float(np.log(np.linalg.det(v)))
+        quad = " + ".join(f"({inv[a, b]!r}::DOUBLE) * (x[{a + 1}] - ({m.means[j, a]!r}::DOUBLE)) * (x[{b + 1}] - ({m.means[j, b]!r}::DOUBLE))".replace("np.float64(", "(") for a in range(3) for b in range(3))
+        return f"ln({m.weights[j]}::DOUBLE) - 0.5 * ({quad} + ({det!r}::DOUBLE))"
+
+    ctes = f"""mx AS (SELECT feat[1:3] AS x FROM s WHERE domain = 'target'), mz AS (SELECT x, {score(0)} AS a, {score(1)} AS b FROM mx),
+mr AS (SELECT x, 0 AS j, 1 / (1 + exp(b - a)) AS r FROM mz UNION ALL SELECT x, 1, 1 / (1 + exp(a - b)) FROM mz),
+mm AS (SELECT j, sum(r) AS n, sum(r * x[1]) / sum(r) AS m1, sum(r * x[2]) / sum(r) AS m2, sum(r * x[3]) / sum(r) AS m3 FROM mr GROUP BY j),
+mc AS (SELECT j, p, q, sum(r * (x[p] - [m1, m2, m3][p]) * (x[q] - [m1, m2, m3][q])) AS c, any_value(n) AS n FROM mr JOIN mm USING (j), (SELECT unnest([1, 2, 3]) AS p), (SELECT unnest([1, 2, 3]) AS q) GROUP BY j, p, q)"""
+    value = "j, p, q, c / n + CASE WHEN p = q THEN 1e-6 ELSE 0 END AS v FROM mc" if m.covariance_type == "full" else "0 AS j, p, q, sum(c) / sum(n) + CASE WHEN p = q THEN 1e-6 ELSE 0 END AS v FROM mc GROUP BY p, q"
+    return features_sql(f"SELECT j::INTEGER AS component, (p - 1)::INTEGER AS row, (q - 1)::INTEGER AS col, round(v, 6) AS value FROM (SELECT {value})", ctes)
+
+
+for _kind, _model in MATRICES.items():
+
+    @query(f"m1_em_step_{_kind}", _em_sql(_model))
+    def m1m(spark, d, model=_model):
+        rows = X.samples(spark, d).filter("domain = 'target'").select(F.slice("feat", 1, 3).alias("x"))
+        v = latent.em_step(rows, "x", model).variances
+        v = v if v.ndim == 3 else v[None]
+        return r6(spark.createDataFrame([(j, a, b, float(v[j, a, b])) for j in range(len(v)) for a in range(3) for b in range(3)], "component int, row int, col int, value double"))
+
+
+@query("m15_fourier_mmd")
+def m15f(spark, d):
+    """MMD of the whole samples by random Fourier features; a linear estimate of ``m15_mmd_whole``."""
+    rows = X.samples(spark, d)
+    return align.fourier_mmd(rows.filter("domain = 'source'"), rows.filter("domain = 'target'"), ["feat"])
+
+
+@query("w6_ema_skipped_epochs", features_sql("SELECT label AS constraint_id, round(coalesce(0.5 * e0 + 0.5 * e2, e2, e0), 6) AS moment FROM (SELECT label, avg(feat[1]) FILTER (sample_id % 3 = 0 AND label <> 4) AS e0, avg(feat[1]) FILTER (sample_id % 3 = 2) AS e2 FROM s GROUP BY label)"))
+def w6s(spark, d):
+    """The second epoch was skipped (null or NaN) for all labels, the first one for one of them."""
+    x = F.avg(F.get("feat", 0))
+    skipped = F.when(F.col("constraint_id") % 2 == 0, F.lit(None)).otherwise(F.lit(float("nan")))
+    by = X.samples(spark, d).groupBy(F.col("label").alias("constraint_id"), (F.col("sample_id") % 3).alias("epoch")).agg(x.alias("x"))
+    by = by.withColumn("x", F.when(F.col("epoch") == 1, skipped).when((F.col("epoch") == 0) & (F.col("constraint_id") == 4), F.lit(None)).otherwise(F.col("x")))
+    return r6(iis.ema_moments(by, 0.5))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..sources import files as S
+from ..sources.incremental import RunFiles
 from . import fixtures as X
 from .fixtures import features_sql, manifest_sql, runs_sql
 
@@ -69,7 +70,7 @@ def _run_files(spark: SparkSession, d: str, name: str, content: Column, keep: Co
 
 @query("s3_read_metrics_csv", runs_sql("SELECT method AS dir_method, src || '2' || tgt AS dir_transfer, 'r' || seed AS dir_run_id, arg_min(coalesce(target_acc, -1), row_no) AS first_acc, arg_max(coalesce(target_acc, -1), row_no) AS last_acc FROM runs GROUP BY src, tgt, method, seed"))
 def s3(spark, d):
-    """Ten rows per file at most, the first and the last run among them."""
+    """One line per run of the file's group; these files are test data and are made whole in one cell each."""
     line = F.concat_ws(",", F.lit("office-home"), "src", "tgt", "method", "run_id", "seed", F.lit("1.5"), F.coalesce(F.col("target_acc").cast("string"), F.lit("-1")))
     lines = F.array_sort(F.collect_list(F.struct("row_no", line.alias("line"))))
     content = F.concat(F.lit("dataset,src,tgt,method,run_id,seed,source_acc,target_acc\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\n"))
@@ -123,3 +124,19 @@ def s7(spark, d):
     w, h = S.read_weights(spark, path)
     sums = lambda df, name, c: df.agg(F.count("*").alias("n"), F.sum(c).alias("x")).select(F.lit(name).alias("name"), "n", "x")
     return sums(w, "weights", "w").unionByName(sums(h, "iis_history", "objective"))
+
+
+@query("s3_refresh_run_files", runs_sql("SELECT method AS dir_method, src || '2' || tgt AS dir_transfer, 'r' || seed AS dir_run_id, max(row_no)::DOUBLE + CASE WHEN seed = 1 THEN 1 ELSE 0 END AS target_acc, 0 AS reopened FROM runs GROUP BY src, tgt, method, seed"))
+def s3r(spark, d):
+    """Files are read, those of one seed are then written anew with another length, and only these are read again; a third look opens none."""
+    line = lambda more: F.concat(F.lit("dataset,src,tgt,method,run_id,seed,source_acc,target_acc\noffice-home,a,b,m,r,0,1.5,"), (F.max("row_no") + more).cast("double").cast("string"), F.lit("\n" * (1 + more)))
+    root = _run_files(spark, d, "metrics.csv", line(0))
+    runs = RunFiles(spark, root, "metrics.csv", S.shared_folder(spark), lambda paths: S.read_metrics_csv(spark, root, paths=paths), 8)
+    first = runs.refresh()
+    rows = X.runs(spark, d).filter("seed = 1")
+    path = F.concat_ws("/", F.lit("office-home"), F.concat("src", F.lit("2"), "tgt"), "method", F.concat(F.lit("r"), "seed"), F.lit("metrics.csv"))
+    write_files(rows.groupBy("src", "tgt", "method", "seed").agg(line(1).alias("content"), F.first(path).alias("path")), root)
+    second = runs.refresh()
+    if not 0 < second < first:
+        raise ValueError(f"opened {first}, then {second} files")
+    return runs.table().select("dir_method", "dir_transfer", "dir_run_id", "target_acc", F.lit(runs.refresh()).alias("reopened"))

@@ -107,3 +107,9 @@ def w2s(spark, d):
     """Seven classes in two domains; the preferred one is the target."""
     m = X.manifest(spark, d).select(F.when(F.col("doc_id") % 14 < 7, "D").otherwise("A").alias("domain"), F.concat(F.lit("c"), F.col("doc_id") % 7).alias("class_name"))
     return prep.shared_class_index(m, "D", "A")
+
+
+@query("w10_sample_index_heavy", manifest_sql("SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS sample_id FROM manifest"))
+def w10h(spark, d):
+    """Few values, each with many equal rows, numbered in blocks of 50."""
+    return prep.sample_index(X.manifest(spark, d).select("domain"), "domain", range_rows=50)

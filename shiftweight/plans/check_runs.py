@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as S
 from ..operators import losses, prep, runs as R
+from ..sources.files import shared_folder
+from ..sources.snapshots import SnapshotTable
 from . import fixtures as X, jobs
 from .fixtures import runs_sql
 
@@ -201,9 +202,7 @@ def a17(spark, d):
     i, kind = F.col("event_id"), F.col("event_type")
     fixed = {c: F.lit(1) for c in R.FAIRNESS}
     e = X.table(spark, d, "events").withColumns({**fixed, "epochs": i % 2, "grad_accum_steps": F.when(kind == "view", 0).otherwise(i % 3), "paper_match": (i % 500 == 3) & (kind != "click")})
-    names = [r.event_type for r in e.select("event_type").distinct().collect()]  # a handful of methods
-    parts = [R.fairness_check(e.filter(kind == m)).withColumn("method", F.lit(m)) for m in sorted(names)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    return R.fairness_check(e.withColumn("method", kind), ["method"])
 
 
 @query("p6_validate_protocol", """WITH c AS (SELECT event_id, coalesce(['uda_target', 'align_val', 'other', NULL][event_id % 4 + 1], 'uda_target') AS m, coalesce([NULL, 'val_unlabeled', 'test_unlabeled', 'train_unlabeled', 'Test_unlabeled'][event_id % 5 + 1], 'test_unlabeled') AS a, coalesce(['val', 'test', 'id_val', NULL, 'train', 'VAL', 'test'][event_id % 7 + 1], 'test') AS e FROM events)
@@ -306,3 +305,31 @@ def experiment_tables(spark, d):
     t = jobs.experiment_tables(rows.select(*R.RUN_KEY, "seed", "fingerprint"), found, METHODS)
     row = lambda df, name, key, x: df.select(F.lit(name).alias("name"), key.alias("key"), F.round(x.cast("double"), 6).alias("x"))
     return row(t["status"], "status", F.col("status"), F.col("count")).unionByName(row(t["stats"], "stats", F.concat_ws(" ", "method", "transfer"), F.col("mean"))).unionByName(row(t["best"], "best", F.col("method"), F.col("val_acc")))
+
+
+@query("x3_snapshot_upsert", runs_sql("SELECT arg_max(key, (n, row_no)) AS run_id, max(n) AS n, arg_max(row_no, (n, row_no)) AS row_no FROM k GROUP BY trim(key)", "k AS (SELECT CASE WHEN row_no % 5 = 0 THEN ' ' || run_id ELSE run_id END AS key, row_no, 0 AS n FROM runs UNION ALL SELECT run_id, max(row_no), 1 FROM runs WHERE row_no % 10 = 3 GROUP BY run_id)"))
+def x3s(spark, d):
+    """A stored table: all runs are put in, then new results of some; the second upsert writes the buckets of these."""
+    table = SnapshotTable(spark, shared_folder(spark), buckets=16)
+    key = F.when(F.col("row_no") % 5 == 0, F.concat(F.lit(" "), "run_id")).otherwise(F.col("run_id"))
+    table.upsert(X.runs(spark, d).select(key.alias("run_id"), "row_no", F.lit(0).alias("n")))
+    table.upsert(X.runs(spark, d).filter("row_no % 10 = 3").groupBy("run_id").agg(F.max("row_no").alias("row_no"), F.lit(1).alias("n")))
+    return table.read()
+
+
+#: Days without a score, and days on which it is NaN.
+GAPS = "lg AS (SELECT algorithm, epoch, CASE WHEN epoch NOT IN (2, 11) THEN v END AS v FROM (SELECT event_type AS algorithm, (event_id % 30)::INTEGER AS epoch, avg(value) AS v FROM events GROUP BY ALL))"
+
+
+@query("w4_best_epoch_missing_scores", f"WITH {GAPS}, m AS (SELECT *, v > coalesce(max(v) OVER (PARTITION BY algorithm ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-infinity'::DOUBLE) AS rise FROM lg) SELECT algorithm, max(epoch) AS best_epoch, round(arg_max(v, epoch), 6) AS best_score, NULL::INTEGER AS stop_epoch FROM m WHERE rise GROUP BY algorithm")
+def w4m(spark, d):
+    """A NaN score (epoch 2) and a missing one (epoch 11) are never the best."""
+    e = X.table(spark, d, "events").groupBy(F.col("event_type").alias("algorithm"), (F.col("event_id") % 30).cast("int").alias("epoch")).agg(F.avg("value").alias("val_acc"))
+    gaps = e.withColumn("val_acc", F.when(F.col("epoch") == 2, F.lit(float("nan"))).when(F.col("epoch") == 11, F.lit(None)).otherwise(F.col("val_acc")))
+    return r6(R.best_epoch_early_stop(gaps, 0))
+
+
+@query("w7_best_by_val_missing_scores", runs_sql("SELECT method, run_id, row_no, round(val_acc, 6) AS val_acc FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY val_acc DESC, row_no) AS r FROM runs WHERE row_no % 3 = 0) WHERE r = 1"))
+def w7m(spark, d):
+    rows = X.runs(spark, d).select("method", "run_id", "row_no", F.when(F.col("row_no") % 3 == 1, F.lit(float("nan"))).when(F.col("row_no") % 3 == 0, F.col("val_acc")).alias("val_acc"))
+    return r6(R.best_by_val(rows))

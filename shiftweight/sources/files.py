@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_json
 
 IMAGE_FILES = r"(?i)\.(jpe?g|png|bmp|gif|tiff?|webp)$"
+# The columns of a metrics file, in their order, and those of state and signature files.
 METRICS_SCHEMA = (
     "dataset string, src string, tgt string, method string, run_id string, seed int, source_acc double, target_acc double, epochs_source int, epochs_adapt int, backbone string, batch_size int, lr double, timestamp string, "
     "git_sha string, lr_backbone double, lr_classifier double, classifier_lr double, backbone_lr_scale double, weight_decay double, deterministic string, transforms_id string, method_params_json string"
@@ -64,17 +65,24 @@ def _run_key(path: Column) -> list[Column]:
     return [F.element_at(parts, -len(RUN_DIRS) - 1 + i).alias(f"dir_{name}") for i, name in enumerate(RUN_DIRS)]
 
 
-def read_metrics_csv(spark: SparkSession, runs_root: str, pick: str = "first") -> DataFrame:
-    """One row per metrics.csv with the directories it stands in. ``first`` row of each file, or ``last``."""
-    rows = spark.read.schema(METRICS_SCHEMA).csv(f"{runs_root}/*/*/*/*/metrics.csv", header=True).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
-    order = F.col("_at") if pick == "first" else F.col("_at").desc()
-    one = rows.withColumn("_r", F.row_number().over(Window.partitionBy("file").orderBy(order))).filter("_r = 1")
-    return one.select("*", *_run_key(F.col("file"))).drop("_r", "_at")
+def read_metrics_csv(spark: SparkSession, runs_root: str, pick: str = "first", paths: list[str] | None = None) -> DataFrame:
+    """One row per metrics.csv with the directories it stands in: the ``first`` row of each file, or the ``last``, by its place in the file.
 
+    ``paths`` names the files to read; without it, all below ``runs_root``.
+    """
+    found = paths if paths is not None else f"{runs_root}/*/*/*/*/metrics.csv"
+    # A large file is read in blocks by several tasks: the place is the block's first byte, then the order within the block.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.schema(METRICS_SCHEMA).csv(found, header=True).select("*", F.col("_metadata.file_path").alias("file"), place.alias("_at"))
+    chosen = F.min_by if pick == "first" else F.max_by
+    one = rows.groupBy("file").agg(chosen(F.struct(*[c for c in rows.columns if c not in ("file", "_at")]), F.col("_at")).alias("r"))
+    return one.select("r.*", "file").select("*", *_run_key(F.col("file")))
 
-def read_run_json(spark: SparkSession, runs_root: str, name: str = "state.json", schema: str = STATE_SCHEMA) -> DataFrame:
-    """One row per JSON file of that name; unreadable files are absent, not errors."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{runs_root}/*/*/*/*/{name}")
+
+def read_run_json(spark: SparkSession, runs_root: str, name: str = "state.json", schema: str = STATE_SCHEMA, paths: list[str] | None = None) -> DataFrame:
+    """One row per JSON file of that name (or of those in ``paths``); unreadable files are absent, not errors."""
+    found = paths if paths is not None else f"{runs_root}/*/*/*/*/{name}"
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(found)
     return rows.select("*", F.col("_metadata.file_path").alias("file")).filter(F.col("_corrupt").isNull()).select("*", *_run_key(F.col("file"))).drop("_corrupt")
 
 

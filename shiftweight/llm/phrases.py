@@ -5,7 +5,9 @@ merges them into a Misra-Gries summary. A summary that holds more counters than
 count off all of them; the sum of what was taken off stays below ``least``, because a summary whose capacity exceeds the mass it
 got divided by ``least`` cannot take off more, and a smaller one grows instead. So every n-gram that occurs ``least`` times
 survives. The pass runs by length (words, pairs, then three to five words): an n-gram is counted only where the shorter ones in it may
-have survived, told by a bit map of fixed size. Second pass: the n-grams that survived are counted exactly, by their text.
+have survived, told by a bit map of fixed size. Second pass: what survived in a summary that took something off is counted
+exactly; the counts of summaries that never did are exact already. The texts of the n-grams that are left are then read off
+documents of one class each: a class is a hash of the text, and of the classes an n-gram was met in the smallest is its own.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from ._store import written
 
 #: Counters of a summary to begin with; one task holds twice as many, or 3 * mass / least if that is more.
 CAPACITY = 1 << 22
-#: Bits of the map of survivors (16 MB, whatever the data; full it only lets more n-grams through).
-MAP_BITS = 27
+#: Bits of the map of survivors (8 MB, whatever the data; full it only lets more n-grams through).
+MAP_BITS = 26
 #: Bits of one block of the map, which one group of rows makes.
 _BLOCK_BITS = 16
-#: Counts that a task holds before it sends them on.
-HELD = 1 << 21
+#: N-grams that a task gathers before it counts them, and counts it holds before it sends them on.
+GATHERED, HELD = 1 << 19, 1 << 21
+#: Classes of documents.
+CLASSES = 1 << 12
 #: Parts of a language's phrases among which the best are found first.
 PARTS = 64
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -40,17 +44,17 @@ _SEPARATES[list(_SEPARATORS)] = True
 
 @dataclass
 class Summary:
-    """Misra-Gries counters of one hash partition: ``counts`` are at most ``taken`` too small."""
+    """Misra-Gries counters of one hash partition: ``counts`` are at most ``taken`` too small. Each key has its smallest class."""
 
     least: int
     capacity: int = CAPACITY
 
     def __post_init__(self):
-        self.keys, self.counts, self.taken = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.keys, self.counts, self.classes, self.taken = *summed(*[np.zeros(0, np.int64)] * 3), 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, taken: int = 0) -> None:
+    def add(self, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, taken: int = 0) -> None:
         """Merge another summary, or counts as they are."""
-        self.keys, self.counts = summed(np.r_[self.keys, keys], np.r_[self.counts, counts])
+        self.keys, self.counts, self.classes = summed(np.r_[self.keys, keys], np.r_[self.counts, counts], np.r_[self.classes, classes])
         self.taken += taken
         while len(self.keys) > 2 * self.capacity:
             self.trim()
@@ -65,21 +69,31 @@ class Summary:
             self.capacity *= 2
             return
         keep = self.counts > off
-        self.keys, self.counts, self.taken = self.keys[keep], self.counts[keep] - off, self.taken + off
+        self.keys, self.counts, self.classes, self.taken = self.keys[keep], self.counts[keep] - off, self.classes[keep], self.taken + off
 
     def survivors(self) -> np.ndarray:
-        """All keys that may have occurred ``least`` times."""
-        return self.keys[self.counts + self.taken >= self.least]
+        """Places of all keys that may have occurred ``least`` times."""
+        return np.flatnonzero(self.counts + self.taken >= self.least)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
+def summed(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the sums of their counts and their smallest classes."""
     if not len(keys):
-        return keys, counts
+        return keys, counts, classes
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts, first)
+    return keys[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(classes[order], first)
+
+
+def _own(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams in documents of a class."""
+    return _text.mix(h.view(np.uint64) + classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).view(np.int64)
+
+
+def _in_map(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _slots(h)
+    return ((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +110,17 @@ class Grams:
     piece: np.ndarray
     lang: np.ndarray
     row: np.ndarray
+    classes: np.ndarray
+    first: int
 
     @staticmethod
-    def of(data: np.ndarray, off: np.ndarray, lang: np.ndarray) -> Grams:
-        """``lang`` is a hash for each row."""
+    def of(data: np.ndarray, off: np.ndarray, lang: np.ndarray, classes: np.ndarray, first: int) -> Grams:
+        """``lang`` is a hash and ``classes`` the class of each row; ``first`` is the first row's number in its batch."""
         w = _text.words(data, off, _WORD)
         row = w.row
         ends = np.r_[0, np.cumsum(_SEPARATES[w.data])]
         # Rows are pieces too: the number of rows before is counted along.
-        return Grams(w, ends[w.starts] + row, lang[row], row)
+        return Grams(w, ends[w.starts] + row, lang[row], row, classes, first)
 
     def hashes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(first words, hashes) of all runs of k words in one piece; the hash tells lengths and languages apart."""
@@ -130,8 +146,7 @@ def _known_grams(g: Grams, bitmap: np.ndarray | None, upto: int, longest: int) -
             keep = passes[at] & passes[at + 1]
             at, h = at[keep], h[keep]
         if k <= upto and bitmap is not None:
-            a, b = _slots(h)
-            keep = ((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1).astype(bool)
+            keep = _in_map(bitmap, h)
             at, h = at[keep], h[keep]
         passes = np.zeros(len(g.row) + 1, bool)
         passes[at] = True
@@ -140,39 +155,40 @@ def _known_grams(g: Grams, bitmap: np.ndarray | None, upto: int, longest: int) -
 
 def _rows(batch: pa.RecordBatch) -> Iterator[Grams]:
     data, off = _text.buffers(batch.column("text"))
-    lang = np.asarray(batch.column("h")).view(np.uint64)
+    lang, classes = np.asarray(batch.column("h")).view(np.uint64), np.asarray(batch.column("class")).astype(np.int64)
     for lo, hi in _text.chunks(off):
-        yield Grams.of(data, off[lo : hi + 1], lang[lo:hi])
+        yield Grams.of(data, off[lo : hi + 1], lang[lo:hi], classes[lo:hi], lo)
 
 
-def _partial(bitmap, upto: int, lengths: range, least: int):
-    """Per task: (h, c) for each n-gram of these lengths, c being its count there but not more than ``least``."""
+def _partial(bitmap, upto: int, lengths: range, longest: int):
+    """Per task: (h, v) for each n-gram of these lengths whose parts of ``upto`` words are in the map; v = count * CLASSES + class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmap.value if bitmap is not None else None
-        held, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        held, waiting, size = summed(*[np.zeros(0, np.int64)] * 3), [], 0
 
         def settle():
-            nonlocal held, counts, waiting, size
-            new = np.concatenate([np.zeros(0, np.int64), *waiting])
-            held, counts = summed(np.r_[held, new], np.r_[counts, np.ones(len(new), np.int64)])
+            nonlocal held, waiting, size
+            if waiting:
+                h, classes = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                new = summed(h, np.ones(len(h), np.int64), classes)
+                held = summed(*(np.r_[x, y] for x, y in zip(held, new, strict=True)))
             waiting, size = [], 0
 
         def send() -> pa.RecordBatch:
-            # Beyond ``least`` a count tells nothing more, and a very frequent n-gram does not swell its partition.
-            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.minimum(counts, least).astype(np.int32))], ["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1] * CLASSES + held[2])], ["h", "v"])
 
         for batch in batches:
             for g in _rows(batch):
-                for k, _, h in _known_grams(g, known, upto, lengths[-1]):
+                for k, at, h in _known_grams(g, known, upto, longest):
                     if k in lengths:
-                        waiting.append(h)
+                        waiting.append((h, g.classes[g.row[at]]))
                         size += len(h)
-                if size > HELD:
+                if size > GATHERED:
                     settle()
-                if len(held) > 2 * HELD:
+                if len(held[0]) > HELD:
                     yield send()
-                    held, counts = held[:0], counts[:0]
+                    held = summed(*[np.zeros(0, np.int64)] * 3)
         settle()
         yield send()
 
@@ -180,7 +196,7 @@ def _partial(bitmap, upto: int, lengths: range, least: int):
 
 
 def _merge(least: int, capacity: int):
-    """Per hash partition: the summary of all counts, and of it the n-grams that may be frequent."""
+    """Per hash partition: the summary of all counts, and of it (h, c, taken, class) of the n-grams that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary, waiting, size = Summary(least, capacity), [], 0
@@ -188,25 +204,29 @@ def _merge(least: int, capacity: int):
         def settle():
             nonlocal waiting, size
             if waiting:
-                summary.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                h, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                summary.add(h, v // CLASSES, v % CLASSES)
             waiting, size = [], 0
 
         for batch in batches:
-            waiting.append((np.asarray(batch.column("h")), np.asarray(batch.column("c")).astype(np.int64)))
+            waiting.append((np.asarray(batch.column("h")), np.asarray(batch.column("v"))))
             size += batch.num_rows
-            if size > max(HELD, len(summary.keys)):
+            if size > max(GATHERED, len(summary.keys)):
                 settle()
         settle()
-        yield pa.RecordBatch.from_arrays([pa.array(summary.survivors())], ["h"])
+        at = summary.survivors()
+        yield pa.RecordBatch.from_arrays([pa.array(summary.keys[at]), pa.array(summary.counts[at]), pa.array(np.full(len(at), summary.taken)), pa.array(summary.classes[at].astype(np.int32))], ["h", "c", "taken", "class"])
 
     return run
 
 
-def _bitmap(survivors: list[DataFrame]) -> np.ndarray:
-    """Bit map of all survivors; tasks make blocks of it, and 16 MB reach the driver at most."""
-    rows = survivors[0]
-    for more in survivors[1:]:
-        rows = rows.unionByName(more)
+def _own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_own(np.asarray(batch.column("h")), np.asarray(batch.column("class"))))], ["h"])
+
+
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """Bit map of hashes (h); tasks make blocks of it, and 8 MB reach the driver at most."""
     mask = F.lit((1 << MAP_BITS) - 1)
     slot = F.explode(F.array(F.shiftrightunsigned("h", 64 - MAP_BITS), F.col("h").bitwiseAND(mask)))
     low = (F.col("slot").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))).cast("int")
@@ -228,48 +248,34 @@ def _bitmap(survivors: list[DataFrame]) -> np.ndarray:
     return out
 
 
-def _exact(bitmap, longest: int):
-    """Per task: (lang, k, phrase, c) of n-grams that survived; k = 0 with a null phrase counts all words."""
+def _texts(bitmap, longest: int):
+    """Per task: (lang, k, phrase, h, n) of n-grams in documents of their own class; k = 0 has the number n of all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmap.value
-        place: dict[int, int] = {}
-        langs: list[str] = []
-        lengths: list[int] = []
-        texts: list[str | None] = []
-        counts = np.zeros(1024, np.int64)
+        found: dict[int, tuple[str, int, str]] = {}
         words: dict[str, int] = {}
 
         def send() -> pa.RecordBatch:
-            columns = [pa.array([*langs, *words], pa.string()), pa.array([*lengths, *[0] * len(words)], pa.int32()), pa.array([*texts, *[None] * len(words)], pa.string()), pa.array(np.r_[counts[: len(texts)], np.array(list(words.values()), np.int64)])]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "c"])
+            rows = [*((lang, k, phrase, h, 0) for h, (lang, k, phrase) in found.items()), *((lang, 0, "", 0, n) for lang, n in words.items())]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "k", "phrase", "h", "n"])
 
         for batch in batches:
-            data, off = _text.buffers(batch.column("text"))
-            hashes = np.asarray(batch.column("h")).view(np.uint64)
             names = batch.column("lang").to_pylist()
-            for lo, hi in _text.chunks(off):
-                g = Grams.of(data, off[lo : hi + 1], hashes[lo:hi])
+            for g in _rows(batch):
                 for i, n in enumerate(g.words.counts.tolist()):
-                    words[names[lo + i]] = words.get(names[lo + i], 0) + n
-                for k, at, h in _known_grams(g, known, longest, longest):
-                    keys, first, times = np.unique(h, return_index=True, return_counts=True)
-                    where = np.empty(len(keys), np.int64)
-                    for j, (key, f) in enumerate(zip(keys.tolist(), first.tolist(), strict=True)):
-                        p = place.get(key)
-                        if p is None:
-                            p = place[key] = len(texts)
-                            langs.append(names[lo + int(g.row[at[f]])])
-                            lengths.append(k)
-                            texts.append(g.phrase(int(at[f]), k))
-                        where[j] = p
-                    if len(texts) > len(counts):
-                        counts = np.r_[counts, np.zeros(len(texts), np.int64)]
-                    counts[where] += times
-                if len(texts) > HELD // 8:
+                    words[names[g.first + i]] = words.get(names[g.first + i], 0) + n
+                for k in range(1, longest + 1):
+                    at, h = g.hashes(k)
+                    own = np.flatnonzero(_in_map(known, _own(h, g.classes[g.row[at]])))
+                    for j, key in zip(own.tolist(), h[own].tolist(), strict=True):
+                        if key not in found:
+                            found[key] = (names[g.first + int(g.row[at[j]])], k, g.phrase(int(at[j]), k))
+                if len(found) > HELD // 8 or len(words) > HELD // 8:
                     yield send()
-                    place, langs, lengths, texts, words = {}, [], [], [], {}
-                    counts[:] = 0
+                    found, words = {}, {}
         yield send()
 
     return run
@@ -278,25 +284,41 @@ def _exact(bitmap, longest: int):
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = 5, least: int = 100, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
     """((lang, k, phrase, f), (lang, n)): the phrases of up to ``longest`` words that occur ``least`` times in a language, and its words.
 
-    Counts are exact and cover all contiguous occurrences within pieces of all texts. Two phrases are one here only if
-    64-bit hashes of theirs agree within a task.
+    Counts are exact and cover all contiguous occurrences within pieces of all texts. N-grams are told apart by 64-bit hashes.
     """
     if not 0 < least < 1 << 31 or longest < 1:
         raise ValueError("least and longest must be positive")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL").withColumn("h", F.xxhash64("lang"))
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    rows = rows.withColumns({"h": F.xxhash64("lang"), "class": F.pmod(F.xxhash64("text"), F.lit(CLASSES)).cast("int")})
     bounds = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // 2 + 1  # words, at two bytes each
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found: list[DataFrame] = []
-    shared = None
+    survivors, shared = None, None
+
+    def share(hashes: DataFrame):
+        nonlocal shared
+        if shared is not None:
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(_bitmap(hashes))
+        return shared
+
+    counted = lambda upto, lengths: rows.select("text", "h", "class").mapInArrow(_partial(shared, upto, lengths, lengths[-1]), "h bigint, v bigint")
     for lengths in [r for r in (range(1, 2), range(2, 3), range(3, longest + 1)) if r and r[0] <= longest]:
         # Partitions whose mass over ``least`` is expected to fit the capacity; beside that as many as any shuffle has.
         parts = max(spread, -(-bounds * len(lengths) // (least * capacity)))
-        counted = rows.select("text", "h").mapInArrow(_partial(shared, lengths[0] - 1, lengths, least), "h bigint, c int")
-        found.append(written(counted.repartition(parts, "h").mapInArrow(_merge(least, capacity), "h bigint")))
-        shared = spark.sparkContext.broadcast(_bitmap(found))
-    counted = written(rows.mapInArrow(_exact(shared, longest), "lang string, k int, phrase string, c bigint").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | ((F.col("k") == 0) & (F.col("f") > 0))))
-    return counted.filter("k > 0"), counted.filter("k = 0").select("lang", F.col("f").alias("n"))
+        found = written(counted(lengths[0] - 1, lengths).repartition(parts, "h").mapInArrow(_merge(least, capacity), "h bigint, c bigint, taken bigint, class int"))
+        survivors = found if survivors is None else survivors.unionByName(found)
+        share(survivors.select("h"))
+    exact = survivors.filter("taken = 0").select("h", F.col("c").alias("f"), "class")
+    again = survivors.filter("taken > 0")
+    if not again.isEmpty():
+        sums = counted(longest, range(1, longest + 1)).groupBy("h").agg(F.sum(F.floor(F.col("v") / CLASSES)).alias("f"))
+        exact = exact.unionByName(again.select("h", "class").join(sums, "h").filter(F.col("f") >= least).select("h", "f", "class"))
+    exact = written(exact)
+    share(exact.select("h", "class").mapInArrow(_own_hashes, "h bigint"))
+    texts = written(rows.mapInArrow(_texts(shared, longest), "lang string, k int, phrase string, h bigint, n bigint"))
+    phrases = texts.filter("k > 0").select("lang", "k", "phrase", "h").distinct().join(exact.select("h", "f"), "h").select("lang", "k", "phrase", "f")
+    return written(phrases), texts.filter("k = 0").groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = 5, least: int = 100, best: int = 2000, capacity: int = CAPACITY) -> DataFrame:

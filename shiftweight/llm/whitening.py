@@ -29,8 +29,8 @@ SCALE, SHIFT, LARGEST = 1024.0, 100_000, float(1 << 38)
 NO_VARIANCE = 1e-15
 #: Tasks in which sums of tasks are merged before the driver sees them.
 MERGES = 8
-#: Bits of the lower part of a number that is sent in two.
-_LOW = 32
+#: Bits of each of the four parts that a whole number is sent in.
+_BITS, _PARTS = 40, 4
 #: Rows that are multiplied at a time: products of entries below 2^20 then add up without rounding.
 _ROWS = 4096
 
@@ -49,13 +49,17 @@ def whole_vectors(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.nd
 
 
 def _split(values) -> np.ndarray:
-    """Whole numbers of any size as two rows of 64 bits; sums of such rows stay exact over 2^31 of them."""
-    v = [int(i) for i in values]
-    return np.array([[i >> _LOW for i in v], [i & ((1 << _LOW) - 1) for i in v]], np.int64)
+    """Whole numbers of up to 180 bits as rows of 64 bits."""
+    out, v = [], [int(i) for i in values]
+    for _ in range(_PARTS - 1):
+        out.append([i & ((1 << _BITS) - 1) for i in v])
+        v = [i >> _BITS for i in v]
+    return np.array([*out, v], np.int64)
 
 
-def _joined(rows: np.ndarray) -> list[int]:
-    return [(int(a) << _LOW) + int(b) for a, b in rows]
+def _joined(row: list[int]) -> np.ndarray:
+    parts = np.array(row, object).reshape(_PARTS, -1)
+    return sum((parts[k] << (_BITS * k) for k in range(1, _PARTS)), parts[0])
 
 
 def _exact_sums(df: DataFrame, vector: str, size: int, sums) -> list[int]:
@@ -74,12 +78,12 @@ def _exact_sums(df: DataFrame, vector: str, size: int, sums) -> list[int]:
         held = None
         for batch in batches:
             for row in batch.column(0):
-                new = np.array(_joined(np.array(row.as_py(), np.int64).reshape(2, -1).T), object)
+                new = _joined(row.as_py())
                 held = new if held is None else held + new
         yield from _as_row(None if held is None else _split(held))
 
     rows = df.select(vector).mapInArrow(part, "x array<bigint>").repartition(MERGES).mapInArrow(merge, "x array<bigint>").collect()
-    found = [np.array(_joined(np.array(r.x, np.int64).reshape(2, -1).T), object) for r in rows]
+    found = [_joined(r.x) for r in rows]
     return list(sum(found[1:], found[0])) if found else []
 
 

@@ -8,8 +8,11 @@ file whose path is a parameter, and broadcast (about 3 MB for 49,000 entries; it
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +29,8 @@ from . import _text
 _NEVER = np.int64(1 << 40)
 #: Bytes of words, ids and decoded texts remembered per task; beyond it the memory starts anew, results do not change.
 MEMORY = 1 << 25
+#: Bytes of a word beyond which a round over all words for each of its ranks would take too long.
+LONG = 2048
 #: Bytes of text that are encoded together: their new words share merge rounds.
 BATCH = 1 << 21
 
@@ -86,9 +91,20 @@ class Vocabulary:
     lower: dict[int, str]
     odd: frozenset[str]  # characters that need ``pattern`` and ``lower``
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol of each pair key."""
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
     @staticmethod
     def read(path: str) -> Vocabulary:
-        """Read a tokenizer file; a kind that this module does not cover is an error."""
+        """Read a tokenizer file (once while it does not change); a kind that this module does not cover is an error."""
+        known = os.stat(path)
+        return Vocabulary._read(path, known.st_mtime_ns, known.st_size)
+
+    @staticmethod
+    @functools.lru_cache(maxsize=4)
+    def _read(path: str, changed: int, size: int) -> Vocabulary:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
@@ -120,8 +136,48 @@ class Vocabulary:
         return Vocabulary(tokens, table(""), table(end), keys[order], ranks[order], merged[order], special, pattern, plain, lower, odd)
 
 
+def merge_long(sym: list[int], v: Vocabulary) -> list[int]:
+    """Token ids of one word's symbols by a heap of its pairs: time n log n, whatever the number of ranks in it.
+
+    The lowest rank merges first, the leftmost place of equal ones, which is what rounds over the whole word do.
+    """
+    n = len(sym)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (found := v.pairs.get(sym[i] * len(v.tokens) + sym[j])):
+            heapq.heappush(heap, (found[0], i, found[1]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        rank, i, merged = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] < 0 or j >= n or v.pairs.get(sym[i] * len(v.tokens) + sym[j], (-1, 0))[0] != rank:
+            continue  # one of the two is no longer what it was
+        sym[i], sym[j] = merged, -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [s for s in sym if s >= 0]
+
+
 def encode_words(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """Token ids of each word."""
+    """Token ids of each word; those of more than ``LONG`` bytes one by one (``merge_long``)."""
+    if any(len(w) > LONG for w in words):
+        out = encode_words([b"" if len(w) > LONG else w for w in words], v)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                data = np.frombuffer(w, np.uint8)
+                sym = v.inner[data]
+                sym[-1] = v.final[data[-1]]
+                out[i] = np.array(merge_long(sym[sym >= 0].tolist(), v), np.int64)
+        return out
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
     size = np.array([len(w) for w in words], np.int64)
     data = np.frombuffer(b"".join(words), np.uint8)
@@ -213,26 +269,34 @@ class Coder:
             yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
 
 
+#: Columns that encoding adds.
+MADE = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+def _beside(df: DataFrame, keep: list[str], column: str, kind: str | None = None) -> DataFrame:
+    """Columns ``keep`` and one more behind them, under a name that none of them can have."""
+    value = df[column].cast(kind) if kind else df[column]
+    return df.select(*[df[c] for c in keep], value.alias("beside " + "/".join(keep)))
+
+
 def _rows(vocabulary, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(vocabulary.value)
         for batch in batches:
-            _, off = _text.buffers(batch.column("text"))
+            _, off = _text.buffers(batch.column(batch.num_columns - 1))
             for lo, hi in _text.chunks(off, BATCH):
                 part = batch.slice(lo, hi - lo)
                 coded, sums, decoded = [], [], []
-                for raw, text in coder.encode(["" if t is None else t for t in part.column("text").to_pylist()]):
+                for raw, text in coder.encode(["" if t is None else t for t in part.column(part.num_columns - 1).to_pylist()]):
                     coded.append(raw)
                     sums.append(hashlib.sha256(raw).hexdigest())
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
                 size = np.array([len(c) // 4 for c in coded], np.int64)
                 columns = [*part.columns[:-1], pa.array(size), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
-                names = [*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
                     flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat)))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], *MADE[: 4 if ids else 3]])
 
     return run
 
@@ -241,25 +305,27 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
     """Columns ``keep`` and (n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text, one row per input row.
 
     Null and empty texts have no tokens and decode to the empty text. Special tokens in a text are encoded as such.
-    A word without a break, however long, is encoded whole; it takes a pass over it for each merge rank in it.
-    ``path`` names a tokenizer file that only the driver opens. Columns not in ``keep`` are ignored. A map over
+    A word without a break, however long, is encoded whole. ``path`` names a tokenizer file that only the driver opens.
+    Columns not in ``keep`` are ignored; those in it have any names but the ones that are added (an error). A map over
     partitions: nothing is shuffled.
     """
+    if clash := {c.lower() for c in keep} & set(MADE):
+        raise ValueError(f"columns {sorted(clash)} have names of columns that are added")
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text")).withColumnRenamed("_text", "text") if "text" not in keep else docs.select(*[c for c in keep if c != "text"], F.col(text).cast("string").alias("text"))
+    source = _beside(docs, keep, text, "string")
     fields = [*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return source.mapInArrow(_rows(vocabulary, ids), T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids]))
 
 
-def decode_documents(coded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
-    """Columns ``keep`` and (text) from arrays of token ids; a null array gives a null text."""
+def decode_documents(coded: DataFrame, path: str, keep: list[str], ids: str = "ids", into: str = "text") -> DataFrame:
+    """Columns ``keep`` and ``into`` (text) from arrays of token ids; a null array gives a null text."""
     vocabulary = coded.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-    source = coded.select(*keep, F.col(ids).alias("_ids"))
+    source = _beside(coded, keep, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(vocabulary.value)
         for batch in batches:
-            texts = [None if x is None else coder.decode(np.array(x, np.int64)) for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
+            texts = [None if x is None else coder.decode(np.array(x, np.int64)) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], into])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField(into, T.StringType())]))

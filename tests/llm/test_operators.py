@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from shiftweight.llm import _graph, _text, bpe, ctph, decontam, jaccard, langid, linededup, quality, sharding, toxicity, warc
+from shiftweight.llm.queries import tokenizer_path
 
 WORDS = ["the", "cat", "Sat", "on", "a", "mat", "dog", "ran", "far", "Éa", "ñu", "x1", "zz"]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int, th string, key string, shard string, n_words string, component_id string"
@@ -406,6 +407,41 @@ def auc(y, s):
     return (order[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
 
 
+def test_bpe_of_a_very_long_word():
+    """A word of 200,000 letters in seconds, as the library encodes it."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    v, library, r = bpe.Vocabulary.read(path), Tokenizer.from_file(path), random.Random(4)
+    for word in ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "a" * 50_001, "ab" * 20_000 + "é" * 3001):
+        began = time.time()
+        got = bpe.encode_words([b"x", word.encode(), b"yz"], v)
+        assert time.time() - began < 20 and got[1].tolist() == library.encode(word, add_special_tokens=False).ids
+        assert got[0].tolist() == library.encode("x", add_special_tokens=False).ids and got[2].tolist() == library.encode("yz", add_special_tokens=False).ids
+    assert bpe.Vocabulary.read(path) is v
+    for size in (1, 2, 3, 50, 400):
+        word = "".join(r.choices("abé's", k=size)).encode()
+        data = np.frombuffer(word, np.uint8)
+        sym = v.inner[data]
+        sym[-1] = v.final[data[-1]]
+        assert bpe.merge_long(sym.tolist(), v) == bpe.encode_words([word], v)[0].tolist()
+
+
+def test_bpe_columns_of_any_name(spark):
+    names = ["_text", "_ids", "text", "beside x", "token", "doc"]
+    docs = spark.createDataFrame([("Hello world", 1)], "body string, doc_id int").withColumns({n: F.lit(f"v {n}") for n in names})
+    out = bpe.encode_documents(docs, tokenizer_path(), ["doc_id", *names], text="body")
+    assert out.columns == ["doc_id", *names, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    row = out.first()
+    assert all(row[n] == f"v {n}" for n in names) and row.n_tokens == 2
+    back = bpe.decode_documents(out, tokenizer_path(), ["_text", "_ids"], into="again").first()
+    assert back._text == "v _text" and back.again.replace("</w>", "") == "hello world"
+    with pytest.raises(ValueError):
+        bpe.encode_documents(docs.withColumn("n_tokens", F.lit(1)), tokenizer_path(), ["n_tokens"], text="body")
+
+
 def test_language(spark):
     r = random.Random(9)
     sound = {"aa": "kalomi", "bb": "strend", "cc": "üßöchw"}

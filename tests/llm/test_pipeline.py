@@ -94,7 +94,7 @@ def test_run_equals_the_stages(spark, folder):
 def test_stages_on_odd_tables(spark, folder):
     """Columns called as what stages use inside, null and repeated doc_ids, repeated rows, empty tables."""
     d, docs, passage = folder
-    names = "toxicity n_lines n_removed key units ranges doc i h th k_id k_th h_id h_th component scored n_tokens ids ids_sha256 decoded_sha256 n_words spans _key _th".split()
+    names = "toxicity n_lines n_removed key units ranges doc i h th k_id k_th h_id h_th component scored n_tokens ids ids_sha256 decoded_sha256 n_words spans _key _th _text _ids".split()
     kept = docs[100].split(" ", 1)[1]
     rows = [(7, docs[50]), (7, docs[51]), (7, docs[51]), (None, docs[52]), (None, kept), (None, None), (8, ""), (8, "")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(f"x {n}") for n in names})
@@ -102,7 +102,7 @@ def test_stages_on_odd_tables(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         have = corpus_pipeline.written(stage(spark, have, d))
         got = have.collect()
-        assert all(x[n] == f"x {n}" for x in got for n in names if name != "bpe" or n in ("toxicity", "n_removed", "component", "_key")), name
+        assert all(x[n] == f"x {n}" for x in got for n in names if name != "bpe" or n in ("toxicity", "n_removed", "component", "_key", "_text", "_ids")), name
         if name != "bpe":
             assert have.columns == table.columns
             # Repeated rows are one document for line dedup and one row behind near duplicates.

@@ -2,9 +2,11 @@
 
 Both sides are reduced to fingerprints: of the k-gram hashes in every window of w consecutive k-grams the
 smallest is kept. With k + w - 1 = t, two texts that share t consecutive words share a fingerprint there.
-Fingerprints are joined, and each joined pair is extended both ways by comparing the words around it; a run
-of t words or more marks its words as hit. Items shorter than the window are one window of their own length
-t; each length that occurs gets its own (k, w).
+Distinct fingerprints are joined, and each joined place is extended to the windows of t words around it, which are
+looked up among the distinct windows of the benchmark; a window that is found marks its words as hit, and windows that
+follow one another make longer spans. Which items have a window is joined once for each document and window. So
+a place costs a row however many items share its words. Items shorter than the window are one window of
+their own length t; each length that occurs gets its own (k, w).
 
 Scale: one pass over the corpus, no text is shuffled. A bit map of fixed size over the benchmark's
 fingerprints is broadcast and drops corpus fingerprints that cannot join, so what moves is one narrow row per
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
+from ._store import written
 
 #: Slots of the broadcast bit map (1 MB); its size does not depend on the data.
 FILTER_BITS = 23
@@ -57,24 +60,19 @@ def _fingerprints(w: _text.Words, t: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, g[at], row[at]
 
 
-def _context(w: _text.Words, at: np.ndarray, row: np.ndarray, t: int, outside: int) -> np.ndarray:
-    """Hashes of the words from t - k before to t after each position; ``outside`` beyond the row."""
-    idx = at[:, None] + np.arange(gram_size(t) - t, t)[None, :]
-    ok = (idx >= w.ptr[row][:, None]) & (idx < w.ptr[row + 1][:, None])
-    return np.where(ok, w.hashes[np.clip(idx, 0, len(w.hashes) - 1)], np.uint64(outside))
+def _windows(w: _text.Words, at: np.ndarray, row: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``at``, first word) of each window of t words of the row that holds the k-gram at that place."""
+    first = at[:, None] + np.arange(gram_size(t) - t, 1)[None, :]
+    inside = (first >= w.ptr[row][:, None]) & (first + t <= w.ptr[row + 1][:, None])
+    return np.nonzero(inside)[0], first[inside]
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _lists(m: np.ndarray) -> pa.Array:
-    n, width = m.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width, pa.int32()), pa.array(m.view(np.int64).ravel()))
-
-
 def _item_rows(window: int):
-    """Per item: its window length t and all its fingerprints with the words around them."""
+    """Per item: its window length t, all its fingerprints (h) and all its windows (g); of the two one is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,65 +81,50 @@ def _item_rows(window: int):
                 w = _text.words(data, off[lo : hi + 1], _text.WORD_ALNUM)
                 length = np.minimum(w.counts, window)
                 for t in np.unique(length[length > 0]):
-                    at, h, row = _fingerprints(w, int(t))
+                    t = int(t)
+                    at, h, row = _fingerprints(w, t)
                     own = length[row] == t
-                    at, h, row = at[own], h[own], row[own]
-                    ids = batch.column("item_id").take(pa.array(row + lo))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), t, np.int32)), pa.array(h.view(np.int64)), _lists(_context(w, at, row, int(t), 2))], ["item_id", "t", "h", "item_words"])
+                    g, of = _text.grams(w.hashes, t), _text.gram_rows(w, t)
+                    whole = np.flatnonzero((of >= 0) & (length[np.maximum(of, 0)] == t))
+                    for rows, values, empty in ((row[own], h[own], False), (of[whole], g[whole], True)):
+                        ids = batch.column("item_id").take(pa.array(rows + lo))
+                        values, none = pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64())
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(rows), t, np.int32)), none if empty else values, values if empty else none], ["item_id", "t", "h", "g"])
 
     return run
 
 
 def _document_rows(lengths: list[int], bitmap):
-    """Per document one row with t = 0, and one for each fingerprint that the benchmark may have."""
+    """Per document one row with t = 0, and one for each window around a fingerprint that the benchmark may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(bitmap.value).view(bool) if lengths else None
         for batch in batches:
             data, off = _text.buffers(batch.column("text"))
+            th = np.asarray(batch.column("key").field("th")).view(np.uint64)
             for lo, hi in _text.chunks(off):
                 w = _text.words(data, off[lo : hi + 1], _text.WORD_ALNUM)
                 n = hi - lo
-                parts = [(np.arange(n), 0, np.asarray(batch.column("th"))[lo:hi].astype(np.int64), np.zeros(n, np.int64), np.zeros((n, 0), np.uint64))]
+                # Rows with t = 0 join with nothing; a number of their own keeps them from meeting in one task.
+                spread = _text.mix(np.arange(lo, hi).astype(np.uint64) + th[lo:hi]).view(np.int64)
+                parts = [(np.arange(n), 0, spread, np.zeros(n, np.int64), spread)]
                 for t in lengths:
                     at, h, row = _fingerprints(w, t)
                     keep = known[_slots(h)]
                     at, h, row = at[keep], h[keep], row[keep]
-                    parts.append((row, t, h.view(np.int64), at - w.ptr[row], _context(w, at, row, t, 1)))
-                for row, t, h, pos, ctx in parts:
+                    place, first = _windows(w, at, row, t)
+                    g = _text.grams(w.hashes, t)
+                    parts.append((row[place], t, h[place].view(np.int64), first - w.ptr[row[place]], g[first].view(np.int64)))
+                for row, t, h, start, g in parts:
                     take = pa.array(row + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(w.counts[row].astype(np.int64)), pa.array(np.full(len(row), t, np.int32)), pa.array(h), pa.array(pos.astype(np.int64)), _lists(ctx)],
-                        ["doc_id", "th", "n_words", "t", "h", "pos", "words"],
+                        [batch.column("key").take(take), pa.array(w.counts[row].astype(np.int64)), pa.array(np.full(len(row), t, np.int32)), pa.array(h), pa.array(start.astype(np.int64)), pa.array(g)],
+                        ["key", "n_words", "t", "h", "start", "g"],
                     )
 
     return run
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extend each joined pair both ways; what stays shorter than t words is no occurrence."""
-    for batch in batches:
-        t = np.asarray(batch.column("t"))
-        start, end = np.full(len(t), -1, np.int64), np.full(len(t), -1, np.int64)
-        joined = ~np.asarray(batch.column("item_words").is_null())
-        for size in np.unique(t[joined & (t > 0)]):
-            rows = np.flatnonzero(joined & (t == size))
-            k, width = gram_size(int(size)), 2 * int(size) - gram_size(int(size))
-            take = pa.array(rows)
-            same = (np.asarray(batch.column("words").take(take).flatten()).reshape(-1, width)) == (np.asarray(batch.column("item_words").take(take).flatten()).reshape(-1, width))
-            c = size - k
-            left = np.cumprod(same[:, :c][:, ::-1], axis=1).sum(axis=1) if c else np.zeros(len(rows), np.int64)
-            right = np.cumprod(same[:, c:], axis=1).sum(axis=1)
-            pos = np.asarray(batch.column("pos"))[rows]
-            ok = (right >= k) & (left + right >= size)
-            start[rows[ok]], end[rows[ok]] = (pos - left)[ok], (pos + right)[ok]
-        found = pa.array(end < 0)
-        item = batch.column("item_id")
-        item = pa.compute.if_else(found, pa.nulls(len(item), item.type), item)
-        keep = pa.array((end >= 0) | (t == 0))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("n_words"), item, pa.array(start), pa.array(end)], ["doc_id", "th", "n_words", "item_id", "start", "end"]).filter(keep)
-
-
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Benchmark items that occur in each document, and the document's words inside such occurrences.
 
@@ -157,25 +140,27 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_
     """
     spark = docs.sparkSession
     benchmark = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    prints = benchmark.mapInArrow(_item_rows(window), "item_id string, t int, h bigint, item_words array<bigint>")
-    # An item that repeats itself has equal fingerprints in equal surroundings: one is enough to find and to extend.
-    prints = prints.distinct()
+    made = written(benchmark.mapInArrow(_item_rows(window), "item_id string, t int, h bigint, g bigint").distinct())
+    prints, windows = made.filter("h IS NOT NULL").select("t", "h").distinct(), made.filter("g IS NOT NULL").select("t", "g", "item_id")
     lengths = sorted(r.t for r in prints.select("t").distinct().collect())  # at most ``window`` values
     slots = prints.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[slots.astype(np.int64)] = True
     bitmap = spark.sparkContext.broadcast(np.packbits(bits))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    id_type = source.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("th", T.LongType()), T.StructField("n_words", T.LongType())])
-    rows = source.mapInArrow(_document_rows(lengths, bitmap), T.StructType([*schema, T.StructField("t", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))]))
-    joined = rows.join(prints, ["t", "h"], "left")
-    spans = joined.mapInArrow(_extend, T.StructType([*schema, T.StructField("item_id", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    hits = spans.groupBy("doc_id", "th").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
-        F.array_sort(F.collect_set(F.when(F.col("end") > 0, F.struct("start", "end")))).alias("found"),
+    text_ = F.col(text).cast("string")
+    source = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_).alias("th")).alias("key"), text_.alias("text"))
+    longs = [T.StructField(c, T.LongType()) for c in ("h", "start", "g")]
+    rows = source.mapInArrow(_document_rows(lengths, bitmap), T.StructType([source.schema["key"], T.StructField("n_words", T.LongType()), T.StructField("t", T.IntegerType()), *longs]))
+    # Fingerprints that both sides have, then windows that both have; t = 0 are the documents themselves.
+    joined = rows.join(prints.withColumn("known", F.lit(True)), ["t", "h"], "left").filter("t = 0 OR known").drop("known", "h")
+    joined = joined.join(windows.select("t", "g").distinct().withColumn("known", F.lit(True)), ["t", "g"], "left").filter("t = 0 OR known").drop("known")
+    found = written(joined)
+    named = found.filter("t > 0").select("key", "t", "g").distinct().join(windows, ["t", "g"])
+    span = F.when(F.col("t") > 0, F.struct("start", (F.col("start") + F.col("t")).alias("end")))
+    parts = found.select("key", "n_words", span.alias("span"), F.lit(None).cast("string").alias("item_id")).unionByName(
+        named.select("key", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("span"), "item_id")
     )
+    hits = parts.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.collect_set("span")).alias("found"))
     merged = F.expr(
         "aggregate(found, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) -> "
         "CASE WHEN size(a) > 0 AND element_at(a, -1).end >= s.start "
@@ -184,4 +169,4 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_
     )
     hits = hits.withColumn("spans", merged)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return hits.select("doc_id", "th", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
+    return hits.select("key.doc_id", "key.th", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")

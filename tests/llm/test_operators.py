@@ -5,6 +5,7 @@ import base64
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -83,6 +84,21 @@ def test_contamination_of_one_word_over_and_over(spark):
     assert {i: (x.n_hit, x.item_ids) for i, x in found.items()} == {1: (20000, ["a"]), 2: (0, []), 3: (11, ["a"])}
 
 
+@pytest.mark.parametrize("shared", ["the", "one two three four five six seven eight nine ten"])
+def test_contamination_by_many_items_with_one_window(spark, shared):
+    """A thousand items share a window, and documents hold it again and again: rows don't multiply."""
+    own = lambda i: "" if shared == "the" else f"a{i} b{i} c{i} d{i} e{i} " + shared + f" f{i} g{i} h{i} i{i} j{i}"
+    items = [(i, own(i) or shared) for i in range(1000)] + [(5000, "far away")]
+    docs = [(i, " ".join([f"start{i}", *[shared] * 60, "end"])) for i in range(150)] + [(900, "nothing here"), (901, own(7) or "x the"), (902, "it is far away")]
+    began = time.time()
+    got = {x.doc_id: x for x in decontam.find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert time.time() - began < 60
+    size = len(shared.split())
+    every = sorted(str(i) for i in range(1000))
+    assert all(got[i].n_hit == 60 * size and got[i].item_ids == every and [(s.start, s.end) for s in got[i].spans] == [(1, 1 + 60 * size)] for i in range(150))
+    assert got[900].n_hit == 0 and got[900].item_ids == [] and got[902].item_ids == ["5000"] and got[901].n_hit == (1 if shared == "the" else 20)
+
+
 def test_jump_hash_and_sharding(spark):
     keys = np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
     for n in (1, 2, 16, 17):
@@ -409,8 +425,6 @@ def auc(y, s):
 
 def test_bpe_of_a_very_long_word():
     """A word of 200,000 letters in seconds, as the library encodes it."""
-    import time
-
     from tokenizers import Tokenizer
 
     path = tokenizer_path()

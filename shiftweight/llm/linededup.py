@@ -2,9 +2,11 @@
 
 A text is a sequence of lines: it is cut behind line breaks and behind the end of a sentence, so that a passage
 set into the middle of a paragraph still has lines of its own. A line weighs one per six bytes begun without the
-space around it, about one per word (and alike in languages without spaces); lines of space weigh nothing.
+space around it, about one per word (and alike in languages without spaces). Lines of space weigh nothing: they
+are left out of the sequence, belong to no run, and go where the lines on both sides of them go.
 
-The window at a line is the shortest run of lines from there that weighs ``least``. The smallest line hash of
+The window at a line is the shortest run of lines from there that weighs ``least``; since each line in the sequence weighs one at
+least, that is ``least`` lines at most. The smallest line hash of
 each window is its fingerprint; neighbouring windows mostly share one. A window's fingerprint depends on the
 window alone, so a run of lines that weighs ``least`` and stands at two places has the same fingerprint at both:
 no such run can be missed. Positions of equal fingerprints are joined. Around each of them the run is extended
@@ -32,6 +34,10 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, CUT, -1), lambda u: u != "")
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE))
+
+
 def _lengths(w: Column, least: int) -> Column:
     """Number of lines of the window at each line; null where the next ``least`` lines weigh too little.
 
@@ -51,15 +57,15 @@ def _windows(rows: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12) -> DataFrame:
-    """(doc_id, th, n_lines, ranges): the line ranges [lo, hi] of each document that stood at an earlier place.
+    """(doc_id, th, n_lines, ranges): the ranges [lo, hi] of lines of each document that stood at an earlier place.
 
-    These are exactly the lines of all runs of at most ``least`` lines (and so of all longer ones too) that weigh
-    ``least`` or more and stand at an earlier place, whole and line by line equal without the space around
+    Lines are numbered without lines of space, which are not counted in ``n_lines`` either. The ranges are exactly the lines of all
+    runs that weigh ``least`` or more, however long, and stand at an earlier place, whole and line by line equal without the space around
     lines. Places are ordered by doc_id (null first), hash ``th`` of the text, and line. Rows equal in doc_id and text are one
     document. Lines are compared by 96 bits of hash.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.transform(_lines(body), lambda u: F.btrim(u, F.lit(SPACE))).alias("u"))
+    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.filter(F.transform(_lines(body), _bare), lambda u: u != "").alias("u"))
     weight = lambda u: F.least(F.floor((F.octet_length(u) + BYTES - 1) / BYTES).cast("int"), F.lit(least))
     lines = units.select("doc_id", "th", F.transform("u", lambda u: F.xxhash64(u)).alias("h"), F.transform("u", lambda u: F.hash(u)).alias("g"), F.transform("u", weight).alias("w"))
     lines = lines.select("doc_id", "th", "h", "g", _lengths(F.col("w"), least).alias("n"), F.size("h").cast("long").alias("n_lines"))
@@ -107,7 +113,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """The input rows with later repetitions (see ``repeated_runs``) cut out of the text, and two counts added.
 
     All columns are kept, whatever their names; only those named as in ``into`` (number of lines, number of lines
-    deleted) are replaced. What stays is byte for byte the original. Null and empty texts have no lines and stay as
+    deleted, lines of space among both) are replaced. What stays is byte for byte the original. Null and empty texts have no lines and stay as
     they are; lines of space alone are no run. Rows equal in doc_id and text count as one document and get the same
     result; null doc_ids come first in the order. The first occurrence of every line stays, so an exact copy of
     an earlier document ends up empty.
@@ -118,9 +124,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th")).alias("key"))
-    found = repeated_runs(docs, doc_id, text, least).select(F.struct("doc_id", "th").alias("key"), "n_lines", "ranges")
+    found = repeated_runs(docs, doc_id, text, least).select(F.struct("doc_id", "th").alias("key"), "ranges")
     old = F.col("doc")[text].cast("string")
+    n_lines = F.size(F.filter(F.split(F.coalesce(old, F.lit("")), CUT, -1), lambda u: u != "")).cast("long")
     rows = rows.join(found, "key").withColumn("units", F.when(F.col("ranges").isNotNull(), _lines(old)))
+    # From numbers without lines of space to places among all lines.
+    places = F.filter(F.transform("units", lambda u, i: F.when(_bare(u) != "", i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("places", places)
+    rows = rows.withColumn("ranges", F.transform("ranges", lambda r: F.struct(F.get("places", r["lo"]).alias("lo"), F.get("places", r["hi"]).alias("hi"))))
     begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get("ranges", j - 1)["hi"] + 1)
     gaps = F.transform("ranges", lambda r, j: F.slice("units", begin(j) + 1, r["lo"] - begin(j)))
     tail_from = F.element_at("ranges", -1)["hi"] + 1
@@ -129,4 +140,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     kept = F.when(F.col("ranges").isNull(), old).when(F.rand() >= 0, F.array_join(F.concat(F.flatten(gaps), tail), ""))
     removed = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0).cast("long"))
     columns = [kept.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c not in into]
-    return rows.select(*columns, F.col("n_lines").alias(into[0]), removed.alias(into[1]))
+    return rows.select(*columns, n_lines.alias(into[0]), removed.alias(into[1]))

@@ -53,16 +53,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-#: By definition, with whole strings: every run of lines that weighs 12 is looked up among all runs of the corpus.
+#: By definition, with whole strings: every run of lines that weighs 12 is looked up among all runs of the corpus. Lines of space
+#: weigh nothing and are not numbered (j); each other line weighs one at least, so a window has 12 of them at most, and a longer
+#: run is made of windows. A line of space goes if the numbered lines on both sides of it go.
 OP4_SQL = r"""
 WITH m AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, chr(10), chr(10) || chr(31)), '. ', '. ' || chr(31)), '! ', '! ' || chr(31)), '? ', '? ' || chr(31)), '。', '。' || chr(31)), '！', '！' || chr(31)), '？', '？' || chr(31)) AS t FROM documents),
 u AS (SELECT doc_id, list_filter(string_split(replace(replace(t, chr(31) || chr(10), chr(10)), chr(31) || chr(13) || chr(10), chr(13) || chr(10)), chr(31)), lambda s: s <> '') AS us FROM m),
 l AS (SELECT doc_id, unnest(generate_series(1, len(us))) AS i, unnest(us) AS raw FROM u WHERE len(us) > 0),
-x AS (SELECT doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS s, (strlen(trim(raw, ' ' || chr(9) || chr(10) || chr(13))) + 5) // 6 AS w FROM l),
-r AS (SELECT a.doc_id, a.i AS lo, b.i AS hi, string_agg(c.s, chr(10) ORDER BY c.i) AS run FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 11 JOIN x c ON c.doc_id = a.doc_id AND c.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3 HAVING sum(c.w) >= 12),
+y AS (SELECT doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS s, (strlen(trim(raw, ' ' || chr(9) || chr(10) || chr(13))) + 5) // 6 AS w FROM l),
+x AS (SELECT *, count(*) FILTER (w > 0) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM y),
+v AS (SELECT * FROM x WHERE w > 0),
+r AS (SELECT a.doc_id, a.j AS lo, b.j AS hi, string_agg(c.s, chr(10) ORDER BY c.j) AS run FROM v a JOIN v b ON b.doc_id = a.doc_id AND b.j BETWEEN a.j AND a.j + 11 JOIN v c ON c.doc_id = a.doc_id AND c.j BETWEEN a.j AND b.j GROUP BY 1, 2, 3 HAVING sum(c.w) >= 12),
 f AS (SELECT *, min((doc_id, lo)) OVER (PARTITION BY run) AS first FROM r),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS i FROM f WHERE (doc_id, lo) > first),
-k AS (SELECT x.doc_id, count(*) AS n, count(gone.i) AS removed, coalesce(string_agg(x.raw, '' ORDER BY x.i) FILTER (gone.i IS NULL), '') AS kept FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS j FROM f WHERE (doc_id, lo) > first),
+z AS (SELECT x.*, g.j IS NOT NULL AND (x.w > 0 OR h.j IS NOT NULL) AS gone FROM x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.j = x.j LEFT JOIN gone h ON h.doc_id = x.doc_id AND h.j = x.j + 1),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM z GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(removed, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN strlen(coalesce(kept, ''))::BIGINT END AS kept_bytes, CASE WHEN text IS NOT NULL THEN md5(coalesce(kept, '')) END AS kept_md5
 FROM documents LEFT JOIN k USING (doc_id)
 """

@@ -238,18 +238,23 @@ def lines_of(text):
 
 
 def every_run(rows, least=12):
-    """doc_id -> (number of lines, number deleted, text left): all runs are compared as strings."""
+    """doc_id -> (number of lines, number deleted, text left): all runs of lines that are not blank are compared as strings."""
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines, gone = lines_of(t or ""), set()
         bare = [x.strip(" \t\r\n") for x in lines]
-        for lo in range(len(lines)):
-            for hi in range(lo, min(lo + least, len(lines))):
-                run = tuple(bare[lo : hi + 1])
+        full = [k for k, x in enumerate(bare) if x]
+        for lo in range(len(full)):
+            for hi in range(lo, min(lo + least + 4, len(full))):
+                run = tuple(bare[k] for k in full[lo : hi + 1])
                 if sum(-(-len(x.encode()) // 6) for x in run) >= least:
                     if run in seen:
-                        gone.update(range(lo, hi + 1))
+                        gone.update(full[lo : hi + 1])
                     seen.add(run)
+        for k, x in enumerate(bare):
+            before, after = [j for j in full if j < k][-1:], [j for j in full if j > k][:1]
+            if not x and before and after and before[0] in gone and after[0] in gone:
+                gone.add(k)
         out[i] = (len(lines), len(gone), t if t is None else "".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
@@ -281,6 +286,13 @@ def test_line_dedup_of_short_lines_spaces_and_ties(spark):
     assert found[102][1] == found[103][1] == 0 and found[106][2] == "人" * 30 + "。" and found[101][2] == ""
 
 
+def test_line_dedup_of_lines_with_blank_ones_between(spark):
+    """Forty short lines, each followed by lines of space, repeated whole with other space: all go, the space around them stays."""
+    rows = [(0, "".join(f"s{k}\n \n\t\n" for k in range(40))), (1, "own line\n\n" + "".join(f"s{k}\n \n  \n \n" for k in range(40)) + "the end of it"), (2, "\n".join(f"s{k}" for k in range(39, -1, -1)))]
+    found = same_lines(spark, rows)
+    assert found[1][1] == 40 + 39 * 3 and found[1][2].startswith("own line") and found[1][2].endswith("the end of it") and "s7" not in found[1][2] and found[2][1] == 0
+
+
 def test_line_dedup_where_pairs_of_lines_stood_before(spark):
     """A passage of 96 words whose pairs of lines stand in eleven earlier documents: the second whole copy goes whole."""
     passage = [" ".join(f"w{k}x{j}" for j in range(8)) + "." for k in range(12)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import run_status, transfer_label
 from ..sources.files import METRICS_SCHEMA
+from .evaluate import PRIMARY
 
 RUN_KEY = ["dataset", "src", "tgt", "method", "run_id"]
 # The columns that comparable runs must share.
@@ -160,6 +161,22 @@ def best_by_val(runs: DataFrame, order: str = "row_no", score: str = "val_acc",
     return valid_results(runs, score).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def selection_score(metrics: Column) -> Column:
+    """(score, key) of a map of metrics: the first of the keys ``evaluate.PRIMARY`` whose value is a number; null without one."""
+    tries = [(metrics[k].try_cast("double"), F.lit(k)) for k in PRIMARY]
+    return F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("score"), k.alias("key"))) for v, k in tries])
+
+
+def best_selected(runs: DataFrame, split: str = "val", order: str = "row_no", algorithm: str = "method", metrics: str = "metrics") -> DataFrame:
+    """``best_by_val`` of runs whose ``metrics`` map splits to maps of metrics: with val_score, val_metric_key and test_score.
+
+    Runs without a score on ``split`` are skipped; the test score may be missing.
+    """
+    chosen, test = selection_score(F.col(metrics)[split]), selection_score(F.col(metrics)["test"])
+    scored = runs.withColumns({"val_score": chosen["score"], "val_metric_key": chosen["key"], "test_score": test["score"]})
+    return best_by_val(scored, order, "val_score", algorithm)
+
+
 def updates_long(results: DataFrame, by: str = "run_id", updates: str = "weight_updates") -> DataFrame:
     return results.select(by, F.posexplode(updates).alias("no", "u")).select(by, "no", "u.*")
 

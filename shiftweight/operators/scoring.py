@@ -29,8 +29,15 @@ class LinearScorer:
         return {"logits": x @ self.weights.T + self.bias}
 
 
-def score(df: DataFrame, scorer: Scorer, feature: str, outputs: tuple[str, ...] = ("logits",)) -> DataFrame:
-    """Add the scorer's outputs as array columns. The scorer is sent once per worker and called per Arrow batch."""
+def score(df: DataFrame, scorer: Scorer, feature: str, outputs: tuple[str, ...] = ("logits",), max_batches: int = 0, batch_rows: int = 32) -> DataFrame:
+    """Add the scorer's outputs as array columns. The scorer is sent once per worker and called per Arrow batch.
+
+    ``max_batches`` > 0 is for dry runs: any max_batches * batch_rows rows are scored. A dry run over no rows is an error.
+    """
+    if max_batches > 0:
+        df = df.limit(max_batches * batch_rows)
+        if df.isEmpty():
+            raise ValueError("no rows to score")
     shared = df.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,3 +140,22 @@ def s3r(spark, d):
     if not 0 < second < first:
         raise ValueError(f"opened {first}, then {second} files")
     return runs.table().select("dir_method", "dir_transfer", "dir_run_id", "target_acc", F.lit(runs.refresh()).alias("reopened"))
+
+
+#: Metrics of a run under different keys: the first of acc_wg, acc_avg, accuracy, acc that is a number counts.
+PICKED = """p AS (SELECT *, CASE row_no % 4 WHEN 0 THEN val_acc WHEN 1 THEN val_acc / 2 WHEN 2 THEN val_acc / 3 END AS val_score, CASE row_no % 4 WHEN 0 THEN 'acc_wg' WHEN 1 THEN 'acc_avg' WHEN 2 THEN 'acc' END AS val_metric_key, CASE WHEN row_no % 3 = 0 THEN val_acc * 2 END AS test_score FROM runs)"""
+
+
+@query("s6_write_best_selected", runs_sql("SELECT upper(method) AS algorithm, run_id, round(val_score, 6) AS val_score, val_metric_key, round(test_score, 6) AS test_score FROM p WHERE val_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upper(method) ORDER BY val_score DESC, row_no) = 1", PICKED))
+def s6s(spark, d):
+    """Best runs by whichever metric a run has, with its key and the test score, written as one JSON object and read back."""
+    i, v = F.col("row_no") % 4, F.col("val_acc")
+    text = lambda c: c.cast("string")
+    val = F.when(i == 0, F.create_map(F.lit("acc"), F.lit("0"), F.lit("acc_wg"), text(v))).when(i == 1, F.create_map(F.lit("acc_wg"), F.lit("none"), F.lit("acc_avg"), text(v / 2))).when(i == 2, F.create_map(F.lit("loss"), F.lit("9"), F.lit("acc"), text(v / 3))).otherwise(F.create_map(F.lit("loss"), F.lit("9")))
+    test = F.when(F.col("row_no") % 3 == 0, F.create_map(F.lit("accuracy"), text(v * 2)))
+    rows = X.runs(spark, d).withColumn("metrics", F.create_map(F.lit("val"), val, F.lit("test"), test))
+    path = S.shared_folder(spark)
+    S.write_best_by_val(R.best_selected(rows).select("method", "run_id", "val_score", "val_metric_key", "test_score"), path)
+    kind = "map<string, struct<run_id: string, val_score: double, val_metric_key: string, test_score: double>>"
+    back = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("algorithm", "best"))
+    return back.select("algorithm", "best.run_id", F.round("best.val_score", 6).alias("val_score"), "best.val_metric_key", F.round("best.test_score", 6).alias("test_score"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import class_probs
 from ..operators import iis, latent, runs, select, weights
 from ..operators.iis import Constraints
-from ..sources.files import shared_folder, stored
+from ..sources.files import shared_folder, stored, write_best_by_val
 from ..sources.snapshots import Folder
 
 
@@ -215,10 +215,17 @@ def weight_updates(source: DataFrame, target_of: Callable[[int], DataFrame], cfg
     return out
 
 
-def experiment_tables(expected: DataFrame, artifacts: DataFrame, methods: list[str]) -> dict[str, DataFrame]:
-    """Tables ``runs``, ``stats``, ``pivot``, ``best`` and ``status`` of expected runs and what was found for them."""
+def experiment_tables(expected: DataFrame, artifacts: DataFrame, methods: list[str], best_path: str | None = None) -> dict[str, DataFrame]:
+    """Tables ``runs``, ``stats``, ``pivot``, ``best`` and ``status`` of expected runs and what was found for them.
+
+    ``best_path`` is where the best runs are written as one JSON object. Artifacts with a column ``metrics`` (split -> metrics) are
+    chosen from by ``runs.best_selected``, others by ``val_acc``.
+    """
     found = runs.collect_expected_runs(expected, artifacts).withColumn("status", F.col("run_status"))
     flagged = runs.flag_invalid_comparisons(found)
     stats = runs.transfer_stats(flagged)
     per_transfer = runs.transfer_stats(flagged, overall=False)
-    return {"runs": flagged, "stats": stats, "pivot": runs.pivot_results(per_transfer, methods), "best": runs.best_by_val(flagged, order="run_id"), "status": runs.status_counts(flagged)}
+    best = runs.best_selected(flagged, order="run_id") if "metrics" in flagged.columns else runs.best_by_val(flagged, order="run_id")
+    if best_path:
+        write_best_by_val(best, best_path)
+    return {"runs": flagged, "stats": stats, "pivot": runs.pivot_results(per_transfer, methods), "best": best, "status": runs.status_counts(flagged)}

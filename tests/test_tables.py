@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,54 @@ def test_registered_queries_have_their_sql():
     from shiftweight import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_broken_optional_parts_are_not_hidden(monkeypatch):
+    """Without the corpus operators the entry imports; if one of them cannot be imported for another reason, it fails."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as E
+
+    def without(name, missing):
+        with monkeypatch.context() as m:
+            for k in [k for k in sys.modules if k.startswith(("shiftweight.llm", "corpus_pipeline", "__spark_entry__"))]:
+                m.delitem(sys.modules, k)
+
+            class Finder:
+                @staticmethod
+                def find_spec(full, path=None, target=None):
+                    if full.startswith(name):
+                        raise ModuleNotFoundError(f"no {missing}", name=missing)
+
+            m.setattr(sys, "meta_path", [Finder, *sys.meta_path])
+            return importlib.import_module("__spark_entry__")
+
+    found = without(("shiftweight.llm", "corpus_pipeline"), "shiftweight.llm")
+    assert found.llm is None and found.corpus_pipeline is None and "t1_low_entropy_keep" in found.queries() and "pipeline" not in found.queries()
+    with pytest.raises(ModuleNotFoundError):
+        without("shiftweight.llm", "some_library")
+    assert E.queries().keys() >= found.queries().keys()
+
+
+def test_dry_runs_of_scoring(spark):
+    from shiftweight.operators import scoring
+
+    df = spark.range(100).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    scorer = scoring.LinearScorer(np.array([[2.0]]), np.array([1.0]))
+    assert scoring.score(df, scorer, "x").count() == 100 and scoring.score(df, scorer, "x", max_batches=3, batch_rows=4).count() == 12
+    with pytest.raises(ValueError):
+        scoring.score(df.limit(0), scorer, "x", max_batches=1)
+
+
+def test_experiment_tables_write_the_best_runs(spark, tmp_path):
+    from shiftweight.plans import jobs
+
+    expected = spark.createDataFrame([("d", "a", "b", m, f"{m}{k}", 0, "f") for m in ("source_only", "y") for k in range(3)], "dataset string, src string, tgt string, method string, run_id string, seed int, fingerprint string")
+    metrics = lambda m, k: {"val": {"acc_avg": str(k / 10)}, "test": {"acc": "0.5"}} if (m, k) != ("y", 2) else {"val": {"loss": "9"}}
+    rows = [("d", "a", "b", m, f"{m}{k}", True, True, True, True, None, 50.0 + k, metrics(m, k)) for m in ("source_only", "y") for k in range(3)]
+    artifacts = spark.createDataFrame(rows, "dataset string, src string, tgt string, method string, run_id string, has_metrics boolean, completed boolean, has_state boolean, dir_exists boolean, stderr_tail string, target_acc double, metrics map<string,map<string,string>>")
+    out = jobs.experiment_tables(expected, artifacts, ["source_only", "y"], str(tmp_path / "best"))
+    assert {r.method: (r.run_id, r.val_score, r.val_metric_key, r.test_score) for r in out["best"].collect()} == {"source_only": ("source_only2", 0.2, "acc_avg", 0.5), "y": ("y1", 0.1, "acc_avg", 0.5)}
+    text = spark.read.text(str(tmp_path / "best"), wholetext=True).first().value
+    assert '"SOURCE_ONLY": {' in text and '"val_metric_key":"acc_avg"' in text and out["status"].count() >= 1

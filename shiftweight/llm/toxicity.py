@@ -6,8 +6,9 @@ marks, and *clean* where no lexicon word occurs. A generative label model estima
 by EM over all documents: equal rows of votes are counted first, then each round sums posteriors in Spark. Voters that
 agree more than these rates explain are correlated and share their weight. Labelled rows are a prior of the rates
 (their part is ``GOLD``), which fixes the direction of the classes; no posterior takes over a label. A linear
-classifier is trained on the posterior labels of a bounded sample, over the votes and counts, and scores every
-document; slope and shift of its scores are set on the labelled rows, so that 0.5 is an even chance.
+classifier is trained on the posterior labels of all documents, over the votes and counts: equal rows of both are
+counted first, and each of its Newton steps is a sum over them in Spark. It scores every document; slope and shift of
+its scores are set on the labelled rows, so that 0.5 is an even chance.
 """
 
 from __future__ import annotations
@@ -16,26 +17,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._features import adam, bounded_sample, sigmoid, unit_hash
+from ._features import adam, bounded_sample, sigmoid
 from ._store import written
 
 #: Lexicon words that are voters of their own; the others that qualify vote in ``POOLS`` voters by hash.
 LEXICON = 512
 POOLS = 16
-#: Lexicon words at most (0.5 MB); of more, those of the best ratio.
-MOST_WORDS = 1 << 16
 #: Likelihood ratio (G) that a lexicon word must reach; 20 is a chance of about one in 100,000.
 LEAST_RATIO = 20.0
 #: Part of the voters' rates that labelled rows have, whatever their number; all documents have the other part.
 GOLD = 0.5
 ROUNDS = 8
+#: Newton steps of the classifier at most, its pull towards zero, and steps of density that are told apart.
+STEPS, RIDGE, DENSITY = 25, 1e-4, 16
 PATTERNS = ["two words", "four words", "one in 50", "one in 200", "shouting", "exclamations"]
 
 
@@ -84,7 +84,8 @@ def votes(data: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarr
     patterns[2] &= total > 0
     patterns[3] &= total > 0
     out = np.hstack([words > 0, np.stack([*patterns, kinds == 0], axis=1)]).astype(np.float32)
-    return out, np.stack([np.log1p(kinds), np.minimum(10.0, 100.0 * total / size)], axis=1).astype(np.float32)
+    density = np.floor(DENSITY * np.minimum(10.0, 100.0 * total / size)) / DENSITY
+    return out, np.stack([np.log1p(kinds), density], axis=1).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -167,34 +168,59 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column("label").take(pa.array(row[new] + lo))], ["h", "label"])
 
 
-def _summed(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
-    """Class or pair sums over counted rows of votes (v packed, n): one sparse row of numbers per task, added up by Spark."""
-    shared, m = patterns.sparkSession.sparkContext.broadcast(model), len(model.rates)
-    shape = (2, m, m) if pairs else (2, 1 + m)
+def _totals(rows: DataFrame, sums, shape: tuple[int, ...], voters: int) -> np.ndarray:
+    """Sum over counted rows (v packed, c, n) of what ``sums(v, c, n)`` returns: one sparse row of numbers per task, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in filter(lambda b: b.num_rows, batches):
             packed = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            v, n = np.unpackbits(packed, axis=1)[:, :m].astype(np.float64), np.asarray(batch.column("n"), np.float64)
-            total += (pair_sums if pairs else class_sums)(v, n, shared.value.posterior(v))
+            v, n = np.unpackbits(packed, axis=1)[:, :voters].astype(np.float64), np.asarray(batch.column("n"), np.float64)
+            c = np.frombuffer(b"".join(batch.column("c").to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64) if "c" in batch.schema.names else None
+            total += sums(v, c, n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["i", "x"])
 
     out = np.zeros(int(np.prod(shape)))
-    for r in patterns.select("v", "n").mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # at most 2 m^2
+    for r in rows.mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # at most as many as ``shape`` has
         out[r.i] = r.x
     return out.reshape(shape)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most_per_class: int = 8000, most_others: int = 16000) -> ToxicityModel:
+def _summed(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
+    """Class or pair sums over counted rows of votes (v packed, n)."""
+    shared, m = patterns.sparkSession.sparkContext.broadcast(model), len(model.rates)
+    each = pair_sums if pairs else class_sums
+    return _totals(patterns.select("v", "n"), lambda v, c, n: each(v, n, shared.value.posterior(v)), (2, m, m) if pairs else (2, 1 + m), m)
+
+
+def slopes(x: np.ndarray, n: np.ndarray, want: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(1 + m, m): gradient and curvatures of the logistic loss of rows that count n and are to have chance ``want``."""
+    p = sigmoid(x @ w)
+    return np.vstack([(n * (p - want)) @ x, (x * (n * p * (1 - p))[:, None]).T @ x])
+
+
+def newton(sums, m: int, rows: float) -> np.ndarray:
+    """Weights at which ``sums(w)``, a mean over ``rows`` rows with a pull of RIDGE towards zero, has no slope; the last one is the shift, without pull."""
+    w, pull = np.zeros(m), np.r_[np.full(m - 1, RIDGE), 1e-9]
+    for _ in range(STEPS):
+        found = sums(w) / rows
+        step = np.linalg.solve(found[1:] + np.diag(pull), found[0] + pull * w)
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))  # far from the end a whole step may go too far
+        w = w - step
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most_per_class: int = 8000, most_words: int | None = None) -> ToxicityModel:
     """Mine the lexicon, estimate the label model over all documents and train the classifier.
 
     ``labels`` has (doc_id, label 0/1). About ``most_per_class`` labelled rows of each class, chosen by hash of doc_id and
-    with whole texts, make the lexicon and the prior of the rates; they and about ``most_others`` documents without
-    regard to labels train the classifier on what the label model says of them. A word enters the lexicon if enough
-    rows have it (five, or a tenth of the toxic rows if that is less, but two at least), most of them toxic and beyond
-    chance. Null labels teach nothing; a doc_id with several labels has any of them. Without toxic or without clean
+    with whole texts, make the lexicon, the prior of the rates and the slope and shift of the scores; that is the one bounded
+    sample. The label model and the classifier, which learns what that says of each document, see all documents. A word
+    enters the lexicon if enough rows have it (five, or a tenth of the toxic rows if that is less, but two at least),
+    most of them toxic and beyond chance; ``most_words`` keeps the best ones only (None: all). Null labels teach nothing; a doc_id with several labels has any of them. Without toxic or without clean
     labels every score is 0 or 1; without documents of both, it is the share of toxic labels.
     """
     spark = docs.sparkSession
@@ -216,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     base = sizes[1] / (sizes[0] + sizes[1])
     part = lambda k, p: F.when(k > 0, k * F.ln(k / (F.col("n") * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("t"), base) + part(F.col("n") - F.col("t"), 1 - base))
-    mined = mined.filter((F.col("t") >= support) & (t >= 3 * c) & (ratio >= LEAST_RATIO)).orderBy(((t + 0.1) / (t + c + 1) * F.log1p("t")).desc(), "h").limit(MOST_WORDS)
+    mined = mined.filter((F.col("t") >= support) & (t >= 3 * c) & (ratio >= LEAST_RATIO)).orderBy(((t + 0.1) / (t + c + 1) * F.log1p("t")).desc(), "h")
+    mined = mined if most_words is None else mined.limit(most_words)
     lexicon = lexicon_of(mined.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     shared, m = spark.sparkContext.broadcast(lexicon), lexicon.size + len(PATTERNS) + 1
 
@@ -229,31 +256,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), packed, pa.array([r.tobytes() for r in counts], pa.binary())], ["label", "v", "c"])
 
     voted = lambda df: df.select("text", "label").mapInArrow(run, "label int, v binary, c binary")
-    unlabelled = source.select("text", F.lit(None).cast("int").alias("label"))
-    patterns = written(voted(unlabelled).groupBy("v").agg(F.count("*").alias("n")))
-    others = unlabelled if (n := patterns.agg(F.sum("n")).first()[0] or 0) <= most_others else source.filter(unit_hash(F.col("doc_id"), F.col("text")) < most_others / n).select("text", F.lit(None).cast("int").alias("label")).limit(2 * most_others)
-    found = pd.concat([voted(known.limit(4 * most_per_class)).toPandas(), voted(others).toPandas()], ignore_index=True)
+    counted = written(voted(source.select("text", F.lit(None).cast("int").alias("label"))).groupBy("v", "c").agg(F.count("*").alias("n")))
+    patterns = written(counted.groupBy("v").agg(F.sum("n").alias("n")))
+    n = patterns.agg(F.sum("n")).first()[0] or 0
+    # Rows of votes, not texts, go through the task of the limit, which a doc_id with many labelled rows may need.
+    found = voted(known).limit(4 * most_per_class).toPandas()
     if found["label"].nunique() < 2:
         return constant(float(np.log(share[1] / share[0])))
     unpack = lambda column, kind: np.frombuffer(b"".join(found[column]), kind).reshape(len(found), -1)
-    v = np.unpackbits(unpack("v", np.uint8), axis=1)[:, :m].astype(np.float32)
-    gold = found["label"].to_numpy(np.float64, na_value=np.nan)
-    weight = np.where(gold == 1, 1 / used[1], np.where(gold == 0, 1 / used[0], max(n / most_others, 1.0)))
-    rated_rows = ~np.isnan(gold)
+    v = np.unpackbits(unpack("v", np.uint8), axis=1)[:, :m].astype(np.float64)
+    gold = found["label"].to_numpy(np.float64)
+    weight = np.where(gold == 1, 1 / used[1], 1 / used[0])
     # Labelled rows count as in the corpus, but no more than there are of them.
-    scale = rated_rows.sum() / max(weight[rated_rows].sum(), 1e-9)
-    model = estimate(class_sums(v[rated_rows], weight[rated_rows] * scale, gold[rated_rows]), lambda at: _summed(patterns, at, False), lambda at: _summed(patterns, at, True))
-    post = model.posterior(v)
-    weight = (weight / weight.sum()).astype(np.float32)
-    x = np.hstack([v, unpack("c", np.float32)])
+    model = estimate(class_sums(v, weight * len(gold) / weight.sum(), gold), lambda at: _summed(patterns, at, False), lambda at: _summed(patterns, at, True))
+    told = spark.sparkContext.broadcast(model)
 
-    def gradient(p: list[np.ndarray]) -> list[np.ndarray]:
-        error = weight * (sigmoid(x @ p[0] + p[1]) - post)
-        return [x.T @ error.astype(np.float32) + 1e-4 * p[0], np.array([error.sum()])]
+    def slopes_at(w: np.ndarray) -> np.ndarray:
+        row = lambda v, c: np.hstack([v, c, np.ones((len(v), 1))])
+        return _totals(counted, lambda v, c, n: slopes(row(v, c), n, told.value.posterior(v), w), (m + 4, m + 3), m)
 
-    w, b = adam(gradient, [np.zeros(x.shape[1], np.float32), np.zeros(1)], 300, 0.05)
-    slope, shift = calibration(x[rated_rows] @ w + b[0], gold[rated_rows], weight[rated_rows])
-    return ToxicityModel(lexicon, (slope * w).astype(np.float32), float(slope * b[0] + shift), model.rates)
+    w = newton(slopes_at, m + 3, float(n))
+    x = np.hstack([v, unpack("c", np.float32).astype(np.float64)])
+    slope, shift = calibration(x @ w[:-1] + w[-1], gold, weight)
+    return ToxicityModel(lexicon, (slope * w[:-1]).astype(np.float32), float(slope * w[-1] + shift), model.rates)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:

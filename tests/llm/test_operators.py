@@ -555,7 +555,7 @@ def test_toxicity(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows[:250]] + [(None, 1), (7, None)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
-    assert 3 <= len(model.lexicon.hashes) <= toxicity.MOST_WORDS
+    assert 3 <= len(model.lexicon.hashes) < 30 and len(toxicity.fit(docs, labels, most_words=2).lexicon.hashes) == 2
     got = {x.doc_id: x.score for x in toxicity.score(docs, model, ["doc_id"]).collect()}
     y, s = np.array([y for _, _, y in rows[250:]]), np.array([got[i] for i, _, _ in rows[250:]])
     assert auc(y, s) > 0.97 and ((s >= 0.5) == y).mean() > 0.95 and got[900] < 0.5 and got[901] < 0.5 and len(got) == 402
@@ -596,6 +596,60 @@ def test_label_model_sums_in_spark(spark):
     assert np.allclose(toxicity._summed(table, model, True), toxicity.pair_sums(v, ones, p))
 
 
+def scores_by_loops(docs, labels):
+    """Scores by the rules, in loops and dense arrays: lexicon, votes, label model and classifier over all documents."""
+    texts = dict(docs)
+    rated = {i: y for i, y in labels if y is not None and i in texts}
+    toxic = [i for i in rated if rated[i]]
+    have = defaultdict(lambda: [0, 0])
+    for i, y in rated.items():
+        for x in set(words(texts[i])):
+            have[x][y] += 1
+    base, support, lexicon = len(toxic) / len(rated), max(2, min(5, len(toxic) // 10)), []
+    for x, (c, t) in have.items():
+        g = 2 * sum(k * np.log(k / ((c + t) * p)) for k, p in ((t, base), (c, 1 - base)) if k)
+        if t >= support and t >= 3 * c and g >= toxicity.LEAST_RATIO:
+            lexicon.append((-(t + 0.1) / (t + c + 1) * np.log1p(t), x))
+    lexicon = [x for _, x in sorted(lexicon)]
+
+    def row(t):
+        t = t or ""
+        w = words(t)
+        found = [w.count(x) for x in lexicon]
+        total, kinds, size = sum(found), sum(k > 0 for k in found), max(len(w), 1)
+        upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+        patterns = [kinds >= 2, kinds >= 4, total > 0 and total * 50 >= size, total > 0 and total * 200 >= size, upper > lower, t.count("!") * 10 > size]
+        return [*(k > 0 for k in found), *patterns, kinds == 0], [np.log1p(kinds), np.floor(16 * min(10, 100 * total / size)) / 16]
+
+    v, c = (np.array(x, float) for x in zip(*(row(t) for t in texts.values()), strict=True))
+    of = {i: k for k, i in enumerate(texts)}
+    at, gold, one = [of[i] for i in rated], np.array(list(rated.values()), float), np.ones(len(v))
+    model = toxicity.estimate(toxicity.class_sums(v[at], np.ones(len(at)), gold), lambda m: toxicity.class_sums(v, one, m.posterior(v)), lambda m: toxicity.pair_sums(v, one, m.posterior(v)))
+    want, x = model.posterior(v), np.hstack([v, c, one[:, None]])
+    pull, w = np.r_[np.full(x.shape[1] - 1, toxicity.RIDGE), 1e-9], np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(pull), x.T @ (p - want) / len(x) + pull * w)
+        w -= step * min(1, 4 / np.abs(step).max())
+    slope, shift = toxicity.calibration((x @ w)[at], gold, np.ones(len(at)))
+    return lexicon, dict(zip(texts, 1 / (1 + np.exp(-(slope * (x @ w) + shift))), strict=True))
+
+
+def test_toxicity_by_loops(spark):
+    r = random.Random(21)
+    bad = ["vile", "Rotten", "nasty", "FOUL"]
+    make = lambda toxic: " ".join([r.choice(WORDS) + r.choice("abcd") for _ in range(r.randint(1, 50))] + ["!" * r.randint(0, 4)] + [r.choice(bad) for _ in range(r.randint(1, 4) if toxic and r.random() < 0.9 else 0)])
+    docs = [(i, make(i % 4 == 0)) for i in range(300)] + [(800, None), (801, ""), (802, "VILE !!!"), (803, "word " * 3000 + "nasty")]
+    labels = [(i, int(i % 4 == 0)) for i in range(160)] + [(5, None), (9999, 1)]
+    model = toxicity.fit(frame(spark, docs).repartition(5), spark.createDataFrame(labels, "doc_id bigint, toxic int").dropDuplicates(["doc_id"]))
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, docs), model, ["doc_id"]).collect()}
+    lexicon, want = scores_by_loops(docs, labels[:160])
+    assert len(lexicon) == len(model.lexicon.hashes) >= 4 and got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in got) < 2e-3
+    w = _text.words(*_text.buffers(pa.array([" ".join(lexicon)])), _text.WORD_ALNUM)
+    assert model.lexicon.voters[np.searchsorted(model.lexicon.hashes, w.hashes)].tolist() == list(range(len(lexicon)))
+
+
 def test_toxicity_pools_words_and_keeps_odd_tables(spark):
     """Words behind the first 512 vote in pools; empty tables, repeated rows and clashing names are no trouble."""
     words = np.random.default_rng(1).integers(1, 1 << 63, 2000).astype(np.uint64)

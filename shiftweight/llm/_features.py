@@ -79,21 +79,30 @@ def unit_hash(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int, key: str) -> DataFrame:
-    """About ``most`` rows of each value of ``by`` (all, where there are fewer), chosen by hash of ``key``.
+def sampled(rows: DataFrame, by: str, most: int, key: str) -> tuple[DataFrame, int]:
+    """(about ``most`` rows of each value of ``by``, or all where there are fewer, chosen by hash of ``key``; twice as many rows).
 
-    Used to fit classifiers only; ``by`` must have few values. A key that repeats cannot add more than a second ``most`` of
-    rows for each value, whichever these are.
+    Used to fit classifiers only; ``by`` must have few values. A key that repeats could add any number of rows: whoever collects
+    the sample limits it to the second number.
     """
     counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
     share = F.lit(1.0)
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.filter(unit_hash(F.col(key)) < share).limit(2 * most * max(len(counts), 1))
+    return rows.filter(unit_hash(F.col(key)) < share), 2 * most * max(len(counts), 1)
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, key: str) -> DataFrame:
+    """``sampled`` rows, limited; for narrow rows, since those of a limit pass through one task."""
+    found, bound = sampled(rows, by, most, key)
+    return found.limit(bound)
+
 
+def collect_features(sample: DataFrame, target: str, features, dims: int, bound: int | None = None) -> tuple[np.ndarray, list]:
+    """Feature rows (float16 on the way) and targets of a bounded sample with columns (text, target), ``bound`` rows at most.
 
-def collect_features(sample: DataFrame, target: str, features, dims: int) -> tuple[np.ndarray, list]:
-    """Feature rows (float16 on the way) and targets of a bounded sample with columns (text, target)."""
+    Texts become features where they are; the limit sees only these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +110,8 @@ def collect_features(sample: DataFrame, target: str, features, dims: int) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), batch.column(target).slice(a, b - a)], ["x", target])
 
     kind = dict(sample.dtypes)[target]
-    found = sample.select("text", target).mapInArrow(run, f"x binary, {target} {kind}").toPandas()
+    found = sample.select("text", target).mapInArrow(run, f"x binary, {target} {kind}")
+    found = (found if bound is None else found.limit(bound)).toPandas()
     x = np.frombuffer(b"".join(found["x"]), np.float16).reshape(-1, dims).astype(np.float32)
     return x, found[target].tolist()
 

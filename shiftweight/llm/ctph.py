@@ -197,25 +197,33 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(0)
 
 
+#: Ranges of doc_ids at most: 3 MB for the driver and for each task.
+BUCKETS = 1 << 16
+
+
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 2000) -> DataFrame:
     """Fingerprint of every text and of the text with its second half replaced by its neighbour's beginning.
 
     The neighbour is the next document in descending (numeric) doc_id, ties by hash of the text, null doc_ids
-    last; after the last comes the first; a single document is its own neighbour. The last floor(n_chars / 2)
+    last; after the last comes the first; a doc_id that is no number is an error; a single document is its own neighbour. The last floor(n_chars / 2)
     code points give way to as many from the neighbour's beginning, or all it has. Returns (doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per input row; null
     texts are empty. Repeated rows are neighbours of each other. Other columns are ignored.
 
-    Scale: buckets are doc_id ranges between approximate quantiles (at most eight per shuffle partition), so
-    neighbours meet after one shuffle of the texts and a task reads its rows as a stream. Each bucket also gets
-    a copy of the next bucket's first row (one text per bucket, no more).
+    Scale: buckets are doc_id ranges between approximate quantiles, one for each ``bucket_rows`` rows up to ``BUCKETS`` of
+    them, so neighbours meet after one shuffle of the texts and a task, which has eight buckets at most, reads its rows
+    as a stream. Each bucket also gets a copy of the next bucket's first row (one text per bucket, no more). The driver
+    sees two narrow rows per bucket.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = source.select("doc_id", "th")
-    wanted = max(1, min(8 * tasks, -(-narrow.count() // bucket_rows)))
-    cuts = narrow.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 100 * wanted).alias("c")).first().c if wanted > 1 else None
+    if not isinstance(source.schema["doc_id"].dataType, T.NumericType):
+        raise ValueError("doc_id must be a number: documents are neighbours by its order")
+    wanted = max(1, min(BUCKETS, -(-narrow.count() // bucket_rows)))
+    # Quantiles may be off by a hundredth of a bucket, by a tenth where there are very many.
+    cuts = narrow.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], max(10 * wanted, min(100 * wanted, 1 << 18))).alias("c")).first().c if wanted > 1 else None
     edges = np.array(sorted(set(cuts or [])))
 
     @F.pandas_udf("int")
@@ -229,12 +237,12 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     filled = sorted(heads)
     head_type = T.StructType([source.schema["doc_id"], T.StructField("th", T.LongType())])
     shown = spark.createDataFrame([(b, heads[b], filled[i - 1]) for i, b in enumerate(filled)], T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("head", head_type), T.StructField("before", T.IntegerType())]))
-    # ``shown`` has at most 8 rows per shuffle partition, without texts.
+    # ``shown`` has at most BUCKETS + 1 rows, without texts.
     rows = source.withColumn("bucket", bucket_of("doc_id")).join(F.broadcast(shown), "bucket", "left")
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own"))
     there = F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("th").eqNullSafe(F.col("head.th"))
     dealt = rows.select("doc_id", "text", "th", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("to")).select("doc_id", "text", "th", "to.*")
-    lined = dealt.repartition(max(1, min(len(filled), tasks)), "bucket").sortWithinPartitions(F.col("bucket"), F.col("own").desc(), F.col("doc_id").desc_nulls_last(), F.col("th").desc())
+    lined = dealt.repartition(max(1, min(len(filled), tasks), len(filled) // 8), "bucket").sortWithinPartitions(F.col("bucket"), F.col("own").desc(), F.col("doc_id").desc_nulls_last(), F.col("th").desc())
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     return lined.select("doc_id", "text", "bucket", "own").mapInArrow(_edits, schema)

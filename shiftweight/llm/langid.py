@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._features import adam, bounded_sample, collect_features, feature_blocks, letter_grams, sigmoid
+from ._features import adam, sampled, collect_features, feature_blocks, letter_grams, sigmoid
 
 DIMS = 2048
 UNDETERMINED = "und"
@@ -60,7 +60,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     Rows without text or language teach nothing. Without any row the model has no language.
     """
     rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    x, names = collect_features(bounded_sample(rows, "lang", most_per_language, "doc_id"), "lang", letter_grams, DIMS)
+    chosen, bound = sampled(rows, "lang", most_per_language, "doc_id")
+    x, names = collect_features(chosen, "lang", letter_grams, DIMS, bound)
     languages = sorted(set(names))
     if not languages:
         return LanguageModel([], np.zeros((0, 1), np.float32), np.zeros((DIMS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))

@@ -168,6 +168,10 @@ def test_piecewise_fingerprints(spark):
     one = ctph.fingerprint_edits(frame(spark, [(7, "abcdef")])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     assert ctph.fingerprint_edits(frame(spark, [])).isEmpty()
+    with pytest.raises(ValueError):
+        ctph.fingerprint_edits(frame(spark, docs).withColumn("doc_id", F.col("doc_id").cast("string")))
+    few = ctph.fingerprint_edits(frame(spark, docs), bucket_rows=3).collect()  # more buckets than eight for each shuffle partition
+    assert sorted(map(tuple, few), key=repr) == sorted(map(tuple, got), key=repr)
 
 
 def test_line_dedup(spark):
@@ -486,6 +490,16 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.identify(test, empty).collect()} == {"und"}
 
 
+def test_sample_of_a_key_that_repeats(spark):
+    """One doc_id in all rows: the sample is limited, and texts are no part of what is limited."""
+    from shiftweight.llm import _features
+
+    rows = spark.range(3000).select(F.lit(5).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    chosen, bound = _features.sampled(rows, "lang", 3000, "doc_id")
+    x, names = _features.collect_features(chosen, "lang", _features.letter_grams, 64, 100)
+    assert bound == 6000 and x.shape == (100, 64) and names == ["en"] * 100 and np.isfinite(x).all()
+
+
 def test_language_decoding_by_loops(spark):
     """Nearest codeword by plain loops; codes tell all languages apart by many bits; odd tables."""
     r = np.random.default_rng(13)

@@ -87,12 +87,19 @@ def sample_index(df: DataFrame, order: str = "path", into: str = "sample_id", ra
     """
     value, columns = F.col(order), df.columns
     total = df.count()
+    if total <= range_rows:  # one range
+        return df.withColumn(into, F.row_number().over(Window.orderBy(value)).cast("long") - 1)
     edges = range_edges(df, value, min(4096, max(8, total // range_rows)), total)
     rows = df.withColumn("_range", range_number(value, edges))
     # A range with one value is split by row hash; the split depends on the row alone, so both passes agree on it.
-    known = rows.groupBy("_range").agg(F.count("*").alias("n"), F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias("single")).collect()  # two per range at most
+    known = sorted(rows.groupBy("_range").agg(F.count("*").alias("n"), F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias("single")).collect())  # two per range at most
     split = {r["_range"]: -(-r.n // range_rows) for r in known if r.single and r.n > range_rows}
-    copies = F.coalesce(F.create_map(*[F.lit(x) for item in split.items() for x in item])[F.col("_range")], F.lit(1)) if split else F.lit(1)
+    if not split:
+        offsets = [(r["_range"], sum(q.n for q in known[:k])) for k, r in enumerate(known)]
+        starts = df.sparkSession.createDataFrame(offsets, "_range int, _before bigint")
+        number = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
+        return rows.join(F.broadcast(starts), "_range").withColumn(into, F.col("_before") + number).drop("_range", "_before")
+    copies = F.coalesce(F.create_map(*[F.lit(x) for item in split.items() for x in item])[F.col("_range")], F.lit(1))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(*columns, F.lit(3)), copies).cast("int"))
     counts = rows.groupBy("_range", "_part").count()
     dense = counts.filter(F.col("count") > 4 * range_rows).select("_range", "_part")

@@ -59,16 +59,19 @@ def _windows(rows: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12) -> DataFrame:
     """(doc_id, th, n_lines, ranges): the ranges [lo, hi] of lines of each document that stood at an earlier place.
 
-    Lines are numbered without lines of space, which are not counted in ``n_lines`` either. The ranges are exactly the lines of all
+    Lines are numbered without lines of space, which ``n_lines`` counts along. The ranges are exactly the lines of all
     runs that weigh ``least`` or more, however long, and stand at an earlier place, whole and line by line equal without the space around
     lines. Places are ordered by doc_id (null first), hash ``th`` of the text, and line. Rows equal in doc_id and text are one
     document. Lines are compared by 96 bits of hash.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    units = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.filter(F.transform(_lines(body), _bare), lambda u: u != "").alias("u"))
+    cut = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), F.split(body, CUT, -1).alias("all"))
+    # The last piece alone can be empty.
+    count = (F.size("all") - (F.element_at("all", -1) == "").cast("int")).cast("long")
+    units = cut.select("doc_id", "th", count.alias("n_lines"), F.filter(F.transform("all", _bare), lambda u: u != "").alias("u"))
     weight = lambda u: F.least(F.floor((F.octet_length(u) + BYTES - 1) / BYTES).cast("int"), F.lit(least))
-    lines = units.select("doc_id", "th", F.transform("u", lambda u: F.xxhash64(u)).alias("h"), F.transform("u", lambda u: F.hash(u)).alias("g"), F.transform("u", weight).alias("w"))
-    lines = lines.select("doc_id", "th", "h", "g", _lengths(F.col("w"), least).alias("n"), F.size("h").cast("long").alias("n_lines"))
+    lines = units.select("doc_id", "th", "n_lines", F.transform("u", lambda u: F.xxhash64(u)).alias("h"), F.transform("u", lambda u: F.hash(u)).alias("g"), F.transform("u", weight).alias("w"))
+    lines = lines.select("doc_id", "th", "h", "g", _lengths(F.col("w"), least).alias("n"), "n_lines")
     prepared = written(lines.withColumn("row", F.monotonically_increasing_id()))  # fixed once it is written
 
     # Fingerprints: each position once, at the first window that selects it.
@@ -124,9 +127,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th")).alias("key"))
-    found = repeated_runs(docs, doc_id, text, least).select(F.struct("doc_id", "th").alias("key"), "ranges")
+    found = repeated_runs(docs, doc_id, text, least).select(F.struct("doc_id", "th").alias("key"), "n_lines", "ranges")
     old = F.col("doc")[text].cast("string")
-    n_lines = F.size(F.filter(F.split(F.coalesce(old, F.lit("")), CUT, -1), lambda u: u != "")).cast("long")
     rows = rows.join(found, "key").withColumn("units", F.when(F.col("ranges").isNotNull(), _lines(old)))
     # From numbers without lines of space to places among all lines.
     places = F.filter(F.transform("units", lambda u, i: F.when(_bare(u) != "", i)), lambda i: i.isNotNull())
@@ -140,4 +142,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     kept = F.when(F.col("ranges").isNull(), old).when(F.rand() >= 0, F.array_join(F.concat(F.flatten(gaps), tail), ""))
     removed = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0).cast("long"))
     columns = [kept.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c not in into]
-    return rows.select(*columns, n_lines.alias(into[0]), removed.alias(into[1]))
+    return rows.select(*columns, F.col("n_lines").alias(into[0]), removed.alias(into[1]))

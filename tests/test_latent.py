@@ -133,7 +133,7 @@ def test_mmd(spark):
     a, b = rng.normal(0, 1, (16, 8)), rng.normal(2, 1, (16, 8))
     assert align.mmd_matrix([a], [b]) > 1e-4 and abs(align.mmd_matrix([a], [a])) < 1e-12
     frame = lambda m: spark.createDataFrame([(i, 0, list(map(float, v))) for i, v in enumerate(m)], "sample_id int, batch_no int, x array<double>")
-    whole = align.whole_mmd(frame(a), frame(b), ["x"], block_rows=5).first().mmd
+    whole = align.whole_mmd(frame(a), frame(b), ["x"], cell_rows=10, tile=5).first().mmd
     assert np.isclose(whole, align.mmd_matrix([a], [b])) and np.isclose(align.batch_mmd(frame(a), frame(b), ["x"]).first().mmd, whole)
 
 

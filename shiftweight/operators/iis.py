@@ -184,7 +184,9 @@ def validate_joint(df: DataFrame, layers: list[str], probs: str = "probs", toler
     """(min_entry, max_layer_error, max_total_error, valid): entries >= -1e-8, each layer's mass 1, the total their number."""
     p = F.col(probs)
     layer_mass = [total(F.col(name)) * total(p) for name in layers]
-    smallest = F.least(*[F.array_min(F.col(name)) * F.array_min(p) for name in layers], F.lit(float("inf")))
+    # The smallest product of two entries is one of their extremes; a negative one may meet any class.
+    ends = lambda a: (F.array_min(a), F.array_max(a))
+    smallest = F.least(*[x * y for name in layers for x in ends(F.col(name)) for y in ends(p)], F.lit(float("inf")))
     worst = F.greatest(*[F.abs(m - 1) for m in layer_mass], F.lit(0.0))
     whole = F.abs(sum(layer_mass[1:], layer_mass[0]) - len(layers))
     out = df.agg(F.min(smallest).alias("min_entry"), F.max(worst).alias("max_layer_error"), F.max(whole).alias("max_total_error"))

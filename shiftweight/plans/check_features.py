@@ -551,3 +551,13 @@ def w6s(spark, d):
     by = X.samples(spark, d).groupBy(F.col("label").alias("constraint_id"), (F.col("sample_id") % 3).alias("epoch")).agg(x.alias("x"))
     by = by.withColumn("x", F.when(F.col("epoch") == 1, skipped).when((F.col("epoch") == 0) & (F.col("constraint_id") == 4), F.lit(None)).otherwise(F.col("x")))
     return r6(iis.ema_moments(by, 0.5))
+
+
+@query("m7_validate_raw_joint", features_sql("""
+SELECT round(min(least(e1, e2)), 6) AS min_entry, round(max(greatest(abs(m1 - 1), abs(m2 - 1))), 6) AS max_layer_error, round(max(abs(m1 + m2 - 2)), 6) AS max_total_error, false AS valid
+FROM (SELECT list_min([list_min([g * p FOR p IN feat[9:12]]) FOR g IN feat[1:4]]) AS e1, list_min([list_min([g * p FOR p IN feat[9:12]]) FOR g IN feat[5:8]]) AS e2,
+ list_sum(feat[1:4]) * list_sum(feat[9:12]) AS m1, list_sum(feat[5:8]) * list_sum(feat[9:12]) AS m2 FROM s)"""))
+def m7r(spark, d):
+    """Vectors that are no probabilities: negative entries and masses far from one are measured."""
+    rows = X.samples(spark, d).select(F.slice("feat", 1, 4).alias("a"), F.slice("feat", 5, 4).alias("b"), F.slice("feat", 9, 4).alias("probs"))
+    return r6(iis.validate_joint(rows, ["a", "b"]))

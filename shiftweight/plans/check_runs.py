@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as S
-from ..operators import losses, prep, runs as R
+from ..operators import iis, losses, prep, runs as R
 from ..sources.files import shared_folder
 from ..sources.snapshots import SnapshotTable
 from . import fixtures as X, jobs
@@ -333,3 +333,10 @@ def w4m(spark, d):
 def w7m(spark, d):
     rows = X.runs(spark, d).select("method", "run_id", "row_no", F.when(F.col("row_no") % 3 == 1, F.lit(float("nan"))).when(F.col("row_no") % 3 == 0, F.col("val_acc")).alias("val_acc"))
     return r6(R.best_by_val(rows))
+
+
+@query("w5_objective_decreased_series", "WITH h AS (SELECT event_type AS method, (event_id % 40)::INTEGER AS iteration, avg(value) AS o FROM events GROUP BY ALL) SELECT method, iteration, coalesce(o + 1e-8 < coalesce(lag(o) OVER (PARTITION BY method ORDER BY iteration), -ln(1000)), false) AS decreased FROM h")
+def w5s(spark, d):
+    """A history for each method that rises and falls; the first value is compared with -ln 1000."""
+    h = X.table(spark, d, "events").groupBy(F.col("event_type").alias("method"), (F.col("event_id") % 40).cast("int").alias("iteration")).agg(F.avg("value").alias("objective"))
+    return iis.objective_decreased(h, n_source=1000, by=["method"]).select("method", "iteration", "decreased")

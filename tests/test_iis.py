@@ -145,3 +145,11 @@ def test_weights_join_rejects_bad(spark):
     s = spark.createDataFrame([(1,)], "sample_id int")
     with pytest.raises(Exception, match="bad weight"):
         weights.attach_weights(s, spark.createDataFrame([(1, -0.5)], "sample_id int, w double")).select(F.sum("w")).collect()
+
+
+def test_negative_entries_of_joints_are_seen(spark):
+    """A negative responsibility meets a one-hot row, whose smallest class has probability 0."""
+    bad = rows(spark, [(1.1, -0.1), (0.5, 0.5)], [[1.0, 0.0], [0.0, 1.0]])
+    got = iis.validate_joint(bad, ["g"]).first()
+    assert not got.valid and np.isclose(got.min_entry, -0.1) and np.isclose(got.max_layer_error, 0)
+    assert iis.validate_joint(rows(spark, [(0.9, 0.1)], [[1.0, 0.0]]), ["g"]).first().valid

@@ -138,8 +138,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     gaps = F.transform("ranges", lambda r, j: F.slice("units", begin(j) + 1, r["lo"] - begin(j)))
     tail_from = F.element_at("ranges", -1)["hi"] + 1
     tail = F.slice("units", tail_from + 1, F.greatest(F.size("units") - tail_from, F.lit(0)))
-    # rand() changes nothing; it keeps Catalyst from putting this text together again in each filter or column that uses it.
-    kept = F.when(F.col("ranges").isNull(), old).when(F.rand() >= 0, F.array_join(F.concat(F.flatten(gaps), tail), ""))
     removed = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0).cast("long"))
-    columns = [kept.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c not in into]
-    return rows.select(*columns, F.col("n_lines").alias(into[0]), removed.alias(into[1]))
+    kept = F.when(F.col("ranges").isNull(), old).otherwise(F.array_join(F.concat(F.flatten(gaps), tail), ""))
+    # The condition always holds; it keeps Catalyst from moving filters on the result below this, where the lines would be made again for each range.
+    rows = rows.withColumn("made", F.when(F.monotonically_increasing_id() >= 0, F.struct(kept.alias("kept"), removed.alias("removed"))))
+    columns = [F.col("made")["kept"].alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c not in into]
+    return rows.select(*columns, F.col("n_lines").alias(into[0]), F.col("made")["removed"].alias(into[1]))

@@ -113,3 +113,11 @@ def test_stages_on_odd_tables(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         none = corpus_pipeline.written(stage(spark, none, d))
         assert none.isEmpty(), name
+
+
+def test_texts_are_cut_once_for_the_result(spark, folder):
+    """The filter on what is left must not be moved below the place where texts are put together, which would make its lines again."""
+    d, docs, _ = folder
+    table = spark.createDataFrame([(i, t, None) for i, t in sorted(docs.items())], "doc_id bigint, text string, n_chars bigint")
+    plan = dict(corpus_pipeline.STAGES)["line_dedup"](spark, table, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Filter ((made" in plan

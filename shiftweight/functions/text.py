@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,36 +146,49 @@ def make_ckpt_name(method: Column, dataset: Column, src: Column, tgt: Column, se
     return F.concat(name, F.lit(".pt"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def decode_ckpt_name(name: Column) -> Column:
     """Struct of the parts of a checkpoint name; ``error`` says that it has another form.
 
     Seed and numbers of the suffix are numbers, epochs and batch size texts. A path before the name goes; ``raw`` is
-    the name without ``.pt``.
+    the name without ``.pt``. The name is split once, and each part is looked for once.
     """
     raw = F.replace(F.element_at(F.split(name, "/"), -1), F.lit(".pt"), F.lit(""))
-    parts = F.split(raw, "__")
-    at = lambda i: F.get(parts, F.lit(i))
     bare = lambda c, tag: F.replace(c, F.lit(tag), F.lit(""))
-    seed = bare(at(3), "seed").try_cast("int")
-    whole = F.coalesce((F.size(parts) >= 7) & F.contains(at(2), F.lit("2")) & seed.isNotNull(), F.lit(False))
-    rest = F.slice(parts, 8, F.greatest(F.size(parts) - 7, F.lit(0)))
-
-    def payload(tag: str) -> Column:
-        return F.when(whole, bare(F.try_element_at(F.filter(rest, lambda t: t.startswith(tag)), F.lit(-1)), tag))
-
-    first = lambda c: F.when(F.contains(c, F.lit("-")), F.substring_index(c, "-", 1))
-    behind = lambda c: F.when(F.contains(c, F.lit("-")), F.substring(c, F.instr(c, "-") + 1, F.length(c)))
-    gmm, iis = payload("gmm"), payload("iis")
-    low, high = first(gmm).try_cast("int"), behind(gmm).try_cast("int")
-    iters, tol = first(iis).try_cast("double").cast("int"), behind(iis).try_cast("double")
-    wrong = (first(gmm).isNotNull() & (low.isNull() | high.isNull())) | (first(iis).isNotNull() & (iters.isNull() | tol.isNull()))
-    keep = lambda c: F.when(whole, c)
-    return F.struct(
-        raw.alias("raw"), keep(at(0)).alias("method"), keep(at(1)).alias("dataset"), keep(F.substring_index(at(2), "2", 1)).alias("src"), keep(F.substring(at(2), F.instr(at(2), "2") + 1, F.length(at(2)))).alias("tgt"),
-        keep(seed).alias("seed"), keep(bare(at(4), "Esrc")).alias("epochs_source"), keep(bare(at(5), "Ead")).alias("epochs_adapt"), keep(bare(at(6), "bs")).alias("batch_size"),
-        payload("layers").alias("layers"), low.alias("gmm_min"), high.alias("gmm_max"), iters.alias("iis_iters"), tol.alias("iis_tol"),
-        F.when(~whole | F.coalesce(wrong, F.lit(False)), "unable to decode").alias("error"),
-    )
+    at = lambda parts, i: F.get(parts, F.lit(i))
+
+    def split(x: Column) -> Column:
+        parts, seed = x["parts"], bare(at(x["parts"], 3), "seed").try_cast("int")
+        rest = F.slice(parts, 8, F.greatest(F.size(parts) - 7, F.lit(0)))
+        whole = F.coalesce((F.size(parts) >= 7) & F.contains(at(parts, 2), F.lit("2")) & seed.isNotNull(), F.lit(False))
+        return F.struct(x["raw"].alias("raw"), parts.alias("parts"), seed.alias("seed"), rest.alias("rest"), whole.alias("whole"))
+
+    def suffix(x: Column) -> Column:
+        payload = lambda tag: F.when(x["whole"], bare(F.try_element_at(F.filter(x["rest"], lambda t: t.startswith(tag)), F.lit(-1)), tag))
+        return F.struct(x.alias("x"), *[payload(tag).alias(tag) for tag in ("layers", "gmm", "iis")])
+
+    def decoded(y: Column) -> Column:
+        x, gmm, iis = y["x"], y["gmm"], y["iis"]
+        first = lambda c: F.when(F.contains(c, F.lit("-")), F.substring_index(c, "-", 1))
+        behind = lambda c: F.when(F.contains(c, F.lit("-")), F.substring(c, F.instr(c, "-") + 1, F.length(c)))
+        low, high = first(gmm).try_cast("int"), behind(gmm).try_cast("int")
+        iters, tol = first(iis).try_cast("double").cast("int"), behind(iis).try_cast("double")
+        wrong = (first(gmm).isNotNull() & (low.isNull() | high.isNull())) | (first(iis).isNotNull() & (iters.isNull() | tol.isNull()))
+        keep = lambda c: F.when(x["whole"], c)
+        pair, part = at(x["parts"], 2), lambda i: at(x["parts"], i)
+        return F.struct(
+            x["raw"].alias("raw"), keep(part(0)).alias("method"), keep(part(1)).alias("dataset"), keep(F.substring_index(pair, "2", 1)).alias("src"), keep(F.substring(pair, F.instr(pair, "2") + 1, F.length(pair))).alias("tgt"),
+            keep(x["seed"]).alias("seed"), keep(bare(part(4), "Esrc")).alias("epochs_source"), keep(bare(part(5), "Ead")).alias("epochs_adapt"), keep(bare(part(6), "bs")).alias("batch_size"),
+            y["layers"].alias("layers"), low.alias("gmm_min"), high.alias("gmm_max"), iters.alias("iis_iters"), tol.alias("iis_tol"),
+            F.when(~x["whole"] | F.coalesce(wrong, F.lit(False)), "unable to decode").alias("error"),
+        )
+
+    named = _once(raw, lambda r: F.struct(r.alias("raw"), F.split(r, "__").alias("parts")))
+    return _once(_once(_once(named, split), suffix), decoded)
 
 
 def parse_layers(text: Column) -> Column:

@@ -220,3 +220,11 @@ def test_experiment_tables_write_the_best_runs(spark, tmp_path):
     assert {r.method: (r.run_id, r.val_score, r.val_metric_key, r.test_score) for r in out["best"].collect()} == {"source_only": ("source_only2", 0.2, "acc_avg", 0.5), "y": ("y1", 0.1, "acc_avg", 0.5)}
     text = spark.read.text(str(tmp_path / "best"), wholetext=True).first().value
     assert '"SOURCE_ONLY": {' in text and '"val_metric_key":"acc_avg"' in text and out["status"].count() >= 1
+
+
+def test_checkpoint_names_are_decoded_once_a_row(spark, data):
+    from shiftweight.plans import check_runs
+
+    plan = check_runs.QUERIES["f16_decode_ckpt_name"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # Ten results of one name: its splits stood 139 times in the plan, anew in each result.
+    assert plan.count("split(") <= 2 and plan.count("filter(") <= 3

@@ -151,3 +151,10 @@ def test_fit_sample_is_the_lowest_hashes(spark):
     df = spark.range(5000).withColumnRenamed("id", "sample_id")
     want = [r[0] for r in df.orderBy(F.xxhash64("sample_id", F.lit(1)), "sample_id").limit(50).collect()]
     assert [r[0] for r in select.fit_sample(df, 50, 1).collect()] == want
+
+
+def test_layers_are_scored_in_one_python_pass(spark, data):
+    from shiftweight.plans import fixtures
+
+    plan = fixtures.scored(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one for each layer and one for the classes: three Python workers a task

@@ -158,3 +158,18 @@ def test_layers_are_scored_in_one_python_pass(spark, data):
 
     plan = fixtures.scored(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1  # one for each layer and one for the classes: three Python workers a task
+
+
+def test_restarts_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    seen = threading.Barrier(3, timeout=60)
+    fit = latent.KMeans.fit
+
+    def together(self, part):
+        seen.wait()  # breaks if fits run one after another
+        return fit(self, part)
+
+    monkeypatch.setattr(latent.KMeans, "fit", together)
+    df = points(spark, clusters([(1, 0), (0, 1)], 15))
+    assert latent.kmeans_centers(df, "x", 2, seed=0, n_init=3).shape == (2, 2)

@@ -1,7 +1,7 @@
 """Alignment of two samples: maximum mean discrepancy with a mixture of Gaussian kernels.
 
 Batch pairs are independent groups of bounded size (the batch), so they run as one grouped task each. Whole samples
-are cut into blocks; block pairs are grouped tasks too, and only kernel sums leave them.
+are packed into cells, which are joined with cells by pairs of blocks; only kernel sums leave the tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
 from .latent import lists, matrix, merged, vector_sums
 
 
@@ -68,50 +69,105 @@ def block_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: fl
 
 
 def grid_size(rows: int, tasks: int, cell_rows: int) -> int:
-    """Blocks of rows for all pairs of blocks to make ``tasks`` tasks of at most about ``cell_rows`` rows: copies of each row."""
-    return max(1, -(-2 * rows // cell_rows), int(np.ceil(np.sqrt(2 * tasks))) - 1)
+    """Blocks for all pairs of blocks to make ``tasks`` tasks: copies of each row, however many rows there are (none is of less than a cell)."""
+    return max(1, min(int(np.ceil(np.sqrt(2 * tasks))) - 1, max(1, rows)))
+
+
+def _packed(rows: DataFrame, features: list[str], cell: int) -> DataFrame:
+    """(cell, n0, n1, one binary for each feature): up to ``cell`` rows of a partition as matrices, those of side 0 first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def pack(table: pa.Table) -> pa.RecordBatch:
+            side = np.asarray(table["side"].combine_chunks())
+            order = np.argsort(side, kind="stable")
+            xs = [matrix(table[f].combine_chunks())[order] for f in features]
+            n1 = int(side.sum())
+            return pa.RecordBatch.from_pydict({"n0": pa.array([len(side) - n1], pa.int32()), "n1": pa.array([n1], pa.int32())} | {f"x{i}": pa.array([x.tobytes()], pa.binary()) for i, x in enumerate(xs)})
+
+        for batch in filter(lambda b: b.num_rows, batches):
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            whole = len(table) // cell * cell
+            for at in range(0, whole, cell):
+                yield pack(table.slice(at, cell))
+            held = table.slice(whole).to_batches()
+        if held:
+            yield pack(pa.Table.from_batches(held))
+
+    kinds = "n0 int, n1 int, " + ", ".join(f"x{i} binary" for i in range(len(features)))
+    return rows.select("side", *features).mapInArrow(run, kinds).withColumn("cell", F.monotonically_increasing_id())
+
+
+def _wide(x: np.ndarray, left: bool) -> np.ndarray:
+    """Two columns more, so that one product of a left and a right matrix is the matrix of squared distances."""
+    norm, one = (x * x).sum(axis=1)[:, None], np.ones((len(x), 1))
+    return np.hstack([-2 * x, norm, one] if left else [x, one, norm])
+
+
+def _mixture(d: np.ndarray, width: float, mul: float, num: int) -> np.ndarray:
+    """``_kernel`` of squared distances, which are overwritten. If each bandwidth is twice the one before, the kernels are squares of the widest one."""
+    base = width / mul ** (num // 2)
+    if mul != 2 or base < 1e-2:  # the 1e-12 added to small bandwidths would be seen
+        return _kernel(np.maximum(d, 0, out=d), width, mul, num)
+    np.maximum(d, 0, out=d)
+    d *= -1 / (base * mul ** (num - 1) + 1e-12)
+    np.exp(d, out=d)
+    k = d.copy()
+    for _ in range(num - 1):
+        np.multiply(d, d, out=d)
+        k += d
+    return k
 
 
 def whole_mmd(source: DataFrame, target: DataFrame, features: list[str], mul: float = 2.0, num: int = 5, tasks: int | None = None, cell_rows: int = 40_000, tile: int = 2000, id_col: str = "sample_id") -> DataFrame:
     """(mmd, copies) of two whole samples, exact. All pairs of rows are the definition.
 
-    Rows are dealt over g blocks by hash of id and side, and the g (g + 1) / 2 pairs of blocks are the tasks (``tasks``,
-    default: those that the session runs at once): each row is copied g times, about the root of twice the number of tasks, and not once
-    for each few thousand other rows. g is larger only where a task would hold more than ``cell_rows`` rows. In a task kernels are summed
-    by tiles of ``tile`` rows. Work grows with the square of the rows; ``fourier_mmd`` and ``block_mmd`` are linear.
+    Rows are packed into cells of at most 2,000 rows, and cells are dealt over g blocks. The g (g + 1) / 2 pairs of blocks are the groups
+    of a join of cells with cells (``tasks`` of them, default: four for each task that the session runs at once), so that each row is
+    sent g + 1 times, about the root of twice the number of tasks, whatever the number of rows. A task sees the joined pairs of cells one
+    after another, of no more than ``cell_rows`` rows together, and sums kernels by tiles of ``tile`` rows. Work grows
+    with the square of the rows; ``fourier_mmd`` and ``block_mmd`` are linear.
     """
-    rows = source.select(id_col, *features, F.lit(0).alias("side")).unionByName(target.select(id_col, *features, F.lit(1).alias("side"))).persist()
+    spark = source.sparkSession
+    rows = source.select(*features, F.lit(0).alias("side")).unionByName(target.select(*features, F.lit(1).alias("side"))).persist()
     try:
-        n = {r.side: r["count"] for r in rows.groupBy("side").count().collect()}
         widths = [bandwidth(rows, f) for f in features]
-        g = grid_size(sum(n.values()), tasks or source.sparkSession.sparkContext.defaultParallelism, cell_rows)
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64(id_col, "side"), F.lit(g)).cast("int"))
-        pair = lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
-        dealt = dealt.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), pair)).alias("pair"))
-
-        def run(df: pd.DataFrame) -> pd.DataFrame:
-            i, j = df["pair"].iloc[0]["i"], df["pair"].iloc[0]["j"]
-            sides = [df, df] if i == j else [df[df["block"] == i], df[df["block"] == j]]
-            a, b = ([np.stack(d[f].to_numpy()) for f in features] if len(d) else None for d in sides)
-            sa, sb = (d["side"].to_numpy() for d in sides)
-            sums = np.zeros((2, 2))
-            for x in range(0, len(sa), tile):
-                for y in range(0, len(sb), tile):
-                    k = 1.0
-                    for u, v, width in zip(a, b, widths, strict=True):
-                        k = k * _kernel(_squared(u[x : x + tile], v[y : y + tile]), width, mul, num)
-                    for p in (0, 1):
-                        for q in (0, 1):
-                            sums[p, q] += k[np.ix_(sa[x : x + tile] == p, sb[y : y + tile] == q)].sum()
-            times = 1 if i == j else 2
-            return pd.DataFrame({"xx": [times * sums[0, 0]], "yy": [times * sums[1, 1]], "xy": [times * (sums[0, 1] + sums[1, 0]) / 2]})
-
-        parts = dealt.groupBy("pair").applyInPandas(run, "xx double, yy double, xy double")
-        sums = parts.agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
+        cells = stored(_packed(rows, features, max(1, min(2000, cell_rows // 2))))
     finally:
         rows.unpersist()
-    value = sums.xx / n[0] ** 2 + sums.yy / n[1] ** 2 - 2 * sums.xy / (n[0] * n[1])
-    return source.sparkSession.createDataFrame([(value, g)], "mmd double, copies int")
+    n = cells.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    g = grid_size(n.n0 + n.n1, tasks or 4 * spark.sparkContext.defaultParallelism, cell_rows)
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("cell"), F.lit(g)).cast("int"))
+    parts = 2 * g * (g + 1)  # four for each pair of blocks, so that few pairs fall into one
+    pair = lambda i, j: F.explode(F.transform(F.sequence(i, j), lambda o: F.least("block", o) * g + F.greatest("block", o))).alias("pair")
+    as_side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in cells.columns]
+    left = cells.select(*as_side("a"), pair(F.col("block"), F.lit(g - 1))).repartition(parts, "pair")
+    right = cells.select(*as_side("b"), pair(F.lit(0), F.col("block"))).repartition(parts, "pair")
+    both = left.join(right.hint("merge"), "pair").filter("a_block < b_block OR a_cell <= b_cell").drop("pair", "a_block", "b_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2))
+        read = lambda r, s, i: np.frombuffer(r[f"{s}_x{i}"]).reshape(r[f"{s}_n0"] + r[f"{s}_n1"], -1)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                a, b = ([_wide(read(r, s, i), s == "a") for i in range(len(widths))] for s in "ab")
+                sa, sb = (np.repeat(np.eye(2), [r[f"{s}_n0"], r[f"{s}_n1"]], axis=0) for s in "ab")
+                found = np.zeros((2, 2))
+                for x in range(0, len(sa), tile):
+                    for y in range(0, len(sb), tile):
+                        k = 1.0
+                        for u, v, width in zip(a, b, widths, strict=True):
+                            k = k * _mixture(u[x : x + tile] @ v[y : y + tile].T, width, mul, num)
+                        found += sa[x : x + tile].T @ k @ sb[y : y + tile]
+                sums += found if r["a_cell"] == r["b_cell"] else found + found.T
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (sums[0, 0], sums[1, 1], (sums[0, 1] + sums[1, 0]) / 2)], ["xx", "yy", "xy"])
+
+    sums = both.mapInArrow(run, "xx double, yy double, xy double").agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
+    value = sums.xx / n.n0**2 + sums.yy / n.n1**2 - 2 * sums.xy / (n.n0 * n.n1)
+    return spark.createDataFrame([(value, g)], "mmd double, copies int")
 
 
 def frequencies(dims: list[int], widths: list[float], mul: float, num: int, count: int, seed: int) -> np.ndarray:

@@ -144,3 +144,15 @@ def test_first_and_last_row_of_a_file_read_in_blocks(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [r.target_acc for r in got] == [0.0, 2999.0] and got[0].dir_run_id == "r1"
+
+
+def test_cells_of_the_mmd_move_alike_however_many_rows(spark):
+    # Copies hang on the tasks alone; with cells of 800 rows they were 1,500 of each of 600,000 rows.
+    assert align.grid_size(600_000, 24, 800) == align.grid_size(6_000, 24, 800) == 6
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(90, 4)), rng.normal(size=(70, 4)) + 0.3
+    r = align.whole_mmd(vectors(spark, x), vectors(spark, y), ["x"], tasks=3, cell_rows=20, tile=3).first()
+    assert np.isclose(r.mmd, align.mmd_matrix([x], [y]), rtol=1e-9) and r.copies == 2
+    d = rng.random((5, 6)) * 9
+    for width, mul, num in ((2.0, 2.0, 5), (2.0, 3.0, 4), (1e-9, 2.0, 5)):
+        assert np.allclose(align._mixture(d.copy(), width, mul, num), align._kernel(d, width, mul, num), rtol=1e-9, atol=1e-12)

@@ -722,3 +722,16 @@ def test_warc_of_a_shared_payload_and_archives_left_behind(spark, tmp_path):
     back = warc.read_listed(listed, folder).collect()
     assert sorted(int(x.page) for x in back) == list(range(400)) and warc.read_archives(spark, folder).count() > 400
     assert sum(x.record_type == "revisit" for x in back) == 199 and {x.refers_to for x in back if x.record_type == "revisit"} == {"0"}
+
+
+def test_window_lengths_are_those_of_a_plain_sum(spark):
+    from shiftweight.llm import linededup
+
+    rng = np.random.default_rng(5)
+    weights = [[int(v) for v in rng.integers(1, 13, n)] for n in (0, 1, 2, 3, 4, 9, 40)] + [[1] * 30, [12, 1], [1, 1, 10], [1, 1, 9]]
+    length = lambda w, i: next((j - i + 1 for j in range(i, len(w)) if sum(w[i : j + 1]) >= 12), None)
+    column = linededup._lengths(F.col("w"), 12)
+    rows = spark.createDataFrame([(w,) for w in weights], "w array<int>").select("w", column.alias("n")).collect()
+    assert all(r.n == [length(r.w, i) for i in range(len(r.w))] for r in rows)
+    # Windows of two and three lines are found without folding a slice: 'get' was not in the expression before.
+    assert str(column._jc.toString()).count("get(") >= 3
